@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from counterlens.llm import substring_dedup
+from counterlens.llm import near_dedup, substring_dedup
 
 QUERIES = {
     "op10_substring_dedup": substring_dedup.query,
+    "op5_minhash_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL = {

@@ -350,9 +350,9 @@ WITH w AS (
 ), g AS (
   SELECT DISTINCT k.doc_id, k.i + j.j AS pos FROM k JOIN f USING (s), range(0, 13) AS j(j) WHERE f.low < k.doc_id
 ), gone AS (
-  SELECT doc_id, list(pos) AS at FROM g GROUP BY doc_id
+  SELECT doc_id, list(pos) AS hit FROM g GROUP BY doc_id
 )
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
-       sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), x -> NOT coalesce(list_contains(at, x), FALSE)), x -> ws[x]), ' ')) AS kept_sha256
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(hit), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda x: NOT coalesce(list_contains(hit, x), FALSE)), lambda x: ws[x]), ' ')) AS kept_sha256
 FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id
 """
