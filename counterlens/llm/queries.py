@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from counterlens.llm import near_dedup, substring_dedup
+from counterlens.llm import near_dedup, substring_dedup, token_shards
 
 QUERIES = {
+    "op1_token_shards": token_shards.query,
     "op10_substring_dedup": substring_dedup.query,
     "op5_minhash_near_dedup": near_dedup.query,
 }
