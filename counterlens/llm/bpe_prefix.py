@@ -30,7 +30,8 @@ from counterlens.llm import kernel as K
 from counterlens.llm.units import UnitCache
 
 # The code points that the pattern's \s stands for.
-WHITE = "\t-\r \x85\xa0  -     　"
+FAR_WHITE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t-\r " + FAR_WHITE
 
 
 class PrefixBpe:
@@ -176,7 +177,7 @@ class PrefixBpe:
             rare |= buf == lead
         for d in np.unique(np.searchsorted(offs, np.flatnonzero(rare), side="right") - 1).tolist():
             a, b = int(offs[d]), int(offs[d + 1])
-            if regex.search("[\x85\xa0  -     　]", bytes(buf[a:b]).decode()):
+            if regex.search(f"[{FAR_WHITE}]", bytes(buf[a:b]).decode()):
                 cut[a + 1 : b] = False
         at = np.flatnonzero(cut)
         ids, per = self.cache(buf, at[:-1], at[1:])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, near_dedup, substring_dedup, token_shards
+from counterlens.llm import bpe_prefix, language_id, near_dedup, substring_dedup, token_shards
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
+    "op9_language_id": language_id.query,
     "op10_substring_dedup": substring_dedup.query,
     "op7_bpe_prefix": bpe_prefix.query,
     "op5_minhash_near_dedup": near_dedup.query,
