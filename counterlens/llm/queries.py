@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, language_id, near_dedup, substring_dedup, token_shards
+from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, substring_dedup, token_shards
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
     "op9_language_id": language_id.query,
     "op10_substring_dedup": substring_dedup.query,
     "op7_bpe_prefix": bpe_prefix.query,
+    "op2_mixing": mixing.query,
     "op5_minhash_near_dedup": near_dedup.query,
 }
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
 }
