@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, substring_dedup, token_shards
+from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, sharding, substring_dedup, token_shards
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.query,
     "op7_bpe_prefix": bpe_prefix.query,
     "op2_mixing": mixing.query,
+    "op3_sharding": sharding.query,
     "op5_minhash_near_dedup": near_dedup.query,
 }
 
