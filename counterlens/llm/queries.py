@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, sharding, substring_dedup, token_shards
+from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, sharding, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
+    "op8_transport_stream": transport_stream.query,
     "op9_language_id": language_id.query,
     "op10_substring_dedup": substring_dedup.query,
     "op7_bpe_prefix": bpe_prefix.query,
