@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_bpe_prefix": bpe_prefix.query,
     "op2_mixing": mixing.query,
     "op3_sharding": sharding.query,
+    "op4_page_text": page_text.query,
     "op5_minhash_near_dedup": near_dedup.query,
 }
 
