@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, hnsw, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
     "op8_transport_stream": transport_stream.query,
     "op9_language_id": language_id.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op6_hnsw": hnsw.query,
     "op7_bpe_prefix": bpe_prefix.query,
     "op2_mixing": mixing.query,
     "op3_sharding": sharding.query,
