@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from counterlens.llm import kernel as K
 
@@ -113,8 +114,7 @@ def score(bins: np.ndarray, offs: np.ndarray, prior: np.ndarray, logs: np.ndarra
     return out
 
 
-def _predict(model, langs: list[str]):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
+def _predict(model, langs: list[str], schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior, logs = model.value
@@ -128,21 +128,27 @@ def _predict(model, langs: list[str]):
             else:
                 best, share = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
             pred = [langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0))], schema=schema)
+            made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.where(known, share, 0.0))}
+            yield pa.record_batch([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return run
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score (the prediction's posterior)."""
+def identify(docs: DataFrame, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+    """One row a document: doc_id, held_out, lang_pred, score (the prediction's posterior).
+
+    ``keep`` names columns of ``docs`` to pass on.
+    """
     spark = docs.sparkSession
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
     letter = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}").alias("has_letter")
     labelled = docs.select("doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs, prior, logs = train(labelled, sample)
     model = spark.sparkContext.broadcast((prior, logs))
-    slim = docs.select("doc_id", "text", held, letter)
-    return slim.mapInArrow(_predict(model, langs), "doc_id long, held_out boolean, lang_pred string, score double")
+    passed = [F.col(c) for c in keep or [] if c not in ("doc_id", "text", "held_out", "lang_pred", "score")]
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held, letter, *passed)
+    out = slim.select("doc_id", *[c for c in ["text"] if c in (keep or [])], *passed, "held_out").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)})
+    return slim.mapInArrow(_predict(model, langs, to_arrow_schema(out.schema)), out.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -106,11 +106,15 @@ def plan(docs: DataFrame, scratch: Scratch, schedules: dict = SCHEDULES) -> Data
     return out.withColumns({"taken": taken, "position": F.element_at("positions", 1)})
 
 
-def training_order(planned: DataFrame) -> DataFrame:
-    """Copies (doc_id, repeat, take, position), range-sorted by position."""
+def training_copies(planned: DataFrame) -> DataFrame:
+    """One row a copy: doc_id, size, take, position, repeat."""
     copy = F.explode(F.arrays_zip(F.col("takes").alias("take"), F.col("positions").alias("position"), F.sequence(F.lit(1), F.lit(REPEATS)).alias("repeat")))
-    copies = planned.select("doc_id", copy.alias("c")).select("doc_id", "c.*").where("take > 0")
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return planned.select("doc_id", "size", copy.alias("c")).select("doc_id", "size", "c.*").where("take > 0")
+
+
+def training_order(planned: DataFrame) -> DataFrame:
+    """Copies, range-sorted by position."""
+    return training_copies(planned).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ unset folder is an error, since a local folder would not be seen by all executor
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +49,14 @@ class Scratch:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def carry(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns other than ``own`` under names that no operator uses.
+
+    Returns it, those names, and a function that gives a frame the columns of ``docs`` again.
+    """
+    names = {c: f"__carried_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    renamed = docs.select(*own, *[column(c).alias(n) for c, n in names.items()])
+    return renamed, list(names.values()), lambda df: df.select(*[F.col(names[c]).alias(c) if c in names else F.col(c) for c in docs.columns])

@@ -35,6 +35,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from counterlens.llm import kernel as K
 from counterlens.llm.shared import Scratch
@@ -298,7 +299,6 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, keep:
     ``keep`` names further columns of ``docs`` to pass on. The result reads tables in
     ``scratch``; drop those only when the result has been stored.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *[c for c in keep or [] if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")])
     # blocks are input files; rows that come from no file are stored first
     if docs.select(F.input_file_name().alias("f")).where("f = ''").limit(1).count():
@@ -322,14 +322,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, keep:
     scratch.table(answers.repartition("block"), "told", partition_by="block")
     scratch.drop("hot")
     out = docs.drop(BLOCK).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", F.lit(""))
-    schema = spark.createDataFrame([], out.schema)
-    return blocks.mapInArrow(_cut(scratch.path("told"), width, _arrow_schema(schema)), schema.schema)
-
-
-def _arrow_schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
+    return blocks.mapInArrow(_cut(scratch.path("told"), width, to_arrow_schema(out.schema)), out.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
