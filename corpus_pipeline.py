@@ -1,10 +1,99 @@
-"""Stages that turn raw documents into tokens (filled in as its operators are built)."""
+"""From raw documents to tokens, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet
+and reread as the next one's docs. All but the last return the columns of documents;
+further columns are carried along untouched. What each decides:
+
+- language: documents without a letter (language ``und``) go;
+- near duplicates: of each group of near copies the smallest id stays;
+- passages: words of passages that start in a document with a smaller id go from the
+  text; a document that keeps all its words keeps its text as it is;
+- mix: each document is repeated as often as its source's target takes it, in training
+  order; a copy that is taken in part keeps its first words;
+- tokens: every row's text is encoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from counterlens.llm import bpe_prefix, language_id, mixing, near_dedup, substring_dedup
+from counterlens.llm.shared import Scratch, carry
+
+_held: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    """Scratch of a stage. The one before it has been stored by now, so its tables go."""
+    while _held:
+        _held.pop().drop()
+    _held.append(Scratch(spark, name))
+    return _held[-1]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch(spark, "language")
+    named, others, restore = carry(docs, ["doc_id", "text", "lang"])
+    found = language_id.identify(named, keep=["text", "lang", *others])
+    return restore(found.where(F.col("lang_pred") != language_id.UNKNOWN))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named, _, restore = carry(docs, ["doc_id", "text"])
+    judged = near_dedup.near_duplicates(named, _scratch(spark, "near"))
+    return restore(named.join(judged.where("NOT kept").select("doc_id"), "doc_id", "left_anti"))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named, others, restore = carry(docs, ["doc_id", "text"])
+    original = named.withColumn("__original", F.col("text"))
+    cut = substring_dedup.remove_repeats(original, _scratch(spark, "passages"), keep=[*others, "__original"])
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("__original"))
+    return _counted(restore(cut.withColumn("text", text)), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named, _, restore = carry(docs, ["doc_id", "text", "source"])
+    planned = mixing.plan(named, _scratch(spark, "mix"))
+    copies = mixing.training_copies(planned)
+    taken = named.join(copies, "doc_id")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("take").cast("int")), "")
+    taken = taken.withColumn("text", F.when(F.col("take") < F.col("size"), first).otherwise(F.col("text")))
+    ordered = taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return _counted(restore(ordered), docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _scratch(spark, "tokens")
+    return bpe_prefix.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=True)
+
+
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars, where documents have it, follows the text."""
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("passages", passages),
+    ("mix", mix),
+    ("tokens", tokens),
+]
+
+#: Sketches, hashes and byte-level merges are beyond SQL; the tests hold a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each stored before the next begins."""
+    docs, stored = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = stored.table(stage(spark, docs, sf_dir), name)
+        if k:
+            stored.drop(STAGES[k - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
