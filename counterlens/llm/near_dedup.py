@@ -14,9 +14,10 @@ six standard errors of the threshold, and confirmed on the full sets of hashes.
 
 Documents of equal sets form one class, and only its smallest id goes on, so thousands
 of copies cost one row each. In a band's bucket every member is compared with the
-bucket's smallest id, then with another member; what is then not in one component is
-compared pair by pair across components. No bucket is capped and no pair inside a
-component is listed.
+bucket's smallest id. Documents that buckets tie together form a cluster; in a cluster
+that confirmed links leave in parts, the parts are compared with each other by exact
+overlap counts, in blocks of bounded size. So no bucket is capped, no pair inside a part
+is looked at again, and only links between parts are listed.
 
 Cases: a document without words has an empty set, links with nothing and is kept.
 Null text is empty. A row without an id takes no part and is kept, its component_id
@@ -45,6 +46,7 @@ BANDS = 25
 ROWS = 5
 WORDS = 5
 PERCENT = 80
+BLOCK_SHINGLES = 4_000_000
 
 
 def shingles(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,18 +190,39 @@ def _confirm(percent: int):
     return run
 
 
-def links_among(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
-    """Confirmed links of candidate pairs (a, b): sizes first, then sketches, then full sets."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near = scratch.table(sized.mapInArrow(_screen(percent), "a long, b long"), f"{name}-near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.table(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), f"{name}-sets")
-    set_of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-    links = near.join(set_of("b"), "b").join(set_of("a"), "a").mapInArrow(_confirm(percent), "a long, b long")
-    links = scratch.table(links.distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+def _across(percent: int):
+    """Links between components inside one block of a cluster, by exact overlap counts."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ids, roots, chunk = (table[c].to_numpy() for c in ("doc_id", "root", "chunk"))
+        sets = [np.frombuffer(x.as_buffer(), K.U64) for x in table["shingles"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        owner, begin = owner[order], np.flatnonzero(np.diff(flat[order], prepend=flat[order][:1] ^ K.U64(1)))
+        ends = np.append(begin[1:], len(flat))
+        term = np.empty(len(flat), np.int64)
+        term[order] = np.repeat(np.arange(len(begin)), ends - begin)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        names, members = np.unique(roots, return_counts=True)
+        rest = np.flatnonzero(roots != names[members.argmax()])  # the largest part needs no asking
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for x in rest.tolist():
+            terms = term[at[x] : at[x + 1]]
+            n = ends[terms] - begin[terms]
+            post = np.arange(int(n.sum())) + np.repeat(begin[terms] - (np.cumsum(n) - n), n)
+            shared = np.bincount(owner[post], minlength=len(sets))
+            near = 100 * shared >= percent * (sizes + sizes[x] - shared)
+            for y in np.flatnonzero(near & (roots != roots[x])).tolist():
+                found.setdefault((min(roots[x], roots[y]), max(roots[x], roots[y])), (int(ids[x]), int(ids[y])))
+        return pa.table([pa.array([a for a, _ in found.values()], pa.int64()), pa.array([b for _, b in found.values()], pa.int64())], schema=schema)
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return run(key, table) if len(table["root"].unique()) > 1 else schema.empty_table()
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -208,35 +231,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     sketches = scratch.table(docs.mapInArrow(_sketch(words), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
     linkable = sketches.where("n > 0 AND doc_id IS NOT NULL")
     reps = scratch.table(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs")), "reps")
+    # a candidate pair is a bucket's smallest id and another of its members
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     bands = reps.select(band.alias("band"), "doc_id")
     heads = bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("band", "head")
-    members = scratch.table(bands.join(heads, "band"), "members")
-    pairs = members.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = scratch.table(pairs, "pairs-0")
-    links = links_among(tested, reps, docs, scratch, "star", words, percent)
-    roots = components(links, scratch, "star-components")
-    for step in ("second", "rest"):
-        placed = members.join(roots.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left")
-        placed = placed.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("doc_id", F.xxhash64("doc_id")).alias("head")).where("lo <> hi")
-        open_ = scratch.table(placed.join(mixed.select("band", "head"), "band"), f"{step}-open")
-        if step == "second":
-            # another member as the centre of each bucket that is still in parts
-            head = open_.where("doc_id = head").select("band", F.col("root").alias("head_root"))
-            pairs = open_.join(head, "band").where("root <> head_root").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
-        else:
-            x, y = open_.select("band", F.col("doc_id").alias("a"), F.col("root").alias("ra")), open_.select("band", F.col("doc_id").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "band").where("a < b AND ra <> rb").select("a", "b")
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{step}")
-        tested = tested.unionByName(pairs)
-        more = links_among(pairs, reps, docs, scratch, step, words, percent)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = components(links, scratch, f"{step}-components")
-    classes = reps.join(roots.select(F.col("u").alias("doc_id"), F.col("v").alias("root")), "doc_id", "left")
-    classes = classes.select("s1", "s2", F.coalesce("root", "doc_id").alias("root"))
+    pairs = bands.join(heads, "band").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = scratch.table(pairs, "pairs")
+    clusters = components(pairs, scratch, "clusters").select(F.col("u").alias("doc_id"), F.col("v").alias("cluster"))
+    # every member of a cluster, with its full set
+    clusters = scratch.table(clusters.unionByName(clusters.select(F.col("cluster").alias("doc_id"), "cluster").distinct()), "clustered")
+    sets = scratch.table(docs.join(clusters, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets")
+    # sizes, then sketches, then full sets decide about candidates
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    near = sized.mapInArrow(_screen(percent), "a long, b long")
+    set_of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
+    links = near.join(set_of("b"), "b").join(set_of("a"), "a").mapInArrow(_confirm(percent), "a long, b long")
+    links = scratch.table(links.distinct(), "links")
+    roots = components(links, scratch, "first").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    # clusters that are still in parts: their parts are compared by exact overlaps
+    placed = clusters.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).join(reps.select("doc_id", "n"), "doc_id")
+    open_ = placed.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("total")).where("lo <> hi")
+    blocks = F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int")
+    placed = placed.join(open_.select("cluster", blocks.alias("blocks")), "cluster").join(sets, "doc_id")
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "root", "shingles")
+    more = scratch.table(placed.groupBy("cluster", "i", "j").applyInArrow(_across(percent), "a long, b long"), "more")
+    scratch.drop("sets")
+    if more.limit(1).count():
+        edges = roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(more)
+        roots = components(edges, scratch, "second").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+    classes = reps.join(roots, "doc_id", "left").select("s1", "s2", F.coalesce("root", "doc_id").alias("root"))
     slim = sketches.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
     out = slim.join(classes, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
