@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from counterlens.operators import relational, scoring, statistics  # noqa: F401  plans register themselves
+from counterlens.operators import features, relational, scoring, statistics, texts  # noqa: F401  plans register themselves
+from counterlens.plans import extra
 from counterlens.plans.oracle import oracle
 from counterlens.plans.registry import PLANS, run
 
-QUERIES = {name: run(name) for name in PLANS}
-ORACLE_SQL = {name: oracle(name) for name in PLANS}
+QUERIES = {name: run(name) for name in PLANS} | extra.QUERIES
+ORACLE_SQL = {name: oracle(name) for name in PLANS} | extra.ORACLE_SQL
