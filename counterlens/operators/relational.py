@@ -23,7 +23,7 @@ plan(
     "p06_drop_reasons",
     """WITH r AS (SELECT l.event_id, CASE WHEN p.age > 85 THEN 'age' WHEN l.value < 1 THEN 'tiny' WHEN l.value > 400 THEN 'implausible' WHEN l.sid % 10 = 3 THEN 'excluded' END AS reason FROM labs l JOIN patients p ON p.sid = l.sid) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""",
 )
-plan("p07_prompts", "SELECT id, prompt, length(prompt) AS n FROM items")
+plan("p07_prompts", "SELECT id, prompt, CAST(length(prompt) AS BIGINT) AS n FROM items")
 plan("p09_option_swap", "SELECT id, replace(prompt, 'Is it safe', 'Is it unsafe or safe') AS swapped, (length(prompt) - length(replace(prompt, 'Is it safe', ''))) / 10 = 1 AS once FROM items")
 plan("p11_adapt", "SELECT id || '__note' AS id, pair_id || '__note' AS pair_id, 'note' AS presentation, label FROM items WHERE split = 'test'")
 plan("p12_case_views", "SELECT variant, count_if(gate_fired) AS fired, count_if(NOT gate_fired) AS governed, count_if(NOT abstained) AS answered, count_if(pred IS NOT NULL) AS parsed FROM preds GROUP BY variant")
