@@ -7,6 +7,8 @@ unset folder is an error, since a local folder would not be seen by all executor
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import uuid
 from collections.abc import Callable
 
@@ -34,6 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
+        if spark.conf.get("spark.checkpoint.dir", None) is None:  # one process on one machine
+            atexit.register(shutil.rmtree, self.base.removeprefix("file://"), ignore_errors=True)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
