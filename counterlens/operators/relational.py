@@ -87,7 +87,7 @@ plan("t04_equal_sets", "SELECT (SELECT count(*) FROM (SELECT id FROM items EXCEP
 plan("t05_upsert", "WITH old AS (SELECT variant, 0 AS seed, count(*) AS n FROM preds WHERE v < 5 GROUP BY variant), new AS (SELECT variant, 0 AS seed, count_if(correct) AS n FROM preds WHERE v >= 3 GROUP BY variant) SELECT variant, seed, n FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.variant = old.variant AND new.seed = old.seed) UNION ALL SELECT variant, seed, n FROM new")
 plan("t06_edge_dedup", "SELECT DISTINCT item AS src, family AS dst, op AS rel, provenance FROM rules")
 # ---- execution
-plan("x01_dedup_fanout", "WITH d AS (SELECT prompt, length(prompt) % 7 AS answer FROM (SELECT DISTINCT prompt FROM items) AS x) SELECT i.id, d.answer FROM items i JOIN d ON d.prompt = i.prompt")
+plan("x01_dedup_fanout", "WITH d AS (SELECT prompt, CAST(length(prompt) % 7 AS BIGINT) AS answer FROM (SELECT DISTINCT prompt FROM items) AS x) SELECT i.id, d.answer FROM items i JOIN d ON d.prompt = i.prompt")
 plan("x02_variant_run", "SELECT variant, id, pred, abstained, gate_fired FROM preds WHERE split = 'test'")
 plan("x04_stub_backends", f"WITH s AS (SELECT b.backend, i.pair_id, i.label, CASE b.backend WHEN 'oracle' THEN i.label WHEN 'inverted' THEN CASE WHEN i.label = 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END WHEN 'coin' THEN CASE WHEN i.item_no * 2654435761 % 1000003 % 2 = 0 THEN 'SAFE' ELSE 'UNSAFE' END ELSE CASE WHEN i.item_no * 2654435761 % 1000003 % 10 < 6 THEN i.label ELSE 'SAFE' END END AS pred FROM items i CROSS JOIN (VALUES ('oracle'), ('inverted'), ('coin'), ('sixty')) AS b(backend)) SELECT backend, round({rate('pred = label')}, 9) AS accuracy FROM s GROUP BY backend")
 # ---- time

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import json
+import shutil
 import uuid
 
 import numpy as np
@@ -18,7 +20,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
+    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
+    if base is None:  # one process on one machine
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    return path
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, strict: bool = True) -> DataFrame:
