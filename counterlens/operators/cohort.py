@@ -62,27 +62,26 @@ def facts(events: DataFrame, rule_table: DataFrame) -> DataFrame:
     return joined.withColumn("q", q).where(F.col("age").between(18, 91)).withColumn("unsafe", unsafe)
 
 
-def nearest_arms(fact_table: DataFrame, extreme: bool = False) -> DataFrame:
-    """For each family and patient with both sides, the unsafe and the safe measurement nearest the threshold."""
-    gap = F.abs(F.col("q") - F.col("threshold"))
-    order = [gap.desc() if extreme else gap.asc(), F.col("ts"), F.col("event_id")]
-    side = Window.partitionBy("family", "sid", "unsafe").orderBy(*order)
-    both = Window.partitionBy("family", "sid")
-    picked = fact_table.withColumn("rn", F.row_number().over(side)).where("rn = 1").withColumn("sides", F.count("*").over(both)).where("sides = 2")
-    return picked.drop("rn", "sides").withColumn("arm", F.when(F.col("unsafe"), "unsafe").otherwise("safe")).withColumn("is_control", F.lit(False))
-
-
-def control_arms(fact_table: DataFrame, causal: DataFrame) -> DataFrame:
-    """The widest pair of measurements on one side, at times the causal pair does not use; safe wins ties."""
-    free = fact_table.join(causal.select("family", "sid", "ts").distinct(), ["family", "sid", "ts"], "left_anti")
-    key = lambda sign: F.struct(F.col("q") * sign, F.col("ts"), F.col("event_id"))
-    row = F.struct("event_id", "ts", "value", "q")
-    sides = free.groupBy("family", "sid", "unsafe").agg(F.min_by(row, key(1)).alias("a"), F.min_by(row, key(-1)).alias("b"))
-    sides = sides.withColumn("spread", F.col("b.q") - F.col("a.q")).where("spread > 0")
-    best = Window.partitionBy("family", "sid").orderBy(F.desc("spread"), "unsafe")
-    top = sides.withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    arms = top.select("family", "sid", "unsafe", F.explode(F.array(F.struct(F.lit("ctrl_a").alias("arm"), "a.*"), F.struct(F.lit("ctrl_b").alias("arm"), "b.*"))).alias("x"))
-    return arms.select("family", "sid", "unsafe", "x.*").withColumn("is_control", F.lit(True))
+def pair_arms(fact_table: DataFrame) -> DataFrame:
+    """Causal and control arms of every family and patient that has measurements on both sides.
+
+    The causal pair is the unsafe and the safe measurement nearest the threshold. The
+    control pair is the widest pair on one side, at times that the causal pair does not
+    use; the safe side wins ties. All windows share the partitioning by family and
+    patient, so the facts are shuffled once.
+    """
+    pair, side = Window.partitionBy("family", "sid"), Window.partitionBy("family", "sid", "unsafe")
+    x = fact_table.withColumn("nearest", F.row_number().over(side.orderBy(F.abs(F.col("q") - F.col("threshold")), "ts", "event_id")) == 1)
+    x = x.withColumn("sides", F.count_if("nearest").over(pair)).where("sides = 2")
+    x = x.withColumn("free", ~F.array_contains(F.collect_set(F.when(F.col("nearest"), F.col("ts"))).over(pair), F.col("ts")))
+    x = x.withColumn("spread", F.max(F.when(F.col("free"), F.col("q"))).over(side) - F.min(F.when(F.col("free"), F.col("q"))).over(side))
+    widest = F.max(F.when(F.col("spread") > 0, F.struct("spread", (~F.col("unsafe")).alias("safe")))).over(pair)
+    x = x.withColumn("widest", widest)
+    chosen = F.col("free") & (F.col("spread") == F.col("widest.spread")) & (F.col("unsafe") != F.col("widest.safe"))
+    own = Window.partitionBy("family", "sid", "unsafe", "free")
+    x = x.withColumns({"low": F.row_number().over(own.orderBy("q", "ts", "event_id")), "high": F.row_number().over(own.orderBy(F.desc("q"), "ts", "event_id"))})
+    arm = F.when(F.col("nearest"), F.when(F.col("unsafe"), "unsafe").otherwise("safe")).when(chosen & (F.col("low") == 1), "ctrl_a").when(chosen & (F.col("high") == 1), "ctrl_b")
+    return x.withColumn("arm", arm).where("arm IS NOT NULL").withColumn("is_control", ~F.col("nearest"))
 
 
 def split_of(sid: Column, held_out: Column) -> Column:
@@ -93,12 +92,7 @@ def split_of(sid: Column, held_out: Column) -> Column:
 def items(events: DataFrame) -> DataFrame:
     """The benchmark: one row an arm of a causal or control pair."""
     rule_table = rules(events.sparkSession)
-    fact_table = facts(events, rule_table)
-    causal = nearest_arms(fact_table)
-    both = causal.select("family", "sid", "unsafe", "event_id", "ts", "value", "q", "arm", "is_control").unionByName(control_arms(fact_table, causal))
-    # a control pair follows its causal pair
-    both = both.join(causal.select("family", "sid").distinct(), ["family", "sid"], "left_semi")
-    full = both.join(F.broadcast(rule_table), "family")
+    full = pair_arms(facts(events, rule_table))
     pair = F.concat_ws("_", "family", F.col("sid").cast("string"))
     pair = F.when(F.col("is_control"), F.concat(pair, F.lit("__ctrl"))).otherwise(pair)
     place = F.array_position(F.array(*map(F.lit, ["unsafe", "safe", "ctrl_a", "ctrl_b"])), F.col("arm")) - 1
