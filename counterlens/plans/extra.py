@@ -145,13 +145,69 @@ def u20_probe(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-QUERIES = {f.__name__: f for f in (s01_jsonl, s02_gz_csv, s14_markdown_source, s16_split_sink, s17_merge_summary, s18_csv_sink, s23_keyed_files, u01_upper_limits, u13_adaptive, u20_probe, st1_adaptive_stream, st5_coverage_monitor, f05_mentions, f08_locate, f11_rewrite, p08_family_render, p10_redact, x03_permutation)}
+def s10_cached_client(spark, d):
+    cache = spark.read.parquet(f"{d}/benchmark.parquet").select(F.concat(F.lit("/b?id="), F.col("item_id").cast("string")).alias("key"), F.col("text").alias("body"))
+    return files.CachedClient(cache).lookup(cache.select("key"))
+
+
+def s13_artifact(spark, d):
+    path = files.scratch_path(spark, "artifact")
+    spark.createDataFrame([(files.dump_json({"n": 1}),)], "value string").coalesce(1).write.text(path)
+    return files.read_artifact(spark, [path + "-none", path]).select(F.get_json_object("body", "$.n").cast("long").alias("n")).where("n IS NOT NULL")
+
+
+def s19_array_sink(spark, d):
+    path = files.scratch_path(spark, "arrays")
+    spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").write.parquet(path)
+    return spark.read.parquet(path).select("vec_id", F.size("embedding").cast("long").alias("n"))
+
+
+def s20_report(spark, d):
+    text = files.report(_preds(spark, d).groupBy("variant").count().orderBy("variant"))
+    return spark.createDataFrame([(text,)], "text string").select(F.size(F.split("text", "\n")).cast("long").alias("lines"))
+
+
+def _streamed(spark, d):
+    path = files.scratch_path(spark, "events")
+    _events(spark, d).select("event_id", "event_type").repartition(3).write.parquet(path)
+    return monitors.file_stream(spark, path)
+
+
+def st2_file_stream(spark, d):
+    name = "counts_" + files.uuid.uuid4().hex
+    run = _streamed(spark, d).groupBy("event_type").count().writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", files.scratch_path(spark, "state")).start()
+    run.processAllAvailable()
+    run.stop()
+    return spark.table(name).select("event_type", F.col("count").alias("n"))
+
+
+def st3_budget(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("stream"), "doc_id", "n_chars")
+    return monitors.within_budget(rows, "n_chars", "doc_id", 20000).select("stream", "doc_id", "running")
+
+
+def st4_repeatable_sink(spark, d):
+    path = files.scratch_path(spark, "sink")
+    run = _streamed(spark, d).writeStream.foreachBatch(monitors.once_per_batch(path)).option("checkpointLocation", files.scratch_path(spark, "state")).start()
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.parquet(path).select("event_id", "event_type")
+
+
+QUERIES = {f.__name__: f for f in (s01_jsonl, s02_gz_csv, s10_cached_client, s13_artifact, s19_array_sink, s20_report, st2_file_stream, st3_budget, st4_repeatable_sink, s14_markdown_source, s16_split_sink, s17_merge_summary, s18_csv_sink, s23_keyed_files, u01_upper_limits, u13_adaptive, u20_probe, st1_adaptive_stream, st5_coverage_monitor, f05_mentions, f08_locate, f11_rewrite, p08_family_render, p10_redact, x03_permutation)}
 
 ORACLE_SQL = {
     name: with_base(sql)
     for name, sql in {
         "s01_jsonl": "SELECT event_id, event_type, value FROM events",
         "s02_gz_csv": "SELECT event_id, event_type, value FROM events",
+        "s10_cached_client": "SELECT '/b?id=' || CAST(item_id AS VARCHAR) AS key, text AS body FROM benchmark",
+        "s13_artifact": "SELECT CAST(1 AS BIGINT) AS n",
+        "s19_array_sink": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n FROM embeddings",
+        "s20_report": "SELECT count(*) + 2 AS lines FROM variants",
+        "st2_file_stream": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+        "st3_budget": "SELECT * FROM (SELECT lang AS stream, doc_id, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS running FROM documents) AS x WHERE running <= 20000",
+        "st4_repeatable_sink": "SELECT event_id, event_type FROM events",
         "s14_markdown_source": "SELECT 'Results' AS section, variant, count(*) AS n FROM preds GROUP BY variant",
         "s16_split_sink": "SELECT id, label, split FROM items",
         "s17_merge_summary": "SELECT variant, CAST(0 AS BIGINT) AS seed, CASE WHEN variant IN ('uq', 'rag') THEN count(CASE WHEN correct THEN 1 END) ELSE -1 END AS n FROM preds GROUP BY variant",
