@@ -77,7 +77,7 @@ class PrefixBpe:
         key = left << 20 | token
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 500_000:
                 self.pairs.clear()
             known = self.pairs[key] = self.merge(self.tokens[left] + self.tokens[token]) == [left, token]
         return known
@@ -231,6 +231,7 @@ class EncodedText:
 
 
 _loaded: dict[tuple[str, str], PrefixBpe] = {}
+K.LETS_GO["bpe_prefix"] = _loaded.clear
 
 
 def loaded(path: str, pattern: str) -> PrefixBpe:
@@ -244,11 +245,12 @@ def _encode(path: str, pattern: str, with_ids: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.binary())] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("bpe_prefix")
         bpe = loaded(path, pattern)
         table = np.array([len(t) for t in bpe.tokens])
         flat = np.frombuffer(b"".join(bpe.tokens), np.uint8)
         begin = np.cumsum(table) - table
-        for part in K.chunks(batches, "text"):
+        for part in K.chunks(batches, "text", owner="bpe_prefix"):
             ids, offs = bpe.encode_column(part.column("text"))
             # bytes of all ids, by copying from the table of tokens
             per = table[ids]

@@ -7,14 +7,30 @@ these are ASCII, this is the same as a run of such characters.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+#: What a worker process holds between tasks for one operator, as functions that let it go.
+LETS_GO: dict[str, Callable[[], None]] = {}
+_owner = [""]
+
+
+def enter(owner: str) -> None:
+    """A task of this owner begins here: what other owners hold in this process is let go."""
+    if _owner[0] != owner:
+        for name, let_go in LETS_GO.items():
+            if name != owner:
+                let_go()
+        _owner[0] = owner
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,8 +77,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Slices of batches with about ``limit`` bytes of text; a longer text stands alone."""
+    enter(owner)
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -35,7 +35,7 @@ ORDERS = 3
 SMOOTHING = 0.5
 UNKNOWN = "und"
 RATE_STEPS = 1 << 30
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LANG_BLOCK = 8
 
 

@@ -196,6 +196,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+K.LETS_GO["token_shards"] = _encoders.clear
 
 
 def encoder(path: str) -> WordEncoder:
@@ -209,6 +210,7 @@ def _write(folder: str, path: str, end_id: int):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("uri", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.enter("token_shards")
         enc, task = encoder(path), TaskContext.get()
         fs, base = pafs.FileSystem.from_uri(folder)
         held, size, seq = [], 0, 0
@@ -221,7 +223,7 @@ def _write(folder: str, path: str, end_id: int):
                 f.write(pack_shard(doc_ids, int((~valid).sum()), np.cumsum(lengths), ids))
             return pa.record_batch([pa.array([x], f.type) for x, f in zip((task.partitionId(), seq, f"{folder}/{name}", int(doc_ids[0]), int(doc_ids[-1]), len(doc_ids), len(ids)), schema)], schema=schema)
 
-        for part in K.chunks(batches, "text"):
+        for part in K.chunks(batches, "text", owner="token_shards"):
             buf, offs = K.utf8(part.column("text"))
             starts, ends, first = K.words(buf, offs)
             ids, per = enc.cache(buf, starts, ends)
