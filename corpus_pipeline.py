@@ -5,7 +5,8 @@ and reread as the next one's docs. All but the last return the columns of docume
 further columns are carried along untouched. What each decides:
 
 - language: documents without a letter (language ``und``) go;
-- near duplicates: of each group of near copies the smallest id stays;
+- near duplicates: of each group of near copies the smallest id stays, and of rows that
+  share it the first; a row without an id is kept;
 - passages: words of passages that start in a document with a smaller id go from the
   text; a document that keeps all its words keeps its text as it is;
 - mix: each document is repeated as often as its source's target takes it, in training
@@ -41,9 +42,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = _scratch(spark, "near")
     named, _, restore = carry(docs, ["doc_id", "text"])
-    judged = near_dedup.near_duplicates(named, _scratch(spark, "near"))
-    return restore(named.join(judged.where("NOT kept").select("doc_id"), "doc_id", "left_anti"))
+    # rows in the order of their ids; a row's number stands for its id, so rows that share one are judged apart
+    placed = named.withColumns({"__id": F.col("doc_id").cast("long"), "__row": F.monotonically_increasing_id()})
+    placed = placed.repartitionByRange("__id", "__row").sortWithinPartitions("__id", "__row")
+    number = F.when(F.col("__id").isNotNull(), F.monotonically_increasing_id())
+    keyed = scratch.table(placed.withColumn("__key", number).drop("__id", "__row"), "keyed")
+    judged = near_dedup.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), scratch)
+    return restore(keyed.join(judged.where("NOT kept").select(F.col("doc_id").alias("__key")), "__key", "left_anti"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +62,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scratch = _scratch(spark, "mix")
     named, _, restore = carry(docs, ["doc_id", "text", "source"])
-    planned = mixing.plan(named, _scratch(spark, "mix"))
-    copies = mixing.training_copies(planned)
-    taken = named.join(copies, "doc_id")
+    keyed = scratch.table(named.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    planned = mixing.plan(keyed, scratch, keep=["__row"])
+    copies = mixing.training_copies(planned, keep=["__row"]).drop("doc_id")
+    taken = keyed.join(copies, "__row")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("take").cast("int")), "")
     taken = taken.withColumn("text", F.when(F.col("take") < F.col("size"), first).otherwise(F.col("text")))
     ordered = taken.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

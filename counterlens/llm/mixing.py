@@ -23,6 +23,8 @@ ignored by ``plan``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,22 +75,24 @@ def targets(sizes: DataFrame) -> DataFrame:
     return free.select("source_key", "weight", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight").cast("double")).alias("target"))
 
 
-def plan(docs: DataFrame, scratch: Scratch, schedules: dict = SCHEDULES) -> DataFrame:
+def plan(docs: DataFrame, scratch: Scratch, schedules: dict = SCHEDULES, keep: Sequence[str] = ()) -> DataFrame:
     """One row a document: what the mix takes of it in each repeat, and when.
 
+    Columns ``keep`` are carried along and decide the order of rows that are equal otherwise.
+
     Columns doc_id, size, source_size, target, taken, takes (array), positions (array, null
     where nothing is taken) and position, the first of them.
     """
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
-    slim = docs.select("doc_id", "source", size.alias("size"), key.alias("source_key"), order.alias("place"))
+    slim = docs.select("doc_id", *keep, "source", size.alias("size"), key.alias("source_key"), order.alias("place"))
     slim = scratch.table(slim.withColumn("range", F.substring("place", 1, RANGE_DIGITS)), "sizes")
     parts = slim.groupBy("source_key", "range").agg(F.sum("size").alias("part"))
     ahead = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source_key", "range", F.coalesce(F.sum("part").over(ahead), F.lit(0)).alias("ahead"))
     whole = parts.join(targets(slim), "source_key")
-    inside = Window.partitionBy("source_key", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("place", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = slim.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(whole, ["source_key", "range"])
     placed = placed.withColumn("at", F.col("ahead") + F.col("inside")).withColumn("wanted", F.floor("target"))
     takes, times = [], []
@@ -101,15 +105,15 @@ def plan(docs: DataFrame, scratch: Scratch, schedules: dict = SCHEDULES) -> Data
             time = F.when(F.col("weight") == weight, invert(knots, share)) if time is None else time.when(F.col("weight") == weight, invert(knots, share))
         takes.append(take)
         times.append(F.when(take > 0, time))
-    out = placed.select("doc_id", "size", "source_size", "target", F.array(*takes).alias("takes"), F.array(*times).alias("positions"))
+    out = placed.select("doc_id", *keep, "size", "source_size", "target", F.array(*takes).alias("takes"), F.array(*times).alias("positions"))
     taken = F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x)
     return out.withColumns({"taken": taken, "position": F.element_at("positions", 1)})
 
 
-def training_copies(planned: DataFrame) -> DataFrame:
+def training_copies(planned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row a copy: doc_id, size, take, position, repeat."""
     copy = F.explode(F.arrays_zip(F.col("takes").alias("take"), F.col("positions").alias("position"), F.sequence(F.lit(1), F.lit(REPEATS)).alias("repeat")))
-    return planned.select("doc_id", "size", copy.alias("c")).select("doc_id", "size", "c.*").where("take > 0")
+    return planned.select("doc_id", *keep, "size", copy.alias("c")).select("doc_id", *keep, "size", "c.*").where("take > 0")
 
 
 def training_order(planned: DataFrame) -> DataFrame:

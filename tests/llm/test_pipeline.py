@@ -1,11 +1,14 @@
 import hashlib
 import re
+from collections import Counter
 
 import brute
 import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
+from counterlens.llm import mixing
+from counterlens.llm.shared import Scratch
 from test_operators import tiktoken_encoding  # noqa: F401
 
 
@@ -36,5 +39,20 @@ def test_stages_keep_the_columns_of_documents(spark, odd_docs, no_docs, tmp_path
             assert name == "tokens" or df.columns == start.columns
 
 
+def test_rows_that_share_an_id_or_have_none_are_mixed_once_each(spark, odd_docs, tmp_path):
+    odd_docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    copies = mixing.training_copies(mixing.plan(docs, Scratch(spark, "m"))).collect()
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    count = lambda rows: Counter((r[0], r[1]) for r in rows)
+    assert len(got) == len(copies) and any(r.doc_id is None for r in got)
+    assert count((r.doc_id, r.take) for r in copies) == count((r.doc_id, len(r.text.split())) for r in got)
+
+
+def test_one_of_several_equal_rows_stays(spark, odd_docs):
+    got = Counter((r.doc_id, (r.text or "")[:5]) for r in corpus_pipeline.near_duplicates(spark, odd_docs, "").collect())
+    assert got == {(1, "alpha"): 1, (1, "other"): 1, (None, "alpha"): 1, (None, ""): 1, (2, ""): 1, (3, ""): 1, (4, "xxxxx"): 1}
+
+
 def test_public_vocabulary_is_not_in_the_repository():
     assert "/site-packages/" in public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
