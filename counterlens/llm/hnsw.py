@@ -12,8 +12,12 @@ length by a further component, so the graph is one of angles and large vectors a
 passed over. Each shard returns its best for every query, with the product in double
 precision on the original vectors; results are merged by rank.
 
-Recall is measured in the tests against brute force. In shards of at most ``EF`` rows the
-search sees every node, so small tables are exact.
+Rows of one vector are one node of their shard's graph: copies would link to one another
+only and become unreachable. Their ids stand beside the node, ascending, and are listed
+after the search, as many as the result can hold.
+
+Recall is measured in the tests against brute force. In shards of at most ``EF`` distinct
+vectors the search sees every node, so small tables are exact.
 
 Cases: a vector that is null, empty, zero, of another length than most, or holds a null or
 a component that is not finite takes no part, nor does a row without an id. Rows that
@@ -184,7 +188,7 @@ def _widen(v: np.ndarray, longest: float, query: bool) -> np.ndarray:
     return np.concatenate((u, np.sqrt(np.maximum(0, 1 - (u * u).sum(axis=1, keepdims=True)))), 1).astype(np.float32)
 
 
-GRAPH = "shard int, ids binary, vectors binary, longest double, nodes array<binary>, links array<binary>"
+GRAPH = "shard int, ids binary, first binary, vectors binary, longest double, nodes array<binary>, links array<binary>"
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -192,14 +196,63 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
+def _distinct(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors, in the order of their smallest ids; the ids by vector, ascending; where each vector's begin."""
+    order = np.argsort(ids, kind="stable")
+    ids, v = ids[order], np.ascontiguousarray(v[order] + 0.0)  # -0.0 equals 0.0
+    _, at, group = np.unique(v.view(np.dtype((np.void, v.itemsize * v.shape[1]))).reshape(-1), return_index=True, return_inverse=True)
+    turn = np.argsort(at)
+    place = np.empty(len(at), np.int64)
+    place[turn] = np.arange(len(at))
+    group = place[group.reshape(-1)]
+    return v[at[turn]], ids[np.argsort(group, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(at)))))
+
+
 def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    table = table.sort_by("vec_id")
-    ids, v = table["vec_id"].to_numpy(), _matrix(table)
+    v, ids, first = _distinct(table["vec_id"].to_numpy(), _matrix(table))
     longest = float(np.linalg.norm(v, axis=1).max())
-    graph = Graph(_widen(v, longest, False), K.mix(ids.view(K.U64) ^ K.U64(0x9E3779B97F4A7C15)))
-    cols = [[key[0].as_py()], [ids.tobytes()], [v.tobytes()], [longest], [[n.tobytes() for n, _ in graph.levels]], [[x.tobytes() for _, x in graph.levels]]]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "ids", "vectors", "longest", "nodes", "links"])
+    graph = Graph(_widen(v, longest, False), K.mix(ids[first[:-1]].view(K.U64) ^ K.U64(0x9E3779B97F4A7C15)))
+    cols = [[key[0].as_py()], [ids.tobytes()], [first.astype(np.int64).tobytes()], [v.tobytes()], [longest], [[n.tobytes() for n, _ in graph.levels]], [[x.tobytes() for _, x in graph.levels]]]
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "ids", "first", "vectors", "longest", "nodes", "links"])
+
+
+def _own_rows(ids: np.ndarray, first: np.ndarray, qid: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """How many rows of each found node have the query's own id."""
+    node = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((node, ids))
+    by_id, node = ids[order], node[order]
+    new = np.flatnonzero(np.append(True, (by_id[1:] != by_id[:-1]) | (node[1:] != node[:-1])))
+    by_id, node, rows = by_id[new], node[new], np.diff(np.append(new, len(ids)))
+    out = np.zeros(found.shape, np.int64)
+    at, end = np.searchsorted(by_id, qid), np.searchsorted(by_id, qid, "right")
+    left = np.flatnonzero(at < end)
+    while len(left):
+        out[left] += np.where(found[left] == node[at[left], None], rows[at[left], None], 0)
+        at[left] += 1
+        left = left[at[left] < end[left]]
+    return out
+
+
+def _listed(ids: np.ndarray, first: np.ndarray, qid: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, id and score of each query's k best rows, from the nodes it found; ties go to smaller ids."""
+    own = _own_rows(ids, first, qid, found)
+    rows = np.where(found < 0, 0, first[found + 1] - first[found])
+    # nodes that score below the one at which k rows are reached cannot matter
+    order = np.argsort(-score, axis=1, kind="stable")
+    sorted_ = np.take_along_axis(score, order, 1)
+    reached = np.cumsum(np.take_along_axis(np.minimum(rows - own, k), order, 1), axis=1) >= k
+    least = np.where(reached.any(axis=1), sorted_[np.arange(len(found)), reached.argmax(axis=1)], -np.inf)
+    take = np.where(score >= least[:, None], np.minimum(rows, k + own), 0).reshape(-1)
+    query = np.repeat(np.repeat(np.arange(len(found)), found.shape[1]), take)
+    begin = np.repeat(first[found].reshape(-1), take)
+    near, vec = np.repeat(score.reshape(-1), take), ids[begin + np.arange(len(begin)) - np.repeat(np.cumsum(take) - take, take)]
+    other = vec != qid[query]
+    query, near, vec = query[other], near[other], vec[other]
+    order = np.lexsort((vec, -near, query))
+    query, near, vec = query[order], near[order], vec[order]
+    best = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[best], vec[best], near[best]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,7 +272,8 @@ def _ask(k: int, ef: int):
             return schema.empty_table()
         row = left.to_pylist()[0]
         ids = np.frombuffer(row["ids"], np.int64)
-        v = np.frombuffer(row["vectors"], "<f8").reshape(len(ids), -1)
+        first = np.frombuffer(row["first"], np.int64)
+        v = np.frombuffer(row["vectors"], "<f8").reshape(len(first) - 1, -1)
         graph = Graph.__new__(Graph)
         graph.x = _widen(v, row["longest"], False)
         graph.levels = [(np.frombuffer(n, np.int32), np.frombuffer(x, np.int32).reshape(len(n) // 4, -1)) for n, x in zip(row["nodes"], row["links"])]
@@ -229,12 +283,9 @@ def _ask(k: int, ef: int):
             q, qid = _matrix(part), part["vec_id"].to_numpy()
             found = graph.search(_widen(q, 0, True), ef)
             near = products(v[found], q[:, None, :])
-            near[(found < 0) | (ids[found] == qid[:, None])] = -np.inf
-            tie = np.broadcast_to(ids[found], near.shape)
-            order = np.lexsort((tie, -near), axis=1)[:, :k]
-            score, vec = np.take_along_axis(near, order, 1), np.take_along_axis(tie, order, 1)
-            real = np.isfinite(score)
-            out.append(pa.table([pa.array(np.repeat(qid, real.sum(axis=1))), pa.array(vec[real]), pa.array(score[real])], schema=schema))
+            near[found < 0] = -np.inf
+            who, vec, score = _listed(ids, first, qid, found, near, k)
+            out.append(pa.table([pa.array(qid[who]), pa.array(vec), pa.array(score)], schema=schema))
         return pa.concat_tables(out)
 
     return run

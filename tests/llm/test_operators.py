@@ -211,6 +211,37 @@ def test_neighbours_exact_in_small_shards_and_recall_in_large(spark):
         assert out.query_id.nunique() == 150 and hits / 3000 >= least
 
 
+def test_neighbours_where_a_third_of_rows_are_equal(spark):
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(3000, 24)).astype(np.float32)
+    v[1::3] = 2 * v[1]
+    table = hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"))
+    out = hnsw.search(table, "vec_id % 20 = 0", Scratch(spark, "h"), shard_rows=3000).toPandas()
+    s, hits = hnsw.products(v.astype(float)[:, None], v.astype(float)[None]), 0
+    np.fill_diagonal(s, -np.inf)
+    for q, g in out.groupby("query_id"):
+        want = np.lexsort((np.arange(3000), -s[q]))[:20].tolist()
+        got = g.sort_values("rank").vec_id.tolist()
+        assert q % 3 != 1 or got == want == [i for i in range(1, 3000, 3) if i != q][:20]
+        hits += len(set(got) & set(want))
+    assert len(out) == 3000 and hits / 3000 >= 0.9
+
+
+def test_rows_of_one_vector_or_one_id_are_listed():
+    rnd = np.random.default_rng(8)
+    ids, v = rnd.integers(0, 60, 400), rnd.integers(-1, 2, (400, 3)).astype(float)
+    v[(v == 0).all(axis=1)] = 1.0
+    v[:90], ids[:30] = [-0.0, 1.0, 0.0], 20
+    v[:45] = [0.0, 1.0, 0.0]
+    distinct, sorted_ids, first = hnsw._distinct(ids, v)
+    found = np.tile(np.arange(len(distinct), dtype=np.int32), (400, 1))
+    who, vec, score = hnsw._listed(sorted_ids, first, ids, found, hnsw.products(distinct[found], v[:, None]), 20)
+    assert len(distinct) == len({tuple(x + 0.0) for x in v})
+    for q in range(400):
+        want = sorted((-float(x @ v[q]), int(i)) for i, x in zip(ids, v) if i != ids[q])[:20]
+        assert list(zip((-score[who == q]).tolist(), vec[who == q].tolist())) == want
+
+
 def test_neighbours_of_few_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.0, 1.0])], "vec_id long, embedding array<double>")
     out = hnsw.search(hnsw.usable(few), "vec_id % 20 = 0", Scratch(spark, "h")).orderBy("query_id", "rank").collect()
