@@ -3,14 +3,16 @@
 Each page's containers are scored: the share of the page's clean text that they hold
 times the clean share of their own text, with a bonus for names that mark an article. A
 container is named by its path of tags and classes from the body down, with digits in
-classes generalised, so that pages of one template agree. Scores are summed by host and
-path (each page votes for its best few containers), the host's best paths are broadcast
+classes generalised, so that pages of one template agree. Scores are averaged by host and
+path over the pages that vote for it (each votes for its best few containers), so that an
+ancestor does not win by being in every template; the host's best paths are broadcast
 where their number is checked to be small, else joined, and every page is read again
 with the first of its host's paths that it has. A page without any of them, or without a
 host, is read by its own best container.
 
 Text is clean unless it lies in a tag or a class that stands for menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments. White space inside
+sidebars, notices, adverts, forms, scripts, styles or reader comments; an element that
+holds most of the page's text is not taken out by a word of its names. White space inside
 a block becomes one space, blocks are joined by one space in page order; ``br`` counts as
 white space and other inline tags as nothing.
 
@@ -35,6 +37,8 @@ from counterlens.llm.shared import Scratch
 
 VOTES = 4
 PATHS = 3
+#: A path that fewer pages than one in so many of the host's most common path vote for is left to those pages.
+SUPPORT = 20
 BROADCAST_ROWS = 20_000
 
 # Tags of HTML by role.
@@ -54,6 +58,8 @@ NOISE = frozenset(
 )
 GOOD = frozenset("article content entry main post story text body page".split())
 KEEP_TAGS = frozenset("html body main article".split())
+#: A name with one of these says what a page has or lacks, not what the element is.
+NEUTRAL = frozenset("no not non has have with without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>?|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -72,13 +78,16 @@ class Page:
     """Elements of a page, with clean text by element, in one pass over the markup."""
 
     def __init__(self, source: str):
-        # of every element: tag, parent, path, noise (itself or above), bonus
-        self.tag, self.parent, self.path, self.noisy, self.bonus = ["#"], [-1], [""], [False], [0]
+        # of every element: tag, parent, path, noise (itself or above), bonus, noise by tag, noise words in its names
+        self.tag, self.parent, self.path, self.noisy, self.bonus, self.hard, self.words = ["#"], [-1], [""], [False], [0], [False], [0]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, text
         self._read(source)
+        if any(self.words):
+            self._clear_wrappers()
 
     def _open(self, name: str, raw: str, above: int) -> int:
         words: list[str] = []
+        marks: set[str] = set()
         classes, hidden = "", False
         if len(raw) > len(name) + 2:
             for key, value in _ATTR.findall(raw):
@@ -86,9 +95,15 @@ class Page:
                 if key == "class":
                     classes = ".".join(sorted(_DIGITS.sub("N", value).split()))
                 if key in ("class", "id", "role"):
-                    words += _SPLIT.split(value)
+                    for part in map(_SPLIT.split, value.split()):
+                        words += part
+                        if NEUTRAL.isdisjoint(part):
+                            marks |= NOISE.intersection(part)
                 hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "")
-        noise = self.noisy[above] or name in DROP or hidden or name not in KEEP_TAGS and not NOISE.isdisjoint(words)
+        count = 0 if name in KEEP_TAGS else len(marks)
+        self.words.append(count)
+        self.hard.append(self.hard[above] or name in DROP or hidden)
+        noise = self.noisy[above] or self.hard[-1] or count > 0
         self.tag.append(name)
         self.parent.append(above)
         self.path.append(f"{self.path[above]}>{name}{'.' if classes else ''}{classes}" if name not in ("html", "#") else self.path[above])
@@ -151,6 +166,43 @@ class Page:
             if tag in SCOPES:
                 return
 
+    def _sizes(self, left_out: list[bool]) -> list[int]:
+        """Characters below each element, without those of elements left out."""
+        out = [0] * len(self.tag)
+        for e, _, text in self.pieces:
+            if not left_out[e]:
+                out[e] += len(text) - text.count(" ")
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def _clear(self, e: int) -> None:
+        self.words[e] = 0
+        for x in range(e, len(self.tag)):
+            self.noisy[x] = self.noisy[self.parent[x]] or self.hard[x] or self.words[x] > 0
+
+    def _clear_wrappers(self) -> None:
+        """An element that holds most of the page's text is no noise by its names alone.
+
+        It is cleared if a name of it marks an article too, or if next to nothing that is
+        clean stands outside it. A page without clean text is read from the elements
+        with the fewest noise words; of them, from the one with the most text.
+        """
+        held = self._sizes(self.hard)
+        for e in range(1, len(self.tag)):
+            if self.words[e] and not self.hard[e] and not self.noisy[self.parent[e]] and 2 * held[e] > held[0]:
+                clean = self._sizes(self.noisy)
+                above, x = set(), e
+                while x >= 0:
+                    above.add(x)
+                    x = self.parent[x]
+                rival = any(self.bonus[y] and clean[y] and y not in above for y in range(1, len(self.tag)))
+                if self.bonus[e] or not rival and 4 * clean[0] < held[e]:
+                    self._clear(e)
+        while held[0] and not self._sizes(self.noisy)[0]:
+            marked = [e for e in range(1, len(self.tag)) if self.words[e] and held[e] and not self.noisy[self.parent[e]]]
+            self._clear(min(marked, key=lambda e: (self.words[e], -held[e])))
+
     def scores(self) -> dict[str, int]:
         """Thousandths by path, of containers that hold clean text."""
         n = len(self.tag)
@@ -199,18 +251,20 @@ def best_first(scores: dict[str, int]) -> list[str]:
 
 
 def _vote():
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes: dict[tuple[str, str], int] = defaultdict(int)
+            voters: dict[tuple[str, str], int] = defaultdict(int)
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html")):
                 host = host_of(url)
                 if host and source.is_valid:
                     scores = Page(source.as_py()).scores()
                     for path in best_first(scores)[:VOTES]:
                         votes[host, path] += scores[path]
-            yield pa.record_batch([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], schema=schema)
+                        voters[host, path] += 1
+            yield pa.record_batch([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64()), pa.array(list(voters.values()), pa.int64())], schema=schema)
 
     return run
 
@@ -231,8 +285,9 @@ def _extract():
 
 def consensus(pages: DataFrame) -> DataFrame:
     """(host, paths): each host's best paths, by the votes of all its pages."""
-    votes = pages.select("url", "html").mapInArrow(_vote(), "host string, path string, score long")
-    votes = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
+    votes = pages.select("url", "html").mapInArrow(_vote(), "host string, path string, score long, n long")
+    votes = votes.groupBy("host", "path").agg((F.sum("score") / F.sum("n")).alias("score"), F.sum("n").alias("n"))
+    votes = votes.withColumn("most", F.max("n").over(Window.partitionBy("host"))).where(f"{SUPPORT} * n >= most")
     depth = F.length(F.regexp_replace("path", "[^>]", ""))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), F.desc(depth), "path"))
     top = votes.withColumn("rank", rank).where(F.col("rank") <= PATHS)

@@ -136,6 +136,26 @@ def test_shards_split_a_group_too_large_for_one(spark, no_docs, odd_docs):
 
 
 # ---- 4: pages
+@pytest.mark.parametrize("name", ["page no-sidebar", "content has-comments", "post social-share", "story header-large", "header-large"])
+def test_a_wrapper_is_not_noise_by_one_word(name):
+    body = "<p>" + "words of the story stand here " * 9 + "</p>"
+    page = page_text.Page(f"<html><body><nav>menu</nav><div class='{name}'>{body}<div class='comments'>a reader says so</div></div><footer>foot</footer></body></html>")
+    assert page.text(page_text.best_first(page.scores())[:1]) == ("words of the story stand here " * 9).strip()
+
+
+def test_reader_comments_longer_than_the_article_stay_out():
+    page = page_text.Page("<body><article><p>a short article</p></article><div class='comments'>" + "<p>a reader says much</p>" * 20 + "</div></body>")
+    assert page.text(page_text.best_first(page.scores())[:1]) == "a short article"
+
+
+def test_templates_of_a_host_win_over_their_common_ancestor(spark):
+    story = "<p>" + "words of the story stand here " * 20 + "</p>"
+    html = ["<body><div class='teaser'>some more text to read</div><div class='%s'>%s</div></body>" % (c, story) for c in ("article-a", "article-b")]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", html[i % 2]) for i in range(10)], "page_id long, url string, html string")
+    assert page_text.consensus(pages).first().paths[:2] == [">body>div.article-a", ">body>div.article-b"]
+    assert {r.text for r in page_text.extract(pages, Scratch(spark, "p")).collect()} == {("words of the story stand here " * 20).strip()}
+
+
 def test_page_text(spark):
     page = '<html><head><title>x</title></head><body class="has-sidebar"><div class="menu"><a href="/">Home</a></div><article id="a%d"><header>skip</header><h1>T &amp; U</h1><p>one <b>two</b>three<p>four&nbsp;five<br>six<!-- no --><script>var x="</p>"</script><form>f</form></article><div class="comments"><p>%s</p></div><footer>end'
     rows = [(i, f"https://www.h.example/{i}", page % (i, "reader words " * 40)) for i in range(5)] + [(9, None, None), (10, "bad url", "<p>only <i>this"), (11, "https://h.example/e", ""), (11, None, "a < b")]
