@@ -67,7 +67,7 @@ plan(
 plan("j23_control_follows", "SELECT c.pair_id, p.pair_id AS causal FROM (SELECT DISTINCT pair_id, substr(pair_id, 1, length(pair_id) - 6) AS base FROM items WHERE is_control) AS c JOIN (SELECT DISTINCT pair_id FROM items WHERE NOT is_control) AS p ON p.pair_id = c.base")
 plan("j24_moved_rows", f"WITH a AS (SELECT v % 3 AS layer, family, round({rate('correct')}, 6) AS m, count(*) AS used FROM preds WHERE v < 4 GROUP BY v % 3, family), b AS (SELECT v % 3 AS layer, family, round({rate('correct')}, 6) AS m, count(*) AS used FROM preds WHERE v < 3 GROUP BY v % 3, family) SELECT a.layer, a.family, a.used = b.used AS comparable FROM a JOIN b ON a.layer = b.layer AND a.family = b.family WHERE abs(a.m - b.m) > 1e-9 AND a.layer < 2")
 # ---- order, sampling, splitting
-plan("o01_top_k_retrieval", lambda d: f"WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS query_id, c.vec_id, round({d.dot('q.embedding', 'c.embedding')}, 6) AS sim FROM q JOIN embeddings c ON c.label < 5) SELECT query_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) AS rn FROM s) AS x WHERE rn <= 3")
+plan("o01_top_k_retrieval", lambda d: f"WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, round({d.dot('q.embedding', 'c.embedding')}, 6) AS sim FROM q CROSS JOIN embeddings c) SELECT query_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) AS rn FROM s) AS x WHERE rn <= 3")
 plan("o02_top_features", "SELECT source, n FROM (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rn FROM documents GROUP BY source) AS x WHERE rn <= 5")
 plan("o03_display_order", "SELECT p.variant, count(*) AS n, min(v.v) AS place FROM preds p JOIN variants v ON v.variant = p.variant GROUP BY p.variant ORDER BY place")
 plan("o04_patient_split", "WITH h AS (SELECT sid, row_number() OVER (ORDER BY (sid * 2654435761) % 1000003, sid) AS rn, count(*) OVER () AS n FROM patients) SELECT sid, CASE WHEN rn <= greatest(1, CAST(floor(n * 0.5e0) AS BIGINT)) THEN 'test' WHEN rn <= CAST(floor(n * 0.7e0) AS BIGINT) THEN 'calib' ELSE 'train' END AS split FROM h")

@@ -1,6 +1,7 @@
 """Every plan against the checking engine, over stored base tables that are compared first."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from counterlens.operators import cohort
@@ -78,3 +79,14 @@ def test_planted_defects_are_found(spark, base):
         assert sum(r[1] for r in run("a23_conflicts")) > sum(r[1] for r in clean["a23_conflicts"])
     finally:
         stored.createOrReplaceTempView("items")
+
+
+def test_top_k_searches_every_row(spark, base):
+    e = spark.table("embeddings").toPandas()
+    v = np.array(e.embedding.tolist(), float)
+    want = set()
+    for q in np.flatnonzero(e.vec_id % 20 == 0):
+        sim = (v @ v[q]).round(6)
+        want |= {(int(e.vec_id[q]), int(e.vec_id[i])) for i in np.lexsort((-e.vec_id, -sim))[:3]}
+    got = spark.sql(registry.PLANS["o01_top_k_retrieval"](registry.Spark())).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == len(want)
