@@ -3,33 +3,62 @@
 from __future__ import annotations
 
 import ast
+import math
 import re
+from bisect import insort
 
-import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# How a creatinine is stated. The unit is required; the short name is written with a capital.
+_UNIT = r"(?P<u>mg\s*/\s*d[lL]|mg\s*/\s*L|[µu]mol\s*/\s*L|mmol\s*/\s*L)"
+_VALUE = r"(?P<v>\d+(?:\.\d+)?)"
 _MENTION = [
-    re.compile(r"creatinine\D{0,20}?(?P<v>\d+(?:\.\d+)?)\s*(?P<u>mg/dl|µmol/l|umol/l)", re.I),
-    re.compile(r"\bcr\b\D{0,10}?(?P<v>\d+(?:\.\d+)?)\s*(?P<u>mg/dl|µmol/l|umol/l)?", re.I),
-    re.compile(r"(?P<v>\d+(?:\.\d+)?)\s*(?P<u>mg/dl|µmol/l|umol/l)\s*(?:of\s+)?creatinine", re.I),
+    re.compile(r"creatin(?:ine|e)\b[^.\n;]{0,30}?" + _VALUE + r"\s*" + _UNIT, re.I),
+    re.compile(_VALUE + r"\s*" + _UNIT + r"[^.\n;]{0,12}?creatin(?:ine|e)\b", re.I),
+    re.compile(r"\bCr\b[^.\n;]{0,12}?" + _VALUE + r"\s*" + _UNIT),
 ]
 # types as objects: workers import this module without a session to parse text
 _SPAN = T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())
 MENTIONS = T.StructType().add("value", T.DoubleType()).add("unit", T.StringType()).add("start", T.IntegerType()).add("stop", T.IntegerType()).add("num_start", T.IntegerType()).add("num_stop", T.IntegerType()).add("mgdl", T.DoubleType())
 
 
+def _in_mgdl(value: float, unit: str) -> float | None:
+    """NULL for a unit that must not be guessed at."""
+    unit = unit.lower().replace("\u03bc", "\u00b5")
+    if "umol" in unit or "\u00b5mol" in unit:
+        return value / 88.4
+    return value if "mg/dl" in unit else None
+
+
 def mentions(note: str | None) -> list[tuple]:
-    """Creatinine mentions of a note: all patterns, one for each number, none inside a longer one."""
+    """Creatinine mentions of a note with a known unit: (value, unit, span, span of the number, mg/dL), none inside a longer one."""
     found = {}
     for pattern in _MENTION:
         for m in pattern.finditer(note or ""):
-            unit = (m["u"] or "mg/dl").lower()
             value = float(m["v"])
-            found.setdefault(m.span("v"), (value, unit, *m.span(), *m.span("v"), value / 88.4 if "mol" in unit else value))
-    rows = sorted(found.values(), key=lambda r: (r[2], -r[3]))
-    return [r for r in rows if not any(o is not r and o[2] <= r[2] and r[3] <= o[3] and o[3] - o[2] > r[3] - r[2] for o in rows)]
+            scaled = _in_mgdl(value, m["u"])
+            if scaled is not None:
+                found.setdefault(m.span(), (value, m["u"], *m.span(), *m.span("v"), scaled))
+    kept = list(found)
+    outer = lambda a, b: a != b and a[0] <= b[0] and b[1] <= a[1]
+    return [found[s] for s in sorted(kept) if not any(outer(o, s) for o in kept)]
+
+
+_SETTLED = T.StructType().add("value", T.DoubleType()).add("unit", T.StringType()).add("mgdl", T.DoubleType()).add("mentions", T.IntegerType())
+
+
+@F.pandas_udf(_SETTLED)
+def creatinine(note: pd.Series) -> pd.DataFrame:
+    """The creatinine that a note states: its first mention if all mentions agree, else NULL; and how many there are."""
+    out = []
+    for text in note:
+        found = mentions(text) if text and ("creatin" in text.lower() or "Cr" in text) else []
+        settled = len({round(m[6], 6) for m in found}) == 1
+        out.append((found[0][0], found[0][1], found[0][6], len(found)) if settled else (None, None, None, len(found)))
+    return pd.DataFrame(out, columns=["value", "unit", "mgdl", "mentions"])
 
 
 @F.udtf(returnType=MENTIONS)
@@ -41,37 +70,36 @@ class CreatinineMentions:
 
 
 def number_forms(value: float) -> list[str]:
-    """The ways in which a number is written."""
-    forms = {repr(value), f"{value:g}", f"{value:.1f}", f"{value:.2f}"}
-    return sorted(forms | ({str(int(value))} if value == int(value) else set()), key=lambda s: (-len(s), s))
+    """The ways in which a number is written: as it is, without trailing zeros, and with one to three decimals."""
+    forms = {str(value), f"{value:g}", *(f"{value:.{d}f}" for d in (1, 2, 3))}
+    return sorted(forms | ({str(int(value))} if value == int(value) else set()))
+
+
+def places(text: str, value: float) -> set[tuple[int, int]]:
+    """Spans at which a number stands in any written form, not inside a longer number. Forms of one start are apart."""
+    forms = number_forms(value)
+    starts = (m.start() for m in re.finditer(r"(?<![\d.])(?=[\d.-])", text))
+    return {(a, a + len(f)) for a in starts for f in forms if text.startswith(f, a) and not text[a + len(f) : a + len(f) + 1].isdigit()}
 
 
 @F.pandas_udf(_SPAN)
 def locate_unique(note: pd.Series, value: pd.Series) -> pd.DataFrame:
-    """Span of the one place where the number stands in any written form; NULL if none or several."""
-    out = []
-    for text, v in zip(note, value):
-        spans = {m.span() for f in number_forms(v) for m in re.finditer(rf"(?<![\d.]){re.escape(f)}(?![\d]|\.\d)", text or "")} if v == v and v is not None else set()
-        out.append(next(iter(spans)) if len(spans) == 1 else (None, None))
-    return pd.DataFrame(out, columns=["start", "stop"]).astype("Int32")
+    """Span of the one place where the number stands; NULL if none or several."""
+    found = [places(t, v) if t and v is not None and v == v else set() for t, v in zip(note, value)]
+    return pd.DataFrame([min(s) if len(s) == 1 else (None, None) for s in found], columns=["start", "stop"]).astype("Int32")
 
 
-@F.pandas_udf(T.StringType())
-def rewrite_spans(note: pd.Series, spans: pd.Series, texts: pd.Series) -> pd.Series:
-    """Each note with its spans replaced, from the back, so that earlier offsets hold."""
-    out = []
-    for text, where, what in zip(note, spans, texts):
-        for (a, b), new in sorted(zip(((s["start"], s["stop"]) for s in where), what), reverse=True):
-            text = text[:a] + new + text[b:]
-        out.append(text)
-    return pd.Series(out)
+def rewrite_spans(note: Column, where: Column, texts: Column) -> Column:
+    """The note with its spans (structs of start and stop, from 0, not crossing) replaced by texts, from the back."""
+    edits = F.array_sort(F.arrays_zip(where.alias("w"), texts.alias("t")), lambda a, b: b["w"]["start"] - a["w"]["start"])
+    put = lambda text, e: F.overlay(text, e["t"], e["w"]["start"] + 1, e["w"]["stop"] - e["w"]["start"])
+    return F.aggregate(edits, note, put)
 
 
-@F.pandas_udf(T.StringType())
-def redact_first(prompt: pd.Series, pattern: pd.Series) -> pd.Series:
-    """Prompts with the first match of their pattern hidden; NULL where it does not occur."""
-    done = [re.subn(p, "[redacted]", t, count=1) for t, p in zip(prompt, pattern)]
-    return pd.Series([t if n else None for t, n in done])
+def redact_first(prompt: Column, pattern: str, hidden: str = "[redacted]") -> Column:
+    """The prompt with the first match of a pattern hidden; NULL where it does not occur."""
+    found = F.regexp_extract(prompt, pattern, 0)
+    return F.when(prompt.rlike(pattern), F.overlay(prompt, F.lit(hidden), F.regexp_instr(prompt, F.lit(pattern)), F.length(found)))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
@@ -86,61 +114,31 @@ def compat_round(x: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([None if v != v else round(v, int(p)) for v, p in zip(x, places)])
 
 
-def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    from math import exp, lgamma, log
-
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - beta_cdf(1 - x, b, a)
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)) / a
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or 1e-300)
-    f = d
-    for m in range(1, 500):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + num * d) or 1e-300)
-            c = (1 + num / c) or 1e-300
-            f *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * f
-
-
-def binomial_upper(k: int, n: int, delta: float) -> float:
-    """One-sided exact upper limit of a rate with k failures in n trials."""
-    if n <= 0 or k >= n:
-        return 1.0
-    lo, hi = 0.0, 1.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if beta_cdf(mid, k + 1, n - k) < 1 - delta else (lo, mid)
-    return (lo + hi) / 2
-
-
-@F.pandas_udf(T.DoubleType())
-def upper_limit(k: pd.Series, n: pd.Series, delta: pd.Series) -> pd.Series:
-    return pd.Series([binomial_upper(int(a), int(b), float(c)) for a, b, c in zip(k, n, delta)])
-
-
 class AdaptiveThreshold:
-    """The state of an adaptive abstention threshold: level, and finite uncertainties seen.
+    """The state of an adaptive abstention threshold: level, and finite uncertainties seen, in ascending order.
 
     Until ``warmup`` values are seen everything is answered. An abstained item counts as
-    no error; the level moves by gamma times target less error, within [1e-4, 0.999].
+    no error; the level moves by gamma times target less error, within [1e-4, 0.999]. The
+    threshold is a quantile of what was seen, interpolated between neighbours.
     """
 
     def __init__(self, alpha: float = 0.1, gamma: float = 0.05, warmup: int = 8, level: float | None = None, seen: list[float] | None = None):
         self.alpha, self.gamma, self.warmup = alpha, gamma, warmup
         self.level, self.seen = alpha if level is None else level, list(seen or [])
 
+    def _quantile(self, q: float) -> float:
+        at = q * (len(self.seen) - 1)
+        low = int(at)
+        a, b = self.seen[low], self.seen[min(low + 1, len(self.seen) - 1)]
+        t = at - low
+        return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
+
     def step(self, u: float, ok: bool) -> tuple[float, bool, bool, float]:
         """tau, retained, error and the level that applied."""
-        tau = float("inf") if len(self.seen) < self.warmup else float(np.quantile(self.seen, min(max(1 - self.level, 0), 1)))
+        tau = float("inf") if len(self.seen) < self.warmup else self._quantile(min(max(1 - self.level, 0), 1))
         keep, used = u <= tau, self.level
         error = keep and not ok
-        self.level = float(np.clip(self.level + self.gamma * (self.alpha - float(error)), 1e-4, 0.999))
-        if np.isfinite(u):
-            self.seen.append(float(u))
+        self.level = min(max(self.level + self.gamma * (self.alpha - float(error)), 1e-4), 0.999)
+        if math.isfinite(u):
+            insort(self.seen, float(u))
         return tau, bool(keep), bool(error), used

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterlens.functions import clinical as C
+from counterlens.operators import conformal
 
 RULES = [
     # family, order, item, convert, op, threshold, held_out, provenance
@@ -120,3 +121,20 @@ def predictions(item_table: DataFrame) -> DataFrame:
     x = x.withColumn("abstained", F.coalesce(defer, F.lit(False)))
     raw = F.when(F.col("own").isNull(), "I cannot tell from this.").when(F.col("own") == "SAFE", "Answer: safe, the value is within range.").otherwise(F.when(h1 % 2 == 0, "It is NOT SAFE here.").otherwise("Unsafe: the threshold is crossed."))
     return x.withColumn("raw", raw).withColumn("correct", F.coalesce(~F.col("abstained") & (F.col("pred") == F.col("label")), F.lit(False)))
+
+
+def run_variants(answers: DataFrame, alpha: float = 0.1, delta: float = 0.1) -> DataFrame:
+    """Every variant as it runs: calibrated on the split ``calib``, then applied to all rows.
+
+    ``answers`` has variant, split, uq, gate_fired, pred, label, u. Variants with an
+    uncertainty stage take the threshold of their own open calibration rows, scored by the
+    answer that they give there; they defer an open row without an answer, without a
+    score, or with one above it. tau is NULL for the others.
+    """
+    open_ = ~F.col("gate_fired")
+    pool = conformal.pool(answers.where("uq AND split = 'calib'"), ["variant"], open_).withColumn("ok", F.coalesce(F.col("pred") == F.col("label"), F.lit(False)))
+    taus = conformal.calibrate(pool, ["variant"], alpha, delta).select("variant", "tau")
+    run = answers.drop("abstained", "correct").join(F.broadcast(taus), "variant", "left")
+    defer = F.col("uq") & open_ & (F.col("pred").isNull() | F.col("u").isNull() | ~F.coalesce(F.col("u") <= F.col("tau"), F.lit(False)))
+    run = run.withColumn("abstained", defer)
+    return run.withColumn("correct", F.coalesce(~F.col("abstained") & (F.col("pred") == F.col("label")), F.lit(False)))

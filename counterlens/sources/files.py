@@ -10,6 +10,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType, strict: bool = True) -> DataFrame:
     """JSON lines under an explicit schema. Strict fails at a bad line; otherwise bad lines are kept in ``_corrupt``."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -35,6 +42,14 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
     return spark.read.schema(loose).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def bad_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """file, line (from 1) and text of non-blank lines that are no JSON of the schema. Each file is held whole while it is read."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text")).where(F.trim("text") != "")
+    kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.where(F.coalesce(parsed["_corrupt"].isNotNull(), F.lit(True))).select("file", (F.col("at") + 1).alias("line"), "text")
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, multiline: bool = False) -> DataFrame:
     """Headed CSV, plain or gzipped; several paths are concatenated. Gzip cannot be split, so its rows are dealt anew."""
     out = spark.read.schema(schema).option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
@@ -64,12 +79,29 @@ def read_arrays(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, schema)
 
 
+def write_arrays(df: DataFrame, path: str, key: str, vector: str) -> DataFrame:
+    """npz files with arrays ``ids`` and ``w``, one of each batch, in a folder that all executors share; returns their names and sizes.
+
+    Files of repeated attempts have names of their own; read those that the result names.
+    """
+
+    def run(batches):
+        for batch in batches:
+            fs, folder = pafs.FileSystem.from_uri(path)
+            fs.create_dir(folder, recursive=True)
+            held, name = io.BytesIO(), f"part-{uuid.uuid4().hex}.npz"
+            np.savez(held, ids=batch.column(key).to_numpy(zero_copy_only=False), w=np.array(batch.column(vector).to_pylist(), float))
+            with fs.open_output_stream(f"{folder}/{name}") as f:
+                f.write(held.getvalue())
+            yield pa.record_batch([pa.array([f"{path}/{name}"]), pa.array([batch.num_rows], pa.int64())], names=["file", "n"])
+
+    return df.select(key, vector).mapInArrow(run, "file string, n long")
+
+
 def read_artifact(spark: SparkSession, paths: list[str], required: bool = True) -> DataFrame | None:
     """The first of several JSON artifacts that exists, one row as text; None if optional and absent."""
-    jvm = spark._jvm
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        if exists(spark, path):
             return spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("body"))
     if required:
         raise FileNotFoundError(paths)
@@ -106,8 +138,10 @@ def merge_summary(old: DataFrame, new: DataFrame, keys: list[str], mock: Column
 
 
 def report(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a markdown table."""
-    rows = df.limit(limit).collect()
+    """A small result as a markdown table; a result of more than ``limit`` rows is an error, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows for a report")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if x is None else str(x) for x in r) + " |" for r in rows])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,17 +32,17 @@ def adaptive_batch(items: DataFrame) -> DataFrame:
 
 
 def adaptive_stream(items: DataFrame) -> DataFrame:
-    """The same over a stream: level and seen values live in the state of each key."""
+    """The same over a stream: level and seen values live in the state of each key. Each batch is put in order; batches must come in order."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, seen = state.get if state.exists else (None, "[]")
-        fold = AdaptiveThreshold(level=level, seen=json.loads(seen))
+        level, seen = state.get if state.exists else (None, b"")
+        fold = AdaptiveThreshold(level=level, seen=np.frombuffer(seen).tolist())
         rows = pd.concat(list(batches))
         out = _rows(key[0], rows, fold)
-        state.update((fold.level, json.dumps(fold.seen)))
+        state.update((fold.level, np.array(fold.seen).tobytes()))
         yield out
 
-    return items.groupBy("stream").applyInPandasWithState(run, FOLDED, "level double, seen string", "append", GroupStateTimeout.NoTimeout)
+    return items.groupBy("stream").applyInPandasWithState(run, FOLDED, "level double, seen binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def coverage_monitor(decisions: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -64,11 +64,3 @@ def once_per_batch(path: str, key: str = "batch"):
         df.write.mode("overwrite").parquet(f"{path}/{key}={number}")
 
     return write
-
-
-def within_budget(items: DataFrame, size: str, order: str, budget: int) -> DataFrame:
-    """Rows in order, by stream, until their sizes pass the budget."""
-    from pyspark.sql import Window
-
-    running = F.sum(size).over(Window.partitionBy("stream").orderBy(order))
-    return items.withColumn("running", running).where(F.col("running") <= budget)
