@@ -19,11 +19,7 @@ plan("a35_layer_effect", f"WITH {EFFECTS} SELECT layer, round(avg(delta), 9) AS
 DOSE = f"{EFFECTS}, cell AS (SELECT layer, alpha, round(avg(delta), 9) AS m FROM eff GROUP BY layer, alpha), step AS (SELECT layer, alpha, m, m - lag(m) OVER (PARTITION BY layer ORDER BY alpha) AS d FROM cell)"
 plan("a36_dose_response", f"WITH {DOSE} SELECT layer, round(max(m) - min(m), 6) AS swing, coalesce(bool_and(d >= 0) OR bool_and(d <= 0), TRUE) AS monotone FROM step GROUP BY layer")
 plan("a37_best_cell", f"WITH {DOSE}, r AS (SELECT *, row_number() OVER (ORDER BY abs(m) DESC, layer, alpha) AS rn, lead(abs(m)) OVER (PARTITION BY layer, alpha > 0 ORDER BY abs(alpha)) AS after FROM step) SELECT layer, alpha, m, after FROM r WHERE rn = 1")
-plan("a38_concept_jaccard", "WITH s AS (SELECT DISTINCT source, lang || CAST(n_chars / 1000 - n_chars % 1000 / 1000e0 AS STRING) AS c FROM documents), n AS (SELECT source, count(*) AS n FROM s GROUP BY source), b AS (SELECT a.source AS x, b.source AS y, count(*) AS k FROM s a JOIN s b ON a.c = b.c AND a.source < b.source GROUP BY a.source, b.source) SELECT x, y, round(CAST(k AS DOUBLE) / (p.n + q.n - k), 9) AS jaccard, p.n - k AS only_x FROM b JOIN n p ON p.source = x JOIN n q ON q.source = y".replace("CAST(n_chars / 1000 - n_chars % 1000 / 1000e0 AS STRING)", "CAST((n_chars - n_chars % 1000) AS STRING)"))
-plan("a39_graph_coverage", f"WITH {GRAPH} SELECT r.family, CASE WHEN bool_or(e.provenance = 'umls') THEN 'attested' WHEN count(e.src) > 0 THEN 'curated' ELSE 'absent' END AS state FROM rules r LEFT JOIN edges e ON e.dst = r.family AND e.rel <> 'measures' GROUP BY r.family")
-plan("a40_aopc", f"WITH {EFFECTS} SELECT layer, round(avg(comp), 9) AS aopc FROM (SELECT pair_id, layer, avg(abs(delta)) AS comp FROM eff GROUP BY pair_id, layer) AS x GROUP BY layer")
 plan("a41_edit_percentile", "SELECT arm, round(avg(place / nullif(n - 1, 0)), 9) AS percentile FROM (SELECT arm, row_number() OVER (PARTITION BY family ORDER BY factor_value, item_no) - 1e0 AS place, count(*) OVER (PARTITION BY family) AS n FROM items) AS x GROUP BY arm")
-plan("a42_pointing", f"WITH {ACT}, top AS (SELECT event_id, concept, max_by(feature, x * 1000 - feature) AS feature FROM act GROUP BY event_id, concept), best AS (SELECT feature, concept FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(f1, 12) DESC, concept) AS rn FROM f1) AS y WHERE rn = 1) SELECT t.concept, count(*) AS n, round({rate('b.concept = t.concept')}, 9) AS accuracy FROM top t JOIN best b ON b.feature = t.feature GROUP BY t.concept")
 plan("a43_drop_counters", "SELECT family, CASE WHEN q < 2 THEN 'low' WHEN q > 200 THEN 'high' ELSE 'kept' END AS reason, count(*) AS n FROM facts GROUP BY 1, 2")
 plan("a44_index_quantile", "SELECT family, q AS p90 FROM (SELECT family, q, row_number() OVER (PARTITION BY family ORDER BY q) AS rn, count(*) OVER (PARTITION BY family) AS n FROM facts) AS x WHERE rn = CAST(floor(0.9e0 * (n - 1)) AS BIGINT) + 1")
 # three raters over labelled documents; one rating in eleven is missing
@@ -33,20 +29,6 @@ COINC = f"""{RATINGS}, cnt AS (SELECT doc_id, value, count(*) AS n FROM ratings
 plan("a45_krippendorff_nominal", f"WITH {COINC} SELECT round(1e0 - (SELECT sum(CASE WHEN x <> y THEN o ELSE 0e0 END) FROM coin) / (SELECT t FROM tot) / ((SELECT sum(CASE WHEN a.value <> b.value THEN a.n * b.n ELSE 0e0 END) FROM nc a CROSS JOIN nc b) / ((SELECT t FROM tot) * ((SELECT t FROM tot) - 1))), 9) AS alpha")
 plan("a45_krippendorff_ordinal", f"WITH {COINC}, dist AS (SELECT a.value AS x, b.value AS y, a.n * b.n AS nn, pow(abs(b.c - a.c) - abs(b.n - a.n) / 2e0 * CASE WHEN (b.c - a.c) * (b.n - a.n) > 0 THEN 1 ELSE -1 END, 2e0) AS d FROM cum a CROSS JOIN cum b WHERE a.value <> b.value) SELECT round(1e0 - ((SELECT sum(c.o * d.d) FROM coin c JOIN dist d ON d.x = c.x AND d.y = c.y) / (SELECT t FROM tot)) / ((SELECT sum(nn * d) FROM dist) / ((SELECT t FROM tot) * ((SELECT t FROM tot) - 1))), 9) AS alpha")
 plan("a46_fleiss_kappa", f"WITH {COINC}, p AS (SELECT c.doc_id, CAST(sum(c.n * (c.n - 1)) AS DOUBLE) / (max(u.m) * (max(u.m) - 1)) AS p FROM cnt c JOIN unit u ON u.doc_id = c.doc_id GROUP BY c.doc_id), q AS (SELECT c.value, CAST(sum(c.n) AS DOUBLE) / (SELECT sum(m) FROM unit) AS pj FROM cnt c JOIN unit u ON u.doc_id = c.doc_id GROUP BY c.value) SELECT round(((SELECT avg(p) FROM p) - (SELECT sum(pj * pj) FROM q)) / (1e0 - (SELECT sum(pj * pj) FROM q)), 9) AS kappa")
-plan("a47_intra_rater", f"WITH {RATINGS}, k AS (SELECT rater, CAST(doc_id AS STRING) || CASE WHEN doc_id % 2 = 0 THEN 'R' ELSE '' END AS key, value FROM ratings WHERE doc_id % 10 < 2), b AS (SELECT rater, CAST(doc_id - doc_id % 2 AS STRING) AS base, min(value) AS lo, max(value) AS hi, count(value) AS n FROM ratings WHERE doc_id % 10 < 2 GROUP BY rater, CAST(doc_id - doc_id % 2 AS STRING)) SELECT b.rater, count(*) AS repeats, round({rate('lo = hi')}, 9) AS agreement, {rate('lo = hi')} < 0.3e0 AS trigger_hit FROM b WHERE n = 2 GROUP BY b.rater")
 plan("a48_contraction", f"WITH {EFFECTS} SELECT round(1e0 - sum(CASE WHEN alpha = 0.5e0 THEN greatest(delta, 0e0) ELSE 0e0 END) / sum(CASE WHEN alpha = 1e0 THEN greatest(delta, 0e0) ELSE 0e0 END), 9) AS contraction FROM eff")
-plan("a49_answer_census", f"SELECT variant, round({rate('own IS NULL')}, 9) AS non_answer, round(avg(CASE WHEN own IS NOT NULL AND logit_margin IS NOT NULL THEN CASE WHEN (logit_margin > 0) = (own = 'SAFE') THEN 1e0 ELSE 0e0 END END), 9) AS sign_agreement, count_if(u IS NULL AND logit_margin IS NOT NULL) AS lost FROM preds GROUP BY variant")
-plan("a50_concept_hits", lambda d: f"SELECT lang, CAST(sum({d.length(d.extract_all('lower(text)', '\\bthe\\b'))}) AS BIGINT) AS narrow, CAST(sum({d.length(d.extract_all('lower(text)', '\\b(the|and|of)\\b'))}) AS BIGINT) AS wide FROM documents GROUP BY lang")
 plan("a51_pivot_delta", f"WITH m AS (SELECT variant, v, {rate('correct')} AS acc, {rate('NOT abstained')} AS cov FROM preds GROUP BY variant, v) SELECT m.variant, round(m.acc, 9) AS acc, round(m.cov, 9) AS cov, round(m.acc - b.acc, 9) AS d_acc, round(m.cov - b.cov, 9) AS d_cov FROM m JOIN m b ON b.variant = 'base'")
 plan("a51_segment_pivot", "SELECT l_returnflag, round(sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0e0 END), 2) AS open_qty, round(sum(CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0e0 END), 2) AS done_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag")
-plan("a52_perplexity", "SELECT lang, round(exp(sum(nll * len) / sum(len)), 6) AS ppl FROM (SELECT lang, n_chars AS len, 1e0 + (doc_id % 100) / 100e0 AS nll FROM documents) AS x GROUP BY lang")
-plan("a53_signed_best", f"WITH {DOSE} SELECT alpha > 0 AS positive, max(abs(m)) AS best, max_by(layer, abs(m) * 1000 - layer) AS layer, count_if(d > 0) AS rising FROM step GROUP BY alpha > 0")
-plan("a54_provenance_rollup", "SELECT r.family, s.place, r.provenance = 'attested' AS attested FROM rules r JOIN (VALUES ('attested', 0), ('assumed', 1), ('unattested', 2)) AS s(status, place) ON s.status = r.provenance ORDER BY s.place, r.family")
-plan("j16_dictionary_match", lambda d: f"WITH s AS (SELECT a.vec_id AS x, b.vec_id AS y, round(abs({d.dot('a.embedding', 'b.embedding')}), 6) AS c FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label = 1) SELECT x, y, c FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS rn FROM s) AS t WHERE rn = 1")
-plan("j19_edge_preference", f"WITH {GRAPH} SELECT src, dst, rel, provenance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE provenance WHEN 'umls' THEN 0 ELSE 1 END, dst, rel) AS rn FROM edges) AS x WHERE rn = 1")
-plan("g01_graph_build", f"WITH {GRAPH} SELECT kind, name FROM (SELECT 'item' AS kind, src AS name FROM edges UNION SELECT 'family', dst FROM edges) AS x")
-plan("g02_contraindications", f"WITH {GRAPH} SELECT src, dst, min(CASE provenance WHEN 'umls' THEN 0 ELSE 1 END) AS priority FROM edges WHERE rel <> 'measures' GROUP BY src, dst")
-plan("g03_mechanisms", f"WITH {GRAPH} SELECT e.src, m.dst, e.rel FROM edges e JOIN edges m ON m.src = e.src AND m.rel = 'measures' WHERE e.rel <> 'measures'")
-plan("g04_attestation", f"WITH {GRAPH} SELECT round({rate('u')}, 9) AS fraction FROM (SELECT r.family, bool_or(coalesce(e.provenance = 'umls', FALSE)) AS u FROM rules r LEFT JOIN edges e ON e.dst = r.family GROUP BY r.family) AS x")
-plan("g05_layered_build", f"WITH {GRAPH} SELECT src, dst, rel, count(*) AS sources, max(provenance) AS strongest FROM edges GROUP BY src, dst, rel")
-plan("g06_round_trip", f"WITH {GRAPH} SELECT src || '|' || dst || '|' || rel || '|' || provenance AS line FROM edges")

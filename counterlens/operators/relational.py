@@ -10,7 +10,6 @@ plan("s04_filtered_scan", "SELECT sid, event_id, value FROM labs WHERE item = 'v
 plan("s05_shared_scan", "SELECT family, count(*) AS n, round(min(q), 6) AS lo, round(max(q), 6) AS hi, count(DISTINCT sid) AS n_patients FROM facts GROUP BY family")
 plan("s06_pushdown_projection", lambda d: f"SELECT user_id AS subject_id, event_type AS itemid, {d.stamp('ts')} AS charttime, value AS valuenum FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL")
 plan("s07_key_lookup", "SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)")
-plan("s08_concat", "SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT lang FROM documents WHERE doc_id % 2 = 1) AS x GROUP BY lang")
 plan("s11_adapters", "SELECT 'conv' AS source, CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, text AS prompt FROM conversations UNION ALL SELECT 'bench', CAST(item_id AS STRING), text FROM benchmark")
 plan("s21_build_metadata", "SELECT split, count(*) AS n, count(DISTINCT sid) AS n_patients, count(DISTINCT pair_id) AS n_pairs FROM items GROUP BY split")
 plan("s22_corpus", lambda d: f"SELECT 'guideline::' || family AS id, 'Threshold for ' || family AS text FROM rules UNION ALL SELECT 'label::' || CAST(item_id AS STRING), substr(trim({d.replace_all('text', '[ \\t\\r\\n]+', ' ')}), 1, 1200) FROM benchmark WHERE length(text) >= 80")
@@ -28,9 +27,7 @@ plan("p09_option_swap", "SELECT id, replace(prompt, 'Is it safe', 'Is it unsafe
 plan("p11_adapt", "SELECT id || '__note' AS id, pair_id || '__note' AS pair_id, 'note' AS presentation, label FROM items WHERE split = 'test'")
 plan("p12_case_views", "SELECT variant, count_if(gate_fired) AS fired, count_if(NOT gate_fired) AS governed, count_if(NOT abstained) AS answered, count_if(pred IS NOT NULL) AS parsed FROM preds GROUP BY variant")
 plan("p13_default_missing", "SELECT family, count_if(coalesce(CASE WHEN arm = 'safe' THEN NULL ELSE is_control END, FALSE)) AS controls FROM items GROUP BY family")
-plan("p14_justification", lambda d: f"WITH j AS (SELECT id, variant, trim({d.replace_all('raw', '^(Answer: safe, |Unsafe: )', '')}) AS why FROM preds WHERE variant = 'base') SELECT id, why FROM j WHERE {d.length(d.split('why', ' '))} >= 5")
 plan("p15_variant_flags", "SELECT i.id, v.variant, v.rag, v.gate, v.uq, v.cl FROM items i CROSS JOIN variants v WHERE i.split = 'calib'")
-plan("p16_provenance", "SELECT family, CASE WHEN provenance = 'attested' THEN 'matched' WHEN held_out THEN 'unmeasurable' WHEN threshold > 100 THEN 'mostly curated' ELSE 'lexical' END AS state FROM rules")
 # ---- joins
 plan("j01_fact_dimension", "SELECT l.event_id, coalesce(p.age, -1) AS age, p.sex, CASE WHEN p.sid IS NULL THEN 'no_demographics' END AS reason FROM labs l LEFT JOIN (SELECT * FROM patients WHERE sid % 7 <> 0) AS p ON p.sid = l.sid")
 plan("j02_events_rules", "SELECT r.family, count(*) AS n FROM labs l JOIN rules r ON r.item = l.item GROUP BY r.family")
@@ -39,11 +36,6 @@ plan("j04_pair_assembly", "SELECT variant, pair_id, max(CASE WHEN arm IN ('unsaf
 plan("j05_aligned_variants", "SELECT a.id, a.correct AS base_ok, b.correct AS all_ok FROM preds a JOIN preds b ON a.id = b.id AND b.variant = 'nsai_uq_cl' WHERE a.variant = 'base'")
 plan("j06_base_on_fired", f"SELECT g.variant, g.gate_fired, count(*) AS n, round({rate('b.correct')}, 9) AS base_accuracy, round({rate('g.correct')}, 9) AS accuracy FROM preds g JOIN preds b ON b.id = g.id AND b.variant = 'base' WHERE g.gate GROUP BY g.variant, g.gate_fired")
 plan("j07_before_after", "SELECT b.family, count(*) AS n, count_if(NOT (a.pred IS NOT DISTINCT FROM b.pred)) AS changed, count_if(a.correct AND NOT b.correct) AS broke, count_if(b.correct AND NOT a.correct) AS fixed FROM preds a JOIN preds b ON a.id = b.id AND b.variant = 'rag' WHERE a.variant = 'base' GROUP BY b.family")
-plan(
-    "j08_anti_joins",
-    """WITH p AS (SELECT id FROM preds WHERE variant = 'base' AND h2 % 13 <> 0 UNION ALL SELECT id || 'x' FROM items WHERE item_no % 30 = 0) SELECT 'missing' AS kind, count(*) AS n FROM items i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = i.id)
-  UNION ALL SELECT 'extra', count(*) FROM p WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.id = p.id) UNION ALL SELECT 'repeated', count(*) - count(DISTINCT id) FROM p""",
-)
 plan("j09_split_leakage", "WITH d AS (SELECT DISTINCT text, doc_id % 4 AS split FROM documents) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM d a JOIN d b ON a.text = b.text AND a.split < b.split GROUP BY a.split, b.split")
 plan("j10_prompt_overlap", "SELECT i.split, count(DISTINCT i.prompt) AS shared FROM items i WHERE i.split <> 'train' AND EXISTS (SELECT 1 FROM items t WHERE t.split = 'train' AND t.prompt = i.prompt) GROUP BY i.split")
 plan("j11_exclusion", "SELECT family, count(*) AS n FROM items i WHERE NOT i.held_out AND NOT EXISTS (SELECT 1 FROM items h WHERE h.held_out AND h.sid = i.sid) GROUP BY family")
@@ -57,24 +49,13 @@ plan("j14_nearest_usable", lambda d: f"WITH {NEAREST.replace('{sec}', d.seconds(
 plan("j17_matched_controls", """WITH f AS (SELECT event_type || '_' || CAST(user_id % 20 AS STRING) AS feature, count(*) AS n FROM events GROUP BY 1), c AS (SELECT a.feature, b.feature AS control, row_number() OVER (PARTITION BY a.feature ORDER BY round(abs(ln(CAST(a.n AS DOUBLE)) - ln(CAST(b.n AS DOUBLE))), 12), b.feature) AS rn
   FROM f a JOIN f b ON a.feature <> b.feature AND b.n BETWEEN a.n / 4 AND a.n * 4) SELECT feature, control, CAST(rn AS BIGINT) AS place FROM c WHERE rn <= 5""")
 plan("j18_span_overlap", "WITH t AS (SELECT conv_id, turn, turn * 10 AS s, turn * 10 + 8 AS e FROM conversations), c AS (SELECT conv_id, 5 + conv_id % 20 AS a, 15 + conv_id % 20 AS b FROM conversations GROUP BY conv_id) SELECT t.conv_id, t.turn FROM t JOIN c ON c.conv_id = t.conv_id WHERE t.e > c.a AND t.s < c.b AND t.e > t.s")
-plan("j20_set_overlap", "WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 5 = 0), b AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 5 = 1) SELECT a.source AS left_source, b.source AS right_source, count(*) AS shared FROM a JOIN b ON a.lang = b.lang GROUP BY a.source, b.source")
-plan("j21_containment", "WITH f AS (SELECT prompt, family FROM items WHERE split = 'calib'), w AS (SELECT family, 'on ' || family AS piece FROM rules) SELECT f.family, count(*) AS n FROM f JOIN w ON w.family = f.family AND (instr(f.prompt, w.piece) > 0 OR instr(w.piece, f.prompt) > 0) GROUP BY f.family")
-plan(
-    "j22_artifact_diff",
-    f"""WITH o AS (SELECT family, round({rate('correct')}, 6) AS m FROM preds WHERE variant = 'base' AND family <> 'held' GROUP BY family), n AS (SELECT family, round({rate('correct')}, 6) AS m FROM preds WHERE variant = 'rag' AND family <> 'high' GROUP BY family)
-  SELECT coalesce(o.family, n.family) AS family, CASE WHEN o.m IS NULL THEN 'new' WHEN n.m IS NULL THEN 'missing' WHEN abs(o.m - n.m) < 1e-9 THEN 'identical' ELSE 'changed' END AS status, round(n.m - o.m, 6) AS delta FROM o FULL OUTER JOIN n ON n.family = o.family""",
-)
 plan("j23_control_follows", "SELECT c.pair_id, p.pair_id AS causal FROM (SELECT DISTINCT pair_id, substr(pair_id, 1, length(pair_id) - 6) AS base FROM items WHERE is_control) AS c JOIN (SELECT DISTINCT pair_id FROM items WHERE NOT is_control) AS p ON p.pair_id = c.base")
-plan("j24_moved_rows", f"WITH a AS (SELECT v % 3 AS layer, family, round({rate('correct')}, 6) AS m, count(*) AS used FROM preds WHERE v < 4 GROUP BY v % 3, family), b AS (SELECT v % 3 AS layer, family, round({rate('correct')}, 6) AS m, count(*) AS used FROM preds WHERE v < 3 GROUP BY v % 3, family) SELECT a.layer, a.family, a.used = b.used AS comparable FROM a JOIN b ON a.layer = b.layer AND a.family = b.family WHERE abs(a.m - b.m) > 1e-9 AND a.layer < 2")
 # ---- order, sampling, splitting
 plan("o01_top_k_retrieval", lambda d: f"WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, round({d.dot('q.embedding', 'c.embedding')}, 6) AS sim FROM q CROSS JOIN embeddings c) SELECT query_id, vec_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) AS rn FROM s) AS x WHERE rn <= 3")
 plan("o02_top_features", "SELECT source, n FROM (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rn FROM documents GROUP BY source) AS x WHERE rn <= 5")
 plan("o03_display_order", "SELECT p.variant, count(*) AS n, min(v.v) AS place FROM preds p JOIN variants v ON v.variant = p.variant GROUP BY p.variant ORDER BY place")
-plan("o04_patient_split", "WITH h AS (SELECT sid, row_number() OVER (ORDER BY (sid * 2654435761) % 1000003, sid) AS rn, count(*) OVER () AS n FROM patients) SELECT sid, CASE WHEN rn <= greatest(1, CAST(floor(n * 0.5e0) AS BIGINT)) THEN 'test' WHEN rn <= CAST(floor(n * 0.7e0) AS BIGINT) THEN 'calib' ELSE 'train' END AS split FROM h")
-plan("o05_pair_split", "WITH h AS (SELECT pair_id, held_out, row_number() OVER (PARTITION BY held_out ORDER BY (no * CASE WHEN held_out THEN 40503 ELSE 97531 END) % 1000003, pair_id) AS rn, count(*) OVER (PARTITION BY held_out) AS n FROM (SELECT pair_id, held_out, min(item_no) AS no FROM items WHERE NOT is_control GROUP BY pair_id, held_out) AS x) SELECT pair_id, CASE WHEN rn * 10 <= n * 5 THEN 'test' WHEN rn * 10 <= n * 7 THEN 'calib' ELSE 'train' END AS split FROM h")
 plan("o06_pair_sample", "SELECT split, pair_id FROM (SELECT split, pair_id, row_number() OVER (PARTITION BY split ORDER BY (min(item_no) * 2654435761) % 1000003, pair_id) AS rn FROM items WHERE NOT is_control GROUP BY split, pair_id) AS x WHERE rn <= 10")
 plan("o07_stratified", "SELECT stratum, id FROM (SELECT CASE WHEN abstained THEN 'deferral' WHEN label = 'UNSAFE' AND pred = 'SAFE' THEN 'violation' ELSE 'other' END AS stratum, id, row_number() OVER (PARTITION BY CASE WHEN abstained THEN 'deferral' WHEN label = 'UNSAFE' AND pred = 'SAFE' THEN 'violation' ELSE 'other' END ORDER BY h1, id) AS rn FROM preds WHERE variant = 'uq') AS x WHERE rn <= CASE stratum WHEN 'other' THEN 4 ELSE 3 END")
-plan("o08_repeats_and_order", lambda d: f"SELECT r.rater, i.id, {d.sha('r.rater || i.id')} AS place, i.item_no % 20 = 0 AS repeated FROM items i CROSS JOIN (VALUES ('a'), ('b')) AS r(rater) WHERE i.split = 'calib'")
 plan("o09_blinded_key", lambda d: f"SELECT id, 'IT' || upper(substr({d.sha("id || '||' || family")}, 1, 10)) AS blinded FROM items")
 plan("o10_refill", "SELECT family, pair_id FROM (SELECT family, pair_id, row_number() OVER (PARTITION BY family ORDER BY (min(item_no) * 31) % 1009, pair_id) AS rn FROM items WHERE factor_value > 20 GROUP BY family, pair_id HAVING count(*) = 2) AS x WHERE rn <= 12")
 plan("o11_background_sample", "SELECT doc_id, item_no FROM (SELECT sid AS doc_id, event_id AS item_no, row_number() OVER (PARTITION BY sid ORDER BY (event_id * 2654435761) % 1000003, event_id) AS rn FROM labs WHERE item <> 'view') AS x WHERE rn <= 8")
@@ -88,7 +69,6 @@ plan("t05_upsert", "WITH old AS (SELECT variant, 0 AS seed, count(*) AS n FROM p
 plan("t06_edge_dedup", "SELECT DISTINCT item AS src, family AS dst, op AS rel, provenance FROM rules")
 # ---- execution
 plan("x01_dedup_fanout", "WITH d AS (SELECT prompt, CAST(length(prompt) % 7 AS BIGINT) AS answer FROM (SELECT DISTINCT prompt FROM items) AS x) SELECT i.id, d.answer FROM items i JOIN d ON d.prompt = i.prompt")
-plan("x02_variant_run", "SELECT variant, id, pred, abstained, gate_fired FROM preds WHERE split = 'test'")
 plan("x04_stub_backends", f"WITH s AS (SELECT b.backend, i.pair_id, i.label, CASE b.backend WHEN 'oracle' THEN i.label WHEN 'inverted' THEN CASE WHEN i.label = 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END WHEN 'coin' THEN CASE WHEN i.item_no * 2654435761 % 1000003 % 2 = 0 THEN 'SAFE' ELSE 'UNSAFE' END ELSE CASE WHEN i.item_no * 2654435761 % 1000003 % 10 < 6 THEN i.label ELSE 'SAFE' END END AS pred FROM items i CROSS JOIN (VALUES ('oracle'), ('inverted'), ('coin'), ('sixty')) AS b(backend)) SELECT backend, round({rate('pred = label')}, 9) AS accuracy FROM s GROUP BY backend")
 # ---- time
 plan("d01_parse_time", lambda d: f"SELECT event_id, {d.parse_stamp(d.stamp('ts'))} AS parsed FROM events")

@@ -23,11 +23,6 @@ plan(
     f"""WITH {PAIRS}, r AS (SELECT variant, avg(CASE WHEN NOT ctrl AND answered THEN CASE WHEN flipped THEN 1e0 ELSE 0e0 END END) AS cf,
   avg(CASE WHEN ctrl AND answered THEN CASE WHEN flipped THEN 1e0 ELSE 0e0 END END) AS sf FROM pairs GROUP BY variant) SELECT variant, round(cf - sf, 9) AS discrimination FROM r""",
 )
-plan(
-    "a09_own_answer_accuracy",
-    lambda d: f"""WITH p AS (SELECT variant, label, upper({d.extract('raw', '(?i)\\b(UNSAFE|NOT SAFE|CONTRAINDICATED|SAFE)\\b', 1)}) AS w FROM preds)
-  SELECT variant, round({rate("CASE WHEN w = '' THEN NULL WHEN w = 'SAFE' THEN 'SAFE' ELSE 'UNSAFE' END = label")}, 9) AS own_accuracy FROM p GROUP BY variant""",
-)
 GROUPS = """g AS (SELECT variant, 'family' AS attribute, family AS grp, label, pred, abstained FROM preds UNION ALL SELECT variant, 'label', label, label, pred, abstained FROM preds
   UNION ALL SELECT variant, 'presentation', presentation, label, pred, abstained FROM preds UNION ALL SELECT variant, 'gate_fired', CASE WHEN gate_fired THEN 'True' ELSE 'False' END, label, pred, abstained FROM preds)"""
 COVER = f"""{GROUPS}, c AS (SELECT variant, attribute, grp, count(*) AS n, {rate('NOT abstained')} AS coverage, avg(CASE WHEN NOT abstained THEN CASE WHEN pred = label THEN 1e0 ELSE 0e0 END END) AS selective_accuracy,
@@ -52,23 +47,11 @@ plan(
   SELECT variant, count(*) AS bins, round(sum(n * abs(ok - conf)) / sum(n), 9) AS ece FROM b GROUP BY variant""",
 )
 plan("a16_risk_coverage", f"WITH {CURVE} SELECT variant, CASE WHEN u < 1e300 THEN u END AS threshold, kept, round(coverage, 9) AS coverage, round(error, 9) AS error FROM curve")
-# with ties inside a distinct score in id order, prefix means need positions: sums over each block of ties are arithmetic only if blocks are uniform, so rows are ranked by variant
-plan(
-    "a17_aurc_prefixes",
-    """WITH r AS (SELECT variant, item_no, CASE WHEN own = label THEN 0e0 ELSE 1e0 END AS wrong, u FROM preds WHERE u IS NOT NULL AND split = 'test'),
-  m AS (SELECT variant, avg(wrong) OVER (PARTITION BY variant ORDER BY u, item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM r) SELECT variant, round(avg(risk), 9) AS aurc FROM m GROUP BY variant""",
-)
 plan(
     "a18_aurc_grid",
     f"""WITH {CURVE}, steps AS (SELECT variant, error, coverage, coalesce(lag(coverage) OVER (PARTITION BY variant ORDER BY coverage), 0e0) AS before FROM curve),
   weights AS (SELECT variant, error, CAST(floor(coverage * 1000 + 1e-9) AS BIGINT) - CAST(floor(before * 1000 + 1e-9) AS BIGINT) AS points FROM steps) SELECT variant, round(sum(error * points) / sum(points), 9) AS aurc FROM weights GROUP BY variant""",
 )
-plan(
-    "a19_fraction_grid",
-    """WITH r AS (SELECT variant, CASE WHEN own = label THEN 0e0 ELSE 1e0 END AS wrong, row_number() OVER (PARTITION BY variant ORDER BY u, item_no) AS rn, count(*) OVER (PARTITION BY variant) AS n FROM preds WHERE u IS NOT NULL AND split = 'test'),
-  f AS (SELECT variant, rn, n, avg(wrong) OVER (PARTITION BY variant ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM r), g AS (SELECT i + 1 AS tenth FROM range(0, 10) AS t(i))
-  SELECT f.variant, g.tenth, CAST(f.rn AS BIGINT) AS kept, round(f.risk, 9) AS risk FROM f JOIN g ON f.rn = greatest(1, CAST(floor(g.tenth * f.n / 10e0 + 0.5e0) AS BIGINT) - CASE WHEN (g.tenth * f.n) % 10 = 5 AND CAST(floor(g.tenth * f.n / 10e0) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END)""",
-)
 plan(
     "a20_operating_points",
     f"""WITH {CURVE}, t AS (SELECT * FROM (VALUES (1e0), (0.9e0), (0.75e0), (0.5e0), (0.25e0), (0.1e0), (0.05e0), (0.01e0)) AS x(target)), c AS (SELECT variant, target, u, coverage, error, kept, row_number() OVER (PARTITION BY variant, target ORDER BY round(abs(coverage - target), 12), u) AS rn FROM curve CROSS JOIN t)
@@ -77,7 +60,6 @@ plan(
 plan("a20_reach", f"WITH {CURVE} SELECT variant, round(min(CASE WHEN coverage >= 0.01e0 THEN error END), 9) AS floor_error, round(max(CASE WHEN error <= 0.3e0 THEN coverage END), 9) AS reach FROM curve GROUP BY variant")
 plan("a21_point_at_tau", f"WITH {CURVE} SELECT variant, max(u) AS threshold, max(kept) AS kept, round(max_by(error, u), 9) AS error FROM curve WHERE u <= 0.5e0 GROUP BY variant")
 plan("a22_distinct_prompts", "SELECT split, family, count(*) AS n, count(DISTINCT prompt) AS n_prompts, round(CAST(count(*) AS DOUBLE) / count(DISTINCT prompt), 9) AS ratio FROM items GROUP BY split, family")
-plan("a23_conflicts", "WITH c AS (SELECT prompt, min(family) AS family, count(*) AS n FROM items GROUP BY prompt HAVING count(DISTINCT label) > 1) SELECT family, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS n_items FROM c GROUP BY family")
 plan("a24_same_prompt_other_answer", "SELECT variant, count(*) AS prompts FROM (SELECT variant, prompt FROM preds GROUP BY variant, prompt HAVING count(DISTINCT coalesce(pred, '?')) > 1) AS x GROUP BY variant")
 plan("a25_representative_pair", "WITH k AS (SELECT pair_id, min(prompt) AS a, max(prompt) AS b FROM items GROUP BY pair_id HAVING count(*) = 2) SELECT a, b, min(pair_id) AS pair_id, count(*) AS pairs FROM k GROUP BY a, b")
 plan(
@@ -91,10 +73,3 @@ plan(
     f"""WITH {PAIRS}, s AS (SELECT variant, {rate('ok')} AS cc FROM pairs WHERE NOT ctrl GROUP BY variant), a AS (SELECT x.variant, CAST(count_if(x.correct AND y.correct) AS DOUBLE) / count(*) AS cc FROM preds x JOIN preds y ON x.variant = y.variant AND x.pair_id = y.pair_id AND x.arm = 'unsafe' AND y.arm = 'safe' GROUP BY x.variant)
   SELECT s.variant, abs(s.cc - a.cc) <= 1e-12 AS agrees FROM s JOIN a ON s.variant = a.variant""",
 )
-plan(
-    "a29_retrieval_hits",
-    lambda d: f"""WITH q AS (SELECT item_no, family, own = label AS ok, {d.array("'egfr30'", "'high'", "family", "'egfr45'")} AS ranked FROM preds WHERE variant = 'rag' AND item_no % 3 = 0 UNION ALL SELECT item_no, family, own = label, {d.array("'none'", "family", "'held'", "'high'")} FROM preds WHERE variant = 'rag' AND item_no % 3 <> 0),
-  p AS (SELECT q.family, q.ok, min(k.i) AS place FROM q JOIN range(1, 5) AS k(i) ON {d.item('q.ranked', 'k.i')} = q.family GROUP BY q.item_no, q.family, q.ok)
-  SELECT family, count(*) AS n, round({rate('place <= 1')}, 9) AS hit1, round({rate('place <= 2')}, 9) AS hit2, round({rate('place <= 3')}, 9) AS hit3, round(avg(CAST(place AS DOUBLE)), 9) AS mean_rank, round(avg(CASE WHEN place <= 2 THEN CASE WHEN ok THEN 1e0 ELSE 0e0 END END), 9) AS acc_hit FROM p GROUP BY family""",
-)
-plan("a30_gate_diagnostics", f"SELECT variant, family, count(*) AS n, round({rate('gate_fired')}, 9) AS fire_rate, round(avg(CASE WHEN gate_fired THEN CASE WHEN pred = label THEN 1e0 ELSE 0e0 END END), 9) AS correct_when_fired, count_if(NOT gate_fired AND u IS NULL) AS declined_no_margin FROM preds WHERE gate GROUP BY variant, family")

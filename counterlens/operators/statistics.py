@@ -1,88 +1,16 @@
-"""Conformal thresholds, exact tests, corrections and hashed bootstraps (U01-U21), and window plans.
-
-Bootstraps draw replicate weights from an integer hash of (row, replicate), so both
-engines draw the same; they run over pre-aggregated cells, never over rows times
-replicates of a whole table.
-"""
+"""Uncertainty and window plans in SQL."""
 
 from __future__ import annotations
 
 from counterlens.plans.registry import plan, rate
 
-# ln(n!) for n = 0.. as a table: the tail of a binomial is summed in log space
-LNFACT = """nums AS (SELECT i, CASE WHEN i = 0 THEN 0e0 ELSE ln(CAST(i AS DOUBLE)) END AS l FROM range(0, 4001) AS r(i)), lnfact AS (SELECT CAST(i AS BIGINT) AS i, sum(l) OVER (ORDER BY i) AS lf FROM nums)"""
-
-
-def tail(cells: str, alpha: str) -> str:
-    """Of cells (key.., n, k): P(X <= k) for n trials of rate alpha."""
-    return f"""tails AS (SELECT c.n, c.k, sum(exp(a.lf - b.lf - d.lf + b.i * ln({alpha}) + (c.n - b.i) * ln(1e0 - {alpha}))) AS tail FROM (SELECT DISTINCT n, k FROM {cells} WHERE n < 4000) AS c JOIN lnfact a ON a.i = c.n JOIN lnfact b ON b.i <= c.k JOIN lnfact d ON d.i = c.n - b.i GROUP BY c.n, c.k)"""
-
-
-CALIB = """pool AS (SELECT variant, u, CASE WHEN own = label THEN 0 ELSE 1 END AS wrong FROM preds WHERE split = 'calib' AND NOT gate_fired AND u IS NOT NULL),
-  d AS (SELECT variant, u, count(*) AS m, sum(wrong) AS w FROM pool GROUP BY variant, u), cells AS (SELECT variant, u, CAST(sum(m) OVER (PARTITION BY variant ORDER BY u) AS BIGINT) AS n, CAST(sum(w) OVER (PARTITION BY variant ORDER BY u) AS BIGINT) AS k FROM d)"""
-ALPHA = "0.45e0"
-
-plan(
-    "u01_binomial_tail",
-    f"""WITH {LNFACT}, g AS (SELECT CAST(a.i AS BIGINT) AS n, CAST(b.i AS BIGINT) AS k FROM range(1, 61) AS a(i) JOIN range(0, 60) AS b(i) ON b.i < a.i), {tail('g', '0.1e0')}
-  SELECT n, k, round(tail, 9) AS tail, tail <= 0.1e0 AS certifies FROM tails""",
-)
 plan("u02_min_certifiable_n", "SELECT alpha, delta, CAST(ceil(ln(delta) / ln(1e0 - alpha)) AS BIGINT) AS n FROM (VALUES (0.1e0, 0.1e0), (0.1e0, 0.05e0), (0.1e0, 0.2e0), (0.05e0, 0.1e0), (0.2e0, 0.1e0)) AS t(alpha, delta)")
-plan(
-    "u03_conformal_threshold",
-    f"""WITH {LNFACT}, {CALIB}, {tail('cells', ALPHA)} SELECT v.variant, max(CASE WHEN t.tail <= 0.1e0 AND c.k < c.n THEN c.u END) AS tau, coalesce(max(CASE WHEN t.tail <= 0.1e0 AND c.k < c.n THEN c.n END), 0) AS retained, bool_or(coalesce(t.tail <= 0.1e0 AND c.k < c.n, FALSE)) AS certifiable
-  FROM variants v LEFT JOIN cells c ON c.variant = v.variant LEFT JOIN tails t ON t.n = c.n AND t.k = c.k GROUP BY v.variant""",
-)
 plan(
     "u04_legacy_threshold",
     """WITH p AS (SELECT variant, u, item_no, CASE WHEN own = label THEN 0e0 ELSE 1e0 END AS wrong FROM preds WHERE split = 'calib' AND u IS NOT NULL),
   r AS (SELECT variant, u, row_number() OVER w AS i, avg(wrong) OVER (PARTITION BY variant ORDER BY u, item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS err FROM p WINDOW w AS (PARTITION BY variant ORDER BY u, item_no))
   SELECT variant, coalesce(max_by(u, i) FILTER (WHERE err <= 0.3e0), min(u)) AS tau FROM r GROUP BY variant""",
 )
-plan(
-    "u05_calibration_diagnostics",
-    f"""WITH {LNFACT}, {CALIB}, {tail('cells', ALPHA)}, best AS (SELECT c.variant, max(c.u) AS tau FROM cells c JOIN tails t ON t.n = c.n AND t.k = c.k WHERE t.tail <= 0.1e0 AND c.k < c.n GROUP BY c.variant)
-  SELECT p.variant, count(*) AS n, count_if(p.u <= b.tau) AS retained, count_if(p.u <= b.tau AND p.wrong = 1) AS errors, round({rate('p.u <= b.tau')}, 9) AS coverage, round(avg(CASE WHEN p.u <= b.tau THEN CAST(p.wrong AS DOUBLE) END), 9) AS selective_error FROM pool p LEFT JOIN best b ON b.variant = p.variant GROUP BY p.variant""",
-)
-# items fall into 64 hashed cells; a replicate weighs cells by hashed counts (a Poisson-like 0..3)
-WEIGHT = "CASE WHEN ((c.cell + 1) * (c.cell + 1) * 7919 + (b.i + 1) * 104729 + (c.cell + 7) * (b.i + 13) * (b.i + 29) * 31) % 1000003 % 997 < 367 THEN 0 WHEN ((c.cell + 1) * (c.cell + 1) * 7919 + (b.i + 1) * 104729 + (c.cell + 7) * (b.i + 13) * (b.i + 29) * 31) % 1000003 % 997 < 734 THEN 1 WHEN ((c.cell + 1) * (c.cell + 1) * 7919 + (b.i + 1) * 104729 + (c.cell + 7) * (b.i + 13) * (b.i + 29) * 31) % 1000003 % 997 < 917 THEN 2 ELSE 3 END"
-QUANT = "row_number() OVER (PARTITION BY variant ORDER BY m) AS rn, count(*) OVER (PARTITION BY variant) AS total"
-plan(
-    "u06_bootstrap_interval",
-    f"""WITH cell AS (SELECT variant, item_no % 128 AS cell, count(*) AS n, count_if(correct) AS k FROM preds GROUP BY variant, item_no % 128), reps AS (SELECT c.variant, b.i AS rep, sum({WEIGHT} * c.k) / CAST(nullif(sum({WEIGHT} * c.n), 0) AS DOUBLE) AS m FROM cell c CROSS JOIN range(0, 400) AS b(i) GROUP BY c.variant, b.i),
-  o AS (SELECT variant, m, {QUANT} FROM reps) SELECT variant, round(min(CASE WHEN rn >= 0.025e0 * total THEN m END), 9) AS lo, round(max(CASE WHEN rn <= 0.975e0 * total THEN m END), 9) AS hi FROM o GROUP BY variant""",
-)
-plan(
-    "u07_paired_bootstrap",
-    f"""WITH x AS (SELECT item_no, variant, CASE WHEN correct THEN 1 ELSE 0 END AS ok FROM preds WHERE variant IN ('base', 'nsai')), cell AS (SELECT item_no % 128 AS cell, count(*) / 2 AS n, sum(CASE WHEN variant = 'nsai' THEN ok ELSE -ok END) AS d FROM x GROUP BY item_no % 128),
-  reps AS (SELECT b.i AS rep, sum({WEIGHT} * c.d) / CAST(nullif(sum({WEIGHT} * c.n), 0) AS DOUBLE) AS m FROM cell c CROSS JOIN range(0, 400) AS b(i) GROUP BY b.i) SELECT round(avg(m), 9) AS mean_delta, least(1e0, 2e0 * least(round({rate('m <= 0')}, 9), round({rate('m >= 0')}, 9))) AS p FROM reps""",
-)
-plan(
-    "u08_auroc_bootstrap",
-    f"""WITH c AS (SELECT item_no % 128 AS cell, u, count(*) AS n, sum(CASE WHEN own = label THEN 0 ELSE 1 END) AS pos FROM preds WHERE variant = 'base' AND u IS NOT NULL GROUP BY item_no % 128, u), w AS (SELECT b.i AS rep, c.u, sum({WEIGHT} * c.n) AS n, sum({WEIGHT} * c.pos) AS pos FROM c CROSS JOIN range(0, 100) AS b(i) GROUP BY b.i, c.u),
-  k AS (SELECT rep, pos, n, sum(n) OVER (PARTITION BY rep ORDER BY u) - (n - 1) / 2e0 AS r FROM w), a AS (SELECT 'base' AS variant, rep, (sum(pos * r) - sum(pos) * (sum(pos) + 1) / 2e0) / (CAST(sum(pos) AS DOUBLE) * (sum(n) - sum(pos))) AS m FROM k GROUP BY rep HAVING sum(pos) > 0 AND sum(n) > sum(pos)),
-  o AS (SELECT variant, m, {QUANT} FROM a) SELECT variant, round(min(CASE WHEN rn >= 0.025e0 * total THEN m END), 9) AS lo, round(max(CASE WHEN rn <= 0.975e0 * total THEN m END), 9) AS hi FROM o GROUP BY variant""",
-)
-plan(
-    "u09_two_sample_bootstrap",
-    f"""WITH p AS (SELECT variant, pair_id, bool_or(is_control) AS ctrl, min(pred) <> max(pred) AS f, min(item_no) AS no FROM preds WHERE NOT abstained AND pred IS NOT NULL GROUP BY variant, pair_id HAVING count(*) = 2),
-  c AS (SELECT variant, no % 128 AS cell, count_if(ctrl) AS nc, count_if(ctrl AND f) AS kc, count_if(NOT ctrl) AS nn, count_if(NOT ctrl AND f) AS kn FROM p GROUP BY variant, no % 128),
-  r AS (SELECT c.variant, b.i AS rep, sum({WEIGHT} * kn) / CAST(nullif(sum({WEIGHT} * nn), 0) AS DOUBLE) - sum({WEIGHT} * kc) / CAST(nullif(sum({WEIGHT} * nc), 0) AS DOUBLE) AS m FROM c CROSS JOIN range(0, 200) AS b(i) GROUP BY c.variant, b.i),
-  o AS (SELECT variant, m, {QUANT} FROM r WHERE m IS NOT NULL) SELECT variant, round(min(CASE WHEN rn >= 0.025e0 * total THEN m END), 9) AS lo, round(max(CASE WHEN rn <= 0.975e0 * total THEN m END), 9) AS hi FROM o GROUP BY variant""",
-)
-plan(
-    "u10_cluster_bootstrap",
-    f"""WITH k AS (SELECT variant, prompt, min(item_no) AS no, count(*) AS n, count_if(correct) AS s FROM preds GROUP BY variant, prompt), c AS (SELECT variant, no % 128 AS cell, sum(n) AS n, sum(s) AS s FROM k GROUP BY variant, no % 128),
-  r AS (SELECT c.variant, b.i AS rep, sum({WEIGHT} * s) / CAST(nullif(sum({WEIGHT} * n), 0) AS DOUBLE) AS m FROM c CROSS JOIN range(0, 200) AS b(i) GROUP BY c.variant, b.i), o AS (SELECT variant, m, {QUANT} FROM r)
-  SELECT variant, round(min(CASE WHEN rn >= 0.025e0 * total THEN m END), 9) AS lo, round(max(CASE WHEN rn <= 0.975e0 * total THEN m END), 9) AS hi FROM o GROUP BY variant""",
-)
-MCNEMAR = f"""{LNFACT}, b AS (SELECT item_no, correct FROM preds WHERE variant = 'base'), c AS (SELECT p.variant, count_if(NOT b.correct AND p.correct) AS b01, count_if(b.correct AND NOT p.correct) AS b10 FROM preds p JOIN b ON b.item_no = p.item_no WHERE p.variant <> 'base' GROUP BY p.variant),
-  t AS (SELECT c.variant, c.b01, c.b10, coalesce(least(1e0, 2e0 * sum(exp(n.lf - k.lf - r.lf - (c.b01 + c.b10) * ln(2e0)))), 1e0) AS p FROM c LEFT JOIN lnfact n ON n.i = c.b01 + c.b10 AND n.i > 0 LEFT JOIN lnfact k ON k.i <= least(c.b01, c.b10) LEFT JOIN lnfact r ON r.i = c.b01 + c.b10 - k.i GROUP BY c.variant, c.b01, c.b10)"""
-plan("u11_mcnemar", f"WITH {MCNEMAR} SELECT variant, b01, b10, round(p, 9) AS p_value FROM t")
-plan(
-    "u12_holm",
-    f"""WITH {MCNEMAR}, r AS (SELECT variant, round(p, 12) AS p, row_number() OVER (ORDER BY round(p, 12), variant) AS i, count(*) OVER () AS m FROM t) SELECT variant, round(p, 9) AS p, round(least(1e0, max((m - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS p_holm FROM r""",
-)
 plan(
     "u14_uncertainty_signals",
     """SELECT item_no, variant, round(u, 6) AS decision_entropy, coalesce(round(u, 6), CAST('Infinity' AS DOUBLE)) = CAST('Infinity' AS DOUBLE) AS missing, -abs(logit_margin) AS neg_margin, -logit_margin AS neg_logprob FROM preds WHERE variant = 'uq'""",
@@ -99,16 +27,13 @@ plan(
     """WITH o AS (SELECT item_no, k.i AS opt, ((item_no * 31 + k.i * 17) % 41) / 10e0 AS z FROM items CROSS JOIN range(0, 4) AS k(i)), m AS (SELECT item_no, max(z) AS top FROM o GROUP BY item_no), s AS (SELECT o.item_no, sum(exp(z - top)) AS t FROM o JOIN m ON m.item_no = o.item_no GROUP BY o.item_no),
   p AS (SELECT o.item_no, exp(z - m.top) / s.t AS p FROM o JOIN m ON m.item_no = o.item_no JOIN s ON s.item_no = o.item_no) SELECT item_no, round(-sum(p * ln(p)), 6) AS option_entropy, round(max(p), 6) AS top_prob FROM p GROUP BY item_no""",
 )
-plan("u19_grouped_folds", "SELECT (row_number() OVER (ORDER BY pair_id) - 1) % 5 AS fold_no, pair_id FROM (SELECT DISTINCT pair_id FROM items) AS p".replace("(row_number()", "CAST((row_number()", 1).replace("% 5 AS", "% 5 AS BIGINT) AS", 1))
 plan("u21_label_swap", "SELECT id, pair_id, CASE WHEN (sid * 2654435761 + rule_order * 97) % 1000003 % 2 = 0 THEN CASE WHEN label = 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END ELSE label END AS swapped FROM items WHERE NOT is_control")
 
 plan("w01_nearest_pick", "SELECT family, sid, arm, event_id, factor_value, round(abs(q - threshold), 6) AS gap FROM items WHERE NOT is_control")
 plan("w01_extreme_pick", "WITH r AS (SELECT family, sid, unsafe, event_id, q, row_number() OVER (PARTITION BY family, sid, unsafe ORDER BY abs(q - threshold) DESC, ts, event_id) AS rn FROM facts) SELECT family, sid, unsafe, event_id, q FROM r WHERE rn = 1")
 plan("w02_control_pick", "SELECT family, sid, label, min(factor_value) AS low, max(factor_value) AS high, round(max(q) - min(q), 6) AS spread FROM items WHERE is_control GROUP BY family, sid, label")
-plan("w03_running_errors", "SELECT variant, item_no, CAST(sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER (PARTITION BY variant ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS errors FROM preds WHERE split = 'calib'")
 plan("w04_tie_blocks", "SELECT variant, u, CAST(max(n) AS BIGINT) AS last_index FROM (SELECT variant, u, count(*) OVER (PARTITION BY variant ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM preds WHERE u IS NOT NULL) AS x GROUP BY variant, u")
 plan("w05_average_rank", "SELECT item_no, rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2e0 AS avg_rank FROM preds WHERE variant = 'base' AND u IS NOT NULL")
-plan("w06_prefix_mean", "SELECT item_no, round(avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END) OVER (ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS m FROM preds WHERE variant = 'base' AND split = 'test'")
 plan("w07_running_max", "SELECT sid, event_id, max(value) OVER (PARTITION BY sid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM labs")
 plan("w08_neighbours", "SELECT event_id, round(value - before, 2) AS from_last, round(after - value, 2) AS to_next FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY sid, item ORDER BY ts, event_id) AS before, lead(value) OVER (PARTITION BY sid, item ORDER BY ts, event_id) AS after FROM labs) AS x")
 plan("w09_first_seen", "SELECT prompt, item_no, split FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY item_no) AS rn FROM items) AS x WHERE rn = 1")

@@ -16,36 +16,10 @@ def num(d, column: str, pattern: str) -> str:
     return f"CAST(nullif({d.extract(column, pattern, 1)}, '') AS DOUBLE)"
 
 
-plan("f01_parse_answer", lambda d: f"WITH p AS (SELECT id, variant, upper({d.extract('raw', '(?i)\\b(UNSAFE|NOT SAFE|CONTRAINDICATED|SAFE)\\b', 1)}) AS w FROM preds WHERE v < 2) SELECT id, variant, CASE WHEN w = '' THEN NULL WHEN w = 'SAFE' THEN 'SAFE' ELSE 'UNSAFE' END AS answer FROM p")
-plan("f02_parse_label", lambda d: f"WITH t AS (SELECT conv_id, turn, {d.extract('text', '\\b([A-D])\\b', 1)} AS letter, instr(lower(text), 'the') AS a, instr(lower(text), 'of') AS b FROM conversations) SELECT conv_id, turn, CASE WHEN letter <> '' THEN letter WHEN a > 0 AND (b = 0 OR a < b) THEN 'the' WHEN b > 0 THEN 'of' END AS label FROM t")
-plan("f03_extract_facts", lambda d: f"WITH {NOTES} SELECT event_id, family, {num(d, 'note', '(?i)creatinine ' + NUMBER)} AS creatinine, {num(d, 'note', '(?i)egfr is ' + NUMBER)} AS egfr, {num(d, 'note', '(?i)potassium ' + NUMBER)} AS potassium, {num(d, 'note', '(?i)inr ' + NUMBER)} AS inr, {num(d, 'note', 'QT ' + NUMBER)} AS qt, CASE WHEN {d.matches('note', '(?i)pregnant')} THEN TRUE WHEN {d.matches('note', '(?i)not pregnant')} THEN FALSE END AS pregnant FROM notes")
-plan(
-    "f04_rule_gate",
-    lambda d: f"""WITH {NOTES}, x AS (SELECT event_id, family, lower(note) AS t, {num(d, 'note', '(?i)egfr is ' + NUMBER)} AS egfr, {num(d, 'note', 'QT ' + NUMBER)} AS qt, {num(d, 'note', '(?i)inr ' + NUMBER)} AS inr FROM notes),
-  r AS (SELECT * FROM (VALUES (1, 'metformin', 'qt', 450e0, '>'), (2, 'ondansetron', 'qt', 500e0, '>'), (3, 'warfarin', 'inr', 2.5e0, '>'), (4, 'egfr', 'egfr', 45e0, '<')) AS t(o, drug, var, thr, op)),
-  m AS (SELECT x.event_id, x.family, r.drug, r.o, r.op, r.thr, CASE r.var WHEN 'qt' THEN qt WHEN 'inr' THEN inr ELSE egfr END AS v, row_number() OVER (PARTITION BY x.event_id, x.family ORDER BY r.o) AS rn FROM x JOIN r ON instr(x.t, r.drug) > 0 AND CASE r.var WHEN 'qt' THEN qt WHEN 'inr' THEN inr ELSE egfr END IS NOT NULL)
-  SELECT event_id, family, drug, v, CASE WHEN (op = '>' AND v > thr) OR (op = '<' AND v < thr) THEN 'UNSAFE' ELSE 'SAFE' END AS decision FROM m WHERE rn = 1""",
-)
-plan("f06_extract_graded", lambda d: f"WITH {NOTES} SELECT event_id, family, {num(d, 'substr(note, 1, 400)', '(?i)a ' + NUMBER + ' year old')} AS age, CASE WHEN {d.matches('substr(note, 1, 400)', '(?i)year old female')} THEN 'female' WHEN {d.matches('substr(note, 1, 400)', '(?i)year old male')} THEN 'male' END AS sex, {num(d, 'note', '(?i)weight ' + NUMBER)} AS weight, CASE WHEN {d.matches('note', '(?i)mild ascites')} THEN 2 WHEN {d.matches('note', '(?i)ascites')} THEN 3 ELSE 1 END AS ascites, {num(d, 'note', '(?i)grade ' + NUMBER + ' enceph')} AS enceph FROM notes")
-plan(
-    "f07_clinical_gate",
-    lambda d: f"""WITH {NOTES}, x AS (SELECT event_id, family, age, sex, {num(d, 'note', '(?i)creatinine ' + NUMBER)} AS cr, lower({d.extract('note', '(?i)creatinine [0-9.]+ ([a-z]+/[a-z]+)', 1)}) AS unit FROM notes),
-  c AS (SELECT *, CASE WHEN unit = 'umol/l' THEN cr / 88.4e0 WHEN unit = 'mg/dl' THEN cr END AS scr FROM x), e AS (SELECT *, 142e0 * pow(scr / CASE WHEN sex = 'female' THEN 0.7e0 ELSE 0.9e0 END, CASE WHEN sex = 'female' AND scr <= 0.7e0 THEN -0.241e0 WHEN sex = 'male' AND scr <= 0.9e0 THEN -0.302e0 ELSE -1.2e0 END) * pow(0.9938e0, age) * CASE WHEN sex = 'female' THEN 1.012e0 ELSE 1e0 END AS q FROM c)
-  SELECT event_id, family, round(q, 6) AS q, CASE WHEN cr IS NULL THEN 'no creatinine' WHEN scr IS NULL THEN 'unknown unit' WHEN NOT (scr BETWEEN 0.15e0 AND 25e0) OR NOT (q BETWEEN 2e0 AND 200e0) THEN 'implausible' WHEN q < 60 THEN 'UNSAFE' ELSE 'SAFE' END AS outcome FROM e""",
-)
-plan("f09_states_derived", lambda d: f"WITH {NOTES} SELECT event_id, family, {d.matches('note', '(?is)(egfr|clearance|qtc).{0,40}[0-9]')} AS derived FROM notes")
 plan("f10_decimals", lambda d: f"SELECT event_id, CAST(length({d.extract('CAST(value AS STRING)', '[.]([0-9]+)$', 1)}) AS BIGINT) AS decimals FROM labs WHERE value < 100000 AND value >= 0.001")
-plan("f12_section_excerpt", lambda d: f"WITH s AS (SELECT doc_id, substr(text, 1 + length({d.extract('text', '(?s)^[^.]*[.]', 0)})) AS body FROM documents), x AS (SELECT doc_id, {d.replace_all('substr(body, 1, 400)', '[ \\t\\r\\n]+', ' ')} AS body FROM s) SELECT doc_id, {d.extract('body', '(?s)^(.*[.!?])', 1)} AS excerpt FROM x WHERE length(body) >= 200")
 SENTENCES = lambda d: f"SELECT doc_id, lang, s.sentence FROM documents{d.explode(d.split('text', '[.;]\\s+'), 's', 'sentence')}"
-plan("f13_sentences", lambda d: f"SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars FROM ({SENTENCES(d)}) AS x GROUP BY doc_id")
-plan("f14_number_sentences", lambda d: f"SELECT doc_id, count_if({d.matches('sentence', '[0-9]')}) AS with_number, count(*) AS n FROM ({SENTENCES(d)}) AS x GROUP BY doc_id")
-plan("f15_evidence", lambda d: f"SELECT item_id, CAST(instr(lower(text), ' the ') AS BIGINT) AS place, substr(text, greatest(1, instr(lower(text), ' the ') - 20), 60) AS context FROM benchmark WHERE instr(lower(text), ' the ') > 0")
-plan("f16_attestation", lambda d: "SELECT family, CASE provenance WHEN 'attested' THEN CASE WHEN threshold < 40 THEN 'attested exactly' ELSE 'attested' END WHEN 'assumed' THEN 'needs source' ELSE 'not found' END AS status FROM rules")
-plan("f17_concept_matcher", lambda d: f"SELECT doc_id, {d.length(d.extract_all('lower(text)', '\\b(the|and|of|that|with)\\b'))} AS hits FROM documents WHERE lang = 'en'")
-plan("f18_norm_atom", lambda d: f"SELECT doc_id, turn, trim({d.replace_all(d.replace_all('lower(text)', '[^a-z0-9 ]', ' '), ' +', ' ')}) AS atom FROM (SELECT conv_id AS doc_id, turn, substr(text, 1, 80) AS text FROM conversations) AS x")
 plan("f19_label_from_prompt", lambda d: f"SELECT i.id, CASE WHEN r.op = '<' THEN CASE WHEN {num(d, 'prompt', 'value ' + NUMBER)} < 60 THEN 'UNSAFE' ELSE 'SAFE' END ELSE CASE WHEN {num(d, 'prompt', 'value ' + NUMBER)} > i.threshold THEN 'UNSAFE' ELSE 'SAFE' END END AS label FROM items i JOIN rules r ON r.family = i.family")
 plan("f20_rederivation", lambda d: f"SELECT family, count(*) AS n, count_if(abs({num(d, 'prompt', 'value ' + NUMBER)} - factor_value) > 0.51e0) AS wrong FROM items GROUP BY family")
-plan("f21_word_presence", lambda d: f"SELECT id, variant, CASE WHEN {d.matches('upper(raw)', '\\bUNSAFE\\b')} THEN 1 ELSE 0 END + 2 * CASE WHEN {d.matches('upper(raw)', '\\bSAFE\\b')} THEN 1 ELSE 0 END AS words FROM preds WHERE v = 0")
 plan("f22_truncate_words", lambda d: f"SELECT conv_id, turn, {d.join(d.slice(d.split('text', ' '), '12'), ' ')} AS cut FROM conversations")
 plan("f23_normalise", lambda d: f"SELECT DISTINCT upper(trim(event_type)) AS label, replace(replace(event_type, '&', '&amp;'), '<', '&lt;') AS escaped, {d.replace_all('lower(event_type)', '[^a-z0-9]+', '-')} AS slug FROM events")
 plan(
@@ -53,20 +27,12 @@ plan(
     """SELECT doc_id, CASE WHEN s IN ('yes', 'y', 'true', '1') THEN 1e0 WHEN s IN ('no', 'n', 'false', '0') THEN 0e0 END AS yes, CASE s WHEN '1' THEN 1e0 WHEN '2' THEN 2e0 WHEN '3' THEN 3e0 WHEN '4' THEN 4e0 WHEN '5' THEN 5e0 END AS grade
   FROM (SELECT doc_id, lower(trim(CASE doc_id % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN 'n' WHEN 2 THEN '4' WHEN 3 THEN '9' WHEN 4 THEN CAST(quality AS STRING) ELSE '' END)) AS s FROM labels) AS x""",
 )
-plan("f25_age_phrase", "SELECT sid, CASE WHEN age < 19 THEN 'finishing school' WHEN age < 30 THEN 'young adult' WHEN age < 65 THEN 'adult' ELSE 'retired' END AS phrase FROM patients")
-plan("f26_distractors", "SELECT pair_id, family, 'lab ' || CAST((min(item_no) * 31 + k.i * 17) % 97 AS STRING) AS lab FROM items CROSS JOIN range(0, 3) AS k(i) GROUP BY pair_id, family, k.i")
 # fixed values: a short stop list, documented instead of the usual larger one
 STOP = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'had', 'has', 'he', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'with'"
 WORDS = lambda d, t, k: f"SELECT {k} AS k, w.word FROM {t}{d.explode(d.extract_all('lower(text)', '[a-zà-öø-ÿ]{2,}'), 'w', 'word')}"
 TFIDF = lambda d: f"""tok AS (SELECT * FROM ({WORDS(d, 'benchmark', 'item_id')}) AS x WHERE word NOT IN ({STOP})), tf AS (SELECT k, word, 1e0 + ln(CAST(count(*) AS DOUBLE)) AS tf FROM tok GROUP BY k, word),
   idf AS (SELECT word, ln((1e0 + (SELECT count(*) FROM benchmark)) / (1e0 + count(*))) + 1e0 AS idf FROM tf GROUP BY word), raw AS (SELECT tf.k, tf.word, tf.tf * idf.idf AS w FROM tf JOIN idf ON idf.word = tf.word), norm AS (SELECT k, sqrt(sum(w * w)) AS l FROM raw GROUP BY k),
   vec AS (SELECT raw.k, raw.word, raw.w / norm.l AS w FROM raw JOIN norm ON norm.k = raw.k)"""
-plan("f27_tfidf", lambda d: f"WITH {TFIDF(d)} SELECT k AS item_id, count(*) AS terms, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM vec GROUP BY k")
-plan(
-    "j15_tfidf_top_k",
-    lambda d: f"""WITH {TFIDF(d)}, q AS (SELECT k, word, 1e0 + ln(CAST(count(*) AS DOUBLE)) AS tf FROM ({WORDS(d, "(SELECT doc_id, text FROM documents WHERE lang = 'en')", "doc_id")}) AS x GROUP BY k, word), s AS (SELECT q.k AS doc_id, vec.k AS item_id, round(sum(q.tf * vec.w), 6) AS sim FROM q JOIN vec ON vec.word = q.word GROUP BY q.k, vec.k)
-  SELECT doc_id, item_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, item_id DESC) AS rn FROM s) AS x WHERE rn <= 3""",
-)
 # ---- formulas
 VITALS = "vitals AS (SELECT l.event_id, p.age, p.sex, 0.3e0 + l.value / 40e0 AS scr, 45e0 + l.event_id % 60 AS weight, 150e0 + l.event_id % 45 AS height, 300e0 + l.event_id % 250 AS qt, 40e0 + l.event_id % 100 AS hr FROM labs l JOIN patients p ON p.sid = l.sid)"
 plan("m01_ckd_epi", "SELECT event_id, round(q, 6) AS egfr FROM facts WHERE family = 'egfr45'")
@@ -75,12 +41,6 @@ plan("m03_cockcroft_gault", f"WITH {VITALS}, b AS (SELECT *, weight / pow(height
 plan("m04_units", "SELECT event_id, unit, round(CASE WHEN instr(unit, 'umol') > 0 THEN value / 88.4e0 WHEN instr(unit, 'mg/dl') > 0 THEN value END, 6) AS mgdl FROM (SELECT event_id, value, CASE event_id % 3 WHEN 0 THEN 'umol/l' WHEN 1 THEN 'mg/dl' ELSE 'g/l' END AS unit FROM labs) AS x")
 plan("m05_inverse", f"WITH {VITALS}, k AS (SELECT *, CASE WHEN sex = 'female' THEN 0.7e0 ELSE 0.9e0 END AS knee, CASE WHEN sex = 'female' THEN -0.241e0 ELSE -0.302e0 END AS lo, 142e0 * pow(0.9938e0, age) * CASE WHEN sex = 'female' THEN 1.012e0 ELSE 1e0 END AS top FROM vitals) SELECT event_id, round(knee * pow(45e0 / top, 1e0 / CASE WHEN 45e0 >= top THEN lo ELSE -1.2e0 END), 6) AS creatinine FROM k")
 plan("m06_qtc", f"WITH {VITALS} SELECT event_id, round(qt / sqrt(60e0 / hr), 6) AS bazett, round(qt / pow(60e0 / hr, 1e0 / 3e0), 6) AS fridericia, round(qt + 154e0 * (1e0 - 60e0 / hr), 6) AS framingham, round(qt + 1.75e0 * (hr - 60e0), 6) AS hodges, round(qt * (120e0 + hr) / 180e0, 6) AS rautaharju FROM vitals")
-plan("m07_child_pugh", "SELECT event_id, CASE WHEN b < 2 THEN 1 WHEN b <= 3 THEN 2 ELSE 3 END + CASE WHEN a > 3.5e0 THEN 1 WHEN a >= 2.8e0 THEN 2 ELSE 3 END + CASE WHEN i < 1.7e0 THEN 1 WHEN i <= 2.3e0 THEN 2 ELSE 3 END AS points FROM (SELECT event_id, (event_id % 50) / 10e0 AS b, 2e0 + (event_id % 30) / 10e0 AS a, 1e0 + (event_id % 20) / 10e0 AS i FROM labs) AS x")
-plan("m08_dispatch", f"WITH {VITALS} SELECT event_id, kind, round(CASE kind WHEN 'mdrd' THEN 175e0 * pow(scr, -1.154e0) * pow(CAST(age AS DOUBLE), -0.203e0) * CASE WHEN sex = 'female' THEN 0.742e0 ELSE 1e0 END WHEN 'cg' THEN (140e0 - age) * weight * CASE WHEN sex = 'male' THEN 1e0 ELSE 0.85e0 END / (scr * 72e0) END, 6) AS v FROM (SELECT *, CASE event_id % 2 WHEN 0 THEN 'mdrd' ELSE 'cg' END AS kind FROM vitals) AS x")
 plan("m09_target_draw", "SELECT id, round(threshold + CASE WHEN label = 'UNSAFE' AND op = '<' OR label = 'SAFE' AND op = '>' THEN -1e0 ELSE 1e0 END * threshold * (0.1e0 + 0.4e0 * ((item_no * 2654435761) % 1000003) / 1000003e0), 6) AS target FROM items")
-plan("m10_scalars", "SELECT item_no, variant, round(greatest(0e0, least(1e0, logit_margin / 4e0)), 6) AS clipped, round(1e0 / (1e0 + exp(-logit_margin)), 6) AS sigmoid FROM preds WHERE v = 1 AND logit_margin IS NOT NULL")
 plan("m11_cosine", lambda d: f"SELECT a.vec_id, b.vec_id AS other, round({d.dot('a.embedding', 'b.embedding')} / (sqrt({d.dot('a.embedding', 'a.embedding')}) * sqrt({d.dot('b.embedding', 'b.embedding')})), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 plan("m12_rescale", lambda d: f"SELECT label, round(sqrt(64e0) / avg(sqrt({d.dot('embedding', 'embedding')})), 6) AS scale FROM embeddings GROUP BY label")
-plan("m13_sparsify", lambda d: f"SELECT vec_id, {d.length(d.keep('embedding', 'x', 'x > 0.1'))} AS active FROM embeddings")
-plan("m14_kind_map", "SELECT item, CASE item WHEN 'view' THEN 'lab' WHEN 'click' THEN 'drug' WHEN 'purchase' THEN 'condition' ELSE 'other' END AS kind, count(*) AS n FROM labs GROUP BY item")
-plan("m15_ontology_margin", "SELECT family, CASE provenance WHEN 'attested' THEN 1.25e0 WHEN 'assumed' THEN 1e0 ELSE 0e0 END * 0.5e0 AS margin FROM rules")

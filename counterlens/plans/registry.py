@@ -8,11 +8,13 @@ views of the tables and of the DataFrames that ``operators.cohort`` derives.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from counterlens.operators import cohort
+from counterlens.sources import files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -107,31 +109,75 @@ def rate(condition: str) -> str:
     return f"avg(CASE WHEN {condition} THEN 1e0 ELSE 0e0 END)"
 
 
-def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
-    """Temporary views of the tables that the text names."""
-    used = set(re.findall(r"\w+", sql))
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    for t in TABLES:
-        if t in used:
-            read(t).createOrReplaceTempView(t)
-    made = {
-        "patients": lambda: cohort.patients(read("events")),
-        "labs": lambda: cohort.labs(read("events")),
-        "rules": lambda: cohort.rules(spark),
-        "variants": lambda: cohort.variants(spark),
-        "facts": lambda: cohort.facts(read("events"), cohort.rules(spark)),
-        "items": lambda: cohort.items(read("events")),
-        "preds": lambda: cohort.predictions(cohort.items(read("events"))),
-    }
-    for name, make in made.items():
-        if name in used:
-            make().createOrReplaceTempView(name)
+#: Folders of derived tables that this process has stored, by application, source folder and name.
+_stored: dict[tuple[str, str, str], str] = {}
+DERIVED = ("patients", "labs", "rules", "variants", "facts", "items", "preds")
+
+
+class Tables:
+    """Tables of a folder by name, and those derived from its events.
+
+    Items and predictions are stored once a session and reread, as most queries begin
+    with them; the others are cheap.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name == "rules":
+            return cohort.rules(self.spark)
+        if name == "variants":
+            return cohort.variants(self.spark)
+        if name in ("patients", "labs"):
+            return getattr(cohort, name)(self["events"])
+        if name == "facts":
+            return cohort.facts(self["events"], self["rules"])
+        if name == "items":
+            return self._once(name, lambda: cohort.items(self["events"]))
+        if name == "preds":
+            return self._once(name, lambda: cohort.predictions(self["items"]))
+        raise KeyError(name)
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored or not files.exists(self.spark, _stored[key]):
+            path = files.scratch_path(self.spark, name)
+            make().write.parquet(path)
+            _stored[key] = path
+        return self.spark.read.parquet(_stored[key])
+
+
+def in_session(spark: SparkSession, tables: Tables, sql: str) -> DataFrame:
+    """The text over ``tables``; views have names of their own and go once the text is analysed."""
+    used = [t for t in (*TABLES, *DERIVED) if re.search(rf"\b{t}\b", sql)]
+    views = {t: f"_view_{uuid.uuid4().hex}" for t in used}
+    try:
+        for t, view in views.items():
+            tables[t].createOrReplaceTempView(view)
+        head = ", ".join(f"{t} AS (SELECT * FROM {view})" for t, view in views.items())
+        sql = sql.strip()
+        if head:
+            sql = f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"
+        return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = PLANS[name](Spark())
-        views(spark, sf_dir, sql)
-        return spark.sql(sql)
+        return in_session(spark, Tables(spark, sf_dir), PLANS[name](Spark()))
 
     return query
+
+
+CALLS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def call(made: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Register a function of tables as the query of its name; the plan of that name, if any, then only checks it."""
+    CALLS[made.__name__] = lambda spark, sf_dir: made(Tables(spark, sf_dir))
+    return made

@@ -1,17 +1,16 @@
-"""Every plan against the checking engine, over stored base tables that are compared first."""
+"""Every query against the checking engine, the base tables first, and planted defects that audits must find."""
 
 import duckdb
 import numpy as np
 import pytest
 
-from counterlens.operators import cohort
-from counterlens.plans import catalogue, extra, registry
+from counterlens.operators import audits, cohort, render
+from counterlens.plans import catalogue, registry
 from counterlens.plans.base_sql import BASE
-from counterlens.plans.oracle import Duck
 
 DATA = "/root/testdata/sf0.001"
 DERIVED = ["patients", "labs", "rules", "variants", "facts", "items", "preds"]
-ROWS_ONLY = [n for n in extra.QUERIES if n not in extra.ORACLE_SQL]
+ROWS_ONLY = [n for n in catalogue.QUERIES if n not in catalogue.ORACLE_SQL]
 
 
 def rows(df):
@@ -21,37 +20,22 @@ def rows(df):
 
 
 @pytest.fixture(scope="module")
-def base(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("base")
+def base():
     con = duckdb.connect()
     for t in registry.TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-        spark.read.parquet(f"{DATA}/{t}.parquet").createOrReplaceTempView(t)
-    for t in DERIVED:
-        con.sql(f"CREATE TABLE {t} AS WITH {BASE} SELECT * FROM {t}")
-    events = spark.read.parquet(f"{DATA}/events.parquet")
-    made = {"patients": cohort.patients(events), "labs": cohort.labs(events), "rules": cohort.rules(spark), "variants": cohort.variants(spark), "facts": cohort.facts(events, cohort.rules(spark)), "items": cohort.items(events), "preds": cohort.predictions(cohort.items(events))}
-    for t, df in made.items():
-        df.write.parquet(str(folder / t))
-        spark.read.parquet(str(folder / t)).createOrReplaceTempView(t)
     return con
 
 
 @pytest.mark.parametrize("table", DERIVED)
 def test_base_tables(spark, base, table):
-    got, want = spark.table(table).toPandas(), base.sql(f"SELECT * FROM {table}").df()
+    got, want = registry.Tables(spark, DATA)[table].toPandas(), base.sql(f"WITH {BASE} SELECT * FROM {table}").df()
     cols = [c for c in got.columns if c in want.columns]
     assert len(cols) >= 3 and len(got) > 0 and rows(got[cols]) == rows(want[cols])
 
 
-@pytest.mark.parametrize("name", sorted(registry.PLANS))
-def test_plan(spark, base, name):
-    got, want = spark.sql(registry.PLANS[name](registry.Spark())).toPandas(), base.sql(registry.PLANS[name](Duck())).df()
-    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
-
-
-@pytest.mark.parametrize("name", sorted(extra.ORACLE_SQL))
-def test_other_queries(spark, base, name):
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
+def test_query(spark, base, name):
     got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), base.sql(catalogue.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
@@ -61,32 +45,61 @@ def test_queries_without_sql(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
 
 
-def test_planted_defects_are_found(spark, base):
-    """A leaked text, a crossing control, a pair of one arm, a conflict and an extra prediction."""
-    run = lambda name: {tuple(r) for r in spark.sql(registry.PLANS[name](registry.Spark())).collect()}
-    items = spark.table("items")
-    clean = {n: run(n) for n in ("a26_pair_census", "a23_conflicts", "a27_label_recompute")}
-    one = items.where("NOT is_control").limit(1).collect()[0]
-    bad = items.selectExpr(*[f"CASE WHEN id = '{one.id}' THEN CASE label WHEN 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END ELSE label END AS label" if c == "label" else c for c in items.columns])
-    stored = items.where("TRUE")
-    try:
-        bad.createOrReplaceTempView("items")
-        assert any("labels agree" in r for r in run("a26_pair_census") - clean["a26_pair_census"])
-        assert sum(r[3] for r in run("a27_label_recompute")) == 1
-        stored.where(f"id <> '{one.id}'").createOrReplaceTempView("items")
-        assert any("incomplete" in r for r in run("a26_pair_census"))
-        stored.unionByName(stored.where(f"id = '{one.id}'").selectExpr(*["CASE label WHEN 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END AS label" if c == "label" else c for c in items.columns])).createOrReplaceTempView("items")
-        assert sum(r[1] for r in run("a23_conflicts")) > sum(r[1] for r in clean["a23_conflicts"])
-    finally:
-        stored.createOrReplaceTempView("items")
-
-
-def test_top_k_searches_every_row(spark, base):
-    e = spark.table("embeddings").toPandas()
+def test_views_of_the_session_are_left_alone(spark):
+    spark.range(3).createOrReplaceTempView("items")
+    catalogue.QUERIES["a25_representative_pair"](spark, DATA).count()
+    assert spark.table("items").count() == 3 and not [t for t in spark.catalog.listTables() if t.name.startswith("_view_")]
+    spark.catalog.dropTempView("items")
+
+
+def test_planted_defects_are_found(spark):
+    """A crossing control, a pair of one arm, a changed label, a conflict, an extra and a missing prediction, a leaked text."""
+    items = registry.Tables(spark, DATA)["items"]
+    one = items.where("NOT is_control").limit(1).first()
+    flip = lambda where: items.selectExpr(*[f"CASE WHEN {where} THEN CASE label WHEN 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END ELSE label END AS label" if c == "label" else c for c in items.columns])
+    states = lambda df: {r.state: r.pairs for r in audits.pair_census(df, []).collect()}
+    assert set(states(items)) <= {"complete", "control"}
+    assert states(flip(f"id = '{one.id}'"))["labels agree"] == 1
+    assert states(items.where(f"id <> '{one.id}'"))["incomplete"] == 1
+    control = items.where("is_control").limit(1).first()
+    assert states(flip(f"id = '{control.id}'"))["control crosses"] == 1
+    twice = items.unionByName(flip("TRUE").where(f"id = '{one.id}'"))
+    assert audits.conflicts(twice, "prompt", "label", "family").groupBy().sum("prompts").first()[0] >= 1
+    kinds = {r.kind: r.n for r in audits.id_match(items, items.where(f"id <> '{one.id}'").select("id").unionByName(spark.createDataFrame([("new",), (control.id,)], "id string")), "id").collect()}
+    assert kinds == {"missing": 1, "extra": 1, "repeated": 1}
+    texts = spark.createDataFrame([("a", "test"), ("a", "train"), ("a", "train"), ("b", "test"), (None, "test"), (None, "train")], "x string, s string")
+    assert [tuple(r) for r in audits.shared_between_splits(texts, "x", "s").collect()] == [("test", "train", 1)]
+
+
+def test_alignment_refuses_what_does_not_match(spark):
+    left, right = spark.createDataFrame([(1, True), (2, False)], "id int, ok boolean"), spark.createDataFrame([(1, True), (3, False)], "id int, ok boolean")
+    with pytest.raises(Exception, match="not one row on each side"):
+        audits.aligned(left, right, "id", {"ok": "other"}).collect()
+    assert audits.aligned(left, left, "id", {"ok": "other"}).count() == 2
+
+
+def test_arms_of_a_pair_have_one_skeleton(spark):
+    rows_ = catalogue.QUERIES["p08_family_render"](spark, DATA).join(registry.Tables(spark, DATA)["items"].select("id", "pair_id"), "id")
+    same = rows_.groupBy("pair_id").count().where("count = 2")
+    assert same.count() > 0
+    mixed = render.minimal_pairs(rows_.join(same, "pair_id"))
+    # an explicit and an implicit arm are no minimal pair, and are told
+    presentations = registry.Tables(spark, DATA)["items"].groupBy("pair_id").agg({"presentation": "min"}).count()
+    assert mixed.count() < presentations
+
+
+def test_top_k_searches_every_row(spark):
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas()
     v = np.array(e.embedding.tolist(), float)
     want = set()
     for q in np.flatnonzero(e.vec_id % 20 == 0):
         sim = (v @ v[q]).round(6)
         want |= {(int(e.vec_id[q]), int(e.vec_id[i])) for i in np.lexsort((-e.vec_id, -sim))[:3]}
-    got = spark.sql(registry.PLANS["o01_top_k_retrieval"](registry.Spark())).collect()
+    got = catalogue.QUERIES["o01_top_k_retrieval"](spark, DATA).collect()
     assert {(r.query_id, r.vec_id) for r in got} == want and len(got) == len(want)
+
+
+def test_variants_are_calibrated_on_their_own_split(spark):
+    rows_ = [("v", "calib", True, False, "A" if i < 80 else "B", "A", i / 100) for i in range(100)] + [("v", "test", True, False, "A", "A", u) for u in (0.5, 0.99, None)]
+    out = cohort.run_variants(spark.createDataFrame(rows_, "variant string, split string, uq boolean, gate_fired boolean, pred string, label string, u double").withColumn("abstained", cohort.F.lit(False)).withColumn("correct", cohort.F.lit(False)))
+    assert [r.abstained for r in out.where("split = 'test'").orderBy(cohort.F.col("u").asc_nulls_last()).collect()] == [False, True, True]

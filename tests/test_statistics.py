@@ -1,11 +1,14 @@
+from fractions import Fraction
+from math import comb
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from counterlens.functions import clinical, spans
-from counterlens.operators import conformal, metrics
+from counterlens.functions import binomial, clinical, spans
+from counterlens.operators import conformal, gates, inference, metrics, ordered, retrieval
 from counterlens.sources import files
 from counterlens.streaming import monitors
 
@@ -21,13 +24,13 @@ def test_fewest_items_that_certify():
 
 
 def test_thresholds(spark):
-    assert tau(spark, np.linspace(0, 1, 100), [True] * 100) == 1.0
-    assert tau(spark, [0.1, 0.2, 0.3, 0.4], [False] * 4) == float("-inf")
-    assert tau(spark, [0.1] * 14, [True] * 14) == float("-inf")
-    assert tau(spark, [0.5] * 30 + [0.9], [True] * 30 + [False]) == 0.5
-    assert tau(spark, [], []) == float("-inf")
-    assert tau(spark, [0.1, 0.2, 0.3, 0.4, 0.5], [True, True, False, True, False], "legacy", 0.5) == 0.5
-    assert tau(spark, [0.1, 0.2, 0.3, 0.4, 0.5], [False] * 5, "legacy") == 0.1
+    assert tau(spark, [i / 7 for i in range(60)], [True] * 60) == 59 / 7
+    assert tau(spark, [1.0, 2.0], [False] * 2) == float("-inf") == tau(spark, [], [])
+    assert tau(spark, [3.0] * 21, [True] * 21) == float("-inf") and tau(spark, [3.0] * 22, [True] * 22) == 3.0
+    # a later set may certify although an earlier one does not
+    assert tau(spark, [0.1] + [0.2] * 60, [False] + [True] * 60) == 0.2
+    assert tau(spark, [1.0, 2.0, 3.0, 4.0], [True, False, True, False], "legacy", 0.4) == 3.0
+    assert tau(spark, [2.0, 5.0], [False] * 2, "legacy") == 2.0
     with pytest.raises(ValueError):
         tau(spark, [0.1], [True], "other")
 
@@ -42,15 +45,105 @@ def test_stricter_confidence_never_retains_more(spark):
 @given(st.integers(1, 60), st.data())
 @settings(max_examples=60, deadline=None)
 def test_upper_limit_solves_the_binomial_tail(n, data):
-    from math import comb
-
     k = data.draw(st.integers(0, n))
-    u = spans.binomial_upper(k, n, 0.1)
+    u = binomial.upper([k], [n], [0.1])[0]
     assert u >= k / n
     if k < n:
         assert sum(comb(n, i) * u**i * (1 - u) ** (n - i) for i in range(k + 1)) == pytest.approx(0.1, abs=1e-9)
 
 
+def test_tails_of_large_counts_against_whole_numbers():
+    for n, k in ((10_000, 4_900), (10_000, 5_100), (5_282, 6), (9_999, 9_998), (20_000, 9_000)):
+        exact = Fraction(sum(comb(n, i) for i in range(k + 1)), 2**n)
+        assert binomial.tail([k], [n], [0.5])[0] == pytest.approx(float(exact), rel=1e-9, abs=1e-300)
+    assert binomial.tail([-1, 3, 0], [3, 3, 3], [0.2, 0.2, 0.2]).tolist() == pytest.approx([0, 1, 0.512])
+    cdf = np.cumsum([comb(500, i) * 0.3**i * 0.7 ** (500 - i) for i in range(501)])
+    assert [binomial.quantile([q], [500], [0.3])[0] for q in (0.025, 0.5, 0.975)] == [int(np.argmax(cdf >= q)) for q in (0.025, 0.5, 0.975)]
+    assert binomial.quantile([0.5, 0.5], [10, 10], [0.0, 1.0]).tolist() == [0, 10]
+
+
+def test_mcnemar_of_many_discordant_rows(spark):
+    rows = spark.range(5282).select((F.col("id") >= 6).alias("after"))
+    got = inference.mcnemar(rows.withColumn("before", ~F.col("after")), F.col("before"), F.col("after"), []).first()
+    assert (got.b01, got.b10) == (5276, 6) and got.p_value < 1e-300
+    even = inference.mcnemar(spark.createDataFrame([(True, True)], "before boolean, after boolean"), F.col("before"), F.col("after"), []).first()
+    assert (even.b01, even.b10, even.p_value) == (0, 0, 1.0)
+
+
+def _area(score, wrong):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in np.unique(score):
+        rank[score == v] = rank[score == v].mean()
+    p = wrong.sum()
+    return (rank[wrong].sum() - p * (p + 1) / 2) / (p * (len(score) - p))
+
+
+def test_bootstraps_resample_units(spark, monkeypatch):
+    """Against plain resampling of rows and clusters; the cut of scores into ranges changes nothing."""
+    rnd = np.random.default_rng(3)
+    wrong = rnd.random(400) < 0.3
+    a, b = (rnd.normal(size=400) + 0.8 * wrong).round(1), rnd.normal(size=400).round(1)
+    df = spark.createDataFrame([("g", float(x), float(y), bool(w), int(i % 40)) for i, (x, y, w) in enumerate(zip(a, b, wrong))], "g string, a double, b double, w boolean, c int")
+    idx = rnd.integers(0, 400, (1500, 400))
+    drawn = np.array([(_area(a[i], wrong[i]), _area(b[i], wrong[i])) for i in idx])
+    one = inference.auroc_interval(df, "a", F.col("w"), ["g"], 1500).first()
+    assert one.auroc == pytest.approx(_area(a, wrong)) and [one.lo, one.hi] == pytest.approx(np.quantile(drawn[:, 0], [0.025, 0.975]).tolist(), abs=0.012)
+    two = inference.paired_delta(df, "a", "b", F.col("w"), ["g"], 1500).first()
+    assert two.n == 400 and two.delta == pytest.approx(_area(a, wrong) - _area(b, wrong)) and [two.lo, two.hi] == pytest.approx(np.quantile(drawn[:, 0] - drawn[:, 1], [0.025, 0.975]).tolist(), abs=0.02)
+    monkeypatch.setattr(inference, "CELLS_A_TASK", 20)
+    again = inference.paired_delta(df, "a", "b", F.col("w"), ["g"], 1500).first()
+    assert [again.lo, again.hi, again.delta, again.p] == pytest.approx([two.lo, two.hi, two.delta, two.p])
+    c = np.arange(400) % 40
+    s, n = np.bincount(c, wrong), np.bincount(c)
+    pick = rnd.integers(0, 40, (4000, 40))
+    got = inference.cluster_interval(df, "c", F.col("w"), ["g"], 4000).first()
+    assert [got.lo, got.hi] == pytest.approx(np.quantile(s[pick].sum(1) / n[pick].sum(1), [0.025, 0.975]).tolist(), abs=0.012)
+    flags = inference.mean_interval(df, F.col("w"), ["g"]).first()
+    assert [flags.lo, flags.hi] == pytest.approx(np.quantile(wrong[idx].mean(1), [0.025, 0.975]).tolist(), abs=0.008)
+    few = inference.difference_interval(spark.createDataFrame([(1, 9, 3, 20), (30, 100, 60, 100)], "k1 int, n1 int, k2 int, n2 int"), []).collect()
+    assert few[0].lo is None and few[1].lo < -0.3 < few[1].hi < 0
+
+
+def test_running_sums_and_places_do_not_depend_on_ranges(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(["x", None][int(g)], float(round(v, 1)) + 0.0, i, int(n)) for i, (g, v, n) in enumerate(zip(rnd.integers(0, 2, 300), rnd.normal(size=300), rnd.integers(0, 9, 300)))]
+    df = spark.createDataFrame(rows, "g string, v double, i int, n int")
+    want = {}
+    for g in ("x", None):
+        total = 0
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            total += r[3]
+            want[r[2]] = total
+    for ranges in (1, 2, 16):
+        got = ordered.running(df, ["g"], ["v", "i"], {"s": "n"}, total="m", ranges=ranges).collect()
+        assert {r.i: r.s for r in got} == want and {(r.g, r.m) for r in got} == {(g, sum(r[0] == g for r in rows)) for g in ("x", None)}
+    placed = ordered.numbered(df.withColumn("h", F.col("i") * 997 % 1000003), [], ["h", "i"], ranges=5).collect()
+    assert sorted((r.h, r.place) for r in placed) == [(h, k + 1) for k, h in enumerate(sorted(i * 997 % 1000003 for i in range(300)))]
+
+
+def test_clinical_gate_declines(spark):
+    notes = ["A 60-year-old man on metformin. Creatinine 2.1 mg/dL and later creatinine 3.3 mg/dL.", "A 60-year-old man on metformin, creatinine 2.1.", "His wife says her metformin stays, creatinine 2.1 mg/dL, aged 60.", "A 60-year-old man on metformin. Cr 2.9 mg/dL.", "cr 2.9 mg/dL, metformin, 60-year-old man", "ondansetron, QT 480 ms, pulse 10 bpm", None, "nothing of note"]
+    got = [(r.fired, r.declined) for r in gates.clinical_gate(spark.createDataFrame([(i, n) for i, n in enumerate(notes)], "i int, note string").coalesce(1), "note").orderBy("i").collect()]
+    assert got == [(False, "creatinine_mgdl"), (False, "creatinine_mgdl"), (False, "sex"), (True, None), (False, "creatinine_mgdl"), (False, "implausible"), (False, "no drug"), (False, "no drug")]
+
+
+def test_retrieval_over_several_blocks(spark, monkeypatch):
+    corpus = spark.createDataFrame([(i, f"word{i % 7} term{i % 5} alpha beta{i}") for i in range(40)], "id long, text string")
+    asked = spark.createDataFrame([(1, "word3 term2 alpha"), (2, "nothing known"), (3, None), (4, "alpha beta7 beta7")], "q long, text string")
+    whole = sorted(map(tuple, retrieval.top_passages(asked, corpus, "q", "id").collect()))
+    monkeypatch.setattr(retrieval, "BLOCK_ENTRIES", 60)
+    assert sorted(map(tuple, retrieval.top_passages(asked, corpus, "q", "id").collect())) == whole
+    assert [(r[0], r[2]) for r in whole if r[0] in (2, 3)] == [(2, 39), (2, 38), (2, 37), (3, 39), (3, 38), (3, 37)] and next(r for r in whole if r[0] == 4)[2] == 7
+
+
+def test_a_report_is_never_cut(spark):
+    with pytest.raises(ValueError):
+        files.report(spark.range(20), limit=19)
+    assert len(files.report(spark.range(20), limit=20).split("\n")) == 22
+
+
 def test_scores_of_a_hand_made_table(spark):
     rows = [("p1", "SAFE", "SAFE", False, None), ("p1", "UNSAFE", "UNSAFE", False, None), ("p2", "SAFE", "SAFE", False, False), ("p2", "UNSAFE", "SAFE", False, False), ("p3", "SAFE", None, False, False), ("c1", "SAFE", "SAFE", False, True), ("c1", "SAFE", "UNSAFE", False, True), ("p4", "UNSAFE", "SAFE", True, False), ("p4", "SAFE", "SAFE", False, False)]
     got = metrics.score(spark.createDataFrame([("v", *r) for r in rows], "v string, pair_id string, label string, pred string, abstained boolean, is_control boolean"), ["v"]).first()
@@ -82,8 +175,8 @@ def test_creatinine_inverse_agrees_with_bisection(spark):
 
 
 def test_mentions_and_locations():
-    assert [m[:2] + (round(m[6], 3),) for m in spans.mentions("Creatinine 1.4 mg/dL, later cr 176.8 umol/L")] == [(1.4, "mg/dl", 1.4), (176.8, "umol/l", 2.0)]
-    assert "12" in spans.number_forms(12.0) and "1.5" in spans.number_forms(1.5)
+    assert [m[:2] + (round(m[6], 3),) for m in spans.mentions("Creatinine 1.4 mg/dL, later Cr 176.8 umol/L; Cr 9 and creatine 5 mmol/L")] == [(1.4, "mg/dL", 1.4), (176.8, "umol/L", 2.0)]
+    assert spans.places("12.5 of 112.5 or 12.55", 12.5) == {(0, 4)} and spans.places("12.0", 12.0) == {(0, 2), (0, 4)} and spans.places("3.140", 3.14) == {(0, 5)}
 
 
 def test_files(spark, tmp_path):
