@@ -9,11 +9,16 @@ A round joins every linked document with its group's counts by shard and lets it
 the shard that holds most of its group. Moves obey quotas: a shard takes groups with the
 probability (decided by a hash of group and round) that its free room is of the wanted
 moves. After ``ROUNDS`` rounds, or once nothing wants to move, the law ``rows`` is made
-exact: shard i keeps at most its share of documents, linked ones first, and the others
-fill the shares that have room. Shard sizes so differ by one row at most.
+exact. A shard keeps stars that it holds whole, in the order of a hash, as far as its
+share of documents reaches; the other stars, each in one run, and then the documents
+without a link fill the shares that have room. So a star is cut only where one shard's
+room ends, which happens to fewer stars than there are shards. Shard sizes differ by one
+row at most.
 
-Ranks inside a shard are taken in hash ranges with totals summed beforehand, so no task
-holds a shard.
+Places of pieces are running sums in hash ranges with totals summed beforehand, and
+places inside a large piece are taken in hash ranges too, so no task holds a shard or a
+group. Keys that hold more than one row in ``HOT`` are joined by broadcast (there are at
+most ``HOT`` of them), the others by a shuffle in which none is that large.
 
 Cases: null text counts no bytes, has crc32 0 and is linked with nothing; empty texts
 are equal to each other. Rows with equal ids are separate documents. With fewer
@@ -26,26 +31,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterlens.llm.shared import Scratch
+from counterlens.llm.shared import HOT, Scratch, with_each
 
 SHARDS = 24
 ROUNDS = 4
 RANGES = 64
+RANGE_ROWS = 1_000_000
 SCALE = 1 << 30
+ROW = ["doc_id", "size", "text_crc32"]
 
 
-def _ranked(df: DataFrame, keys: list[str], tie: list[str], ranges: int) -> DataFrame:
-    """``df`` with slot: 0, 1, ... inside each value of ``keys``, in the order (range, *tie).
+def _starts(pieces: DataFrame, keys: list[str], order: list[str], ranges: int, of: str | None = None) -> DataFrame:
+    """``pieces`` with start: the sum of n before each piece of a key, in the order of (range, *order). Pieces of one ``of`` share a range."""
+    ranged = pieces.withColumn("_range", F.pmod(F.xxhash64(*([of] if of else order)), F.lit(ranges)))
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
+    sums = sums.select(*keys, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = F.sum("n").over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    out = ranged.withColumn("_inside", inside).join(sums, [*keys, "_range"])
+    return out.withColumn("start", (F.col("_ahead") + F.col("_inside")).cast("long")).drop("_range", "_ahead", "_inside")
+
 
-    Counts by range are (values of keys) x ranges rows: shards times one for each million rows.
-    """
-    ranged = df.withColumn("_range", F.pmod(F.xxhash64(*tie), F.lit(ranges)))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with place: 0, 1, ... inside each value of ``keys``, of which column n says how many rows it has."""
+    ranged = rows.withColumn("_range", F.pmod(F.xxhash64(*ROW), F.ceil(F.col("n") / F.lit(RANGE_ROWS))))
+    counts = ranged.where(F.col("n") > RANGE_ROWS).groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*tie)) - 1
-    out = ranged.withColumn("_inside", inside).join(F.broadcast(counts), [*keys, "_range"])
-    return out.withColumn("slot", (F.col("_ahead") + F.col("_inside")).cast("long")).drop("_range", "_ahead", "_inside")
+    counts = counts.select(*keys, "_range", F.sum("_n").over(ahead).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*ROW)) - 1
+    out = ranged.withColumn("_inside", inside).join(counts, [*keys, "_range"], "left")
+    return out.withColumn("place", (F.coalesce("_ahead", F.lit(0)) + F.col("_inside")).cast("long")).drop("_range", "_ahead", "_inside")
 
 
 def _choose(value: Column, options: list) -> Column:
@@ -66,15 +81,17 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int =
     total = facts.count()
     room = -(-total // shards)
     part_rows = max(2, room // 2)
-    ranges = max(RANGES, total // 1_000_000)
+    ranges = max(RANGES, total // RANGE_ROWS)
 
     # linked documents: groups of at least two, large ones in parts
-    groups = facts.where("text_hash IS NOT NULL").groupBy("text_hash", "text_crc32", "size").agg(F.count("*").alias("members")).where("members > 1")
+    text = ["text_hash", "text_crc32", "size"]
+    groups = facts.where("text_hash IS NOT NULL").groupBy(*text).agg(F.count("*").alias("members")).where("members > 1")
+    known = with_each(facts, scratch.table(groups, "groups"), text, "members", total, HOT)
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int")
     piece = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("members") / F.lit(part_rows)))
-    linked = facts.join(groups, ["text_hash", "text_crc32", "size"])
-    state = linked.select("doc_id", "size", "text_crc32", "text_hash", F.xxhash64("text_hash", "text_crc32", "size", piece).alias("star"), start.alias("shard"))
-    state = scratch.table(state, "state-0")
+    star = F.when(F.col("members").isNotNull(), F.xxhash64(*text, piece))
+    placed = scratch.table(known.select(*ROW, star.alias("star"), start.alias("shard")), "placed")
+    state = placed.where("star IS NOT NULL")
     for k in range(1, rounds + 1):
         cells = state.groupBy("star", "shard").agg(F.count("*").alias("n"))
         # most members first, then by a hash, so that ties do not all favour one shard
@@ -90,30 +107,40 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, rounds: int =
             moving, staying = asked.get(i, (0, 0))
             chances.append(min(SCALE, max(0, room - staying) * SCALE // moving) if moving else SCALE)
         allowed = F.pmod(F.xxhash64("star", F.lit(k)), F.lit(SCALE)) < _choose(F.col("goal"), chances)
-        moved = state.join(wants.where("moving > 0").select("star", F.when(allowed, F.col("goal")).alias("goal")), "star", "left")
-        state = scratch.table(moved.withColumn("shard", F.coalesce("goal", "shard")).drop("goal"), f"state-{k}")
-        scratch.drop(f"state-{k - 1}")
+        goals = wants.where("moving > 0").select("star", F.when(allowed, F.col("goal")).alias("goal"), (F.col("moving") + F.col("staying")).alias("rows"))
+        moved = with_each(state, goals, ["star"], "rows", total, HOT)
+        state = scratch.table(moved.select(*ROW, "star", F.coalesce("goal", "shard").alias("shard")), f"state-{k}")
+        if k > 1:
+            scratch.drop(f"state-{k - 1}")
 
     # the law: shard i holds total // shards rows, one more where i < total % shards
     share = [total // shards + (i < total % shards) for i in range(shards)]
-    cols = ["doc_id", "size", "text_crc32"]
-    alone = facts.join(groups.select("text_hash", "text_crc32", "size"), ["text_hash", "text_crc32", "size"], "left_anti").select(*cols)
-    # stars stay together in the order of ranks, so that a full shard cuts few of them
-    kept = scratch.table(_ranked(state, ["shard"], ["star", "doc_id", "text_crc32", "size"], ranges).select(*cols, "shard", "slot"), "kept")
-    fits = F.col("slot") < _choose(F.col("shard"), share)
-    pool = kept.where(~fits).select(*cols).unionByName(alone).withColumn("pool", F.lit(0))
-    held = {r["shard"]: r["n"] for r in kept.where(fits).groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    pieces = state.groupBy("shard", "star").agg(F.count("*").alias("n"))
+    pieces = scratch.table(pieces.withColumn("shards", F.count("*").over(Window.partitionBy("star"))), "pieces")
+    whole = scratch.table(_starts(pieces.where("shards = 1"), ["shard"], ["star"], ranges), "whole")
+    fits = F.col("start") + F.col("n") <= _choose(F.col("shard"), share)
+    held = {r["shard"]: r["n"] for r in whole.where(fits).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    # pieces that found no room, and those of a star in several shards, come first in the pool, star by star
+    loose = pieces.where("shards > 1").drop("shards").unionByName(whole.where(~fits).select("shard", "star", "n"))
+    loose = _starts(loose.withColumn("pool", F.lit(0)), ["pool"], ["star", "shard"], ranges, of="star").drop("pool")
+    settled = whole.where(fits).select("shard", "star", "n", "start", F.lit(True).alias("fits"))
+    settled = scratch.table(settled.unionByName(loose.select("shard", "star", "n", "start", F.lit(False).alias("fits"))), "settled")
+    linked = _places(with_each(state, settled, ["shard", "star"], "n", total, HOT), ["shard", "star"])
+    linked = scratch.table(linked.select(*ROW, "shard", "fits", (F.col("start") + F.col("place")).alias("slot")), "linked")
+    n_loose = state.count() - sum(held.values())
+    alone = placed.where("star IS NULL").select(*ROW).withColumns({"n": F.lit(1).cast("long"), "_tie": F.monotonically_increasing_id()})
+    alone = _starts(alone.withColumn("pool", F.lit(0)), ["pool"], [*ROW, "_tie"], ranges)
+    pool = linked.where("NOT fits").select(*ROW, "slot").unionByName(alone.select(*ROW, (F.col("start") + n_loose).alias("slot")))
     ends, begins, at = [], [], 0
     for i in range(shards):
         begins.append(at)
         at += share[i] - held.get(i, 0)
         ends.append(at)
-    filled = _ranked(pool, ["pool"], ["doc_id", "text_crc32", "size"], ranges)
     goal = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("slot"))).cast("int")
-    filled = filled.withColumn("shard", goal)
+    filled = pool.withColumn("shard", goal)
     filled = filled.withColumn("slot", (F.col("slot") - _choose(goal, begins) + _choose(goal, [held.get(i, 0) for i in range(shards)])).cast("long"))
-    out = kept.where(fits).select(*cols, "shard", "slot").unionByName(filled.select(*cols, "shard", "slot"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = linked.where("fits").select(*ROW, "shard", "slot").unionByName(filled.select(*ROW, "shard", "slot"))
+    return out.select(*ROW, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -55,6 +55,22 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+HOT = 2_000
+
+
+def with_each(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, hot: int = HOT) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has one row a key and in ``weight`` (not null) the rows of the key.
+
+    A key is heavy if it holds more than one row in ``hot`` of ``total``: at most ``hot``
+    keys are, and those are broadcast. The others are shuffled, none of them large.
+    """
+    heavy, others = F.col(weight) * hot > total, [c for c in table.columns if c not in keys]
+    marked = rows.join(F.broadcast(table.where(heavy).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in others])), keys, "left")
+    done = marked.where(F.col(f"_hot_{weight}").isNotNull()).select(*rows.columns, *[F.col(f"_hot_{c}").alias(c) for c in others])
+    rest = marked.where(F.col(f"_hot_{weight}").isNull()).select(*rows.columns)
+    return done.unionByName(rest.join(table.where(~heavy), keys, "left").select(*rows.columns, *others))
+
+
 def carry(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
     """``docs`` with columns other than ``own`` under names that no operator uses.
 
