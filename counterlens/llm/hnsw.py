@@ -1,29 +1,33 @@
-"""Nearest neighbours by inner product: one navigable small-world graph a shard.
-
-Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of their id. A shard's graph
-has levels: every node is on level 0, one in ``LEVEL_STEP`` (by the same hash) on each
-next. On a level a node's neighbours are taken from its nearest nodes of that level, by
-blocks of exact products inside the shard, thinned so that they lie in different
-directions, with links back to it added. Neighbours are stored as flat arrays with a
-fixed number of places. A search enters at the top, goes greedily down to level 0 and
-there keeps the ``EF`` best nodes seen, opening several of the best unopened ones of all
-queries of a block at a time. Inner products are searched on vectors brought to one
-length by a further component, so the graph is one of angles and large vectors are not
-passed over. Each shard returns its best for every query, with the product in double
-precision on the original vectors; results are merged by rank.
+"""Nearest neighbours by inner product: one hierarchical navigable small-world graph a shard.
+
+Rows are dealt to shards by a hash of their id and vector. A shard's graph has levels:
+every node is on level 0, one in ``LEVEL_STEP`` (by a hash) on each next. Levels are built
+from the top by insertion: a new node searches the graph built so far for its nearest
+nodes, links to some of them that lie in different directions, and is linked back; a node
+with too many links chooses among them again. Nodes of the level above are inserted first,
+so each level begins with links that reach far. Neighbours are stored as flat arrays with a
+fixed number of places. A search enters at all nodes of the top level and goes down with a
+beam of ``BEAM``; on level 0 it keeps the best ``ef`` nodes seen, opening several of the
+best unopened ones of all queries of a block at a time. Inner products are searched on
+vectors brought to one length by a further component, so the graph is one of angles and
+large vectors are not passed over. Each shard returns its best for every query, with the
+product in double precision on the original vectors; results are merged by rank.
+
+How wide a search must be depends on the vectors. So each shard, once built, answers
+``TRIALS`` of its own vectors by search and by brute force and keeps the smallest ``ef`` of
+a doubling series whose recall is at least ``AIM``. Where that would have it look at much
+of the shard, it is scanned instead. Every row is indexed; the trials only set ``ef``.
 
 Rows of one vector are one node of their shard's graph: copies would link to one another
 only and become unreachable. Their ids stand beside the node, ascending, and are listed
 after the search, as many as the result can hold.
 
-Recall is measured in the tests against brute force. In shards of at most ``EF`` distinct
-vectors the search sees every node, so small tables are exact.
-
-Cases: a vector that is null, empty, zero, of another length than most, or holds a null or
-a component that is not finite takes no part, nor does a row without an id. Rows that
-share an id are separate candidates, but none answers a query of its own id. With fewer
-than k candidates all are returned. Ties go to the smaller id. An empty table gives an
-empty result. Columns other than the id and the vector are ignored.
+Cases: a vector that is null, empty, zero, or holds a null or a component that is not
+finite takes no part, nor does a row without an id. Vectors of different lengths have no
+product: each length is searched by itself. Rows that share an id are separate
+candidates, but none answers a query of its own id. With fewer than k candidates all are
+returned. Ties go to the smaller id. An empty table gives an empty result. Columns other
+than the id and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -36,62 +40,53 @@ from pyspark.sql import functions as F
 from counterlens.llm import kernel as K
 from counterlens.llm.shared import Scratch
 
-SHARD_ROWS = 8_192
-QUERY_ROWS = 4_096
+#: Rows of a shard: as many as make about ``SHARDS`` of them, within these bounds.
+SHARD_ROWS = (16_384, 131_072)
+SHARDS = 512
+QUERY_ROWS = 16_384
 LINKS = 32
-NEAREST = 64
 LEVEL_STEP = 32
-EF = 200
+BEAM = 32
+BUILD_EF = 96
+INSERT = 512
 OPEN = 8
-
-
-def _nearest(x: np.ndarray, k: int) -> np.ndarray:
-    """Each row's k nearest other rows by product, nearest first; -1 where there are fewer."""
-    n = len(x)
-    k = min(k, n - 1)
-    out = np.full((n, k), -1, np.int32)
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -np.inf
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < n else np.argsort(-s, axis=1)[:, :k]
-        order = np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable")
-        out[a : a + 512] = np.take_along_axis(top, order, 1)
-    return out
-
-
-def _links(x: np.ndarray, links: int) -> np.ndarray:
-    """Neighbour array (rows x links) of one level, -1 in unused places."""
-    n = len(x)
-    if n < 2:
-        return np.full((n, links), -1, np.int32)
-    near = _nearest(x, NEAREST)
-    out = np.full((n, links), -1, np.int32)
-    half = links // 2
-    for a in range(0, n, 1024):
-        own = near[a : a + 1024]
-        v = x[own]
-        to_self = np.einsum("ijd,id->ij", v, x[a : a + 1024])
-        among = np.einsum("ijd,ikd->ijk", v, v)
-        # a candidate stays if no kept one is nearer to it than the node is
-        kept = np.zeros(own.shape, bool)
-        count = np.zeros(len(own), np.int32)
-        for j in range(own.shape[1]):
-            blocked = (kept & (among[:, j] > to_self[:, j, None])).any(axis=1)
-            kept[:, j] = ~blocked & (count < half)
+TRIALS = 128
+AIM = 0.97
+TOP = 20
+
+
+def _exact(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k best rows of x, best first."""
+    k, out = min(k, len(x)), []
+    for a in range(0, len(q), max(1, (1 << 24) // len(x))):
+        s = q[a : a + max(1, (1 << 24) // len(x))] @ x.T
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1).astype(np.int32))
+    return np.concatenate(out)
+
+
+def _choose(x: np.ndarray, own: np.ndarray, cand: np.ndarray, limit: int) -> np.ndarray:
+    """Of candidates (-1 for none) at most ``limit`` for each node: those nearer to it than to any chosen one, then the nearest others."""
+    out = np.full((len(own), limit), -1, np.int32)
+    for a in range(0, len(own), 256):
+        c = cand[a : a + 256]
+        v = x[c]
+        near = np.einsum("ijd,id->ij", v, x[own[a : a + 256]])
+        near[(c < 0) | (c == own[a : a + 256, None])] = -np.inf
+        order = np.argsort(-near, axis=1, kind="stable")
+        c, near, v = np.take_along_axis(c, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(v, order[:, :, None], 1)
+        again = np.zeros(c.shape, bool)  # the same candidate twice: equal scores stand together
+        again[:, 1:] = c[:, 1:] == c[:, :-1]
+        real = np.isfinite(near) & ~again
+        among = v @ v.transpose(0, 2, 1)
+        kept, count = np.zeros(c.shape, bool), np.zeros(len(c), np.int32)
+        for j in range(c.shape[1]):
+            blocked = (kept & (among[:, j] > near[:, j, None])).any(axis=1)
+            kept[:, j] = real[:, j] & ~blocked & (count < limit)
             count += kept[:, j]
-        # kept ones first, then the nearest others, up to half of the places
-        rank = np.argsort(np.where(kept, 0, 1) * own.shape[1] + np.arange(own.shape[1]), axis=1, kind="stable")[:, :half]
-        out[a : a + 1024, : rank.shape[1]] = np.take_along_axis(own, rank, 1)
-    # links back, nearest first, in the places that are left
-    src = np.repeat(np.arange(n, dtype=np.int32), half)
-    dst = out[:, :half].reshape(-1)
-    src, dst = src[dst >= 0], dst[dst >= 0]
-    score = np.einsum("ij,ij->i", x[src], x[dst])
-    order = np.lexsort((-score, dst))
-    src, dst = src[order], dst[order]
-    place = np.arange(len(dst)) - np.searchsorted(dst, dst)
-    ok = place < links - half
-    out[dst[ok], half + place[ok]] = src[ok]
+        rank = np.argsort(np.where(kept, 0, np.where(real, 1, 2)), axis=1, kind="stable")[:, :limit]
+        best = np.where(np.take_along_axis(real, rank, 1), np.take_along_axis(c, rank, 1), -1)
+        out[a : a + 256, : best.shape[1]] = best
     return out
 
 
@@ -99,51 +94,76 @@ class Graph:
     """Flat arrays of one shard: unit vectors, and by level its nodes and their neighbours."""
 
     def __init__(self, x: np.ndarray, hashes: np.ndarray):
-        self.x, self.levels = x, [(np.arange(len(x), dtype=np.int32), _links(x, LINKS))]
-        step = LEVEL_STEP
-        while step < 1 << 40 and (nodes := np.flatnonzero(hashes % K.U64(step) == 0).astype(np.int32)).size:
-            links = _links(x[nodes], LINKS // 2)
-            self.levels.append((nodes, np.where(links < 0, -1, nodes[links])))
+        self.x = x
+        sets, step = [np.arange(len(x), dtype=np.int32)], LEVEL_STEP
+        while step < 1 << 40 and len(sets[-1]) > LEVEL_STEP and (nodes := np.flatnonzero(hashes % K.U64(step) == 0).astype(np.int32)).size:
+            sets.append(nodes)
             step *= LEVEL_STEP
-
-    def entry(self, q: np.ndarray) -> np.ndarray:
-        """Node of level 0 at which each query starts."""
-        here = np.zeros(len(q), np.int32)
-        for depth in range(len(self.levels) - 1, 0, -1):
-            nodes, links = self.levels[depth]
-            if depth == len(self.levels) - 1:
-                here = np.full(len(q), nodes[0], np.int32)
-            best = np.einsum("ij,ij->i", q, self.x[here])
-            active = np.arange(len(q))
-            while len(active):
-                at = np.searchsorted(nodes, here[active])
-                next_ = links[at]
-                s = np.einsum("ijd,id->ij", self.x[next_], q[active])
-                s[next_ < 0] = -np.inf
-                j = s.argmax(axis=1)
-                top = s[np.arange(len(j)), j]
-                better = top > best[active]
-                active, j, top, next_ = active[better], j[better], top[better], next_[better]
-                here[active], best[active] = next_[np.arange(len(j)), j], top
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = [(s, np.zeros((0, 0), np.int32)) for s in sets]
+        for depth in reversed(range(len(sets))):
+            self._build(depth, hashes, sets[depth + 1] if depth + 1 < len(sets) else sets[depth][:0])
+
+    def _build(self, depth: int, hashes: np.ndarray, above: np.ndarray) -> None:
+        nodes, x = self.levels[depth][0], self.x
+        width = LINKS if depth == 0 else LINKS // 2
+        links = np.full((len(nodes), width), -1, np.int32)
+        self.levels[depth] = (nodes, links)
+        rest = np.setdiff1d(nodes, above)
+        rest = rest[np.argsort(hashes[rest], kind="stable")]
+        first = np.concatenate((above, rest[: max(0, INSERT - len(above))]))
+        rest = rest[max(0, INSERT - len(above)) :]
+        near = first[_exact(x[first], x[first], min(len(first), 2 * width + 1))]
+        self._link(depth, first, near)
+        for a in range(0, len(rest), INSERT):
+            new = rest[a : a + INSERT]
+            start = self._descend(x[new], depth) if depth + 1 < len(self.levels) else np.tile(first[: 2 * BEAM], (len(new), 1))
+            found = self._beam(depth, x[new], start, BUILD_EF)
+            self._link(depth, new, found[:, : 2 * width])
+
+    def _link(self, depth: int, new: np.ndarray, cand: np.ndarray) -> None:
+        """Links of new nodes to some of their candidates, and back."""
+        nodes, links = self.levels[depth]
+        half = links.shape[1] // 2
+        out = _choose(self.x, new, cand, half)
+        links[np.searchsorted(nodes, new), :half] = out
+        src, dst = np.repeat(new, half), out.reshape(-1)
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        score = np.einsum("ij,ij->i", self.x[src], self.x[dst])
+        order = np.lexsort((-score, dst))
+        src, dst = src[order], dst[order]
+        target, begin, count = np.unique(dst, return_index=True, return_counts=True)
+        if not len(target):
+            return
+        place = np.arange(len(dst)) - np.repeat(begin, count)
+        ok = place < links.shape[1]
+        more = np.full((len(target), links.shape[1]), -1, np.int32)
+        more[np.repeat(np.arange(len(target)), count)[ok], place[ok]] = src[ok]
+        at = np.searchsorted(nodes, target)
+        links[at] = _choose(self.x, target, np.concatenate((links[at], more), 1), links.shape[1])
+
+    def _descend(self, q: np.ndarray, depth: int) -> np.ndarray:
+        """Nodes of the level above ``depth`` at which each query enters it."""
+        top = self.levels[-1][0]
+        here = np.tile(top[: 4 * LEVEL_STEP], (len(q), 1))
+        for level in range(len(self.levels) - 1, depth, -1):
+            here = self._beam(level, q, here, max(BEAM, 1))[:, :BEAM]
         return here
 
-    def search(self, q: np.ndarray, ef: int) -> np.ndarray:
-        """The ef best nodes seen for each query, best first; -1 in unused places."""
-        n, m = len(self.x), len(q)
-        if n <= ef:
-            return np.tile(np.arange(n, dtype=np.int32), (m, 1))
-        links = self.levels[0][1]
+    def _beam(self, depth: int, q: np.ndarray, start: np.ndarray, ef: int) -> np.ndarray:
+        """The ef best nodes of a level that were seen for each query, best first; -1 in unused places."""
+        nodes_of, links = self.levels[depth]
+        m, n, ef = len(q), len(nodes_of), max(ef, start.shape[1])
         seen = np.zeros((m, n), bool)
-        nodes = np.full((m, ef), -1, np.int32)
-        score = np.full((m, ef), -np.inf, np.float32)
-        opened = np.ones((m, ef), bool)
-        start = self.entry(q)
-        nodes[:, 0], score[:, 0], opened[:, 0] = start, np.einsum("ij,ij->i", q, self.x[start]), False
-        seen[np.arange(m), start] = True
-        active = np.arange(m)
+        nodes, score, opened = np.full((m, ef), -1, np.int32), np.full((m, ef), -np.inf, np.float32), np.ones((m, ef), bool)
+        nodes[:, : start.shape[1]] = np.where(start >= 0, np.searchsorted(nodes_of, start), -1)
+        row, col = np.nonzero(nodes >= 0)
+        seen[row, nodes[row, col]] = True
+        score[row, col] = np.einsum("ij,ij->i", self.x[nodes_of[nodes[row, col]]], q[row])
+        opened[row, col] = False
+        active, open_ = np.arange(m), min(OPEN, ef)
         while len(active):
             s, o = score[active], opened[active]
-            pick = np.argpartition(np.where(o, np.inf, -s), OPEN - 1, axis=1)[:, :OPEN]
+            pick = np.argpartition(np.where(o, np.inf, -s), open_ - 1, axis=1)[:, :open_]
             usable = ~np.take_along_axis(o, pick, 1)
             live = usable.any(axis=1)
             active, pick, usable = active[live], pick[live], usable[live]
@@ -156,12 +176,12 @@ class Graph:
             row = np.repeat(np.arange(len(active)), next_.shape[1])
             flat = next_.reshape(-1)
             fresh = np.flatnonzero(flat >= 0)
-            fresh = fresh[~seen[active[row[fresh]], flat[fresh]]]
-            _, one = np.unique(row[fresh].astype(np.int64) * n + flat[fresh], return_index=True)
-            fresh = fresh[one]
-            row, flat = row[fresh], flat[fresh]
+            flat, row = (np.searchsorted(nodes_of, flat[fresh]) if depth else flat[fresh]), row[fresh]
+            new = np.flatnonzero(~seen[active[row], flat])
+            key = np.unique(row[new].astype(np.int64) * n + flat[new])
+            row, flat = np.divmod(key, n)
             seen[active[row], flat] = True
-            got = np.einsum("ij,ij->i", self.x[flat], q[active[row]])
+            got = np.einsum("ij,ij->i", self.x[nodes_of[flat]], q[active[row]])
             good = got > score[active].min(axis=1)[row]
             row, flat, got = row[good], flat[good], got[good]
             width = np.bincount(row, minlength=len(active))
@@ -176,8 +196,25 @@ class Graph:
             all_o = np.concatenate((opened[active], more_n < 0), 1)
             top = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
             nodes[active], score[active], opened[active] = (np.take_along_axis(x, top, 1) for x in (all_n, all_s, all_o))
-        order = np.argsort(-score, axis=1, kind="stable")
-        return np.take_along_axis(nodes, order, 1)
+        best = np.take_along_axis(nodes, np.argsort(-score, axis=1, kind="stable"), 1)
+        return np.where(best >= 0, nodes_of[best], -1)
+
+    def search(self, q: np.ndarray, ef: int, keep: int) -> np.ndarray:
+        """The ``keep`` best nodes of ef seen for each query, best first; -1 in unused places. A shard of no more than ef nodes is scanned."""
+        if len(self.x) <= ef:
+            return _exact(q, self.x, keep)
+        start = self._descend(q, 0) if len(self.levels) > 1 else np.tile(self.levels[0][0][: 2 * BEAM], (len(q), 1))
+        return self._beam(0, q, start, ef)[:, :keep]
+
+    def tuned(self, q: np.ndarray, k: int) -> int:
+        """The smallest ef of a doubling series that finds ``AIM`` of the exact k best of these queries; all nodes if half of them would be needed."""
+        want, ef = _exact(q, self.x, k), 2 * max(k, BEAM)
+        while 2 * ef < len(self.x):
+            got = self.search(q, ef, k)
+            if np.mean([len(np.intersect1d(a, b)) for a, b in zip(want, got)]) >= AIM * want.shape[1]:
+                return ef
+            ef *= 2
+        return len(self.x)
 
 
 def _widen(v: np.ndarray, longest: float, query: bool) -> np.ndarray:
@@ -188,7 +225,7 @@ def _widen(v: np.ndarray, longest: float, query: bool) -> np.ndarray:
     return np.concatenate((u, np.sqrt(np.maximum(0, 1 - (u * u).sum(axis=1, keepdims=True)))), 1).astype(np.float32)
 
 
-GRAPH = "shard int, ids binary, first binary, vectors binary, longest double, nodes array<binary>, links array<binary>"
+GRAPH = "width int, shard int, ids binary, first binary, vectors binary, longest double, ef int, nodes array<binary>, links array<binary>"
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -208,13 +245,20 @@ def _distinct(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return v[at[turn]], ids[np.argsort(group, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(group, minlength=len(at)))))
 
 
-def _build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    v, ids, first = _distinct(table["vec_id"].to_numpy(), _matrix(table))
-    longest = float(np.linalg.norm(v, axis=1).max())
-    graph = Graph(_widen(v, longest, False), K.mix(ids[first[:-1]].view(K.U64) ^ K.U64(0x9E3779B97F4A7C15)))
-    cols = [[key[0].as_py()], [ids.tobytes()], [first.astype(np.int64).tobytes()], [v.tobytes()], [longest], [[n.tobytes() for n, _ in graph.levels]], [[x.tobytes() for _, x in graph.levels]]]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.binary())]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "ids", "first", "vectors", "longest", "nodes", "links"])
+def _build(k: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        v, ids, first = _distinct(table["vec_id"].to_numpy(), _matrix(table))
+        longest = float(np.linalg.norm(v, axis=1).max())
+        hashes = K.mix(ids[first[:-1]].view(K.U64) ^ K.U64(0x9E3779B97F4A7C15))
+        graph = Graph(_widen(v, longest, False), hashes)
+        trials = np.argsort(K.mix(hashes))[:TRIALS]
+        # copies of a vector, and the query itself, take places of the k wanted; a few more nodes than k are asked for
+        ef = graph.tuned(_widen(v[trials], 0, True), k + 1)
+        cols = [[key[0].as_py()], [key[1].as_py()], [ids.tobytes()], [first.astype(np.int64).tobytes()], [v.tobytes()], [longest], [ef], [[n.tobytes() for n, _ in graph.levels]], [[x.tobytes() for _, x in graph.levels]]]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["width", "shard", "ids", "first", "vectors", "longest", "ef", "nodes", "links"])
+
+    return run
 
 
 def _own_rows(ids: np.ndarray, first: np.ndarray, qid: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -263,25 +307,24 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ask(k: int, ef: int):
+def _ask(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """One shard's graph (left, one row) and one block of queries (right)."""
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        row = left.to_pylist()[0]
-        ids = np.frombuffer(row["ids"], np.int64)
-        first = np.frombuffer(row["first"], np.int64)
-        v = np.frombuffer(row["vectors"], "<f8").reshape(len(first) - 1, -1)
-        graph = Graph.__new__(Graph)
-        graph.x = _widen(v, row["longest"], False)
-        graph.levels = [(np.frombuffer(n, np.int32), np.frombuffer(x, np.int32).reshape(len(n) // 4, -1)) for n, x in zip(row["nodes"], row["links"])]
-        out = []
-        for a in range(0, right.num_rows, 512):
-            part = right.slice(a, 512)
+        row = {c: left[c][0] for c in left.column_names}
+        ids, first = np.frombuffer(row["ids"].as_buffer(), np.int64), np.frombuffer(row["first"].as_buffer(), np.int64)
+        v = np.frombuffer(row["vectors"].as_buffer(), "<f8").reshape(len(first) - 1, -1)
+        graph, ef = Graph.__new__(Graph), row["ef"].as_py()
+        graph.x = _widen(v, row["longest"].as_py(), False)
+        graph.levels = [(np.frombuffer(n.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.int32).reshape(len(n.as_buffer()) // 4, -1)) for n, x in zip(row["nodes"], row["links"])]
+        out, step = [], max(16, min(512, (1 << 26) // max(1, len(v))))
+        for a in range(0, right.num_rows, step):
+            part = right.slice(a, step)
             q, qid = _matrix(part), part["vec_id"].to_numpy()
-            found = graph.search(_widen(q, 0, True), ef)
+            found = graph.search(_widen(q, 0, True), ef, max(4 * k, 2 * BEAM))
             near = products(v[found], q[:, None, :])
             near[found < 0] = -np.inf
             who, vec, score = _listed(ids, first, qid, found, near, k)
@@ -295,25 +338,30 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """vec_id and v (array of doubles) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
-    width = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    return rows.where(F.size("v") == (width["width"] if width else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
 
 
-def search(vectors: DataFrame, is_query: str, scratch: Scratch, k: int = 20, ef: int = EF, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: str, scratch: Scratch, k: int = TOP, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each row that ``is_query`` selects.
 
-    ``vectors`` has vec_id and v, as ``usable`` makes them.
+    ``vectors`` has vec_id and v, as ``usable`` makes them. The work is queries times
+    shards, each a search; larger tables have larger shards.
     """
-    rows = scratch.table(vectors, "vectors")
-    n_rows, n_queries = rows.agg(F.count("*"), F.count_if(F.expr(is_query))).first()
-    shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // QUERY_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"))
-    graphs = scratch.table(dealt.groupBy("shard").applyInArrow(_build, GRAPH), "graphs")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = graphs.withColumn("block", each(blocks))
-    right = rows.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_ask(k, ef), "query_id long, vec_id long, score double")
+    rows = scratch.table(vectors.withColumn("width", F.size("v")), "vectors")
+    by = scratch.table(rows.groupBy("width").agg(F.count("*").alias("n"), F.count_if(F.expr(is_query)).alias("q")), "widths")
+    n_rows = by.agg(F.sum("n")).first()[0] or 0
+    size = shard_rows or max(SHARD_ROWS[0], min(SHARD_ROWS[1], n_rows // SHARDS))
+    # there are no more widths than components in the longest vector
+    parts = F.broadcast(by.select("width", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("q") / F.lit(QUERY_ROWS))).cast("int").alias("blocks")))
+    known = rows.join(parts, "width")
+    place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = known.select("width", "vec_id", "v", place("shards").alias("shard"))
+    graphs = scratch.table(dealt.groupBy("width", "shard").applyInArrow(_build(k), GRAPH), "graphs")
+    left = graphs.join(parts, "width").withColumn("block", each("blocks")).drop("shards", "blocks")
+    right = known.where(is_query).withColumn("block", place("blocks")).withColumn("shard", each("shards")).select("width", "shard", "block", "vec_id", "v")
+    keys = ["width", "shard", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_ask(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
