@@ -16,8 +16,13 @@ Documents of equal sets form one class, and only its smallest id goes on, so tho
 of copies cost one row each. In a band's bucket every member is compared with the
 bucket's smallest id. Documents that buckets tie together form a cluster; in a cluster
 that confirmed links leave in parts, the parts are compared with each other by exact
-overlap counts, in blocks of bounded size. So no bucket is capped, no pair inside a part
-is looked at again, and only links between parts are listed.
+overlap counts, in blocks of bounded size. The cluster's largest part is dealt to blocks
+of its own, which meet only blocks of the other parts. So no bucket is capped, no pair
+inside a part is looked at again, and only links between parts are listed. The work grows
+with the documents outside the largest part times those of the cluster.
+
+Joins on a bucket, a cluster or a head of many pairs are salted, or the few heavy keys are
+broadcast with a number or two each, so no task holds one whole.
 
 Cases: a document without words has an empty set, links with nothing and is kept.
 Null text is empty. A row without an id takes no part and is kept, its component_id
@@ -36,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterlens.llm import kernel as K
-from counterlens.llm.graph import components
-from counterlens.llm.shared import Scratch
+from counterlens.llm.graph import LINKS_A_TASK, components
+from counterlens.llm.shared import HOT, Scratch, salted, with_each
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -46,7 +51,9 @@ BANDS = 25
 ROWS = 5
 WORDS = 5
 PERCENT = 80
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
+BLOCK_ROWS = 1_000
+PAIRS_A_TASK = 1_000
 
 
 def shingles(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,9 +241,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     # a candidate pair is a bucket's smallest id and another of its members
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     bands = reps.select(band.alias("band"), "doc_id")
-    heads = bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("band", "head")
-    pairs = bands.join(heads, "band").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    heads = bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1")
+    n_reps = reps.count()
+    # a task can hold a bucket of a small table; of a large one the heavy buckets' heads are broadcast
+    met = bands.join(heads.drop("m"), "band") if BANDS * n_reps <= LINKS_A_TASK else with_each(bands, scratch.table(heads, "heads"), ["band"], "m", BANDS * n_reps)
+    pairs = met.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = scratch.table(pairs, "pairs")
+    n_pairs = pairs.count()
     clusters = components(pairs, scratch, "clusters").select(F.col("u").alias("doc_id"), F.col("v").alias("cluster"))
     # every member of a cluster, with its full set
     clusters = scratch.table(clusters.unionByName(clusters.select(F.col("cluster").alias("doc_id"), "cluster").distinct()), "clustered")
@@ -246,16 +257,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near = sized.mapInArrow(_screen(percent), "a long, b long")
     set_of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}"))
-    links = near.join(set_of("b"), "b").join(set_of("a"), "a").mapInArrow(_confirm(percent), "a long, b long")
-    links = scratch.table(links.distinct(), "links")
+    near = scratch.table(near, "near")
+    weights = near.groupBy("a").agg(F.count("*").alias("w"))
+    met = salted(near.join(set_of("b"), "b"), set_of("a"), "a", weights, max(PAIRS_A_TASK, n_pairs // HOT))
+    links = scratch.table(met.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
     roots = components(links, scratch, "first").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
     # clusters that are still in parts: their parts are compared by exact overlaps
     placed = clusters.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).join(reps.select("doc_id", "n"), "doc_id")
-    open_ = placed.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("total")).where("lo <> hi")
-    blocks = F.ceil(F.col("total") / F.lit(BLOCK_SHINGLES)).cast("int")
-    placed = placed.join(open_.select("cluster", blocks.alias("blocks")), "cluster").join(sets, "doc_id")
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "root", "shingles")
+    placed = scratch.table(placed, "placed")
+    parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    parts = parts.groupBy("cluster").agg(F.max(F.struct("rows", F.col("root"), "size")).alias("big"), F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
+    open_ = parts.select("cluster", "rows", F.col("big.root").alias("big"), blocks(F.col("rows") - F.col("big.rows"), F.col("size") - F.col("big.size")).alias("rest"), blocks(F.col("big.rows"), F.col("big.size")).alias("mass"))
+    n_placed = placed.count()
+    met = placed.join(open_.drop("rows"), "cluster") if n_placed <= LINKS_A_TASK else with_each(placed, scratch.table(open_, "open"), ["cluster"], "rows", n_placed).where("rest IS NOT NULL").drop("rows")
+    # chunks 0 to rest - 1 are of the smaller parts, the others of the largest; two of the largest do not meet
+    of_big = F.col("root") == F.col("big")
+    chunk = F.when(of_big, F.col("rest") + F.pmod(F.xxhash64("doc_id"), F.col("mass"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("rest"))).cast("int")
+    met = met.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(of_big, F.col("rest")).otherwise(F.col("rest") + F.col("mass")) - 1)))
+    placed = met.select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "root").join(sets, "doc_id")
     more = scratch.table(placed.groupBy("cluster", "i", "j").applyInArrow(_across(percent), "a long, b long"), "more")
     scratch.drop("sets")
     if more.limit(1).count():

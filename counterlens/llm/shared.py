@@ -71,6 +71,19 @@ def with_each(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, t
     return done.unionByName(rest.join(table.where(~heavy), keys, "left").select(*rows.columns, *others))
 
 
+def salted(rows: DataFrame, table: DataFrame, key: str, weights: DataFrame, limit: int) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key), for rows of ``table`` too large to broadcast.
+
+    ``weights`` has (key, w), the rows of a key. A key of more than ``limit`` rows is dealt
+    to as many tasks as that makes, each with the key's row of ``table``; only the keys and
+    their numbers of tasks are broadcast, so ``limit`` must grow with the rows.
+    """
+    many = F.broadcast(weights.where(F.col("w") > limit).select(key, F.ceil(F.col("w") / F.lit(limit)).cast("int").alias("_salts")))
+    dealt = rows.join(many, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    copied = table.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def carry(docs: DataFrame, own: list[str]) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
     """``docs`` with columns other than ``own`` under names that no operator uses.
 
