@@ -149,15 +149,20 @@ def doc_of(first: np.ndarray) -> np.ndarray:
 
 
 def pack_gaps(values: np.ndarray) -> bytes:
-    """Sorted non-negative integers as 16-bit gaps; 65535 means 'add 65535 and read on'."""
+    """Sorted non-negative integers, after a byte that says how: 0, as 16-bit gaps, of which 65535 means 'add 65535 and read on'; 4 or 8, as they are."""
     gaps = np.diff(values.astype(np.int64), prepend=0)
     more, rest = np.divmod(gaps, 65535)
+    width = 4 if not len(values) or int(values[-1]) < 1 << 32 else 8
+    if 2 * (int(more.sum()) + len(values)) > width * len(values):
+        return bytes([width]) + values.astype(f"<u{width}").tobytes()
     ends = np.cumsum(more + 1) - 1
     out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 65535, np.uint16)
     out[ends] = rest
-    return out.astype("<u2").tobytes()
+    return b"\0" + out.astype("<u2").tobytes()
 
 
 def unpack_gaps(data: bytes) -> np.ndarray:
-    gaps = np.frombuffer(data, "<u2")
+    if data[0]:
+        return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    gaps = np.frombuffer(data, "<u2", offset=1)
     return np.cumsum(gaps.astype(np.int64))[gaps != 65535]

@@ -6,14 +6,15 @@ window whose word sequence also starts in a document with a smaller ``doc_id``.
 Method: a count-min sketch of windows is built per partition and merged, and only
 windows whose merged estimate is 2 or more are grouped exactly. The sketch has one
 row whose width follows the size of the corpus, so that few unique windows share a
-counter at any size. It is stored sparsely (sorted counters as 16-bit gaps, counts
-saturating at 2) and merged in slices of the counter range, so no task holds more
-than one slice and nothing is broadcast. An estimate is never below the true count;
+counter at any size. It is stored sparsely (sorted counters as 16-bit gaps, or as they are
+where they lie far apart; counts saturating at 2) and merged in slices of the counter
+range. There is a slice for each ``SLICE_BYTES`` of text, so a task holds one slice of
+bounded size and nothing is broadcast. An estimate is never below the true count;
 so no repeated window is lost.
 
 Every step answers a *block* of documents (those of one input file, or a hash part of
 a large file): the merged sketch tells a block which of its counters repeat, the
-exact grouping tells it the smallest id of each repeated window. Answers are written
+exact grouping, by 96 bits of hash, tells it the smallest id of each repeated window. Answers are written
 to the shared scratch folder, one directory a block, and a task reads the answer to
 its own block only.
 
@@ -41,7 +42,9 @@ from counterlens.llm import kernel as K
 from counterlens.llm.shared import Scratch
 
 WIDTH = 13
-SLICE_BITS = 26
+LEAST_SLICES = 64
+SLICE_BYTES = 24 << 20
+MOST_BITS = 52
 BLOCK_BYTES = 128 << 20
 FLUSH = 2_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -115,33 +118,40 @@ def _sketch(width: int, log_w: int, slice_bits: int):
             c = h >> K.U64(64 - log_w)
             room = 64 - log_w
             doc = K.doc_of(first)[at].astype(K.U64)
-            if int(doc[-1]) >> room:
-                raise ValueError("too many documents in a chunk for this sketch width")
-            key = np.sort((c << K.U64(room)) | doc)
-            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-            held.append(key >> K.U64(room))
-            size += len(key)
+            if int(doc[-1]) >> room:  # no room for both in one word
+                order = np.lexsort((doc, c))
+                c, doc = c[order], doc[order]
+                once = c[np.concatenate(([True], (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])))]
+            else:
+                key = np.sort((c << K.U64(room)) | doc)
+                once = key[np.concatenate(([True], key[1:] != key[:-1]))] >> K.U64(room)
+            held.append(once)
+            size += len(once)
         if size:
             yield flush(current, held)
 
     return run
 
 
+def _groups(owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal values."""
+    cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+    return zip(owner[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(owner)])
+
+
 def _merge_sketch(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One slice: which of its counters reach 2, told to every block that has them."""
-    blocks = table["block"].to_numpy()
     rows = [K.unpack_gaps(x.as_py()) for x in table["counters"]]
-    every = np.sort(np.concatenate(rows))
-    hot = every[1:][every[1:] == every[:-1]]
-    hot = hot[np.concatenate(([True], hot[1:] != hot[:-1]))] if len(hot) else hot
-    out_b, out_c = [], []
-    for block in np.unique(blocks):
-        own = np.unique(np.concatenate([r for r, b in zip(rows, blocks) if b == block]))
-        own = own[np.isin(own, hot, assume_unique=True)]
-        if len(own):
-            out_b.append(int(block))
-            out_c.append(K.pack_gaps(own))
-    return pa.table({"slice": pa.array([key[0].as_py()] * len(out_b), pa.int32()), "block": pa.array(out_b, pa.int64()), "counters": pa.array(out_c, pa.binary())})
+    owner, counter = np.repeat(table["block"].to_numpy(), [len(r) for r in rows]), np.concatenate(rows)
+    order = np.argsort(counter, kind="stable")
+    owner, counter = owner[order], counter[order]
+    same = counter[1:] == counter[:-1]
+    hot = np.append(False, same) | np.append(same, False)
+    owner, counter = owner[hot], counter[hot]
+    order = np.argsort(owner, kind="stable")  # counters of a block stay in order
+    owner, counter = owner[order], counter[order]
+    out = [(block, K.pack_gaps(np.unique(counter[a:b]))) for block, a, b in _groups(owner)]
+    return pa.table({"slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "block": pa.array([b for b, _ in out], pa.int64()), "counters": pa.array([c for _, c in out], pa.binary())})
 
 
 def _ask(uri: str, width: int, log_w: int, slice_bits: int):
@@ -231,15 +241,15 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1]))))
     low = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(h))))
     told = several | (low < d)
-    h, low, owner = h[told], low[told], owner[told]
-    out_b, out_h, out_d = [], [], []
-    for block in np.unique(owner):
-        mine = owner == block
-        hb, at = np.unique(h[mine], return_index=True)
-        out_b.append(int(block))
-        out_h.append(hb.tobytes())
-        out_d.append(_pack_ids(low[mine][at]))
-    return pa.table({"slice": pa.array([key[0].as_py()] * len(out_b), pa.int32()), "block": pa.array(out_b, pa.int64()), "hash": pa.array(out_h, pa.binary()), "low": pa.array(out_d, pa.binary())})
+    h, g, low, owner = h[told], g[told], low[told], owner[told]
+    order = np.argsort(owner, kind="stable")  # windows of a block stay in order
+    h, g, low, owner = h[order], g[order], low[order], owner[order]
+    out = []
+    for block, a, b in _groups(owner):
+        one = np.flatnonzero(np.concatenate(([True], (h[a + 1 : b] != h[a : b - 1]) | (g[a + 1 : b] != g[a : b - 1])))) + a
+        out.append((block, h[one].tobytes(), g[one].tobytes(), _pack_ids(low[one])))
+    cols = list(zip(*out)) if out else [[]] * 4
+    return pa.table({"slice": pa.array([key[0].as_py()] * len(out), pa.int32()), "block": pa.array(cols[0], pa.int64()), "hash": pa.array(cols[1], pa.binary()), "more": pa.array(cols[2], pa.binary()), "low": pa.array(cols[3], pa.binary())})
 
 
 def join_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -262,25 +272,35 @@ def join_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.
 def _cut(uri: str, width: int, schema: pa.Schema):
     """Task side of the last pass: words to remove, and what is left."""
 
-    def told(block: int) -> tuple[np.ndarray, np.ndarray]:
+    def told(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         table = _load(uri, block)
         if table is None:
-            return np.zeros(0, K.U64), np.zeros(0, np.int64)
+            return np.zeros(0, K.U64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         order = np.argsort(table["slice"].to_numpy())
-        rows = [(np.frombuffer(table["hash"][int(i)].as_py(), "<u8"), _unpack_ids(table["low"][int(i)].as_py())) for i in order]
+        rows = [(np.frombuffer(table["hash"][int(i)].as_py(), "<u8"), np.frombuffer(table["more"][int(i)].as_py(), "<u4"), _unpack_ids(table["low"][int(i)].as_py())) for i in order]
         return tuple(np.concatenate(x) for x in zip(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, keys, lows = None, None, None
+        current, keys, more, lows = None, None, None, None
         for block, part in _by_block(batches):
             if block != current:
-                current, (keys, lows) = block, told(block)
-            buf, starts, ends, first, _, h, at = _windows(part, width)
+                current, (keys, more, lows) = block, told(block)
+            buf, starts, ends, first, hashes, h, at = _windows(part, width)
             goes = np.zeros(len(starts) + 1, np.int32)
             if len(keys) and len(h):
-                place = _find(keys, h)
-                gone = np.flatnonzero(place >= 0)
-                gone = gone[lows[place[gone]] < _ids(part)[K.doc_of(first)[at[gone]]]]
+                place = np.searchsorted(keys, h)
+                hit = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == h)
+                place, want = place[hit], _second(hashes, at[hit], width)
+                # windows of one first hash lie together, by their second
+                left = np.flatnonzero(more[place] != want)
+                while len(left):
+                    place[left] += 1
+                    left = left[place[left] < len(keys)]
+                    left = left[(keys[place[left]] == h[hit[left]]) & (more[place[left]] != want[left])]
+                sure = place < len(keys)
+                sure[sure] = (keys[place[sure]] == h[hit[sure]]) & (more[place[sure]] == want[sure])
+                gone, place = hit[sure], place[sure]
+                gone = gone[lows[place] < _ids(part)[K.doc_of(first)[at[gone]]]]
                 np.add.at(goes, at[gone], 1)
                 np.add.at(goes, at[gone] + width, -1)
             keep = np.cumsum(goes[:-1]) == 0
@@ -306,8 +326,9 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, keep:
     file = F.xxhash64(F.input_file_name())
     sizes = docs.select(file.alias("f"), F.octet_length("text").alias("b")).groupBy("f").agg(F.sum("b").alias("b")).agg(F.sum("b"), F.max("b")).first()
     total, largest = sizes[0] or 0, sizes[1] or 0
-    log_w = min(42, max(24, math.ceil(math.log2(4 * total + 1))))
-    slice_bits = min(SLICE_BITS, log_w - 6)
+    log_w = min(MOST_BITS, max(24, math.ceil(math.log2(4 * total + 1))))
+    slices = max(LEAST_SLICES, math.ceil(total / SLICE_BYTES))
+    slice_bits = max(log_w - 31, log_w - math.ceil(math.log2(slices)))
     parts = math.ceil(largest / BLOCK_BYTES)
     if parts > 1:
         blocks = docs.withColumn(BLOCK, F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))).sortWithinPartitions(BLOCK)
@@ -318,7 +339,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, keep:
     merged = sketches.groupBy("slice").applyInArrow(_merge_sketch, "slice int, block long, counters binary")
     scratch.table(merged.repartition("block"), "hot", partition_by="block")
     asked = slim.mapInArrow(_ask(scratch.path("hot"), width, log_w, slice_bits), "slice int, block long, hash binary, more binary, low binary, several binary")
-    answers = asked.groupBy("slice").applyInArrow(_answer, "slice int, block long, hash binary, low binary")
+    answers = asked.groupBy("slice").applyInArrow(_answer, "slice int, block long, hash binary, more binary, low binary")
     scratch.table(answers.repartition("block"), "told", partition_by="block")
     scratch.drop("hot")
     out = docs.drop(BLOCK).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).withColumn("kept_text", F.lit(""))
