@@ -37,6 +37,7 @@ UNKNOWN = "und"
 RATE_STEPS = 1 << 30
 CHUNK = 1 << 18
 LANG_BLOCK = 8
+FLUSH = 2_000_000
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +72,23 @@ def _count(langs: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: i for i, x in enumerate(langs)}
-        total = np.zeros((len(langs), 1 << BITS), np.int64)
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            cells, first = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            n = np.bincount(first, np.concatenate([n for _, n in held]), minlength=len(cells)).astype(np.int64)
+            return pa.record_batch([pa.array(cells >> BITS, pa.int32()), pa.array(cells & ((1 << BITS) - 1), pa.int32()), pa.array(n)], schema=schema)
+
         for part in K.chunks(batches, "text", CHUNK):
             bins, offs = features(_texts(part))
-            lang = np.array([place[x] for x in part.column("lang").to_pylist()])
-            np.add.at(total.reshape(-1), np.repeat(lang << BITS, np.diff(offs)) + bins, 1)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at >> BITS, pa.int32()), pa.array(at & ((1 << BITS) - 1), pa.int32()), pa.array(total.reshape(-1)[at], pa.int64())], schema=schema)
+            lang = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
+            held.append(np.unique(np.repeat(lang << BITS, np.diff(offs)) + bins, return_counts=True))
+            size += len(held[-1][0])
+            if size > FLUSH:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
@@ -135,7 +146,7 @@ def _predict(model, langs: list[str], schema: pa.Schema):
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """One row a document: doc_id, held_out, lang_pred, score (the prediction's posterior).
+    """One row a document: doc_id, held_out, lang_pred, score (the prediction's posterior), has_letter.
 
     ``keep`` names columns of ``docs`` to pass on.
     """
@@ -145,11 +156,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: list[str] | None = Non
     labelled = docs.select("doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs, prior, logs = train(labelled, sample)
     model = spark.sparkContext.broadcast((prior, logs))
-    passed = [F.col(c) for c in keep or [] if c not in ("doc_id", "text", "held_out", "lang_pred", "score")]
+    passed = [F.col(c) for c in keep or [] if c not in ("doc_id", "text", "held_out", "lang_pred", "score", "has_letter")]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held, letter, *passed)
-    out = slim.select("doc_id", *[c for c in ["text"] if c in (keep or [])], *passed, "held_out").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)})
+    out = slim.select("doc_id", *[c for c in ["text"] if c in (keep or [])], *passed, "held_out", "has_letter").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)})
     return slim.mapInArrow(_predict(model, langs, to_arrow_schema(out.schema)), out.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("has_letter")
