@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from counterlens.llm import bpe_prefix, hnsw, kernel, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, graph, hnsw, kernel, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 from counterlens.llm.shared import Scratch
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\n\t\r\x0b,.' 　中\x1c", max_size=30)), max_size=8)
@@ -30,7 +30,7 @@ def test_words_match_the_pattern(texts):
     assert len(set(h.tolist())) == len(set(found))
 
 
-@given(st.lists(st.integers(0, 1 << 22), min_size=1))
+@given(st.lists(st.one_of(st.integers(0, 1 << 22), st.integers(0, 1 << 40)), min_size=1))
 @settings(max_examples=100, deadline=None)
 def test_gaps_round_trip(values):
     values = np.sort(np.array(values))
@@ -247,7 +247,11 @@ def test_near_duplicates_against_brute_force(spark, docs, corpus, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(brute.shingle_set(text[i], n)), c, c == i) for i, c in parts.items()}
 
 
-def test_parts_of_a_cluster_are_compared(spark, no_docs):
+@pytest.mark.parametrize("tight", [False, True])
+def test_parts_of_a_cluster_are_compared(spark, no_docs, tight, monkeypatch):
+    if tight:  # every join takes its way for heavy keys, and clusters make many blocks
+        for module, name, value in ((near_dedup, "BLOCK_ROWS", 20), (near_dedup, "PAIRS_A_TASK", 5), (near_dedup, "HOT", 50), (near_dedup, "LINKS_A_TASK", 10), (graph, "LINKS_A_TASK", 10)):
+            monkeypatch.setattr(module, name, value)
     rnd = random.Random(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -416,6 +420,63 @@ def test_stream_round_trip(raw, times):
     assert got["pts"] == [k * 16 * 1080 for k in range(units)] and len(got["access"]) == units
 
 
+def _plain_demux(stream):
+    """The elementary stream of a program, packet by packet, from the layout of the format alone."""
+    pid = pmt = None
+    counters, pes = {}, []
+    for at in range(0, len(stream), 188):
+        p = stream[at : at + 188]
+        assert p[0] == 0x47 and not p[1] & 0x80  # in step, no error flag
+        number, control = (p[1] & 0x1F) << 8 | p[2], p[3] >> 4 & 3
+        body, random_access = 4, False
+        if control & 2:
+            random_access = p[4] > 0 and bool(p[5] & 0x40)
+            if p[4] > 0 and p[5] & 0x10:  # a clock reference in the first bytes of the field
+                base = int.from_bytes(p[6:11], "big") >> 7
+                counters.setdefault("clock", []).append(base)
+            body = 5 + p[4]
+        if not control & 1:
+            continue
+        assert counters.get(number) in (None, p[3] - 1 & 15)
+        counters[number] = p[3] & 15
+        data, starts = p[body:], bool(p[1] & 0x40)
+        if number == 0 and starts:
+            section = data[1 + data[0] :]
+            pmt = (section[10] & 0x1F) << 8 | section[11]
+        elif number == pmt and starts:
+            section = data[1 + data[0] :]
+            skip = (section[10] & 15) << 8 | section[11]
+            pid = (section[13 + skip] & 0x1F) << 8 | section[14 + skip]
+        elif number == pid:
+            if starts:
+                pes.append((random_access, bytearray()))
+            pes[-1][1].extend(data)
+    out, times = b"", []
+    for access, unit in pes:
+        assert unit[:3] == b"\x00\x00\x01" and access
+        size, head = int.from_bytes(unit[4:6], "big"), unit[8]
+        t = int.from_bytes(unit[9:14], "big")
+        times.append((t >> 33 & 7) << 30 | (t >> 17 & 0x7FFF) << 15 | t >> 1 & 0x7FFF)
+        out += bytes(unit[9 + head : 6 + size])
+    assert counters["clock"] == times
+    return out, times
+
+
+@given(st.integers(0, 70_000), st.integers(0, 255))
+@settings(max_examples=40, deadline=None)
+def test_streams_are_read_by_an_independent_reader(n, fill):
+    payload = transport_stream.padded(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes() + bytes([fill]) * (n % 7))
+    out, times = _plain_demux(transport_stream.mux(payload))
+    assert out == payload and times == [k * 16 * 1080 for k in range(len(times))]
+
+
+def test_long_streams_keep_their_times(spark, no_docs):
+    text = "some words, é, and more\n" * 60_000
+    row = transport_stream.inspect(transport_stream.store(spark.createDataFrame([(1, text, None, None), (1, text, "x", "y")], no_docs.schema), Scratch(spark, "v"))).collect()
+    raw = text.encode()
+    assert len(row) == 2 and row[0].media_sha256 == row[1].media_sha256 and row[0].n_bytes == len(raw) and row[0].payload_sha256 == hashlib.sha256(raw + b"\xff" * (-len(raw) % 576)).hexdigest()
+
+
 def test_lost_packets_and_bad_tables_are_seen():
     stream = bytearray(transport_stream.mux(transport_stream.padded(b"x" * 9000)))
     lost = bytes(stream[: 188 * 5] + stream[188 * 6 :])
@@ -447,6 +508,43 @@ def test_language_held_out_accuracy(spark):
     assert len(rows) > 250 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
 
 
+def test_language_against_plain_naive_bayes(spark, docs, corpus):
+    """Counts, priors, smoothing and posteriors by dictionaries, over the same hashed n-grams."""
+    import math
+    from collections import Counter, defaultdict
+
+    seen, n, marks = defaultdict(Counter), Counter(), {}
+    for i, text, lang, _ in corpus:
+        low = (text or "").lower()
+        bins, _ = language_id.features([text or ""])
+        # every run of one to three characters, each in the bin of its own
+        assert len(bins) == sum(max(0, len(low) - k) for k in range(3))
+        marks[i] = bins.tolist()
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and text is not None:
+            n[lang] += 1
+            seen[lang].update(marks[i])
+    want = {}
+    for i, text, *_ in corpus:
+        if not any(c.isalpha() for c in text or ""):
+            want[i] = ("und", 0.0)
+            continue
+        joint = {x: math.log(n[x] / sum(n.values())) + sum(math.log((seen[x][b] + 0.5) / (sum(seen[x].values()) + 0.5 * 65536)) for b in marks[i]) for x in sorted(n)}
+        best = max(joint, key=lambda x: joint[x])
+        want[i] = (best, 1 / sum(math.exp(v - joint[best]) for v in joint.values()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
+
+
+def test_language_ties_long_and_odd_texts(spark, no_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "FLUSH", 50)
+    rows = [(i, "abc" if i % 2 else "abc", ["x", "a"][i % 2], None) for i in range(40)] + [(100, "a\0b" * 3, None, None), (101, "xyz " * 200_000, "x", None), (102, "1\0 2", None, None), (102, "word", None, None)]
+    got = {(r.doc_id, r.lang_pred) for r in language_id.identify(spark.createDataFrame(rows, no_docs.schema)).collect()}
+    assert (102, "und") in got and (101, "x") in got and len({p for i, p in got if i < 40}) == 1
+    none = language_id.identify(spark.createDataFrame([(1, "text", None, None)], no_docs.schema)).first()
+    assert (none.lang_pred, none.score, none.has_letter) == ("und", 0.0, True)
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs, docs):
     rows = language_id.identify(odd_docs).collect()
     assert len(rows) == 8 and all(0 <= r.score <= 1 for r in rows)
@@ -456,16 +554,45 @@ def test_language_odd_rows(spark, odd_docs, no_docs, docs):
 
 
 # ---- 10: passages
-@pytest.mark.parametrize("small_blocks", [False, True])
-def test_passages_against_brute_force(spark, docs, corpus, small_blocks, monkeypatch):
-    if small_blocks:
-        monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
+@pytest.mark.parametrize("small, many_docs", [(False, False), (True, False), (True, True)])
+def test_passages_against_brute_force(spark, docs, corpus, small, many_docs, monkeypatch):
+    if small:  # many blocks and slices, wide counters
+        for name, value in (("BLOCK_BYTES", 2000), ("SLICE_BYTES", 100), ("LEAST_SLICES", 300)):
+            monkeypatch.setattr(substring_dedup, name, value)
+    if many_docs:  # counters leave no room for the number of a document
+        monkeypatch.setattr(substring_dedup.math, "log2", lambda x: 62.0 if x > 10_000 else 9.0)
+        monkeypatch.setattr(substring_dedup, "MOST_BITS", 62)
     rows = substring_dedup.remove_repeats(docs, Scratch(spark, "d")).collect()
     want = brute.substring([(i, t) for i, t, *_ in corpus])
     assert len(rows) == len(corpus)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows} == {i: (len(w), len(w) - len(k), " ".join(k)) for i, (w, k) in want.items()}
 
 
+def test_windows_of_one_first_hash_are_told_apart(monkeypatch, tmp_path):
+    """With a first hash of three bits only, the second one decides: nothing is removed that does not repeat."""
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(2)
+    texts = [" ".join(f"v{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    texts += [texts[3], " ".join(texts[5].split()[2:20])]
+    real = kernel.rolling
+    monkeypatch.setattr(kernel, "rolling", lambda *a: (lambda h, at: (h & np.uint64(7 << 61), at))(*real(*a)))
+    batch = pa.record_batch([pa.array([1] * 42, pa.int64()), pa.array(range(42), pa.int64()), pa.array(texts)], names=["__block", "doc_id", "text"])
+    log_w, bits = 24, 18
+
+    def step(f, key):
+        table = pa.Table.from_batches(list(f(iter([batch]))))
+        return [(k, table.filter(pa.compute.equal(table["slice"], k))) for k in table["slice"].unique().to_pylist()]
+
+    for name, make, merge in (("hot", substring_dedup._sketch(13, log_w, bits), substring_dedup._merge_sketch), ("told", substring_dedup._ask(f"file://{tmp_path}/hot", 13, log_w, bits), substring_dedup._answer)):
+        (tmp_path / name / "block=1").mkdir(parents=True)
+        made = pa.concat_tables([merge((pa.scalar(k),), t) for k, t in step(make, name)])
+        pq.write_table(made, tmp_path / name / "block=1" / "x.parquet")
+    schema = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64())])
+    got = pa.Table.from_batches(list(substring_dedup._cut(f"file://{tmp_path}/told", 13, schema)(iter([batch]))))
+    assert got["n_removed"].to_pylist() == [0] * 40 + [30, 18]
+
+
 def test_passages_odd_rows(spark, odd_docs, no_docs):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(2, long, None, None), (None, long, None, None), (2, long, None, None), (1, None, None, None)]

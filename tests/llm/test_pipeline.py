@@ -54,5 +54,35 @@ def test_one_of_several_equal_rows_stays(spark, odd_docs):
     assert got == {(1, "alpha"): 1, (1, "other"): 1, (None, "alpha"): 1, (None, ""): 1, (2, ""): 1, (3, ""): 1, (4, "xxxxx"): 1}
 
 
+def test_a_corpus_without_labels_is_kept(spark, no_docs):
+    rows = [(1, "some words", None, "s"), (None, "more words", None, None), (2, "123", None, "s"), (2, None, None, "s"), (3, "", None, "s")]
+    got = corpus_pipeline.language(spark, spark.createDataFrame(rows, no_docs.schema), "").collect()
+    assert Counter((r.doc_id, r.text, r.lang) for r in got) == {(1, "some words", None): 1, (None, "more words", None): 1}
+
+
+def test_missing_labels_are_read_and_others_left(spark, no_docs):
+    rows = [(i, f"the words of {i} are english", "en", None) for i in range(30)] + [(100 + i, f"žluťoučký kůň číslo {i}", "cs", None) for i in range(30)]
+    rows += [(900, "the english words are here", None, None), (901, "kůň žluťoučký", None, None), (902, "the words are english", "cs", None)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, no_docs.schema), "").collect()}
+    assert (got[900], got[901], got[902], len(got)) == ("en", "cs", "cs", 63)
+
+
+def test_rows_with_one_id_are_kept_by_their_texts(spark, no_docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a, None, None), (2, a, None, None), (2, b, None, None), (None, a, None, None), (None, a, None, None)]
+    got = Counter((r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, no_docs.schema), "").collect())
+    assert got == {(1, "a"): 1, (2, "b"): 1, (None, "a"): 2}
+
+
+def test_no_copy_of_a_mix_is_longer_than_its_text(spark, odd_docs):
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    size, taken = Counter(), Counter()
+    for r in odd_docs.collect():
+        size[r.doc_id] += words(r.text)
+    for r in corpus_pipeline.mix(spark, odd_docs, "").collect():
+        taken[r.doc_id] += words(r.text)
+    assert all(taken[i] <= 2 * size[i] for i in taken) and sum(taken.values()) <= 1.5 * sum(size.values()) + 1
+
+
 def test_public_vocabulary_is_not_in_the_repository():
     assert "/site-packages/" in public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
