@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterlens.operators.metrics import rate
+from counterlens.operators.ordered import running
 
 
 def counts(active: DataFrame, concepts: DataFrame, row: str) -> DataFrame:
@@ -117,9 +118,10 @@ def rationale(scores: Column, share: float) -> Column:
 
 
 def edit_percentile(rows: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
-    """``rows`` with the place of each score in its group, from 0 to 1; NULL in a group of one."""
-    order, every = Window.partitionBy(*keys).orderBy(score, tie), Window.partitionBy(*keys)
-    return rows.withColumn("percentile", F.try_divide((F.row_number().over(order) - 1).cast("double"), (F.count("*").over(every) - 1).cast("double")))
+    """``rows`` with the place of each score in its group, from 0 to 1; NULL in a group of one. Groups may be few and large."""
+    placed = running(rows.withColumn("_one", F.lit(1).cast("long")), keys, [score, tie], {"_place": "_one"}, total="_rows")
+    share = F.try_divide((F.col("_place") - 1).cast("double"), (F.col("_rows") - 1).cast("double"))
+    return placed.withColumn("percentile", share).drop("_one", "_place", "_rows")
 
 
 def pointing(active: DataFrame, row: str, concept: str, best: DataFrame) -> DataFrame:

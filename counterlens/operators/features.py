@@ -1,4 +1,4 @@
-"""Feature scores, effects, graph, agreement and comparison plans."""
+"""Feature, effect and agreement plans in SQL; they check the functions of feature_scores and agreement."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ ACT = """act AS (SELECT e.event_id, f.i AS feature, e.event_type AS concept, 0.1
   tp AS (SELECT feature, concept, count(*) AS tp FROM act GROUP BY feature, concept), fa AS (SELECT feature, count(*) AS n_active FROM act GROUP BY feature), cp AS (SELECT event_type AS concept, count(*) AS n_pos FROM events GROUP BY event_type),
   f1 AS (SELECT t.feature, t.concept, 2e0 * t.tp / (f.n_active + c.n_pos) AS f1 FROM tp t JOIN fa f ON f.feature = t.feature JOIN cp c ON c.concept = t.concept)"""
 EFFECTS = """eff AS (SELECT i.pair_id, l.i AS layer, a.alpha, (i.h % 200 - 100) / 50e0 * a.alpha + l.i / 10e0 AS delta, (i.h % 90 - 45) / 60e0 AS control FROM (SELECT pair_id, min(item_no) * 2654435761 % 1000003 AS h FROM items WHERE NOT is_control GROUP BY pair_id) AS i CROSS JOIN range(0, 6) AS l(i) CROSS JOIN (VALUES (-1e0), (-0.5e0), (0.5e0), (1e0)) AS a(alpha))"""
-GRAPH = "edges AS (SELECT DISTINCT item AS src, family AS dst, CASE WHEN op = '<' THEN 'contraindicated_below' ELSE 'contraindicated_above' END AS rel, CASE provenance WHEN 'attested' THEN 'umls' ELSE 'curated' END AS provenance FROM rules UNION SELECT item, family, 'measures', 'curated' FROM rules)"
 
 plan("a31_feature_counts", f"WITH {ACT} SELECT t.feature, t.concept, t.tp, f.n_active, c.n_pos FROM tp t JOIN fa f ON f.feature = t.feature JOIN cp c ON c.concept = t.concept")
 plan("a32_best_concept", f"WITH {ACT} SELECT feature, concept, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(f1, 12) DESC, concept) AS rn FROM f1) AS x WHERE rn = 1")

@@ -49,6 +49,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict
     return out.select(*df.columns, *sums, *([total] if total else []))
 
 
+def index_quantile(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], share: float) -> DataFrame:
+    """By keys the value at place int(share * (n - 1)) of the ascending order, from 0; no interpolation."""
+    rows = running(df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1).cast("long")), keys, [value, *tie], {"_place": "_one"}, total="_rows")
+    return rows.where(F.col("_place") == F.floor(F.lit(share) * (F.col("_rows") - 1)) + 1).select(*keys, value)
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``df`` with the value of the row before in the order of a key; NULL for the first. Rows meet by their place, so no task holds an order."""
+    rows = running(df.withColumn("_one", F.lit(1).cast("long")), keys, order, {"_place": "_one"}).drop("_one")
+    before = rows.select(*keys, (F.col("_place") + 1).alias("_place"), F.col(value).alias(name))
+    return rows.join(before, [*keys, "_place"], "left").select(*df.columns, name)
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "place", total: str | None = None, ranges: int = RANGES) -> DataFrame:
     """``df`` with the place (1, 2, ...) of each row of a key in the order of a hash.
 

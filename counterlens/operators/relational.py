@@ -1,4 +1,4 @@
-"""Joins, audits, sampling, set operations and prompt-level execution."""
+"""Relational plans in SQL (joins, filters, sampling, sets, execution, time); some check the functions of audits and sampling."""
 
 from __future__ import annotations
 

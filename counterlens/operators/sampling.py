@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterlens.operators.ordered import numbered
+from counterlens.operators.ordered import numbered, running
 
 PRIME = 1000003
 
@@ -70,6 +70,4 @@ def rater_orders(items: DataFrame, key: str, raters: Sequence[str]) -> DataFrame
 
 def within(df: DataFrame, keys: Sequence[str], order: str, size: str, budget: int) -> DataFrame:
     """Rows whose running sum of sizes, in order, stays within the budget."""
-    from counterlens.operators.ordered import running
-
     return running(df, keys, [order], {"running": size}).where(F.col("running") <= budget)

@@ -1,4 +1,4 @@
-"""Accuracy, pair-level consistency, coverage, calibration and risk-coverage plans."""
+"""Scoring plans in SQL (A01-A28); most of them check the functions of metrics and uncertainty."""
 
 from __future__ import annotations
 

@@ -1,14 +1,9 @@
-"""Text and formula plans: answer parsing, fact extraction, gates, evidence, TF-IDF."""
+"""Text and formula plans in SQL."""
 
 from __future__ import annotations
 
 from counterlens.plans.registry import plan, rate
 
-# notes are rendered from facts so that extraction has something to find
-NOTES = """notes AS (SELECT f.event_id, f.family, f.sid, f.age, f.sex, f.value, f.threshold, f.op, CASE f.event_id % 4 WHEN 0 THEN 'Patient is a ' || CAST(f.age AS STRING) || ' year old ' || f.sex || '. Creatinine 1.' || CAST(f.event_id % 10 AS STRING) || ' mg/dL on metformin. No dialysis; QT 4' || CAST(10 + f.event_id % 80 AS STRING) || ' ms.'
-  WHEN 1 THEN 'History: heart rate ' || CAST(50 + f.event_id % 60 AS STRING) || '. On ondansetron; weight 7' || CAST(f.event_id % 10 AS STRING) || ' kg. Potassium 5.' || CAST(f.event_id % 9 AS STRING) || '.'
-  WHEN 2 THEN 'The eGFR is ' || CAST(20 + f.event_id % 60 AS STRING) || ' mL/min. Mild ascites, grade 2 encephalopathy. Creatinine 12' || CAST(f.event_id % 10 AS STRING) || ' umol/L.'
-  ELSE 'Pregnant, denies bleeding. INR 2.' || CAST(f.event_id % 10 AS STRING) || ' on warfarin!' END AS note FROM facts f WHERE f.family IN ('egfr30', 'high'))"""
 NUMBER = "([0-9]+(?:[.][0-9]+)?)"
 
 
@@ -17,7 +12,6 @@ def num(d, column: str, pattern: str) -> str:
 
 
 plan("f10_decimals", lambda d: f"SELECT event_id, CAST(length({d.extract('CAST(value AS STRING)', '[.]([0-9]+)$', 1)}) AS BIGINT) AS decimals FROM labs WHERE value < 100000 AND value >= 0.001")
-SENTENCES = lambda d: f"SELECT doc_id, lang, s.sentence FROM documents{d.explode(d.split('text', '[.;]\\s+'), 's', 'sentence')}"
 plan("f19_label_from_prompt", lambda d: f"SELECT i.id, CASE WHEN r.op = '<' THEN CASE WHEN {num(d, 'prompt', 'value ' + NUMBER)} < 60 THEN 'UNSAFE' ELSE 'SAFE' END ELSE CASE WHEN {num(d, 'prompt', 'value ' + NUMBER)} > i.threshold THEN 'UNSAFE' ELSE 'SAFE' END END AS label FROM items i JOIN rules r ON r.family = i.family")
 plan("f20_rederivation", lambda d: f"SELECT family, count(*) AS n, count_if(abs({num(d, 'prompt', 'value ' + NUMBER)} - factor_value) > 0.51e0) AS wrong FROM items GROUP BY family")
 plan("f22_truncate_words", lambda d: f"SELECT conv_id, turn, {d.join(d.slice(d.split('text', ' '), '12'), ' ')} AS cut FROM conversations")
@@ -27,12 +21,6 @@ plan(
     """SELECT doc_id, CASE WHEN s IN ('yes', 'y', 'true', '1') THEN 1e0 WHEN s IN ('no', 'n', 'false', '0') THEN 0e0 END AS yes, CASE s WHEN '1' THEN 1e0 WHEN '2' THEN 2e0 WHEN '3' THEN 3e0 WHEN '4' THEN 4e0 WHEN '5' THEN 5e0 END AS grade
   FROM (SELECT doc_id, lower(trim(CASE doc_id % 6 WHEN 0 THEN ' Yes' WHEN 1 THEN 'n' WHEN 2 THEN '4' WHEN 3 THEN '9' WHEN 4 THEN CAST(quality AS STRING) ELSE '' END)) AS s FROM labels) AS x""",
 )
-# fixed values: a short stop list, documented instead of the usual larger one
-STOP = "'a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'had', 'has', 'he', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'with'"
-WORDS = lambda d, t, k: f"SELECT {k} AS k, w.word FROM {t}{d.explode(d.extract_all('lower(text)', '[a-zà-öø-ÿ]{2,}'), 'w', 'word')}"
-TFIDF = lambda d: f"""tok AS (SELECT * FROM ({WORDS(d, 'benchmark', 'item_id')}) AS x WHERE word NOT IN ({STOP})), tf AS (SELECT k, word, 1e0 + ln(CAST(count(*) AS DOUBLE)) AS tf FROM tok GROUP BY k, word),
-  idf AS (SELECT word, ln((1e0 + (SELECT count(*) FROM benchmark)) / (1e0 + count(*))) + 1e0 AS idf FROM tf GROUP BY word), raw AS (SELECT tf.k, tf.word, tf.tf * idf.idf AS w FROM tf JOIN idf ON idf.word = tf.word), norm AS (SELECT k, sqrt(sum(w * w)) AS l FROM raw GROUP BY k),
-  vec AS (SELECT raw.k, raw.word, raw.w / norm.l AS w FROM raw JOIN norm ON norm.k = raw.k)"""
 # ---- formulas
 VITALS = "vitals AS (SELECT l.event_id, p.age, p.sex, 0.3e0 + l.value / 40e0 AS scr, 45e0 + l.event_id % 60 AS weight, 150e0 + l.event_id % 45 AS height, 300e0 + l.event_id % 250 AS qt, 40e0 + l.event_id % 100 AS hr FROM labs l JOIN patients p ON p.sid = l.sid)"
 plan("m01_ckd_epi", "SELECT event_id, round(q, 6) AS egfr FROM facts WHERE family = 'egfr45'")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from counterlens.functions import clinical, spans
-from counterlens.operators import audits, causal_graph, evidence, feature_scores, gates, metrics, retrieval, sampling
+from counterlens.operators import audits, causal_graph, evidence, feature_scores, gates, metrics, ordered, retrieval, sampling
 from counterlens.plans import samples
 from counterlens.plans.registry import Tables, call
 from counterlens.plans.scores import rounded
@@ -392,6 +391,11 @@ def a41_edit_percentile(t: Tables):
     return rounded(rows.groupBy("arm").agg(F.avg("percentile").alias("percentile")), "percentile")
 
 
+@call
+def a44_index_quantile(t: Tables):
+    return ordered.index_quantile(t["facts"], ["family"], "q", ["event_id"], 0.9).withColumnRenamed("q", "p90")
+
+
 @call
 def a42_pointing(t: Tables):
     return rounded(feature_scores.pointing(samples.activations(t), "event_id", "concept", feature_scores.best_concept(_scored(t))), "accuracy", "expressible_accuracy", "random_accuracy")
@@ -588,4 +592,4 @@ def st3_budget(t: Tables):
 def w11_previous_group(t: Tables):
     """The effect of the pair before, in the order of patients, as a shuffled control."""
     by = t["items"].where("NOT is_control").groupBy("family", "sid").agg(F.round(F.max("q") - F.min("q"), 6).alias("delta"))
-    return by.withColumn("prev_delta", F.lag("delta").over(Window.partitionBy("family").orderBy("sid")))
+    return ordered.with_previous(by, ["family"], ["sid"], "delta", "prev_delta")
