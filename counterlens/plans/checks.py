@@ -33,7 +33,7 @@ SQL = {
   count(*) FILTER (WHERE own IS NOT NULL AND logit_margin IS NULL) AS no_margin, count(*) FILTER (WHERE own IS NOT NULL AND logit_margin IS NULL AND abstained AND NOT gate_fired) AS deferred_for_it FROM preds GROUP BY variant, split""",
     "u01_binomial_tail": f"""WITH g AS (SELECT a.i AS n, b.i AS k FROM range(1, 61) AS a(i) JOIN range(0, 60) AS b(i) ON b.i < a.i UNION ALL SELECT i * 1000, i * 100 - 20 FROM range(1, 41) AS x(i)) SELECT n, k, round({tail('n', 'k', '0.1e0')}, 9) AS tail, round({tail('n', 'k', '0.1e0')}, 9) <= 0.1e0 AS certifies FROM g""",
     "u03_conformal_threshold": f"""WITH {CELLS} SELECT v.variant, b.tau, coalesce(b.retained, 0) AS retained, b.tau IS NOT NULL AS certifiable FROM variants v LEFT JOIN best b ON b.variant = v.variant""",
-    "u05_calibration_diagnostics": f"""WITH {CELLS} SELECT p.variant, count(*) AS n, count(*) FILTER (WHERE p.u <= b.tau) AS retained, coalesce(sum(wrong) FILTER (WHERE p.u <= b.tau), 0) AS errors, round(count(*) FILTER (WHERE p.u <= b.tau) / CAST(count(*) AS DOUBLE), 9) AS coverage, round(avg(CASE WHEN p.u <= b.tau THEN CAST(p.wrong AS DOUBLE) END), 9) AS selective_error, bool_or(b.tau IS NOT NULL) AS certifiable FROM pool p LEFT JOIN best b ON b.variant = p.variant GROUP BY p.variant""",
+    "u05_calibration_diagnostics": f"""WITH {CELLS} SELECT p.variant, count(*) AS n, count(*) FILTER (WHERE p.u <= b.tau) AS retained, CAST(coalesce(sum(wrong) FILTER (WHERE p.u <= b.tau), 0) AS BIGINT) AS errors, round(count(*) FILTER (WHERE p.u <= b.tau) / CAST(count(*) AS DOUBLE), 9) AS coverage, round(avg(CASE WHEN p.u <= b.tau THEN CAST(p.wrong AS DOUBLE) END), 9) AS selective_error, bool_or(b.tau IS NOT NULL) AS certifiable FROM pool p LEFT JOIN best b ON b.variant = p.variant GROUP BY p.variant""",
     "u06_bootstrap_interval": """WITH g AS (SELECT variant, count(*) AS n, count(CASE WHEN correct THEN 1 END) AS k FROM preds GROUP BY variant), m AS (SELECT variant, n, i, exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln(k / CAST(n AS DOUBLE)) + (n - i) * ln(1e0 - k / CAST(n AS DOUBLE))) AS p FROM g, LATERAL unnest(range(0, n + 1)) AS x(i)),
   c AS (SELECT variant, n, i, sum(p) OVER (PARTITION BY variant ORDER BY i) AS c FROM m) SELECT variant, round(min(CASE WHEN c >= 0.025e0 THEN i END) / CAST(max(n) AS DOUBLE), 9) AS lo, round(min(CASE WHEN c >= 0.975e0 THEN i END) / CAST(max(n) AS DOUBLE), 9) AS hi FROM c GROUP BY variant""",
     "u11_mcnemar": f"WITH {MCNEMAR} SELECT variant, b01, b10, round(p, 9) AS p_value FROM t",

@@ -90,7 +90,7 @@ SQL = {
     "f05_mentions": f"""WITH {TRUTH} SELECT event_id, cr AS value, 'mg/dL' AS unit, 4 AS digits, cr AS mgdl FROM n WHERE kind IN (0, 3) AND cr < 10 UNION ALL SELECT event_id, cr, 'mg/dL', 5, cr FROM n WHERE kind IN (0, 3) AND cr >= 10 UNION ALL SELECT event_id, 30e0 + event_id % 400, 'umol/L', length(CAST(30 + event_id % 400 AS VARCHAR)), round(um, 9) FROM n WHERE kind = 1
   UNION ALL SELECT event_id, 1.2e0, 'mg/dL', 3, 1.2e0 FROM n, range(2) WHERE kind = 5 UNION ALL SELECT event_id, 2.9e0, 'mg/dL', 3, 2.9e0 FROM n WHERE kind = 5""",
     "f06_extract_graded": f"""WITH {TRUTH} SELECT event_id, round(scr, 9) AS creatinine_mgdl, CAST(t_age AS DOUBLE) AS age, t_sex AS sex, CASE WHEN kind = 2 THEN CAST(qt AS DOUBLE) END AS qt_ms, CASE WHEN kind = 2 THEN CAST(hr AS DOUBLE) END AS heart_rate, CASE WHEN kind = 3 THEN kg END AS weight_kg, CASE WHEN kind = 3 THEN cm END AS height_cm,
-  CASE WHEN kind = 4 THEN bil END AS bilirubin, CASE WHEN kind = 4 THEN alb END AS albumin, CASE WHEN kind = 4 THEN inr END AS inr, CASE WHEN kind = 4 THEN a END AS ascites_pts, CASE WHEN kind = 4 THEN e END AS enceph_pts FROM n""",
+  CASE WHEN kind = 4 THEN bil END AS bilirubin, CASE WHEN kind = 4 THEN alb END AS albumin, CASE WHEN kind = 4 THEN inr END AS inr, CASE WHEN kind = 4 THEN CAST(a AS DOUBLE) END AS ascites_pts, CASE WHEN kind = 4 THEN CAST(e AS DOUBLE) END AS enceph_pts FROM n""",
     "f07_clinical_gate": f"WITH {gated(f'CASE WHEN event_id % 12 = 0 THEN {MDRD} ELSE {EPI} END')} SELECT event_id, drug, declined IS NULL AS fired, CASE WHEN declined IS NULL THEN beyond END AS violated, CASE WHEN declined IS NULL THEN round(q, 6) END AS quantity, declined FROM g",
     "a30_gate_diagnostics": f"""WITH {gated(EPI)}, w AS (SELECT drug, string_agg(declined || '=' || CAST(k AS VARCHAR), ';' ORDER BY declined || '=' || CAST(k AS VARCHAR)) AS declines FROM (SELECT drug, declined, count(*) AS k FROM g WHERE declined IS NOT NULL GROUP BY 1, 2) GROUP BY drug),
   s AS (SELECT drug, count(*) AS n, round({SHARE.format('declined IS NULL')}, 9) AS fire_rate, round(avg(CASE WHEN declined IS NULL THEN CASE WHEN (event_id % 5 < 3) = beyond THEN 1e0 ELSE 0e0 END END), 9) AS correct_when_fired, count(*) FILTER (WHERE kind < 5) AS age_read, count(*) FILTER (WHERE kind < 5) AS age_right, count(*) AS sex_read, count(*) FILTER (WHERE t_sex = sex) AS sex_right,
@@ -98,9 +98,9 @@ SQL = {
     "f09_states_derived": "SELECT event_id, event_id % 7 = 0 AS egfr, FALSE AS qtc, event_id % 7 = 0 AS crcl FROM labs",
     "m07_child_pugh": f"""WITH w AS (SELECT event_id, (event_id % 50) / 10e0 AS b, 2 + (event_id % 30) / 10e0 AS a, 1 + (event_id % 20) / 10e0 AS i, [1, 1, 1, 2, 2, 3, 3, 3, NULL][event_id % 9 + 1] AS asc_, [1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, NULL][event_id // 7 % 12 + 1] AS enc FROM labs),
   p AS (SELECT *, {B3.format('b')} AS bp, {A3.format('a')} AS ap, {B3.format('b')} + {A3.format('a')} + {I3.format('i')} + asc_ + enc AS points FROM w)
-  SELECT event_id, points, """
+  SELECT event_id, CAST(points AS DOUBLE) AS points, """
     + ", ".join(
-        f"CASE WHEN points IS NULL THEN NULL {' '.join(f'WHEN {col} <> {k} AND (points - {col} + {k} >= 10) {op} (points >= 10) THEN {v if out == 0 else f"points - {col} + {k}"}' for k, v in vals)} END AS {name}"
+        f"CAST(CASE WHEN points IS NULL THEN NULL {' '.join(f'WHEN {col} <> {k} AND (points - {col} + {k} >= 10) {op} (points >= 10) THEN {v if out == 0 else f"points - {col} + {k}"}' for k, v in vals)} END AS DOUBLE) AS {name}"
         for col, vals, op, out, name in (
             ("bp", ((1, "1e0"), (2, "2.5e0"), (3, "5e0")), "<>", 0, "bilirubin_flip"),
             ("bp", ((1, ""), (2, ""), (3, "")), "=", 1, "bilirubin_control"),
@@ -115,7 +115,7 @@ SQL = {
   SELECT doc_id, CASE WHEN length(body) < 200 THEN NULL WHEN length(body) <= 400 THEN body ELSE coalesce(nullif(regexp_extract(substr(body, 1, 400), '(?s)^(.*[.!?])[\s\x0b]', 1), ''), substr(body, 1, 400)) END AS excerpt, CASE WHEN length(body) < 200 THEN 'too short' END AS reason FROM b""",
     "f13_sentences": f"SELECT doc_id, len(s) AS n, CAST(list_sum(list_transform(s, lambda x: length(x))) AS BIGINT) AS chars FROM (SELECT doc_id, {SENTENCES.format('text')} AS s FROM documents WHERE text IS NOT NULL) WHERE len(s) > 0",
     "f14_number_sentences": f"WITH s AS (SELECT doc_id, lang, {SENTENCES.format('text')} AS s FROM documents), x AS (SELECT doc_id, lang, s, unnest(range(0, least(5, len(s)))) AS place FROM s) SELECT doc_id, lang, place, sha256(s[place + 1]) AS sentence, regexp_matches(s[place + 1], '[0-9]') AS has_number FROM x",
-    "f15_evidence": f"WITH {FOUND} SELECT family, section, value, length(context) AS context_chars FROM found",
+    "f15_evidence": f"WITH {FOUND} SELECT family, section, value, CAST(length(context) AS DOUBLE) AS context_chars FROM found",
     "f16_attestation": f"WITH {FOUND} SELECT family, status FROM found",
     "j21_containment": f"""WITH {FOUND}, s AS (SELECT drug, section, {SENTENCES.format('text')} AS s FROM lab), r AS (SELECT drug, section, s, unnest(range(0, len(s))) AS place FROM s), m AS (SELECT r.drug || '/' || r.section || '/' || CAST(place AS VARCHAR) AS row, f."order", f.family, f.status FROM r JOIN found f ON f.drug = r.drug AND f.section = r.section AND f.status LIKE 'attested%' AND (contains(f.context, substr(s[place + 1], 1, 60)) OR contains(s[place + 1], substr(f.context, 1, 60))))
   SELECT row, arg_min(family, "order") AS family, arg_min(status, "order") AS status FROM m GROUP BY row""",

@@ -222,7 +222,7 @@ ORACLE_SQL = {
         "s01_bad_lines": "SELECT event_id + 1 AS line, '{\"event_id\": ' || CAST(event_id AS VARCHAR) AS text FROM events WHERE event_id < 1000 AND event_id % 5 = 0",
         "s08_concat": "SELECT doc_id, lang, source FROM documents",
         "s12_npz_source": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
-        "f08_locate": "SELECT event_id, CASE WHEN value <> floor(value) THEN 6::BIGINT END AS start, CASE WHEN value <> floor(value) THEN 6 + length(CAST(value AS VARCHAR)) END AS stop FROM labs",
+        "f08_locate": "SELECT event_id, CASE WHEN value <> floor(value) THEN 6e0 END AS start, CASE WHEN value <> floor(value) THEN 6e0 + length(CAST(value AS VARCHAR)) END AS stop FROM labs",
         "st3_budget": "SELECT * FROM (SELECT lang AS stream, doc_id, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS running FROM documents) AS x WHERE running <= 20000",
         "f26_distractors": f"SELECT DISTINCT pair_id, {_DRAWN} AS labs FROM items",
         "p08_family_render": f"WITH x AS (SELECT id, CAST(CAST(round(factor_value) AS BIGINT) AS VARCHAR) AS v, CASE {_FORMS} END AS form, {_DRAWN} AS labs FROM items), y AS (SELECT id, v, CASE WHEN contains(form, 'The team proposes') THEN replace(form, 'The team proposes', 'Other results: ' || labs || '. The team proposes') ELSE form || ' Other results: ' || labs || '.' END AS s FROM x) SELECT id, replace(s, '{{value}}', v) AS vignette, replace(s, '{{value}}', '<FACTOR>') AS skeleton FROM y",

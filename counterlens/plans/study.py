@@ -56,7 +56,7 @@ FACTS = ["creatinine_mgdl", "age", "sex", "qt_ms", "heart_rate", "weight_kg", "h
 @call
 def f06_extract_graded(t: Tables):
     read = gates.clinical_facts(F.col("note"))
-    return rounded(samples.notes(t).select("event_id", *[read[n].alias(n) for n in FACTS]), "creatinine_mgdl")
+    return rounded(samples.notes(t).select("event_id", *[(read[n] if n == "sex" else read[n].cast("double")).alias(n) for n in FACTS]), "creatinine_mgdl")
 
 
 @call
@@ -80,7 +80,7 @@ def a30_gate_diagnostics(t: Tables):
 @call
 def f08_locate(t: Tables):
     notes = t["labs"].select("event_id", "value", F.concat(F.lit("Value "), F.col("value").cast("string"), F.lit(" seen; 12 beds.")).alias("note"))
-    return notes.select("event_id", spans.locate_unique("note", "value").alias("s")).select("event_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
+    return notes.select("event_id", spans.locate_unique("note", "value").alias("s")).select("event_id", F.col("s.start").cast("double").alias("start"), F.col("s.stop").cast("double").alias("stop"))
 
 
 @call
@@ -99,7 +99,8 @@ def m07_child_pugh(t: Tables):
     x = x.withColumn("points", points)
     edit = lambda field, p, crossing: clinical.bracket_edit(field, p, F.col("points"), 10.0, crossing)
     bil, alb = clinical.bilirubin_points(F.col("b")), clinical.albumin_points(F.col("a"))
-    return x.select("event_id", "points", edit("bilirubin", bil, True)["value"].alias("bilirubin_flip"), edit("bilirubin", bil, False)["score"].alias("bilirubin_control"), edit("albumin", alb, True)["value"].alias("albumin_flip"), edit("albumin", alb, False)["score"].alias("albumin_control"))
+    made = {"points": F.col("points"), "bilirubin_flip": edit("bilirubin", bil, True)["value"], "bilirubin_control": edit("bilirubin", bil, False)["score"], "albumin_flip": edit("albumin", alb, True)["value"], "albumin_control": edit("albumin", alb, False)["score"]}
+    return x.select("event_id", *[c.cast("double").alias(n) for n, c in made.items()])
 
 
 @call
@@ -154,7 +155,7 @@ def _found(t: Tables):
 
 @call
 def f15_evidence(t: Tables):
-    return _found(t).select("family", "section", "value", F.length("context").cast("long").alias("context_chars"))
+    return _found(t).select("family", "section", "value", F.length("context").cast("double").alias("context_chars"))
 
 
 @call
@@ -173,7 +174,7 @@ def j21_containment(t: Tables):
 @call
 def a54_provenance_rollup(t: Tables):
     out = evidence.provenance_rollup(_found(t).select("family", "status"), F.col("status").isin("attested_exact", "attested_different_value"))
-    return out.select("family", "status", "place", "n_attested", "n_families")
+    return out.select("family", "status", F.col("place").cast("long").alias("place"), "n_attested", "n_families")
 
 
 def _concepts() -> dict[str, tuple[str, str]]:
@@ -234,7 +235,7 @@ def f27_tfidf(t: Tables):
 
 @call
 def j15_tfidf_top_k(t: Tables):
-    return rounded(retrieval.top_passages(t["documents"], t["benchmark"], "doc_id", "item_id"), "score", places=6)
+    return rounded(retrieval.top_passages(t["documents"], t["benchmark"], "doc_id", "item_id").withColumn("rank", F.col("rank").cast("long")), "score", places=6)
 
 
 @call
