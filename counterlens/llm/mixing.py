@@ -12,8 +12,10 @@ of each copy: that time is the copy's position, and ``training_order`` range-sor
 by it. A source's last copy may be taken in part, so its words meet the target to within
 one.
 
-A source may hold most rows: its running sums are taken in 4096 hash ranges whose totals
-are summed beforehand, so no task holds a source. Only DataFrame operations are used.
+A source may hold most rows: its running sums are taken in hash ranges whose totals are
+summed beforehand, so no task holds a source. There are 4096 ranges a source, and sixteen
+times as many whenever the table has more than ``RANGE_ROWS`` rows for each. Only DataFrame
+operations are used.
 
 Cases: null text has size 0, takes nothing and has no position. A null source is a source
 of its own. Rows with equal ids are separate documents. Sources of size 0 have target 0.
@@ -34,7 +36,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 REPEATS = 2
-RANGE_DIGITS = 3
+#: Ranges are the first hexadecimal digits of a hash: at least three, and more as the table grows.
+RANGE_DIGITS = (3, 6)
+RANGE_ROWS = 1_000_000
 #: Knots (time, weight) by source weight: the heavy start strong and fade, the light come late.
 SCHEDULES = {5: ((0.0, 1.5), (1.0, 0.5)), 2: ((0.0, 1.0), (1.0, 1.0)), 1: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
 
@@ -87,7 +91,11 @@ def plan(docs: DataFrame, scratch: Scratch, schedules: dict = SCHEDULES, keep: S
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     slim = docs.select("doc_id", *keep, "source", size.alias("size"), key.alias("source_key"), order.alias("place"))
-    slim = scratch.table(slim.withColumn("range", F.substring("place", 1, RANGE_DIGITS)), "sizes")
+    slim = scratch.table(slim, "sizes")
+    digits, rows = RANGE_DIGITS[0], slim.count()
+    while digits < RANGE_DIGITS[1] and rows > RANGE_ROWS * 16**digits:
+        digits += 1
+    slim = slim.withColumn("range", F.substring("place", 1, digits))
     parts = slim.groupBy("source_key", "range").agg(F.sum("size").alias("part"))
     ahead = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source_key", "range", F.coalesce(F.sum("part").over(ahead), F.lit(0)).alias("ahead"))

@@ -91,6 +91,13 @@ def test_mix_against_brute_force(spark, docs, corpus):
     assert ordered == sorted(ordered)
 
 
+def test_ranges_of_a_mix_change_nothing(spark, docs, monkeypatch):
+    plain = sorted(map(str, mixing.plan(docs, Scratch(spark, "m")).collect()))
+    monkeypatch.setattr(mixing, "RANGE_DIGITS", (0, 2))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1)
+    assert sorted(map(str, mixing.plan(docs, Scratch(spark, "m")).collect())) == plain
+
+
 def test_schedule_is_inverted(spark):
     from pyspark.sql import functions as F
 
