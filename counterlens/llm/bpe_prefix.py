@@ -5,12 +5,14 @@ prefix has one valid encoding, and the table ``last`` stores the last token of t
 encoding for each prefix length. A token that ends at ``i`` is that last token exactly
 if merging its bytes with those of ``last`` at its start leaves the two as they are; this
 is asked once for each pair of tokens and remembered. Walking back through ``last`` gives
-the ids. Because a prefix's entry depends on earlier bytes only, text is appended by
+the ids. The tables of many matches are filled together: tokens that start at a place are found
+by walking a tree of all tokens, and the entries of one prefix length of all matches are
+asked at once. Because a prefix's entry depends on earlier bytes only, text is appended by
 growing the table, and an edit recomputes entries from its place until they agree with
 the old ones again.
 
 Cases: null text is empty; an empty text has no ids and decodes to no bytes. Matches of
-any length are encoded in time linear in their length. Rows with equal ids or texts are
+any length are encoded in time linear in their length; those of over 64 bytes one by one. Rows with equal ids or texts are
 encoded each by itself and agree. Columns other than doc_id and text are ignored.
 """
 
@@ -27,11 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from counterlens.llm import kernel as K
+from counterlens.llm.merging import LONGEST, IntTable, PairMerges
 from counterlens.llm.units import UnitCache
 
 # The code points that the pattern's \s stands for.
 FAR_WHITE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = "\t-\r " + FAR_WHITE
+TOGETHER = 64  # bytes of a match up to which tables are filled together
 
 
 class PrefixBpe:
@@ -52,6 +56,7 @@ class PrefixBpe:
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.fits, self.tree = IntTable(-1), None
         self.cache = UnitCache(self._units, self.dtype)
 
     @classmethod
@@ -132,20 +137,154 @@ class PrefixBpe:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk(self.table(piece))
 
-    def _text(self, text: str) -> bytes:
-        out, pieces = [], self.pieces
-        for piece in self.split(text):
-            made = pieces.get(piece)
-            if made is None:
-                made = np.array(self.encode_piece(piece.encode()), self.dtype).tobytes()
-                if len(pieces) >= 400_000:
-                    pieces.clear()
-                pieces[piece] = made
-            out.append(made)
-        return b"".join(out)
+    def _grow(self) -> None:
+        """Tree of all tokens, merges of pairs, and the tokens that are their own encoding."""
+        tokens, ranks = self.tokens, self.ranks
+        rows, ends = [{}], [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                nxt = rows[node].get(byte)
+                if nxt is None:
+                    nxt = rows[node][byte] = len(rows)
+                    rows.append({})
+                    ends.append(-1)
+                node = nxt
+            ends[node] = rank
+        inner = np.cumsum([bool(r) for r in rows]) - 1  # only nodes with children have a row
+        self.child = np.full((int(inner[-1]) + 1, 256), -1, np.int32)
+        for row, kids in zip(inner.tolist(), rows):
+            if kids:
+                self.child[row, list(kids)] = list(kids.values())
+        self.row = np.where([bool(r) for r in rows], inner, -1).astype(np.int32)
+        self.token_at = np.array(ends, np.int32)
+        pairs = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        left, right, made = np.array(pairs, np.int64).reshape(-1, 3).T
+        self.merges = PairMerges(left, right, made, np.arange(len(tokens)))
+        self.size = np.array([len(t) for t in tokens])
+        self.first = np.cumsum(self.size) - self.size
+        single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.single = single[np.frombuffer(b"".join(tokens), np.uint8)]
+        self.alone = np.zeros(len(tokens), bool)
+        known = np.flatnonzero((self.size > 0) & (self.size <= LONGEST))
+        ids, per = self.merges(self._bytes_of(known), self.size[known])
+        self.alone[known] = (per == 1) & (ids[np.cumsum(per) - per] == known)
+        for t in np.flatnonzero(self.size > LONGEST).tolist():
+            self.alone[t] = self._starts(t)
+        self.tree = True
+
+    def _bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """Single-byte tokens of the bytes of ``ids``, in order."""
+        per = self.size[ids]
+        return self.single[np.arange(int(per.sum())) + np.repeat(self.first[ids] - (np.cumsum(per) - per), per)]
+
+    def _fit(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether each token may follow the one at its left; what is not known is merged and kept."""
+        key = left.astype(np.int64) << 20 | token
+        got = self.fits.get(key)
+        asked = np.unique(key[got < 0])
+        if len(asked):
+            a, b = asked >> 20, asked & 0xFFFFF
+            per, ok = self.size[a] + self.size[b], np.zeros(len(asked), np.int32)
+            short = np.flatnonzero(per <= LONGEST)
+            both = np.stack((a[short], b[short]), 1).ravel()
+            ids, left_over = self.merges(self._bytes_of(both), per[short])
+            at, two = np.cumsum(left_over) - left_over, left_over == 2
+            at = at[two]
+            ok[short[two]] = (ids[at] == a[short[two]]) & (ids[at + 1] == b[short[two]])
+            for i in np.flatnonzero(per > LONGEST).tolist():
+                ok[i] = self._fits(int(a[i]), int(b[i]))
+            if self.fits.count + len(asked) > 1_000_000:
+                self.fits.clear()
+            self.fits.add(asked, ok)
+            new = got < 0
+            got[new] = ok[np.searchsorted(asked, key[new])]
+        return got == 1
+
+    def tables(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Last tokens of the prefixes of many non-empty pieces, longest piece first.
+
+        Entry (i, k) of the first result is for the first i + 1 bytes of piece ``order[k]``;
+        the second is ``order``.
+        """
+        if not self.tree:
+            self._grow()
+        lengths = np.array([len(x) for x in pieces])
+        order = np.argsort(-lengths, kind="stable")
+        ordered, width = lengths[order], int(lengths.max())
+        flat, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(lengths) - lengths
+        inside = np.arange(width)[:, None] < ordered
+        data = np.zeros(inside.shape, np.uint8)
+        data[inside] = flat[(begin[order] + np.arange(width)[:, None])[inside]]
+        upto = inside.sum(1).tolist()  # pieces that reach each place
+        met: list[list] = [[] for _ in range(width)]  # by last byte: first byte, pieces, tokens
+        for start in range(width):
+            who, row = np.arange(upto[start]), np.zeros(upto[start], np.int32)
+            for end in range(start, width):
+                live = who < upto[end]
+                who, row = who[live], row[live]
+                node = self.child[row, data[end, who]]
+                live = node >= 0
+                who, node = who[live], node[live]
+                if not len(who):
+                    break
+                token = self.token_at[node]
+                is_token = token >= 0
+                met[end].append((start, who[is_token], token[is_token]))
+                row = self.row[node]
+                live = row >= 0
+                who, row = who[live], row[live]
+        last = np.full(data.shape, -1, np.int32)
+        for end in range(width):
+            for start, who, token in met[end]:  # longest first
+                unset = last[end, who] < 0
+                who, token = who[unset], token[unset]
+                good = self._fit(last[start - 1, who], token) if start else self.alone[token]
+                last[end, who[good]] = token[good]
+            met[end] = []
+        if (last[inside] < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        return last, order
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Little-endian ids of pieces of 1 to TOGETHER bytes that are no tokens."""
+        last, order = self.tables(pieces)
+        n = len(pieces)
+        on, who = np.zeros(last.shape, bool), np.arange(n)
+        at = np.array([len(pieces[k]) for k in order.tolist()]) - 1
+        while len(who):  # back through the last tokens, all pieces at once
+            on[at, who] = True
+            at = at - self.size[last[at, who]]
+            who, at = who[at >= 0], at[at >= 0]
+        data = last.T[on.T].astype(self.dtype).tobytes()
+        upto = (np.concatenate(([0], np.cumsum(on.sum(0)))) * np.dtype(self.dtype).itemsize).tolist()
+        out = [b""] * n
+        for i, k in enumerate(order.tolist()):
+            out[k] = data[upto[i] : upto[i + 1]]
+        return out
 
     def _units(self, units: list[bytes]) -> list[bytes]:
-        return [self._text(u.decode()) for u in units]
+        pieces, ranks = self.pieces, self.ranks
+        if len(pieces) >= 400_000:
+            pieces.clear()
+        split = [self.split(u.decode()) for u in units]
+        many: list[str] = []
+        for piece in {p for parts in split for p in parts if p not in pieces}:
+            raw = piece.encode()
+            whole = ranks.get(raw)
+            if whole is not None:
+                pieces[piece] = whole.to_bytes(np.dtype(self.dtype).itemsize, "little")
+            elif len(raw) > TOGETHER:
+                pieces[piece] = np.array(self.walk(self.table(raw)), self.dtype).tobytes()
+            else:
+                many.append(piece)
+        for i in range(0, len(many), 50_000):
+            some = many[i : i + 50_000]
+            pieces.update(zip(some, self.encode_pieces([p.encode() for p in some])))
+        return [pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts]) for parts in split]
+
+    def _text(self, text: str) -> bytes:
+        return self._units([text.encode()])[0]
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self._text(text), self.dtype)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from counterlens.llm import bpe_prefix, graph, hnsw, kernel, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, graph, hnsw, kernel, language_id, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 from counterlens.llm.shared import Scratch
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\n\t\r\x0b,.' 　中\x1c", max_size=30)), max_size=8)
@@ -620,3 +620,46 @@ def test_oracle_sql(spark, docs, module, tmp_path):
     assert sorted(got.columns) == cols
     rows = lambda df: sorted(map(str, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False)))
     assert rows(got) == rows(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=40), min_size=1, max_size=30), st.integers(0, 10_000))
+def test_merging_many_strings_is_merging_each(words, seed):
+    rng = np.random.default_rng(seed)
+    tokens = ["a", "b", "c"]
+    while len(tokens) < 40:
+        made = "".join(tokens[i] for i in rng.integers(0, len(tokens), 2))
+        if made not in tokens:
+            tokens.append(made)
+    pairs = [(tokens.index(t[:k]), tokens.index(t[k:]), r) for r, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in tokens and t[k:] in tokens]
+    left, right, made = np.array(pairs, np.int64).T
+    merges = merging.PairMerges(left, right, made, np.arange(len(tokens)))
+    ids, per = merges(np.array([tokens.index(c) for w in words for c in w]), np.array([len(w) for w in words]))
+    want = []
+    for w in words:
+        parts = list(w)
+        while ranks := [(tokens.index(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in tokens]:
+            i = min(ranks)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        want.append([tokens.index(p) for p in parts])
+    assert ids.tolist() == [i for x in want for i in x] and per.tolist() == [len(x) for x in want]
+
+
+def test_integer_table_against_a_dict():
+    rng = np.random.default_rng(5)
+    table, held = merging.IntTable(-1), {}
+    for _ in range(20):
+        keys = np.setdiff1d(rng.integers(0, 5_000, 700), list(held))
+        table.add(keys, (keys * 3).astype(np.int32))
+        held |= {int(k): int(k) * 3 for k in keys}
+        asked = rng.integers(0, 6_000, 2_000)
+        assert table.get(asked).tolist() == [held.get(int(k), -1) for k in asked]
+
+
+def test_matches_around_the_length_of_common_tables():
+    bpe = bpe_prefix.PrefixBpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    for n in (1, 2, 62, 63, 64, 65, 66, 200):
+        for letter in ("x", "ab", "漢", "é", "qz"):
+            piece = (letter * n).encode()[:n].decode(errors="ignore") or "x"
+            if piece.encode() not in bpe.ranks:
+                assert bpe.encode(piece).tolist() == bpe.walk(bpe.table(piece.encode()))
