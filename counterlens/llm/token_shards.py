@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterlens.llm import kernel as K
+from counterlens.llm.merging import LONGEST, PairMerges
 from counterlens.llm.shared import Scratch
 from counterlens.llm.units import UnitCache
 
@@ -145,7 +146,7 @@ class Shard:
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _HIDDEN = [b for b in range(256) if b not in PRINTED]
 BYTE_CHARS = {**{b: chr(b) for b in PRINTED}, **{b: chr(256 + i) for i, b in enumerate(_HIDDEN)}}
-TAIL = ".,;:!?"
+TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")  # the pattern has words of its own after an apostrophe
 
 
 class WordEncoder:
@@ -153,8 +154,8 @@ class WordEncoder:
 
     The tokenizer drops white space and treats words apart from each other, so a word
     has the same ids in any text. A word that is one run of letters, perhaps with
-    punctuation after it, goes to the library's merge model directly; any other goes
-    through the whole tokenizer.
+    punctuation after it, is merged here by the file's rules, many words at once; any
+    other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -162,32 +163,53 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.model = self.tokenizer.model
-        self.letters: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = "<u2" if len(vocab) <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        rules = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        left, right = (np.array([vocab[m[side]] for m in rules], np.int64) for side in (0, 1))
+        made = np.array([vocab[a + b] for a, b in rules])
+        self.merges = PairMerges(left, right, np.arange(len(rules)), made)
+        end = model.get("end_of_word_suffix") or ""
+        self.inner, self.final = (np.array([vocab[BYTE_CHARS[x] + suffix] for x in range(256)], np.int32) for suffix in ("", end))
+        self.runs: dict[str, bytes] = {}
         self.cache = UnitCache(self.encode, self.dtype)
 
-    def _run(self, piece: str) -> bytes:
-        made = self.letters.get(piece)
-        if made is None:
-            shown = piece if piece.isascii() else "".join(map(BYTE_CHARS.__getitem__, piece.encode()))
-            made = np.array([t.id for t in self.model.tokenize(shown)], self.dtype).tobytes()
-            if len(self.letters) >= 400_000:
-                self.letters.clear()
-            self.letters[piece] = made
-        return made
+    def _learn(self, runs: list[str]) -> None:
+        """Merge runs that are one piece each for the tokenizer."""
+        raw = [r.encode() for r in runs]
+        lengths = np.array([len(r) for r in raw])
+        flat, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths)
+        symbols = self.inner[flat]
+        symbols[ends - 1] = self.final[flat[ends - 1]]
+        ids, per = self.merges(symbols, lengths)
+        data = ids.astype(self.dtype).tobytes()
+        upto = (np.concatenate(([0], np.cumsum(per))) * np.dtype(self.dtype).itemsize).tolist()
+        self.runs.update(zip(runs, [data[i:j] for i, j in zip(upto, upto[1:])]))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        other = []
-        for i, word in enumerate(words):
-            whole = word.decode()
-            base = whole.rstrip(TAIL)
-            low = base.lower()
-            if low.isalpha() and (low.isascii() or "Σ" not in base and unicodedata.is_normalized("NFC", base)):
-                out[i] = self._run(low) + (self._run(whole[len(base) :]) if len(base) < len(whole) else b"")
+        runs = self.runs
+        if len(runs) >= 400_000:
+            runs.clear()
+        text = b"\n".join(words).decode()  # no word holds white space
+        parts: list[tuple[str, str] | None] = []
+        add, whole = parts.append, text.split("\n")
+        for i, low in enumerate(text.lower().split("\n")):
+            base = low.rstrip(TAIL)
+            if not base.isalpha():
+                add(None)
+            elif low.isascii():
+                add((base, low[len(base) :]) if len(low) <= LONGEST else None)
             else:
-                other.append(i)
+                plain = len(low.encode()) <= LONGEST and "Σ" not in whole[i] and unicodedata.is_normalized("NFC", whole[i])
+                add((base, low[len(base) :]) if plain else None)
+        new = {r for part in parts if part for r in part if r and r not in runs}
+        if new:
+            self._learn(list(new))
+        runs[""] = b""
+        out = [runs[part[0]] + runs[part[1]] if part else b"" for part in parts]
+        other = [i for i, part in enumerate(parts) if not part]
         if other:
             made = self.tokenizer.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False)
             for i, x in zip(other, made):
