@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import brute
 import duckdb
@@ -11,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from counterlens.llm import bpe_prefix, graph, hnsw, kernel, language_id, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, divergence, graph, hnsw, kernel, language_id, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 from counterlens.llm.shared import Scratch
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\n\t\r\x0b,.' 　中\x1c", max_size=30)), max_size=8)
@@ -663,3 +665,53 @@ def test_matches_around_the_length_of_common_tables():
             piece = (letter * n).encode()[:n].decode(errors="ignore") or "x"
             if piece.encode() not in bpe.ranks:
                 assert bpe.encode(piece).tolist() == bpe.walk(bpe.table(piece.encode()))
+
+
+# ---- 11: divergence of sources
+def _plain_divergence(rows, min_docs, top):
+    """{(lang, source, part, item): (value, rank)} of (text, lang, source) rows, term by term."""
+    rows = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(brute.LOWER)), g or "", s or "") for t, g, s in rows]
+    out = {}
+    for lang in {g for _, g, _ in rows}:
+        mine = [(w, s) for w, g, s in rows if g == lang]
+        docs = Counter(x for w, _ in mine for x in set(w))
+        kept = [x for x, n in docs.items() if n >= min_docs]
+        count = {s: Counter(x for w, t in mine if t == s or s is None for x in w if docs[x] >= min_docs) for s in {None, *(s for _, s in mine)}}
+        share = {s: {x: 1 + 10**9 * (c[x] + 1) // (sum(c.values()) + len(kept)) for x in kept} for s, c in count.items()}
+        apart = lambda a, b, x: (share[a][x] - share[b][x]) ** 2 // share[b][x]
+        for s in count.keys() - {None}:
+            lists = {"pair": {t: sum(apart(s, t, x) for x in kept) for t in count.keys() - {None, s}}, "term": {x: apart(s, None, x) for x in kept if count[s][x] and share[s][x] > share[None][x]}}
+            for part, values in lists.items():
+                order = sorted(values, key=lambda i: (-values[i], i.encode()))[: top if part == "term" else None]
+                out |= {(lang, s, part, i): (values[i], k + 1) for k, i in enumerate(order)}
+    return out
+
+
+def _divergence(df, scratch, **how):
+    got = divergence.audit(df, scratch, **how).collect()
+    assert len({r[:4] for r in got}) == len(got)
+    return {(r.lang, r.source, r.part, r.item): (r.value, r["rank"]) for r in got}
+
+
+def test_divergence_against_a_plain_count(spark, docs, corpus, odd_docs, no_docs):
+    rows = [(t, g, s) for _, t, g, s in corpus]
+    # the corpus has words with digits; letters of their own make terms
+    made = [(f"{'É' if i % 2 else 'A'}b c-{'abcdefgh'[i % 8]} {'zz ' * (i % 5)}{'x' * (i % 4)}\0y@Z[q`r{{s", ["en", "fr", None][i % 3], ["s0", "s1", None][i // 3 % 3]) for i in range(60)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in made], "text string, lang string, source string, n int, value int")
+    for how in ({"min_docs": 3, "top": 200}, {"min_docs": 1, "top": 4}, {"min_docs": 1000, "top": 5}):
+        assert _divergence(df, Scratch(spark, "t"), **how) == _plain_divergence(made, **how)
+    assert _divergence(docs, Scratch(spark, "t"), min_docs=3, top=200) == _plain_divergence(rows, 3, 200)
+    odd = [(r.text, r.lang, r.source) for r in odd_docs.collect()]
+    assert _divergence(odd_docs, Scratch(spark, "t"), min_docs=2, top=3) == _plain_divergence(odd, 2, 3)
+    assert _divergence(no_docs, Scratch(spark, "t")) == {}
+
+
+def test_divergence_of_long_texts_and_many_chunks(spark, monkeypatch):
+    """Counts are merged over chunks and held rows many times, and squares and sums leave 32 bits far behind."""
+    monkeypatch.setattr(divergence, "LEAST_SHARDS", 3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rnd = random.Random(3)
+    made = [(" ".join("".join(rnd.choice(letters) for _ in range(rnd.choice([1, 1, 2, 3]))) for _ in range(rnd.choice([3, 40, 9000]))), "en", f"s{min(i % 9, 3)}") for i in range(120)]
+    made += [("the " * 200_000, "en", "s0")]
+    df = spark.createDataFrame(made, "text string, lang string, source string").repartition(2)
+    assert _divergence(df, Scratch(spark, "t")) == _plain_divergence(made, 3, 200)
