@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, divergence, hnsw, language_id, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, divergence, hnsw, language_id, line_dedup, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op4_page_text": page_text.query,
     "op5_minhash_near_dedup": near_dedup.query,
     "op11_divergence_audit": divergence.query,
+    "op12_line_dedup": line_dedup.query,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_divergence_audit": divergence.ORACLE_SQL,
+    "op12_line_dedup": line_dedup.ORACLE_SQL,
 }

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import brute
 import duckdb
@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from counterlens.llm import bpe_prefix, divergence, graph, hnsw, kernel, language_id, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, divergence, graph, hnsw, kernel, language_id, line_dedup, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 from counterlens.llm.shared import Scratch
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\n\t\r\x0b,.' 　中\x1c", max_size=30)), max_size=8)
@@ -693,7 +693,8 @@ def _divergence(df, scratch, **how):
     return {(r.lang, r.source, r.part, r.item): (r.value, r["rank"]) for r in got}
 
 
-def test_divergence_against_a_plain_count(spark, docs, corpus, odd_docs, no_docs):
+def test_divergence_against_a_plain_count(spark, docs, corpus, odd_docs, no_docs, monkeypatch):
+    monkeypatch.setattr(divergence, "LEAST_SHARDS", 3)
     rows = [(t, g, s) for _, t, g, s in corpus]
     # the corpus has words with digits; letters of their own make terms
     made = [(f"{'É' if i % 2 else 'A'}b c-{'abcdefgh'[i % 8]} {'zz ' * (i % 5)}{'x' * (i % 4)}\0y@Z[q`r{{s", ["en", "fr", None][i % 3], ["s0", "s1", None][i // 3 % 3]) for i in range(60)]
@@ -715,3 +716,82 @@ def test_divergence_of_long_texts_and_many_chunks(spark, monkeypatch):
     made += [("the " * 200_000, "en", "s0")]
     df = spark.createDataFrame(made, "text string, lang string, source string").repartition(2)
     assert _divergence(df, Scratch(spark, "t")) == _plain_divergence(made, 3, 200)
+
+
+# ---- 12: lines
+def _plain_lines(rows, min_chars, min_docs):
+    """[(doc_id, lines, lines dropped, kept text)] of (doc_id, text) rows; rows of one id are one document, those without one by text."""
+    name = lambda i, t: (0, t or "") if i is None else (1, i)
+    order = lambda d: d if d[0] else (0, _print[d[1]])
+    holders = defaultdict(set)
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders[key(line)].add(name(i, t))
+    last = {k: max(d, key=order) for k, d in holders.items() if len(k) >= min_chars and len(d) >= min_docs}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if last.get(key(x), name(i, t)) == name(i, t)]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+_print = {}
+
+
+def _lines(df, scratch, **how):
+    _print.update({r.text: r.p for r in df.selectExpr("text", "xxhash64(text) AS p").collect()})
+    found = line_dedup.dedup_lines(df, scratch, keep=["text"], **how)
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.kept_text(found).collect()), key=repr)
+
+
+def test_lines_against_a_plain_pass(spark, docs, odd_docs, no_docs):
+    rnd = random.Random(5)
+    shared = [f"Line {k} of the shared kind, long enough to count é" + "!" * (k % 3) for k in range(12)] + ["x" * 39, "y" * 40, "ü" * 40, "ü" * 39, "z" * 70_000, " ", ""]
+    spaced = lambda x: rnd.choice(["", " ", "\t\x0b", "\r", " "]) + rnd.choice([x, x.upper(), x.lower()]) + rnd.choice(["", "  ", "\r", "\x0c"])
+    text = lambda: "\n".join(spaced(rnd.choice(shared[: rnd.choice([3, 12, 19])])) for _ in range(rnd.choice([1, 2, 9])))
+    rows = [(rnd.choice([None, *range(40)]), text()) for _ in range(90)] + [(3, None), (None, None), (5, ""), (6, "\n"), (7, "\n\n" + shared[0] + "\n"), (900, (shared[1] + "\n") * 20_000)]
+    rows += [rows[0], rows[0], rows[8]]
+    df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, pos int, keep_bits string")
+    for how in ({"min_chars": 40, "min_docs": 5}, {"min_chars": 40, "min_docs": 1}, {"min_chars": 1, "min_docs": 2}, {"min_chars": 41, "min_docs": 70}):
+        assert _lines(df, Scratch(spark, "t"), **how) == _plain_lines(rows, **how)
+    odd = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert _lines(odd_docs, Scratch(spark, "t"), min_chars=5, min_docs=2) == _plain_lines(odd, 5, 2)
+    assert _lines(no_docs, Scratch(spark, "t")) == []
+
+
+def test_bitmaps_are_of_lines(spark):
+    line = "a line that stands in every document, again and again"
+    df = spark.createDataFrame([(i, f"own {i}\n{line}\n\n{line}\nend", i) for i in range(6)], "doc_id long, text string, extra int")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df, Scratch(spark, "t"), keep=["extra"]).collect()}
+    assert got[0].asDict().keys() == {"doc_id", "extra", "n_lines", "n_dropped", "keep_bits"}
+    assert got[5].keep_bits is None and zlib.decompress(got[2].keep_bits) == bytes([0b10101000]) and got[2].n_dropped == 2
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 7), st.integers(0, 1)), max_size=60), st.lists(st.integers(1, 9), min_size=1), st.integers(0, 60), st.integers(1, 4))
+@settings(max_examples=300, deadline=None)
+def test_ranges_judge_as_one(entries, sizes, cut, min_docs):
+    """Two ranges that never part a document of a key, read in batches of any size, come to what one does."""
+    entries = sorted({(k, d, p) for k, d, p in entries}, key=lambda e: (e[0], -e[1], e[2]))
+    while 0 < cut < len(entries) and entries[cut][:2] == entries[cut - 1][:2]:
+        cut += 1
+    docs_of = {k: {d for a, d, _ in entries if a == k} for k, _, _ in entries}
+    want = {(k, d, p) for k, d, p in entries if len(docs_of[k]) >= min_docs and d < max(docs_of[k])}
+    gone, open_, seen = set(), set(), defaultdict(list)
+    for part in (entries[:cut], entries[cut:]):
+        batches, at = [], 0
+        while at < len(part):
+            piece = np.array(part[at : at + sizes[len(batches) % len(sizes)]], np.int64)
+            at += len(piece)
+            k, d, p = piece.T
+            batches.append({"h1": k, "h2": k, "doc": d, "own": 0 * d, "print": d, "n_lines": d, "pos": p})
+        for kind, n, rows in line_dedup.judged(iter(batches), min_docs):
+            told = set(zip(rows["h1"].tolist(), rows["doc"].tolist(), rows["pos"].tolist()))
+            if kind == line_dedup.SEEN:
+                seen[rows["h1"][0]].append((n, rows["doc"][0]))
+            else:
+                (gone if kind == line_dedup.GOES else open_).update(told)
+    gone |= {(k, d, p) for k, d, p in open_ if sum(n for n, _ in seen[k]) >= min_docs and d < max(x for _, x in seen[k])}
+    assert gone == want
+    assert all(len(x) <= 2 for x in seen.values())
