@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from counterlens.llm import bpe_prefix, divergence, hnsw, language_id, line_dedup, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, divergence, hard_negatives, hnsw, language_id, line_dedup, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 
 QUERIES = {
     "op1_token_shards": token_shards.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op5_minhash_near_dedup": near_dedup.query,
     "op11_divergence_audit": divergence.query,
     "op12_line_dedup": line_dedup.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op10_substring_dedup": substring_dedup.ORACLE_SQL,
     "op11_divergence_audit": divergence.ORACLE_SQL,
     "op12_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }

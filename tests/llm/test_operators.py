@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from counterlens.llm import bpe_prefix, divergence, graph, hnsw, kernel, language_id, line_dedup, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
+from counterlens.llm import bpe_prefix, divergence, graph, hard_negatives, hnsw, kernel, language_id, line_dedup, merging, mixing, near_dedup, page_text, sharding, substring_dedup, token_shards, transport_stream
 from counterlens.llm.shared import Scratch
 
 TEXTS = st.lists(st.one_of(st.none(), st.text("ab é\n\t\r\x0b,.' 　中\x1c", max_size=30)), max_size=8)
@@ -795,3 +795,65 @@ def test_ranges_judge_as_one(entries, sizes, cut, min_docs):
     gone |= {(k, d, p) for k, d, p in open_ if sum(n for n, _ in seen[k]) >= min_docs and d < max(x for _, x in seen[k])}
     assert gone == want
     assert all(len(x) <= 2 for x in seen.values())
+
+
+# ---- 13: hard negatives
+def _plain_negatives(rows, is_anchor, positives=5, negatives=3):
+    """Sorted results over (vec_id, label, whole numbers) rows, every pair scored."""
+    rows, out = list(dict.fromkeys((i, y, tuple(v)) for i, y, v in rows)), []
+    for i, y, v in rows:
+        if not is_anchor(i):
+            continue
+        score = [(-sum(int(a) * int(b) for a, b in zip(v, w)), j, z) for j, z, w in rows if j != i and len(w) == len(v)]
+        for p, pid, _ in sorted(x for x in score if x[2] == y)[:positives]:
+            near = sorted(x for x in score if x[2] != y and 50 * -p <= 100 * -x[0] <= 95 * -p)[:negatives]
+            out += [(i, pid, k + 1, j, -p, -s) for k, (s, j, _) in enumerate(near)]
+    return sorted(out)
+
+
+def _negatives(spark, rows, is_anchor, **how):
+    df = spark.createDataFrame([(i, v, y, 1, "x") for i, y, v in rows], "vec_id long, embedding array<double>, label int, rank int, anchor string")
+    got = hard_negatives.mine(hard_negatives.usable(df), is_anchor, Scratch(spark, "t"), **how).collect()
+    return sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in got)
+
+
+def test_hard_negatives_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAST_SHARDS", 3)
+    monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", 2_000)
+    rng = np.random.default_rng(2)
+    heart = rng.normal(size=(6, 4))
+    rows = [(i, int(rng.integers(3)), (heart[i % 6] + 0.3 * rng.normal(size=4)).round(1).tolist()) for i in range(400)]
+    rows += [(1000 + i, i % 4, heart[0].tolist()) for i in range(150)]  # copies of one vector, under every label
+    rows += [(2000 + i, 1, [0.5, -0.25]) for i in range(12)] + [(2020, 2, [0.4, -0.2]), (2030, 2, [0.0, 0.0]), (2040, 9, [1.0]), (2050, 9, []), (2060, 8, [])]
+    rows += rows[:3] + [(0, 2, rows[5][2]), (10, rows[10][1], rows[11][2])]  # repeated rows, and other rows of one id
+    odd = [(None, 1, rows[0][2]), (3000, None, rows[0][2]), (3010, 1, None), (3020, 1, [1.0, None, 1.0, 1.0]), (3030, 1, [float("nan"), 0.0, 0.0, 0.0]), (3040, 1, [float("inf"), 0.0, 0.0, 0.0])]
+    whole = [(i, y, np.floor(256 * np.array(v))) for i, y, v in rows]
+    assert _negatives(spark, rows + odd, "vec_id % 10 = 0") == _plain_negatives(whole, lambda i: i % 10 == 0)
+    assert _negatives(spark, rows[:60], "vec_id % 2 = 0", positives=2, negatives=1) == _plain_negatives(whole[:60], lambda i: i % 2 == 0, 2, 1)
+    assert _negatives(spark, [], "vec_id % 2 = 0") == []
+
+
+def test_dual_trees_prune_whole_groups_and_lose_nothing():
+    rng = np.random.default_rng(4)
+    heart = 400 * rng.normal(size=(20, 8))
+    x = np.floor(np.repeat(heart, 200, axis=0) + 20 * rng.normal(size=(4000, 8)))
+    label, ids = rng.integers(0, 5, 4000), rng.permutation(4000)
+    a = x[::20]
+    all_scores = (a @ x.T).astype(np.int64)
+    # an anchor's own best, then what is just below it
+    for low, high, surely in ((np.full((200, 1), -(1 << 62)), np.full((200, 1), 1 << 62), 3), (all_scores.max(axis=1, keepdims=True) // 2, all_scores.max(axis=1, keepdims=True) * 9 // 10, None)):
+        wanted = hard_negatives.Wanted(low, high, 3)
+        scored = hard_negatives.dual_search(hard_negatives.Tree(a, 8), a, hard_negatives.Tree(x, 16), x, ids, wanted, lambda r, c: np.ones(len(r), bool), surely)
+        assert scored < all_scores.size // 4
+        for k in range(200):
+            good = [(-s, i) for s, i in zip(all_scores[k].tolist(), ids.tolist()) if low[k, 0] <= s <= high[k, 0]]
+            want = sorted(good)[:3]
+            got = [(-s, i) for s, i in zip(wanted.score[k, 0].tolist(), wanted.id[k, 0].tolist()) if s > hard_negatives.LOWEST]
+            assert got == want
+
+
+def test_products_are_exact_or_refused():
+    big = np.array([[3.0e9, 1.0]])
+    assert hard_negatives.products(big, big).tolist() == [[9 * 10**18 + 1]]
+    with pytest.raises(OverflowError):
+        hard_negatives.products(np.array([[1e10]]), np.array([[1e10]]))
