@@ -132,7 +132,8 @@ class Wanted:
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers, held in doubles, of all rows of a with all rows of b: as doubles where those are exact."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    longest = lambda x: float(np.sqrt((x * x).sum(axis=1)).max(initial=0))
+    most = longest(a) * longest(b) * (1 + 1e-9)  # of the sum of the products' sizes as well
     if most < 1 << 53:
         return a @ b.T
     if most >= 1 << 63:
