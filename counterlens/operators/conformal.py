@@ -19,14 +19,18 @@ def min_certifiable_n(alpha: float = 0.1, delta: float = 0.1) -> int:
 
 
 def pool(preds: DataFrame, keys: list[str], open_: Column, score: str = "u") -> DataFrame:
-    """Rows that calibrate a threshold: open ones with a score; without any, open ones; without those, all.
+    """Rows that calibrate a threshold: the open ones, or all where none is open; of those, the ones with a finite score where there are any.
 
-    ``open_`` says that a row is not decided otherwise. The rule that applied is in ``rule``.
+    ``open_`` says that a row is not decided otherwise. ``rule`` tells what was taken:
+    ``finite`` or ``open`` of the open rows, ``all_finite`` or ``all`` of all rows.
     """
-    kinds = preds.groupBy(*keys).agg(F.count_if(open_ & F.col(score).isNotNull()).alias("_finite"), F.count_if(open_).alias("_open"))
-    rule = F.when(F.col("_finite") > 0, "finite").when(F.col("_open") > 0, "open").otherwise("all")
-    taken = F.when(F.col("rule") == "finite", open_ & F.col(score).isNotNull()).when(F.col("rule") == "open", open_).otherwise(F.lit(True))
-    return preds.join(F.broadcast(kinds.withColumn("rule", rule)), keys).where(taken).drop("_finite", "_open")
+    fine = F.coalesce(F.abs(score) < float("inf"), F.lit(False))
+    kinds = preds.groupBy(*keys).agg(F.count_if(open_).alias("_open"), F.count_if(open_ & fine).alias("_finite"), F.count_if(fine).alias("_any"))
+    some = F.col("_open") > 0
+    rule = F.when(some & (F.col("_finite") > 0), "finite").when(some, "open").when(F.col("_any") > 0, "all_finite").otherwise("all")
+    r = F.col("rule")
+    taken = F.when(r == "finite", open_ & fine).when(r == "open", open_).when(r == "all_finite", fine).otherwise(F.lit(True))
+    return preds.join(kinds.select(*keys, rule.alias("rule")), keys).where(taken)
 
 
 def calibrate(pool: DataFrame, keys: list[str], alpha: float = 0.1, delta: float = 0.1, rule: str = "conformal") -> DataFrame:

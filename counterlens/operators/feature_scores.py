@@ -1,4 +1,4 @@
-"""Scores of dictionary features, effects of interventions, and faithfulness, over tables of results.
+"""Scores of dictionary features and faithfulness, over tables of results.
 
 Activations are a sparse table (row, feature, x); concepts a table (row, concept). The
 matrix of features by rows is never made: counts are partial aggregates.
@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.operators.metrics import rate
 from counterlens.operators.ordered import running
 
 
@@ -37,58 +36,11 @@ def influence(semantic: Column, excess: Column, alpha: float = 0.5, beta: float
     return F.lit(alpha) * semantic + F.lit(beta) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), excess))
 
 
-def matched_controls(features: DataFrame, name: str = "feature", n: str = "n", k: int = 50) -> DataFrame:
-    """feature, control, place: the k live features nearest in ln n, within a factor of four; ties by name.
-
-    Features meet only in neighbouring bands of ln n a factor of two wide: a candidate is
-    in one of five bands, so this is an equi join on the band.
-    """
-    live = features.where(F.col(n) > 0).select(F.col(name).alias("feature"), F.col(n).alias("n"), F.floor(F.log2(F.col(n).cast("double"))).alias("band"))
-    asks = live.withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)))
-    other = live.select(F.col("feature").alias("control"), F.col("n").alias("m"), "band")
-    near = asks.join(other, "band").where("feature <> control AND m >= n / 4.0 AND m <= n * 4.0")
-    gap = F.round(F.abs(F.ln(F.col("n").cast("double")) - F.ln(F.col("m").cast("double"))), 12)
-    place = F.row_number().over(Window.partitionBy("feature").orderBy(gap, "control"))
-    return near.withColumn("place", place).where(F.col("place") <= k).select("feature", "control", "place")
-
-
 def spread(effects: DataFrame, keys: Sequence[str], value: str, reference: Column) -> DataFrame:
     """Mean, sample deviation and worst log ratio to a reference."""
     return effects.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.max(F.abs(F.ln(F.col(value) / reference))).alias("worst"))
 
 
-def layer_effects(effects: DataFrame, keys: Sequence[str], raw: str = "delta", control: str = "control", min_gap: float = 0.1) -> DataFrame:
-    """Mean raw and control effect, excess of their sizes, and the effect as a share of the gap where that is large enough."""
-    scaled = F.when(F.abs(control) >= min_gap, F.col(raw) / F.col(control))
-    return effects.groupBy(*keys).agg(F.avg(raw).alias("raw"), F.avg(control).alias("control"), (F.avg(F.abs(raw)) - F.avg(F.abs(control))).alias("excess"), F.avg(scaled).alias("scaled"))
-
-
-def dose_cells(effects: DataFrame, keys: Sequence[str], dose: str, value: str = "delta") -> DataFrame:
-    """Mean effect by dose, and its step from the dose before."""
-    cells = effects.groupBy(*keys, dose).agg(F.round(F.avg(value), 9).alias("m"))
-    return cells.withColumn("step", F.col("m") - F.lag("m").over(Window.partitionBy(*keys).orderBy(dose)))
-
-
-def dose_response(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Swing over the doses, and whether the effect only rises or only falls."""
-    return cells.groupBy(*keys).agg((F.max("m") - F.min("m")).alias("swing"), F.coalesce(F.bool_and(F.col("step") >= 0) | F.bool_and(F.col("step") <= 0), F.lit(True)).alias("monotone"))
-
-
-def best_cell(cells: DataFrame, key: str, dose: str, sign: bool = True) -> DataFrame:
-    """The cell of largest effect (ties: lower key, then dose) and the next larger dose of the same sign."""
-    side = Window.partitionBy(key, F.col(dose) > 0).orderBy(F.abs(dose))
-    table = cells.withColumn("after", F.lead(F.abs("m")).over(side))
-    best = table.agg(F.min(F.struct((-F.abs("m")).alias("s"), F.col(key), F.col(dose), "m", "after")).alias("b"))
-    return best.select(f"b.{key}", f"b.{dose}", "b.m", "b.after")
-
-
-def signed_arms(cells: DataFrame, key: str, dose: str) -> DataFrame:
-    """By the sign of the dose: largest effect, where (lowest key of equals), and how many steps rise."""
-    best = F.min(F.struct((-F.abs("m")).alias("s"), F.col(key).alias("key"))).alias("b")
-    by = cells.where(F.col(dose) != 0).groupBy((F.col(dose) > 0).alias("positive")).agg(best, F.count_if(F.col("step") > 0).alias("rising"))
-    return by.select("positive", (-F.col("b.s")).alias("best"), F.col("b.key").alias(key), "rising")
-
-
 def set_agreement(members: DataFrame, group: str, member: str) -> DataFrame:
     """x, y, jaccard, only_x, only_y of every two groups' sets of members; groups without a common member are left out."""
     sets = members.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
@@ -124,17 +76,6 @@ def edit_percentile(rows: DataFrame, keys: Sequence[str], score: str, tie: str)
     return placed.withColumn("percentile", share).drop("_one", "_place", "_rows")
 
 
-def pointing(active: DataFrame, row: str, concept: str, best: DataFrame) -> DataFrame:
-    """Share of rows whose strongest feature stands for their concept, over all rows and over those whose concept any feature stands for, with the share that a random feature of theirs would have."""
-    named = active.join(F.broadcast(best.select("feature", F.col("concept").alias("_stands"))), "feature")
-    strongest = F.max_by(F.struct("feature", "_stands"), F.struct("x", -F.col("feature"))).alias("t")
-    rows = named.groupBy(row, concept).agg(strongest, F.avg(F.when(F.col("_stands") == F.col(concept), 1.0).otherwise(0.0)).alias("chance"))
-    expressible = best.select(F.col("concept").alias(concept)).distinct().withColumn("_can", F.lit(True))
-    rows = rows.join(F.broadcast(expressible), concept, "left")
-    hit = F.col("t._stands") == F.col(concept)
-    return rows.groupBy(concept).agg(F.count("*").alias("n"), rate(hit).alias("accuracy"), F.avg(F.when(F.col("_can"), F.when(hit, 1.0).otherwise(0.0))).alias("expressible_accuracy"), F.avg("chance").alias("random_accuracy"))
-
-
 def contraction(old: Column, new: Column) -> Column:
     """Aggregate: one less the share of positive excess that is left."""
     positive = lambda c: F.sum(F.greatest(c, F.lit(0.0)))
@@ -170,8 +111,3 @@ def gated_code(pre: Column, log_threshold: Column | float) -> Column:
     """Entries above exp(threshold), all others 0."""
     at = F.exp(log_threshold if isinstance(log_threshold, Column) else F.lit(float(log_threshold)))
     return F.transform(pre, lambda x: F.when((x > at) & (x > 0), x.cast("double")).otherwise(0.0))
-
-
-def overlapping(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Tokens (key, s, e) that overlap a span (key, a, b) of their document; empty tokens overlap nothing."""
-    return tokens.join(spans, key).where("e > a AND s < b AND e > s")

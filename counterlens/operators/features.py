@@ -14,10 +14,6 @@ plan("a31_feature_counts", f"WITH {ACT} SELECT t.feature, t.concept, t.tp, f.n_a
 plan("a32_best_concept", f"WITH {ACT} SELECT feature, concept, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(f1, 12) DESC, concept) AS rn FROM f1) AS x WHERE rn = 1")
 plan("a33_influence_score", f"WITH {ACT} SELECT feature, round(0.5e0 * max(f1) + 0.5e0 * greatest(0e0, least(1e0, 4e0 * (max(f1) - avg(f1)))), 9) AS score FROM f1 GROUP BY feature")
 plan("a34_control_spread", f"WITH {ACT} SELECT concept, round(avg(f1), 9) AS mean, round(stddev_samp(f1), 9) AS sd, round(max(abs(ln(f1 / 0.1e0))), 9) AS worst FROM f1 GROUP BY concept")
-plan("a35_layer_effect", f"WITH {EFFECTS} SELECT layer, round(avg(delta), 9) AS raw, round(avg(control), 9) AS control, round(avg(abs(delta)) - avg(abs(control)), 9) AS excess, round(avg(CASE WHEN abs(control) >= 0.1e0 THEN delta / control END), 6) AS scaled FROM eff GROUP BY layer")
-DOSE = f"{EFFECTS}, cell AS (SELECT layer, alpha, round(avg(delta), 9) AS m FROM eff GROUP BY layer, alpha), step AS (SELECT layer, alpha, m, m - lag(m) OVER (PARTITION BY layer ORDER BY alpha) AS d FROM cell)"
-plan("a36_dose_response", f"WITH {DOSE} SELECT layer, round(max(m) - min(m), 6) AS swing, coalesce(bool_and(d >= 0) OR bool_and(d <= 0), TRUE) AS monotone FROM step GROUP BY layer")
-plan("a37_best_cell", f"WITH {DOSE}, r AS (SELECT *, row_number() OVER (ORDER BY abs(m) DESC, layer, alpha) AS rn, lead(abs(m)) OVER (PARTITION BY layer, alpha > 0 ORDER BY abs(alpha)) AS after FROM step) SELECT layer, alpha, m, after FROM r WHERE rn = 1")
 plan("a41_edit_percentile", "SELECT arm, round(avg(place / nullif(n - 1, 0)), 9) AS percentile FROM (SELECT arm, row_number() OVER (PARTITION BY family ORDER BY factor_value, item_no) - 1e0 AS place, count(*) OVER (PARTITION BY family) AS n FROM items) AS x GROUP BY arm")
 plan("a43_drop_counters", "SELECT family, CASE WHEN q < 2 THEN 'low' WHEN q > 200 THEN 'high' ELSE 'kept' END AS reason, count(*) AS n FROM facts GROUP BY 1, 2")
 plan("a44_index_quantile", "SELECT family, q AS p90 FROM (SELECT family, q, row_number() OVER (PARTITION BY family ORDER BY q) AS rn, count(*) OVER (PARTITION BY family) AS n FROM facts) AS x WHERE rn = CAST(floor(0.9e0 * (n - 1)) AS BIGINT) + 1")

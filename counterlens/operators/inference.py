@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterlens.functions import binomial
-from counterlens.operators.ordered import ranges_of
+from counterlens.operators.ordered import in_ranges
 
 FEWEST = 10
 CELLS_A_TASK = 20_000
@@ -156,7 +156,7 @@ def auroc_replicates(df: DataFrame, signals: dict[str, str], wrong: Column, keys
     cells = whole.groupBy(*keys, *names, "wrong").agg(F.count("*").alias("m")).withColumn("ident", F.xxhash64(*names, "wrong"))
     long = cells.select(*keys, "wrong", "m", "ident", F.inline(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(f"_s_{n}").alias("score")) for n in signals])))
     ranges = max(1, -(-long.count() // CELLS_A_TASK))
-    placed = ranges_of(long, "score", ranges)
+    placed = in_ranges(long, ["score"], ranges)
     kinds = T.StructType([f for f in placed.schema if f.name in (*keys, "signal", "_range")])
     for name, kind in (("rep", T.IntegerType()), ("pos", T.DoubleType()), ("neg", T.DoubleType()), ("conc", T.DoubleType())):
         kinds = kinds.add(name, kind)

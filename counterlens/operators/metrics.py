@@ -99,25 +99,47 @@ def conditional_coverage(preds: DataFrame, keys: Sequence[str], attributes: Sequ
 
 
 def coverage_gap(covered: DataFrame, keys: Sequence[str], least: int = 5) -> DataFrame:
-    """Widest difference of coverage between groups of at least ``least`` rows, of ``conditional_coverage``."""
-    return covered.where(F.col("n") >= least).groupBy(*keys, "attribute").agg((F.max("coverage") - F.min("coverage")).alias("gap"))
+    """lowest, highest and gap of coverage over all groups of all attributes with at least ``least`` rows, of ``conditional_coverage``."""
+    by = covered.where(F.col("n") >= least).groupBy(*keys).agg(F.min("coverage").alias("lowest"), F.max("coverage").alias("highest"))
+    return by.withColumn("gap", F.col("highest") - F.col("lowest"))
 
 
-def pooled_flips(preds: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
-    """Share of pairs that flip, by ``group`` and over all groups (NULL there reads POOLED)."""
-    table = pairs(preds, [*keys, group])
+def grouped_pairs(preds: DataFrame, keys: Sequence[str], group: str, control: str = "is_control") -> DataFrame:
+    """n, consistency and flip_rate of causal and control pairs, by ``group`` and over all groups (POOLED).
+
+    A pair is consistent if both answers are the labels, and flips if both answers exist and
+    differ; both are shares of all pairs. Deferral plays no part: an answer that was given
+    counts even where the item was deferred.
+    """
+    right_ = F.coalesce(F.col("pred") == F.col("label"), F.lit(False))
+    by_pair = preds.groupBy(*keys, group, "pair_id").agg(
+        F.count("*").alias("arms"),
+        F.bool_or(F.coalesce(control, F.lit(False))).alias("control"),
+        F.bool_and(right_).alias("ok"),
+        ((F.count("pred") == 2) & (F.min("pred") != F.max("pred"))).alias("flipped"),
+    )
+    table = by_pair.where("arms = 2")
     sets = [[*keys, "control", group], [*keys, "control"]]
     by = table.groupingSets([[F.col(c) for c in s] for s in sets], *keys, "control", group)
-    return by.agg(F.count("*").alias("n"), rate("flipped AND answered").alias("flip_rate")).withColumn(group, F.coalesce(group, F.lit("POOLED")))
+    return by.agg(F.count("*").alias("n"), rate("ok").alias("consistency"), rate("flipped").alias("flip_rate"), F.grouping(group).alias("_pooled")).withColumn(group, F.when(F.col("_pooled") == 1, "POOLED").otherwise(F.col(group))).drop("_pooled")
 
 
 def constant_baseline(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best constant answer (first of equals in label order), its accuracy, and the share of the commonest answer."""
-    by_label = preds.groupBy(*keys, "label").agg(F.count("*").alias("n"))
-    best = by_label.groupBy(*keys).agg(F.max("n").alias("top"), F.sum("n").alias("total"), F.collect_list(F.struct("label", "n")).alias("all"))
-    answer = F.array_min(F.transform(F.filter("all", lambda x: x.n == F.col("top")), lambda x: x.label))
-    given = preds.where("pred IS NOT NULL").groupBy(*keys, "pred").agg(F.count("*").alias("n")).groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("response_bias"))
-    return best.select(*keys, answer.alias("answer"), (F.col("top") / F.col("total")).alias("baseline_accuracy")).join(given, list(keys))
+    """answer: the best constant answer (of equals the first in label order); baseline_accuracy; response, response_bias and response_gold.
+
+    The response is the commonest answer of the model (of equals the first by name), and its
+    bias the share of all rows that give it; no answer counts as an answer, NULL.
+    response_gold is the share of rows whose label it is.
+    """
+    labels = preds.groupBy(*keys, F.col("label").alias("_v")).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("s"), F.col("_v").alias("v")))
+    gold = labels.where("_v IS NOT NULL").groupBy(*keys).agg(best.alias("_g"))
+    sizes = labels.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    # NULL is last of equals
+    given = preds.groupBy(*keys, F.col("pred").alias("_v")).agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("s"), F.col("_v").isNull().alias("none"), F.col("_v").alias("v"))).alias("_r"))
+    held = labels.select(*keys, F.col("_v").alias("response"), F.col("_n").alias("_held"))
+    out = sizes.join(gold, list(keys)).join(given, list(keys)).withColumn("response", F.col("_r.v")).join(held, [*keys, "response"], "left")
+    return out.select(*keys, F.col("_g.v").alias("answer"), (-F.col("_g.s") / F.col("_all")).alias("baseline_accuracy"), "response", (-F.col("_r.s") / F.col("_all")).alias("response_bias"), (F.coalesce("_held", F.lit(0)) / F.col("_all")).alias("response_gold"))
 
 
 def against_base(table: DataFrame, name: str, base: str, columns: Sequence[str], prefix: str = "d_") -> DataFrame:

@@ -1,39 +1,40 @@
 """Running sums and ranks over long orders, without a task that holds a whole order.
 
-An order is cut into ranges of its first column; totals by range are summed ahead (ranges
-times keys rows, a small table), and a window runs inside a range only. So a window over
-one key, or none, spreads over as many tasks as there are ranges. Ties of the first
-column share a range; a single value that most rows have still makes one large range.
+Rows are range-partitioned by keys and order, ties included, and stored with the number of
+their range; totals by key and range are summed ahead (a small table), and a window runs
+inside a range only. So a window over one key, or none, spreads over as many tasks as there
+are ranges, and a value that many rows share is split by what comes after it in the order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from counterlens.sources import files
+
 RANGES = 64
 
 
-def ranges_of(df: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with _range, the place of ``order`` (a number) among approximate quantiles; NULL comes first."""
-    cuts = sorted({c for c in df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.5 / ranges) if abs(c) != float("inf")}) if ranges > 1 else []
-    if not cuts:
-        return df.withColumn("_range", F.lit(0))
-    value = df.withColumn("_order", F.col(order).cast("double"))
-    bucket = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_order", outputCol="_bucket", handleInvalid="keep")
-    placed = bucket.transform(value.na.fill({"_order": float("-inf")}))
-    return placed.withColumn("_range", F.col("_bucket").cast("int")).drop("_order", "_bucket")
+def in_ranges(df: DataFrame, order: Sequence[str | Column], ranges: int | None = None) -> DataFrame:
+    """``df`` stored with _range, which grows with the order; NULL comes first. Equal rows of the order share a range.
+
+    It is stored because a second run may cut elsewhere. Without ``ranges`` the engine
+    settles their number.
+    """
+    path = files.scratch_path(df.sparkSession, "ranges")
+    (df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], total: str | None = None, ranges: int = RANGES) -> DataFrame:
-    """``df`` with inclusive running sums by ``keys`` in the order of ``order`` (its first column a number).
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, str], total: str | None = None) -> DataFrame:
+    """``df`` with inclusive running sums by ``keys`` in the order of ``order``.
 
     ``sums`` maps new names to integer columns; ``total`` names the count of the key's rows.
     """
-    placed = ranges_of(df, order[0], ranges)
+    placed = in_ranges(df, [*keys, *order])
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_p_{n}") for n, c in sums.items()], F.count("*").alias("_n"))

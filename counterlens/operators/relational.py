@@ -46,8 +46,6 @@ NEAREST = """pr AS (SELECT pair_id, sid, min(t) AS t0 FROM (SELECT pair_id, sid,
   c AS (SELECT b.pair_id, n.note_id, n.value, abs(floor((n.t - b.t0) / 86400e0)) AS gap FROM bk b JOIN nt n ON n.sid = b.sid AND n.bucket = b.bucket WHERE abs(floor((n.t - b.t0) / 86400e0)) <= 6)"""
 plan("j13_nearest_note", lambda d: f"WITH {NEAREST.replace('{sec}', d.seconds('ts'))} SELECT pair_id, note_id, CAST(gap AS BIGINT) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY gap, note_id) AS rn FROM c) AS x WHERE rn = 1")
 plan("j14_nearest_usable", lambda d: f"WITH {NEAREST.replace('{sec}', d.seconds('ts'))} SELECT pair_id, note_id, CAST(gap AS BIGINT) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY gap, note_id) AS rn FROM c WHERE value > 50) AS x WHERE rn = 1")
-plan("j17_matched_controls", """WITH f AS (SELECT event_type || '_' || CAST(user_id % 20 AS STRING) AS feature, count(*) AS n FROM events GROUP BY 1), c AS (SELECT a.feature, b.feature AS control, row_number() OVER (PARTITION BY a.feature ORDER BY round(abs(ln(CAST(a.n AS DOUBLE)) - ln(CAST(b.n AS DOUBLE))), 12), b.feature) AS rn
-  FROM f a JOIN f b ON a.feature <> b.feature AND b.n BETWEEN a.n / 4 AND a.n * 4) SELECT feature, control, CAST(rn AS BIGINT) AS place FROM c WHERE rn <= 5""")
 plan("j18_span_overlap", "WITH t AS (SELECT conv_id, turn, turn * 10 AS s, turn * 10 + 8 AS e FROM conversations), c AS (SELECT conv_id, 5 + conv_id % 20 AS a, 15 + conv_id % 20 AS b FROM conversations GROUP BY conv_id) SELECT t.conv_id, t.turn FROM t JOIN c ON c.conv_id = t.conv_id WHERE t.e > c.a AND t.s < c.b AND t.e > t.s")
 plan("j23_control_follows", "SELECT c.pair_id, p.pair_id AS causal FROM (SELECT DISTINCT pair_id, substr(pair_id, 1, length(pair_id) - 6) AS base FROM items WHERE is_control) AS c JOIN (SELECT DISTINCT pair_id FROM items WHERE NOT is_control) AS p ON p.pair_id = c.base")
 # ---- order, sampling, splitting

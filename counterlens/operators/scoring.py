@@ -28,14 +28,6 @@ GROUPS = """g AS (SELECT variant, 'family' AS attribute, family AS grp, label, p
 COVER = f"""{GROUPS}, c AS (SELECT variant, attribute, grp, count(*) AS n, {rate('NOT abstained')} AS coverage, avg(CASE WHEN NOT abstained THEN CASE WHEN pred = label THEN 1e0 ELSE 0e0 END END) AS selective_accuracy,
   CAST(count_if(NOT abstained AND label = 'UNSAFE' AND pred = 'SAFE') AS DOUBLE) / greatest(1, count_if(label = 'UNSAFE')) AS violation_rate FROM g GROUP BY variant, attribute, grp)"""
 plan("a10_conditional_coverage", f"WITH {COVER} SELECT variant, attribute, grp, n, round(coverage, 9) AS coverage, round(selective_accuracy, 9) AS selective_accuracy, round(violation_rate, 9) AS violation_rate FROM c")
-plan("a11_coverage_gap", f"WITH {COVER} SELECT variant, attribute, round(max(coverage) - min(coverage), 9) AS gap FROM c WHERE n >= 5 GROUP BY variant, attribute")
-plan("a12_grouped_pooled", f"WITH {PAIRS} SELECT variant, ctrl, coalesce(family, 'POOLED') AS family, count(*) AS n, round({rate('flipped AND answered')}, 9) AS flip_rate FROM pairs GROUP BY GROUPING SETS ((variant, ctrl, family), (variant, ctrl))")
-plan(
-    "a13_constant_baseline",
-    """WITH c AS (SELECT variant, label AS answer, count(*) AS n FROM preds GROUP BY variant, label), b AS (SELECT variant, answer, n, row_number() OVER (PARTITION BY variant ORDER BY n DESC, answer) AS rn, sum(n) OVER (PARTITION BY variant) AS total FROM c),
-  r AS (SELECT variant, pred, count(*) AS n FROM preds WHERE pred IS NOT NULL GROUP BY variant, pred), m AS (SELECT variant, CAST(max(n) AS DOUBLE) / sum(n) AS bias FROM r GROUP BY variant)
-  SELECT b.variant, b.answer, round(CAST(b.n AS DOUBLE) / b.total, 9) AS baseline_accuracy, round(m.bias, 9) AS response_bias FROM b JOIN m ON m.variant = b.variant WHERE rn = 1""",
-)
 AUROC = """d AS (SELECT variant, u, count(*) AS n, sum(CASE WHEN own = label THEN 0 ELSE 1 END) AS pos FROM preds WHERE u IS NOT NULL GROUP BY variant, u),
   k AS (SELECT variant, pos, n, sum(n) OVER (PARTITION BY variant ORDER BY u) - (n - 1) / 2e0 AS avg_rank FROM d),
   s AS (SELECT variant, sum(pos * avg_rank) AS ranks, sum(pos) AS np, sum(n) - sum(pos) AS nn FROM k GROUP BY variant)"""
@@ -58,7 +50,6 @@ plan(
   SELECT variant, target, kept, round(coverage, 9) AS coverage, round(error, 9) AS error FROM c WHERE rn = 1""",
 )
 plan("a20_reach", f"WITH {CURVE} SELECT variant, round(min(CASE WHEN coverage >= 0.01e0 THEN error END), 9) AS floor_error, round(max(CASE WHEN error <= 0.3e0 THEN coverage END), 9) AS reach FROM curve GROUP BY variant")
-plan("a21_point_at_tau", f"WITH {CURVE} SELECT variant, max(u) AS threshold, max(kept) AS kept, round(max_by(error, u), 9) AS error FROM curve WHERE u <= 0.5e0 GROUP BY variant")
 plan("a22_distinct_prompts", "SELECT split, family, count(*) AS n, count(DISTINCT prompt) AS n_prompts, round(CAST(count(*) AS DOUBLE) / count(DISTINCT prompt), 9) AS ratio FROM items GROUP BY split, family")
 plan("a24_same_prompt_other_answer", "SELECT variant, count(*) AS prompts FROM (SELECT variant, prompt FROM preds GROUP BY variant, prompt HAVING count(DISTINCT coalesce(pred, '?')) > 1) AS x GROUP BY variant")
 plan("a25_representative_pair", "WITH k AS (SELECT pair_id, min(prompt) AS a, max(prompt) AS b FROM items GROUP BY pair_id HAVING count(*) = 2) SELECT a, b, min(pair_id) AS pair_id, count(*) AS pairs FROM k GROUP BY a, b")

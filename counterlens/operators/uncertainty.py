@@ -98,6 +98,18 @@ def reach(curve: DataFrame, keys: Sequence[str], floor: float, alpha: float) ->
     return curve.groupBy(*keys).agg(F.min(F.when(F.col("coverage") >= floor, F.col("error"))).alias("floor_error"), F.max(F.when(F.col("error") <= alpha, F.col("coverage"))).alias("reach"))
 
 
-def point_at(curve: DataFrame, tau: float, keys: Sequence[str]) -> DataFrame:
-    """The last point whose score is at most tau; none where all lie above it."""
-    return curve.where(F.col("threshold") <= tau).groupBy(*keys).agg(F.max("threshold").alias("threshold"), F.max("kept").alias("kept"), F.max_by("error", "threshold").alias("error"))
+def point_at(curve: DataFrame, taus: DataFrame, keys: Sequence[str], tau: str = "tau") -> DataFrame:
+    """coverage, error, kept and state of each threshold (keys, tau) on the curve of its keys; one row a threshold.
+
+    The state is ``on`` where the curve has a point at or below tau, of which the last one
+    counts. It is ``none`` for a tau of -inf, which retains nothing, and ``below`` for one
+    under the first point; coverage is 0 and there is no error then. A NULL tau is no
+    threshold and has no row.
+    """
+    asked = taus.where(F.col(tau).isNotNull()).select(*keys, F.col(tau).alias("_tau")).distinct()
+    reached = curve.join(asked, list(keys)).where(F.col("threshold") <= F.col("_tau"))
+    last = reached.groupBy(*keys, "_tau").agg(F.max(F.struct("threshold", "kept", "coverage", "error")).alias("_p"))
+    out = asked.join(last, [*keys, "_tau"], "left")
+    state = F.when(F.col("_tau") == float("-inf"), "none").when(F.col("_p").isNull(), "below").otherwise("on")
+    on = lambda c: F.when(state == "on", F.col(f"_p.{c}"))
+    return out.select(*keys, F.col("_tau").alias(tau), state.alias("state"), F.coalesce(on("kept"), F.lit(0).cast("long")).alias("kept"), F.coalesce(on("coverage"), F.lit(0.0)).alias("coverage"), on("error").alias("error"))

@@ -145,9 +145,7 @@ SQL = {
     "j20_set_overlap": f"WITH {CLAIMS} SELECT a.cui AS x, b.cui AS y, len(list_intersect(a.atom_keys, b.atom_keys)) AS shared FROM nodes a JOIN nodes b ON a.cui < b.cui AND list_has_any(a.atom_keys, b.atom_keys)",
     "a38_concept_jaccard": "WITH s AS (SELECT source, list(DISTINCT lang || '/' || CAST(n_chars - n_chars % 1000 AS VARCHAR)) AS m FROM documents GROUP BY source) SELECT a.source AS x, b.source AS y, round(len(list_intersect(a.m, b.m)) / CAST(len(list_distinct(list_concat(a.m, b.m))) AS DOUBLE), 9) AS jaccard, len(a.m) - len(list_intersect(a.m, b.m)) AS only_x, len(b.m) - len(list_intersect(a.m, b.m)) AS only_y FROM s a JOIN s b ON a.source < b.source AND list_has_any(a.m, b.m)",
     "a40_aopc": f"WITH {EFFECTS}, h AS (SELECT pair_id, layer, avg(abs(delta)) AS h FROM eff GROUP BY 1, 2), p AS (SELECT layer, pair_id, i, 0.9e0 - 0.9e0 / (1 + h * (i + 2) / 10e0) AS c, 0.9e0 - 0.9e0 / (1 + h * i / 10e0) AS s FROM h CROSS JOIN range(1, 5) AS g(i)) SELECT layer, count(DISTINCT pair_id) AS n, round(avg(c), 9) AS aopc_comprehensiveness, round(avg(s), 9) AS aopc_sufficiency FROM p GROUP BY layer",
-    "a42_pointing": f"WITH {ACT}, r AS (SELECT a.event_id, a.concept, arg_max(b.stands, a.x * 1000 - a.feature) AS stands, avg(CASE WHEN b.stands = a.concept THEN 1e0 ELSE 0e0 END) AS chance FROM act a JOIN best b ON b.feature = a.feature GROUP BY 1, 2) SELECT concept, count(*) AS n, round({SHARE.format('stands = concept')}, 9) AS accuracy, CASE WHEN concept IN (SELECT stands FROM best) THEN round({SHARE.format('stands = concept')}, 9) END AS expressible_accuracy, round(avg(chance), 9) AS random_accuracy FROM r GROUP BY concept",
     "a52_perplexity": "SELECT lang, round(exp(sum((1e0 + (doc_id % 100) / 100e0) * n_chars) / (sum(n_chars) + 1)), 6) AS ppl FROM documents GROUP BY lang",
-    "a53_signed_best": f"WITH {EFFECTS} SELECT alpha > 0 AS positive, max(abs(m)) AS best, min(CASE WHEN abs(m) = top THEN layer END) AS layer, count(*) FILTER (WHERE d > 0) AS rising FROM (SELECT *, max(abs(m)) OVER (PARTITION BY alpha > 0) AS top FROM step) GROUP BY 1",
     "m10_scalars": "SELECT item_no, variant, round(greatest(0e0, least(1e0, logit_margin / 4e0)), 6) AS clipped, round(1e0 / (1e0 + exp(-logit_margin)), 6) AS sigmoid, round(ln(abs(logit_margin) + 1e0), 6) AS log FROM preds WHERE logit_margin IS NOT NULL",
     "m13_sparsify": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT vec_id, list_filter(list_sort(v, 'DESC')[1:8], lambda x: x > 0) AS t, list_filter(v, lambda x: x > exp(-2e0)) AS g FROM e) SELECT vec_id, len(t) AS top_live, round(coalesce(list_sum(t), 0e0), 6) AS top_sum, len(g) AS gated_live, round(coalesce(list_sum(g), 0e0), 6) AS gated_sum FROM t",
     "m14_kind_map": "SELECT ['disease', 'drug', 'lab', 'finding', 'process', 'other'][event_id % 6 + 1] AS kind, ['MAY_TREAT', 'CONTRAINDICATED_WITH', 'HAS_MECHANISM', NULL][event_id % 4 + 1] AS edge, count(*) AS n FROM events GROUP BY 1, 2",

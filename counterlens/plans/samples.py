@@ -64,10 +64,34 @@ def activations(t: Tables, features: int = 12) -> DataFrame:
 
 
 def effects(t: Tables) -> DataFrame:
-    """pair_id, layer, alpha, delta, control of an intervention on every causal pair."""
+    """pair_id, layer, alpha, delta, control, shuffled of an intervention on every causal pair, and the gap of the pair without any."""
     h = t["items"].where("NOT is_control").groupBy("pair_id").agg((F.min("item_no") * 2654435761 % 1000003).alias("h"))
     grid = h.withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (-1.0, -0.5, 0.5, 1.0)])))
-    return grid.select("pair_id", "layer", "alpha", ((F.col("h") % 200 - 100) / 50.0 * F.col("alpha") + F.col("layer") / 10.0).alias("delta"), ((F.col("h") % 90 - 45) / 60.0).alias("control"))
+    return grid.select(
+        "pair_id", "layer", "alpha", ((F.col("h") % 200 - 100) / 50.0 * F.col("alpha") + F.col("layer") / 10.0).alias("delta"),
+        ((F.col("h") % 90 - 45) / 60.0).alias("control"), ((F.col("h") % 50 - 25) / 70.0).alias("shuffled"), ((F.col("h") % 300 - 120) / 80.0).alias("gap"),
+    )
+
+
+def sweep(t: Tables) -> DataFrame:
+    """run, layer, alpha, pair_id, label, margin, margin_rand of every causal item, steered at five layers; the first run has no positive doses."""
+    h, a, toward = F.col("item_no") * 2654435761 % 1000003, F.col("alpha"), F.when(F.col("label") == "SAFE", 1.0).otherwise(-1.0)
+    grid = t["items"].where("NOT is_control").withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("alpha", F.explode(F.array(*[F.lit(x) for x in (-1.0, -0.5, 0.0, 0.5, 1.0)])))
+    margin = (h % 200 - 100) / 50.0 + a * (F.col("layer") - 1) * 0.5 * toward
+    rows = grid.select("layer", "alpha", "pair_id", "label", margin.alias("margin"), ((h % 200 - 100) / 50.0 + a * (h % 7 - 3) * 0.25).alias("margin_rand"))
+    return rows.withColumn("run", F.explode(F.when(a <= 0, F.array(F.lit("baseline"), F.lit("rerun"))).otherwise(F.array(F.lit("rerun")))))
+
+
+def token_scores(t: Tables) -> tuple[DataFrame, ...]:
+    """Items (users), what their tokens (events) give each concept, and the concepts that decide, are present, and can be expressed."""
+    active = activations(t)
+    stands = F.element_at(F.array(*[F.lit(c) for c in ("view", "click", "signup", "error")]), (F.col("feature") % 4 + 1).cast("int"))
+    users = t["events"].select("event_id", F.col("user_id").alias("item"), F.col("event_type").alias("concept"))
+    scores = active.drop("concept").join(users.drop("concept"), "event_id").select("item", F.col("event_id").alias("token"), stands.alias("concept"), "x")
+    items = users.select("item", (F.col("item") % 4).alias("family")).distinct()
+    decisive = t.spark.createDataFrame([(0, "view"), (0, "click"), (1, "purchase"), (2, "signup"), (2, "purchase")], "family long, concept string")
+    expressible = t.spark.createDataFrame([("view",), ("click",), ("signup",), ("error",)], "concept string")
+    return scores, items, decisive, users.select("item", "concept"), expressible
 
 
 def graph_claims(t: Tables) -> tuple[DataFrame, DataFrame]:

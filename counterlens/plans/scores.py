@@ -70,17 +70,18 @@ def a10_conditional_coverage(t: Tables):
 
 @call
 def a11_coverage_gap(t: Tables):
-    return rounded(metrics.coverage_gap(metrics.conditional_coverage(t["preds"], V, ["family", "label", "presentation", "gate_fired"]), V), "gap")
+    covered = metrics.conditional_coverage(t["preds"], V, ["family", "label", "presentation", "gate_fired"])
+    return rounded(metrics.coverage_gap(covered, V), "lowest", "highest", "gap")
 
 
 @call
 def a12_grouped_pooled(t: Tables):
-    return rounded(metrics.pooled_flips(t["preds"], V, "family").withColumnRenamed("control", "ctrl"), "flip_rate")
+    return rounded(metrics.grouped_pairs(t["preds"], V, "family").withColumnRenamed("control", "ctrl"), "consistency", "flip_rate")
 
 
 @call
 def a13_constant_baseline(t: Tables):
-    return rounded(metrics.constant_baseline(t["preds"], V), "baseline_accuracy", "response_bias")
+    return rounded(metrics.constant_baseline(t["preds"], V), "baseline_accuracy", "response_bias", "response_gold")
 
 
 @call
@@ -130,7 +131,10 @@ def a20_reach(t: Tables):
 
 @call
 def a21_point_at_tau(t: Tables):
-    return rounded(uncertainty.point_at(_curve(t), 0.5, V), "error")
+    """A threshold on the curve, one under its first point, and one that retains nothing."""
+    taus = t["preds"].select("variant", F.explode(F.array(*[F.lit(x) for x in (0.5, -1.0, float("-inf"))])).alias("tau")).distinct()
+    out = uncertainty.point_at(_curve(t), taus, V).withColumn("tau", F.when(F.col("tau") > float("-inf"), F.col("tau")))
+    return rounded(out, "coverage", "error")
 
 
 def _ratings(t: Tables) -> DataFrame:

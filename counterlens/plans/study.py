@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from counterlens.functions import clinical, spans
-from counterlens.operators import audits, causal_graph, evidence, feature_scores, gates, metrics, ordered, retrieval, sampling
+from counterlens.operators import audits, causal_graph, effects, evidence, feature_scores, gates, matching, metrics, ordered, retrieval, sampling
 from counterlens.plans import samples
 from counterlens.plans.registry import Tables, call
 from counterlens.plans.scores import rounded
@@ -354,21 +354,23 @@ def a34_control_spread(t: Tables):
 
 @call
 def a35_layer_effect(t: Tables):
-    return rounded(rounded(feature_scores.layer_effects(samples.effects(t), ["layer"]), "raw", "control", "excess"), "scaled", places=6)
+    return rounded(effects.layer_effects(samples.effects(t).where("alpha = 1"), ["layer"]), "ace", "control", "excess", "normalised")
 
 
 def _cells(t: Tables):
-    return feature_scores.dose_cells(samples.effects(t), ["layer"], "alpha")
+    return effects.sweep_cells(samples.sweep(t), ["run", "layer"], "alpha")
 
 
 @call
 def a36_dose_response(t: Tables):
-    return rounded(feature_scores.dose_response(_cells(t), ["layer"]), "swing", places=6)
+    table = effects.dose_table(samples.effects(t), ["layer"], "alpha")
+    by = table.groupBy("layer").agg(F.avg("shuffled_control").alias("shuffled_control"), F.min("n").alias("n"))
+    return rounded(effects.dose_response(table, ["layer"], "alpha").join(by, "layer"), "best_excess", "shuffled_control")
 
 
 @call
 def a37_best_cell(t: Tables):
-    return feature_scores.best_cell(_cells(t), "layer", "alpha")
+    return rounded(effects.best_cell(_cells(t), ["run"], "layer", "alpha"), "cc", "cc_rand", "gain", "base", "control_swing")
 
 
 @call
@@ -399,7 +401,8 @@ def a44_index_quantile(t: Tables):
 
 @call
 def a42_pointing(t: Tables):
-    return rounded(feature_scores.pointing(samples.activations(t), "event_id", "concept", feature_scores.best_concept(_scored(t))), "accuracy", "expressible_accuracy", "random_accuracy")
+    out = effects.pointing(*samples.token_scores(t))
+    return rounded(out, *[c for c in out.columns if not c.startswith("n")])
 
 
 @call
@@ -418,20 +421,38 @@ def a52_perplexity(t: Tables):
 
 @call
 def a53_signed_best(t: Tables):
-    return feature_scores.signed_arms(_cells(t), "layer", "alpha")
+    return rounded(effects.signed_arms(_cells(t), ["run"], "layer", "alpha"), "cc", "cc_rand", "gain")
 
 
 @call
 def j17_matched_controls(t: Tables):
     by = t["events"].groupBy(F.concat_ws("_", "event_type", (F.col("user_id") % 20).cast("string")).alias("feature")).agg(F.count("*").alias("n"))
-    return feature_scores.matched_controls(by, k=5).withColumn("place", F.col("place").cast("long"))
+    out = matching.matched_controls(by).withColumn("place", F.col("place").cast("long"))
+    return rounded(out, "log_ratio")
 
 
 @call
 def j18_span_overlap(t: Tables):
     c = F.col("conv_id")
     tokens = t["conversations"].select("conv_id", "turn", (F.col("turn") * 10).alias("s"), (F.col("turn") * 10 + 8).alias("e"))
-    return feature_scores.overlapping(tokens, t["conversations"].select("conv_id").distinct().withColumns({"a": 5 + c % 20, "b": 15 + c % 20}), "conv_id").select("conv_id", "turn")
+    return matching.overlapping(tokens, t["conversations"].select("conv_id").distinct().withColumns({"a": 5 + c % 20, "b": 15 + c % 20}), "conv_id").select("conv_id", "turn")
+
+
+def _notes_in_time(t: Tables, usable: str):
+    pairs = t["items"].where("NOT is_control").groupBy("pair_id", "sid").agg(F.min("ts").alias("t0"))
+    notes = t["labs"].where("item = 'signup'").where(usable).select(F.col("event_id").alias("note_id"), "sid", "ts")
+    return matching.nearest_in_time(pairs, notes, "sid", "pair_id", "t0", "note_id", "ts", 6)
+
+
+@call
+def j13_nearest_note(t: Tables):
+    return _notes_in_time(t, "TRUE")
+
+
+@call
+def j14_nearest_usable(t: Tables):
+    """The nearest note that can be used; those that cannot are passed over."""
+    return _notes_in_time(t, "value > 50")
 
 
 @call
