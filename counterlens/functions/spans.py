@@ -1,11 +1,9 @@
-"""Spans, rewrites and sequential folds that need Python: mentions, unique locations, rendering, adaptive thresholds."""
+"""Spans and rewrites that need Python: mentions, unique locations, rendering."""
 
 from __future__ import annotations
 
 import ast
-import math
 import re
-from bisect import insort
 
 import pandas as pd
 from pyspark.sql import Column
@@ -112,33 +110,3 @@ def parse_literal_map(text: pd.Series) -> pd.Series:
 def compat_round(x: pd.Series, places: pd.Series) -> pd.Series:
     """Rounds half to even on the binary value, as printed precision in Python does."""
     return pd.Series([None if v != v else round(v, int(p)) for v, p in zip(x, places)])
-
-
-class AdaptiveThreshold:
-    """The state of an adaptive abstention threshold: level, and finite uncertainties seen, in ascending order.
-
-    Until ``warmup`` values are seen everything is answered. An abstained item counts as
-    no error; the level moves by gamma times target less error, within [1e-4, 0.999]. The
-    threshold is a quantile of what was seen, interpolated between neighbours.
-    """
-
-    def __init__(self, alpha: float = 0.1, gamma: float = 0.05, warmup: int = 8, level: float | None = None, seen: list[float] | None = None):
-        self.alpha, self.gamma, self.warmup = alpha, gamma, warmup
-        self.level, self.seen = alpha if level is None else level, list(seen or [])
-
-    def _quantile(self, q: float) -> float:
-        at = q * (len(self.seen) - 1)
-        low = int(at)
-        a, b = self.seen[low], self.seen[min(low + 1, len(self.seen) - 1)]
-        t = at - low
-        return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
-
-    def step(self, u: float, ok: bool) -> tuple[float, bool, bool, float]:
-        """tau, retained, error and the level that applied."""
-        tau = float("inf") if len(self.seen) < self.warmup else self._quantile(min(max(1 - self.level, 0), 1))
-        keep, used = u <= tau, self.level
-        error = keep and not ok
-        self.level = min(max(self.level + self.gamma * (self.alpha - float(error)), 1e-4), 0.999)
-        if math.isfinite(u):
-            insort(self.seen, float(u))
-        return tau, bool(keep), bool(error), used

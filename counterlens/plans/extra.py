@@ -53,8 +53,8 @@ def s23_keyed_files(spark, d):
 
 
 def _folded(spark, d):
-    p = _preds(spark, d).where("v = 3")
-    return p.select(F.col("family").alias("stream"), F.col("item_no").alias("seq"), "u", (F.coalesce(F.col("own") == F.col("label"), F.lit(False))).alias("ok"))
+    p = _preds(spark, d)
+    return p.select(F.concat_ws("/", "variant", "family").alias("stream"), F.col("item_no").alias("seq"), "u", (F.coalesce(F.col("own") == F.col("label"), F.lit(False))).alias("ok"))
 
 
 def u13_adaptive(spark, d):
@@ -62,7 +62,7 @@ def u13_adaptive(spark, d):
 
 
 def st5_coverage_monitor(spark, d):
-    return monitors.coverage_monitor(_preds(spark, d).where("v = 3").select("ts", "label", "pred", "abstained")).withColumn("coverage", F.round("coverage", 9))
+    return monitors.coverage_monitor(_preds(spark, d).select("ts", "label", "pred", "abstained")).withColumn("coverage", F.round("coverage", 9))
 
 
 def x03_permutation(spark, d):
@@ -196,11 +196,12 @@ def st1_adaptive_stream(spark, d):
     cuts = rows.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01)
     edges = [float("-inf"), *cuts, float("inf")]
     rows.limit(0).write.parquet(path)
-    for a, b in zip(edges, edges[1:]):
-        rows.where((F.col("seq") > a) & (F.col("seq") <= b)).write.mode("append").parquet(path)
-        stream = monitors.adaptive_stream(spark.readStream.schema(rows.schema).parquet(path))
-        run = stream.writeStream.foreachBatch(monitors.once_per_batch(out)).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-        run.awaitTermination()
+    with monitors.state_store(spark):
+        for a, b in zip(edges, edges[1:]):
+            rows.where((F.col("seq") > a) & (F.col("seq") <= b)).write.mode("append").parquet(path)
+            stream = monitors.adaptive_stream(spark.readStream.schema(rows.schema).parquet(path))
+            run = stream.writeStream.foreachBatch(monitors.once_per_batch(out)).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 
@@ -233,7 +234,7 @@ ORACLE_SQL = {
         "s16_split_sink": "SELECT id, label, split FROM items",
         "s17_merge_summary": "SELECT variant, CAST(0 AS BIGINT) AS seed, CASE WHEN variant IN ('uq', 'rag') THEN count(CASE WHEN correct THEN 1 END) ELSE -1 END AS n FROM preds GROUP BY variant",
         "s23_keyed_files": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS file_key FROM events",
-        "st5_coverage_monitor": "SELECT date_trunc('day', ts) AS start, count(*) AS n, round(avg(CASE WHEN abstained THEN 0e0 ELSE 1e0 END), 9) AS coverage, count(CASE WHEN label = 'UNSAFE' AND pred = 'SAFE' AND NOT abstained THEN 1 END) AS violations FROM preds WHERE v = 3 GROUP BY 1",
+        "st5_coverage_monitor": "SELECT date_trunc('day', ts) AS start, count(*) AS n, round(avg(CASE WHEN abstained THEN 0e0 ELSE 1e0 END), 9) AS coverage, count(CASE WHEN label = 'UNSAFE' AND pred = 'SAFE' AND NOT abstained THEN 1 END) AS violations FROM preds GROUP BY 1",
         "f11_rewrite": "SELECT event_id, 'Z 7 B' AS note FROM events WHERE value IS NOT NULL",
         "p10_redact": "SELECT id, regexp_replace(prompt, 'value [0-9]+', '[redacted]') AS redacted FROM items",
         "x03_permutation": "SELECT CAST(0 AS BIGINT) AS moved",

@@ -3,46 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from counterlens.functions.spans import AdaptiveThreshold
+from counterlens.functions.adaptive import AdaptiveThreshold, OrderedValues
 
 FOLDED = "stream string, seq long, tau double, retained boolean, error boolean, level double"
+_NAMES = ["stream", "seq", "tau", "retained", "error", "level"]
 
 
 def _rows(key: str, rows: pd.DataFrame, fold: AdaptiveThreshold) -> pd.DataFrame:
-    rows = rows.sort_values("seq")
     u = rows["u"].fillna(float("inf"))
     made = [(key, int(s), *fold.step(float(x), bool(ok))) for s, x, ok in zip(rows["seq"], u, rows["ok"])]
-    return pd.DataFrame(made, columns=["stream", "seq", "tau", "retained", "error", "level"])
+    return pd.DataFrame(made, columns=_NAMES)
 
 
 def adaptive_batch(items: DataFrame) -> DataFrame:
-    """The fold over (stream, seq, u, ok), each stream in order. The fold is sequential, so streams are the unit of scale."""
+    """The fold over (stream, seq, u, ok), each stream in the order of seq. A missing u is infinite.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _rows(key[0], rows, AdaptiveThreshold())
+    The fold is sequential, so streams are the unit of scale; a task reads its streams row
+    by row and holds a bounded summary of what it has seen.
+    """
 
-    return items.groupBy("stream").applyInPandas(run, FOLDED)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = fold = None
+        for batch in batches:
+            for name, rows in batch.groupby("stream", sort=False, dropna=False):
+                name = None if name != name else name
+                if fold is None or name != key:
+                    key, fold = name, AdaptiveThreshold()
+                yield _rows(key, rows, fold)
 
+    return items.repartition("stream").sortWithinPartitions("stream", "seq").mapInPandas(run, FOLDED)
+
+
+class _Adaptive(StatefulProcessor):
+    """State of a stream: the level and what decides the halvings, and the buffers of seen values by level."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "level double, turns long")
+        self.seen = handle.getMapState("seen", "buffer int", "content binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        level, turns = self.now.get() if self.now.exists() else (None, 0)
+        seen = OrderedValues(levels={k[0]: np.frombuffer(v[0]) for k, v in self.seen.iterator()}, turns=turns)
+        fold = AdaptiveThreshold(level=level, seen=seen)
+        for part in [pd.concat(list(rows)).sort_values("seq")]:
+            yield _rows(key[0], part, fold)
+        for k in seen.changed:
+            self.seen.updateValue((k,), (np.array(seen.levels[k], float).tobytes(),))
+        self.now.update((fold.level, seen.turns))
+
+    def close(self) -> None:
+        pass
 
-def adaptive_stream(items: DataFrame) -> DataFrame:
-    """The same over a stream: level and seen values live in the state of each key. Each batch is put in order; batches must come in order."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, seen = state.get if state.exists else (None, b"")
-        fold = AdaptiveThreshold(level=level, seen=np.frombuffer(seen).tolist())
-        rows = pd.concat(list(batches))
-        out = _rows(key[0], rows, fold)
-        state.update((fold.level, np.array(fold.seen).tobytes()))
-        yield out
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = STATE_STORE):
+    """Streams that start inside use this state store; the session's own setting returns afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def adaptive_stream(items: DataFrame) -> DataFrame:
+    """The same over a stream; each batch is put in order, and batches must come in order.
 
-    return items.groupBy("stream").applyInPandasWithState(run, FOLDED, "level double, seen binary", "append", GroupStateTimeout.NoTimeout)
+    The state of a key is bounded as its summary is, and a batch rewrites only the buffers
+    that changed. The session's state store must be one with column families (``STATE_STORE``).
+    """
+    return items.groupBy("stream").transformWithStateInPandas(_Adaptive(), FOLDED, "Append", "None")
 
 
 def coverage_monitor(decisions: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

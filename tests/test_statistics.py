@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from counterlens.functions import binomial, clinical, spans
+from counterlens.functions import adaptive, binomial, clinical, spans
 from counterlens.operators import conformal, gates, inference, metrics, ordered, retrieval
 from counterlens.sources import files
 from counterlens.streaming import monitors
@@ -116,9 +116,8 @@ def test_running_sums_and_places_do_not_depend_on_ranges(spark):
         for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
             total += r[3]
             want[r[2]] = total
-    for ranges in (1, 2, 16):
-        got = ordered.running(df, ["g"], ["v", "i"], {"s": "n"}, total="m", ranges=ranges).collect()
-        assert {r.i: r.s for r in got} == want and {(r.g, r.m) for r in got} == {(g, sum(r[0] == g for r in rows)) for g in ("x", None)}
+    got = ordered.running(df, ["g"], ["v", "i"], {"s": "n"}, total="m").collect()
+    assert {r.i: r.s for r in got} == want and {(r.g, r.m) for r in got} == {(g, sum(r[0] == g for r in rows)) for g in ("x", None)}
     placed = ordered.numbered(df.withColumn("h", F.col("i") * 997 % 1000003), [], ["h", "i"], ranges=5).collect()
     assert sorted((r.h, r.place) for r in placed) == [(h, k + 1) for k, h in enumerate(sorted(i * 997 % 1000003 for i in range(300)))]
 
@@ -153,21 +152,59 @@ def test_scores_of_a_hand_made_table(spark):
 
 
 def test_adaptive_threshold_batch_and_stream_agree(spark, tmp_path):
+    """Every batch by a query of its own, which goes on from the checkpoint; and against the fold with all values held."""
     rnd = np.random.default_rng(2)
     rows = [(s, i, float(rnd.random()) if rnd.random() > 0.1 else None, bool(rnd.random() < 0.8)) for s in "ab" for i in range(60)]
     df = spark.createDataFrame(rows, "stream string, seq long, u double, ok boolean")
     want = {(r.stream, r.seq): r.tau for r in monitors.adaptive_batch(df).collect()}
-    for part in range(3):
-        df.where(f"seq >= {20 * part} AND seq < {20 * part + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = monitors.adaptive_stream(monitors.file_stream(spark, str(tmp_path / "in"), 1))
-    run = stream.writeStream.foreachBatch(monitors.once_per_batch(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
-    run.processAllAvailable()
-    run.stop()
+    for name in "ab":
+        seen, level = [], 0.1
+        for _, i, u, ok in (r for r in rows if r[0] == name):
+            tau = float("inf") if len(seen) < 8 else float(np.quantile(seen, min(max(1 - level, 0), 1)))
+            assert want[name, i] == pytest.approx(tau)
+            u = float("inf") if u is None else u
+            level = float(np.clip(level + 0.05 * (0.1 - float(u <= tau and not ok)), 1e-4, 0.999))
+            seen += [u] if np.isfinite(u) else []
+    df.limit(0).write.parquet(str(tmp_path / "in"))
+    with monitors.state_store(spark):
+        for part in range(3):
+            df.where(f"seq >= {20 * part} AND seq < {20 * part + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = monitors.adaptive_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+            run = stream.writeStream.foreachBatch(monitors.once_per_batch(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
     got = {(r.stream, r.seq): r.tau for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got.keys() == want.keys() and all(want[k] == got[k] for k in want)
     assert sum(t == float("inf") for t in want.values()) >= 16
 
 
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=200), st.sampled_from([2, 8, 1000]))
+@settings(max_examples=150, deadline=None)
+def test_ordered_values_keep_their_ranks_in_bounded_room(values, capacity):
+    held = adaptive.OrderedValues(capacity)
+    for k, x in enumerate(values):
+        held.add(float(x))
+        if k % 7 == 0:  # as a state store would
+            held = adaptive.OrderedValues(capacity, {i: np.array(v) for i, v in held.levels.items()}, held.turns)
+    assert held.n == len(values) and all(len(v) < capacity for v in held.levels.values())
+    ordered_, bound = sorted(values), held.n * max(0.0, np.log2(held.n / capacity)) / capacity + (1 if held.n >= capacity else 0)
+    for rank in range(held.n):
+        x = held.at(rank)
+        first, last = np.searchsorted(ordered_, x), np.searchsorted(ordered_, x, "right") - 1
+        assert first - bound <= rank <= last + bound
+
+
+def test_state_of_a_million_values_is_small():
+    fold = adaptive.AdaptiveThreshold()
+    u = np.random.default_rng(0).random(1_000_000)
+    for x in u.tolist():
+        fold.seen.add(x)
+    size = sum(8 * len(v) for v in fold.seen.levels.values())
+    assert size <= 8 * adaptive.CAPACITY * (1 + np.log2(1_000_000 / adaptive.CAPACITY)) and fold.seen.n == 1_000_000
+    ordered_ = np.sort(u)
+    worst = max(abs(np.searchsorted(ordered_, fold.seen.at(r)) - r) for r in range(0, 1_000_000, 9973))
+    assert worst <= 1_000_000 * np.log2(1_000_000 / adaptive.CAPACITY) / adaptive.CAPACITY
+
+
 def test_creatinine_inverse_agrees_with_bisection(spark):
     grid = spark.createDataFrame([(t, a, s) for t in (20.0, 45.0, 90.0, 130.0) for a in (20, 60, 85) for s in ("female", "male")], "t double, age int, sex string")
     back = grid.select("t", clinical.ckd_epi(clinical.ckd_epi_inverse(F.col("t"), F.col("age"), F.col("sex")), F.col("age"), F.col("sex")).alias("v")).collect()
