@@ -43,6 +43,7 @@ class PrefixBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
+        self.cuts = pattern == public_tokenizers.PATTERN  # of another pattern it is not known where texts may be cut
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -306,6 +307,10 @@ class PrefixBpe:
             return np.zeros(0, self.dtype), np.zeros(len(offs), np.int64)
         cut = np.zeros(n + 1, bool)
         cut[offs] = True
+        if not self.cuts:
+            at = np.flatnonzero(cut)
+            ids, per = self.cache(buf, at[:-1], at[1:])
+            return ids, np.concatenate(([0], np.cumsum(per)))[np.searchsorted(at, offs)]
         cut[ends] = True
         head = starts[~cut[starts]]  # words after white space of their own text
         cut[head - 1] = True

@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = scratch.table(docs.mapInArrow(_sketch(words), "doc_id long, n long, s1 long, s2 long, regs binary"), "sketches")
     linkable = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    reps = scratch.table(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs")), "reps")
+    reps = scratch.table(linkable.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("regs").alias("regs"), F.count("*").alias("copies")), "reps")
     # a candidate pair is a bucket's smallest id and another of its members
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     bands = reps.select(band.alias("band"), "doc_id")
@@ -281,11 +281,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = WORDS, perce
     if more.limit(1).count():
         edges = roots.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).unionByName(more)
         roots = components(edges, scratch, "second").select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
-    classes = reps.join(roots, "doc_id", "left").select("s1", "s2", F.coalesce("root", "doc_id").alias("root"))
+    # copies of one text may be very many, and so may documents that are linked with nothing
+    classes = scratch.table(reps.join(roots, "doc_id", "left").select("s1", "s2", F.coalesce("root", "doc_id").alias("root"), "copies"), "classes")
     slim = sketches.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
-    out = slim.join(classes, ["s1", "s2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    can = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    linked = with_each(slim.where(can), classes, ["s1", "s2"], "copies", classes.agg(F.sum("copies")).first()[0] or 0)
+    alone = slim.where(~can).withColumn("root", F.col("doc_id"))
+    out = linked.select("doc_id", "n_shingles", "root").unionByName(alone.select("doc_id", "n_shingles", "root"))
+    return out.select("doc_id", "n_shingles", F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

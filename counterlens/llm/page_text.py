@@ -12,12 +12,15 @@ stand for the article, and a path after the first not if it merely lies around t
 container. A page without such a path, or without a host, is read by its own best container.
 
 What is clean: tags for menus, headers, footers, sidebars, forms, scripts and styles, and
-hidden elements, never are. A block whose names hold a word for such things, for adverts,
-notices or reader comments is not, except where its text says otherwise: an element that
-holds most of the page's text is not taken out by a word of its names, and inside an
-article a word that may as well name a part of the text (``DOUBTFUL``) takes out a block
+hidden elements, are not, but for two that an article may have as its own: its header, if
+that holds a heading or a paragraph, and an aside that has a paragraph and no link and
+stands between the article's paragraphs. A block whose names (class, id, role) hold a word
+for such things, for adverts, notices or reader comments is not clean either, except where
+its text says otherwise: an element that holds most of the page's text is not taken out by
+a word of its names, and inside an article a word that may as well name a part of the text
+(``DOUBTFUL``, or any next to words of other kinds, as in share-prices) takes out a block
 only if links are most of it or it has no paragraph. Paragraphs, headings and inline
-elements are taken out only by a class that is such a word as a whole.
+elements are taken out only by a class that is such a word as a whole. Formulas are text.
 
 White space inside a block becomes one space, blocks are joined by one space in page
 order; ``br`` counts as white space and other inline tags as nothing.
@@ -55,9 +58,9 @@ SPELLED_DEPTH = 40
 
 # Tags of HTML by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math".split())
-DROP = frozenset("head script style noscript template nav footer header aside form iframe svg math button select textarea input object embed applet canvas audio video dialog menu title xmp noembed noframes option datalist fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg annotation annotation-xml".split())
+DROP = frozenset("head script style noscript template nav footer header aside form iframe svg annotation annotation-xml button select textarea input object embed applet canvas audio video dialog menu title xmp noembed noframes option datalist fieldset".split())
 CONTAINERS = frozenset("body div article section main td center blockquote".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
@@ -74,12 +77,17 @@ DOUBTFUL = frozenset("discussion related notice notices alert social head header
 KEEP_TAGS = frozenset("html body main article".split())
 #: Elements of running text; only a whole class takes them out.
 TEXT_TAGS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody figcaption caption".split())
+#: Words that say what kind of block a name's other words make, and of what: next to these a noise word is one.
+FRAME = GOOD | frozenset("area author avatar bar block body bottom box button buttons card cell code column container content count embed field fixed form grid group holder icon icons image img info inner inline item items label left link links list load meta more name new number outer panel picks policy popup post posts right row section slot sticky tab tabs tags text thread title toggle top unit user view wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A name with one of these says what a page has or lacks, not what the element is.
 NEUTRAL = frozenset("no not non has have with without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>?|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)|(?=[\s/>]))""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+#: Attributes that are looked at; others are read past, with their values.
+READ = frozenset("class id role hidden aria-hidden style".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
@@ -101,7 +109,7 @@ class Page:
     def __init__(self, source: str):
         # of every element: tag, its classes, parent, depth, key of its path, noise (itself or above), bonus, noise by tag, noise words in its names, whether those are doubtful
         self.tag, self.classes, self.parent, self.depth, self.key = ["#"], [""], [-1], [0], [0]
-        self.noisy, self.bonus, self.hard, self.words, self.doubt, self.inside = [False], [0], [False], [0], [False], [False]
+        self.noisy, self.bonus, self.hard, self.words, self.doubt, self.inside, self.aside = [False], [0], [False], [0], [False], [False], [False]
         self.pieces: list[tuple[int, int, str]] = []  # element, block, text
         self._read(source)
         if any(self.words):
@@ -111,25 +119,35 @@ class Page:
     def _open(self, name: str, raw: str, above: int) -> int:
         words: list[str] = []
         marks: set[str] = set()
+        sure: set[str] = set()
         classes, hidden, whole = "", False, name in TEXT_TAGS
         if len(raw) > len(name) + 2:
-            for key, value in _ATTR.findall(raw):
-                value, key = value.strip("\"'").lower(), key.lower()
+            for key, value in _ATTR.findall(raw, len(name) + 1):
+                key = key.lower()
+                if key not in READ:
+                    continue
+                value = value.strip("\"'").lower()
                 if key == "class":
                     classes = ".".join(sorted(_DIGITS.sub("N", value).split()))
                 if key in ("class", "id", "role"):
                     for token in value.split():
-                        part = _SPLIT.split(token)
+                        part = [x for x in _SPLIT.split(token) if x]
                         words += part
-                        if whole:
-                            marks |= NOISE.intersection([token]) if key == "class" else set()
-                        elif NEUTRAL.isdisjoint(part):
-                            marks |= NOISE.intersection(part)
+                        found = NOISE.intersection([token] if whole else part)
+                        if found and (key == "class" if whole else NEUTRAL.isdisjoint(part)):
+                            marks |= found
+                            # next to a word of another kind a noise word may be the subject of a text
+                            if all(x in NOISE or x in FRAME or x.isdigit() for x in part):
+                                sure |= found
                 hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "")
-        count = 0 if name in KEEP_TAGS else len(marks)
+        story = name == "header" and self.inside[above]
+        if name == "aside" and self.inside[above] and not marks:
+            story, sure = True, {name}  # settled by its place
+        count = 0 if name in KEEP_TAGS else len(marks) + story
         self.words.append(count)
-        self.doubt.append(count > 0 and marks <= DOUBTFUL and self.inside[above])
-        self.hard.append(self.hard[above] or name in DROP or hidden)
+        self.doubt.append(count > 0 and sure <= DOUBTFUL and self.inside[above])
+        self.aside.append(name == "aside" and story)
+        self.hard.append(self.hard[above] or name in DROP and not story or hidden)
         self.noisy.append(self.noisy[above] or self.hard[-1] or count > 0)
         self.tag.append(name)
         self.classes.append(classes)
@@ -231,26 +249,40 @@ class Page:
             self.noisy[x] = self.noisy[self.parent[x]] or self.hard[x] or self.words[x] > 0
 
     def _weigh_doubt(self) -> None:
-        """Blocks of an article with a doubtful name are text if they have a paragraph and links are not most of it."""
-        if not any(self.doubt):
+        """Blocks of an article whose names or tags leave it open are text if they hold prose and links are not most of it.
+
+        Prose is a paragraph, or, of a header, a heading. An aside must have no link at all
+        and stand between paragraphs of its article's own.
+        """
+        if not any(self.doubt) and not any(self.aside):
             return
         n = len(self.tag)
-        every, linked, prose = [0] * n, [0] * n, [False] * n
-        in_link = [False] * n
+        every, linked, prose, headed = [0] * n, [0] * n, [False] * n, [False] * n
+        in_link, aside = [False] * n, [False] * n
         for e in range(1, n):
-            in_link[e] = in_link[self.parent[e]] or self.tag[e] == "a"
+            up = self.parent[e]
+            in_link[e] = in_link[up] or self.tag[e] == "a"
+            aside[e] = aside[up] or self.aside[e]
         for e, _, text in self.pieces:
             if not self.hard[e]:
                 size = len(text) - text.count(" ")
                 every[e] += size
                 linked[e] += size * in_link[e]
+        ends = list(range(n))  # the last element inside each
         for e in range(n - 1, 0, -1):
             up = self.parent[e]
             every[up] += every[e]
             linked[up] += linked[e]
             prose[up] |= prose[e] or self.tag[e] == "p"
+            headed[up] |= headed[e] or self.tag[e] in HEADINGS
+            ends[up] = max(ends[up], ends[e])
+        own = [e for e in range(1, n) if self.tag[e] == "p" and self.inside[e] and not aside[e] and not self.hard[e] and every[e]]
         for e in range(1, n):
-            if self.doubt[e] and prose[e] and 2 * linked[e] < every[e]:
+            if self.aside[e]:
+                between = own and own[0] < e and any(p > ends[e] for p in own)
+                if between and prose[e] and not linked[e]:
+                    self.words[e] = 0
+            elif self.doubt[e] and (prose[e] or self.tag[e] == "header" and headed[e]) and 2 * linked[e] < every[e]:
                 self.words[e] = 0
         self._mark()
 

@@ -149,6 +149,30 @@ BYTE_CHARS = {**{b: chr(b) for b in PRINTED}, **{b: chr(256 + i) for i, b in enu
 TAIL = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")  # the pattern has words of its own after an apostrophe
 
 
+# How files of the form that the encoder reads prepare a text. Words between white space are then apart, and runs of letters one piece.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def read_form(path: str) -> dict:
+    """The model of a tokenizer file; a file that prepares texts in another way is refused, as its ids would be wrong."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model = data["model"]
+    odd = [k for k, v in FORM.items() if data.get(k) != v] + [k for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or odd:
+        raise ValueError(f"{path} is not of the form that is read here: {', '.join(odd) or 'model'}")
+    return model
+
+
 class WordEncoder:
     """Ids of words between white space, by the tokenizers library.
 
@@ -165,8 +189,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab()
         self.dtype = "<u2" if len(vocab) <= 1 << 16 else "<u4"
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = read_form(path)
         rules = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right = (np.array([vocab[m[side]] for m in rules], np.int64) for side in (0, 1))
         made = np.array([vocab[a + b] for a, b in rules])
@@ -264,7 +287,8 @@ def _write(folder: str, path: str, end_id: int):
 
 
 def write_shards(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write the shard files of ``docs``; the manifest has start, the ids before each file."""
+    """Write the shard files of ``docs``; the manifest has start, the ids before each file. A tokenizer file of another form is an error."""
+    read_form(tokenizer)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     ordered = slim.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)

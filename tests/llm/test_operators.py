@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -857,3 +859,98 @@ def test_products_are_exact_or_refused():
     assert hard_negatives.products(big, big).tolist() == [[9 * 10**18 + 1]]
     with pytest.raises(OverflowError):
         hard_negatives.products(np.array([[1e10]]), np.array([[1e10]]))
+
+
+# ---- 4: what belongs to an article, and what does not
+STORY = "<p>" + "words of the story stand here " * 7 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "line,kept",
+    [
+        ("<div data-id='comments-1'><p>X</p></div>", True),
+        ("<div data-role='search'><p>X</p></div>", True),
+        ("<p x-class='share'>X</p>", True),
+        ("<div data-hidden='false'><p>X</p></div>", True),
+        ("<p data-hidden='0'>X</p>", True),
+        ("<p>see <a href='/list?class=ads'>X</a> there</p>", True),
+        ("<p>see <a href='/list' title='id=menu class=ads'>X</a> there</p>", True),
+        ("<div class='share-prices'><p>X rose</p></div>", True),
+        ("<section id='comment-on-the-law'><p>X says</p></section>", True),
+        ("<div id='cookie-recipes'><p>X grams</p></div>", True),
+        ("<p>so <math><mi>X</mi><mo>=</mo><mn>2</mn></math> holds</p>", True),
+        ("<aside><p>X in brief</p></aside>", True),
+        ("<aside><p><a href='/'>X</a></p></aside>", False),
+        ("<aside class='related'><p>X</p></aside>", False),
+        ("<aside>X</aside>", False),
+        ("<div class='comment-list'><p>X</p></div>", False),
+        ("<div id='comments-12'><p>X</p></div>", False),
+        ("<div class='share-buttons'><p>X</p></div>", False),
+        ("<div class='ad-slot'><p>X</p></div>", False),
+        ("<div class=\"cookie-banner\"><p>X</p></div>", False),
+        ("<div hidden><p>X</p></div>", False),
+        ("<dialog><p>X</p></dialog>", False),
+        ("<p>a <math><semantics><mi>b</mi><annotation encoding='TeX'>X</annotation></semantics></math></p>", False),
+    ],
+)
+def test_a_line_of_an_article(line, kept):
+    got = page_text.read(f"<html><body><nav>menu</nav><article><h1>Title</h1>{STORY}{line}{STORY}</article><footer>foot</footer></body></html>")
+    assert ("X" in got) == kept and got.startswith("Title words") and got.endswith("stand here")
+
+
+def test_headers_of_articles_and_of_sites():
+    read = lambda x: page_text.read(f"<body><header><h1>Site</h1><p>slogan</p></header>{x}<aside><p>side</p></aside></body>")
+    assert read(f"<article><header><h1>Title</h1><p>lead</p></header>{STORY}</article>").startswith("Title lead words")
+    assert read(f"<article><header><a href='/'>Home</a> <a href='/b'>News</a></header>{STORY}</article>").startswith("words")
+    last = read(f"<article>{STORY}<aside><p>about the site</p></aside></article>")
+    assert last.endswith("stand here")  # an aside after the last paragraph is no part of the story
+
+
+def test_generated_pages_give_what_they_were_made_of(spark):
+    """Pages put together from parts known to be text or not, of three templates; brute force is what was put in."""
+    rnd = random.Random(11)
+    text = lambda n: " ".join(rnd.choice(["river", "stone", "winter", "a &amp; b", "caf&eacute;", "light", "of", "the"]) for _ in range(n))
+    plain = lambda x: " ".join(x.replace("&amp;", "&").replace("&eacute;", "é").split())
+    links = lambda: "".join(f"<li><a href='/{i}'>{text(2)}</a></li>" for i in range(rnd.randrange(3, 7)))
+    junk = [lambda: f"<nav><ul>{links()}</ul></nav>", lambda: f"<div class='ad-{rnd.randrange(9)}'>{text(6)}</div>", lambda: f"<form><input value='x'>{text(3)}</form>", lambda: f"<script>var a = '<p>{text(3)}</p>'</script>", lambda: f"<div class='sidebar'><p>{text(30)}</p></div>", lambda: f"<div id='comments'><p>{text(40)}</p></div>", lambda: f"<!-- {text(3)} -->", lambda: f"<div role='dialog'>{text(8)}</div>", lambda: f"<footer>{text(5)}</footer>"]
+    rows, want = [], {}
+    for page in range(60):
+        parts, story = [], []
+        for _ in range(rnd.randrange(2, 8)):
+            words = text(rnd.randrange(12, 60))
+            tag = rnd.choice(["p", "p", "p", "h2", "blockquote", "li"])
+            parts.append(f"<{tag}>{words}</{tag}>")
+            story.append(words)
+            if rnd.random() < 0.4:
+                parts.append(rnd.choice(junk[1:4] + junk[6:7])())
+        open_, shut = [("<article>", "</article>"), ("<main><div class='content'>", "</div></main>"), ("<div id='post-%d' class='entry'>" % page, "</div>")][page % 3]
+        around = [rnd.choice(junk)() for _ in range(6)]
+        rows.append((page, f"http://h{page % 3}.example/{page}", f"<html><head><title>{text(3)}</title></head><body>{''.join(around[:3])}{open_}{''.join(parts)}{shut}{''.join(around[3:])}</body></html>"))
+        want[page] = plain(" ".join(story))
+    got = {r.page_id: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "p")).collect()}
+    assert {k for k in want if got[k] != want[k]} == set()
+
+
+def test_copies_and_wordless_documents_are_spread(spark, monkeypatch):
+    """The last step deals neither the copies of one text nor documents without words to one task, and changes nothing."""
+    rows = [(i, "a text of some words that is copied very often") for i in range(300)] + [(1000 + i, "  ") for i in range(200)] + [(2000 + i, f"text number {i} of its own kind and more") for i in range(60)] + [(None, "a text of some words that is copied very often")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, Scratch(spark, "t")).collect()), key=repr)
+    assert len(got) == len(rows) and all(kept == (c is None or i == c) for i, c, kept in got)
+    assert {c for i, c, _ in got if i is not None and i < 300} == {0} and all(i == c for i, c, _ in got if i is None or i >= 1000)
+
+
+def test_files_and_patterns_of_other_forms(spark, docs, tmp_path):
+    data = json.load(open(WORD_BPE, encoding="utf-8"))
+    data["normalizer"]["normalizers"].pop()
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(data), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_shards.write_shards(docs, Scratch(spark, "t"), str(other))
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(BPE, "rb"))}
+    pattern = r"\s*\S\S|\s*\S|\s+"
+    plain = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe_prefix.encode_documents(docs, BPE, pattern, with_ids=True).collect()}
+    assert got == {r.doc_id: plain.encode_ordinary(r.text or "") for r in docs.collect()}
