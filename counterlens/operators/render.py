@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Distractor results, and the values that each may have.
-DISTRACTORS = {
-    "haemoglobin {v} g/dL": "10.4 11.8 12.6 13.9 14.5",
-    "platelets {v} x10^9/L": "188 212 245 301 156",
-    "ALT {v} U/L": "18 24 31 42 27",
-    "sodium {v} mmol/L": "136 139 141 134 143",
-    "total cholesterol {v} mmol/L": "4.2 5.1 5.8 4.7 6.2",
-    "TSH {v} mIU/L": "1.8 2.4 3.1 0.9 4.2",
-    "CRP {v} mg/L": "3 8 14 21 5",
-    "albumin {v} g/L": "38 41 35 44 39",
-}
+# Results that bear on none of the rules, with the lowest of five values and the step to the next.
+RESULTS = [("ferritin", "ug/L", 64, 23), ("folate", "nmol/L", 15, 4), ("calcium", "mmol/L", 2.21, 0.06), ("white cells", "x10^9/L", 4.6, 1.3), ("uric acid", "umol/L", 233, 37), ("vitamin B6", "nmol/L", 52, 11), ("lactate", "mmol/L", 0.7, 0.2), ("amylase", "U/L", 41, 9), ("zinc", "umol/L", 11.5, 1.2)]
+DISTRACTORS = {f"{name} {{v}} {unit}": " ".join(f"{low + i * step:g}" for i in range(5)) for name, unit, low, step in RESULTS}
 FACTOR, BEFORE = "<FACTOR>", "The team proposes"
 
 

@@ -2,25 +2,27 @@
 
 Text vectors: lower-cased tokens of two or more word characters, stop words out first,
 then single tokens and pairs of neighbours; weight (1 + ln tf) * idf with idf = ln((1 + N)
-/ (1 + df)) + 1, brought to length 1. The corpus is a set of passages; queries may be any
-number of texts. Corpus vectors are computed in DataFrame operations and laid out as
-posting lists in blocks of a bounded number of entries; each block is broadcast and the
-queries pass it once, scored sparsely in numpy, a batch at a time.
+/ (1 + df)) + 1, brought to length 1. Vectors are made in DataFrame operations, terms as
+64-bit hashes. Queries and passages are then dealt in blocks of bounded size, and each pair
+of blocks is a task that keeps the best of its passages for its queries; the lists of all
+tasks are merged. Nothing is collected or broadcast.
 
 Ties go to the passage with the larger id, as a reversed stable sort gives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from counterlens.operators.metrics import rate
+from counterlens.sources import files
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 # Common English function words; a shorter list than those of some libraries.
@@ -31,11 +33,11 @@ STOP = (
     "several she should since so some such than that the their them then there these they this those through thus to together too toward under until up upon us very was we well were what when where whether which while who whom "
     "whose why will with within without would yet you your yours"
 ).split()
-BLOCK_ENTRIES = 5_000_000
-QUERY_SLOTS = 20_000_000
-DENSE_BLOCK = 4_096
-#: A corpus is numbered on the driver and scored whole for every query, so it is bounded.
-MAX_PASSAGES = 200_000
+#: Entries of vectors (terms or components) in a block; a task holds two blocks.
+BLOCK_ENTRIES = 2_000_000
+#: Passages of a block are passed in steps of so many; a query that cannot gain from a step skips it.
+STEP = 4_096
+PRODUCTS = 4_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -60,98 +62,131 @@ def tfidf(corpus: DataFrame, key: str, text: str) -> DataFrame:
     return raw.join(norm, "key").select("key", "term", "idf", (F.col("raw") / F.col("norm")).alias("w"))
 
 
-class _Corpus:
-    """One block of posting lists, as arrays: terms sorted, their idf, and (passage, weight) entries."""
-
-    def __init__(self, term: list[str], idf: np.ndarray, df_starts: np.ndarray, item: np.ndarray, w: np.ndarray, n_items: int):
-        self.words = pa.array([t for t in term if " " not in t], pa.string())
-        self.word_term = np.array([i for i, t in enumerate(term) if " " not in t], np.int64)
-        place = {t: i for i, t in enumerate(self.words.to_pylist())}
-        pairs = sorted((place[a] * len(place) + place[b], i) for i, t in enumerate(term) if " " in t for a, b in [t.split(" ")] if a in place and b in place)
-        self.pair_code, self.pair_term = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ([], [])))
-        self.idf, self.starts, self.item, self.w, self.n_items = idf, df_starts, item, w, n_items
-
-    def vectors(self, flat: pa.Array, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term, weight) of the terms that the corpus knows, before scaling to length 1."""
-        n = len(offs) - 1
-        word = pc.fill_null(pc.index_in(flat, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        text = np.repeat(np.arange(n), np.diff(offs))
-        hit = word >= 0
-        code = word[:-1] * len(self.words) + word[1:] if len(word) > 1 else np.zeros(0, np.int64)
-        both = (text[:-1] == text[1:]) & hit[:-1] & hit[1:] if len(word) > 1 else np.zeros(0, bool)
-        at = np.searchsorted(self.pair_code, code[both])
-        at[at == len(self.pair_code)] = 0
-        known = self.pair_code[at] == code[both] if len(self.pair_code) else np.zeros(len(at), bool)
-        who = np.concatenate((text[hit], text[:-1][both][known] if len(word) > 1 else text[:0]))
-        what = np.concatenate((self.word_term[word[hit]], self.pair_term[at[known]] if len(self.pair_code) else np.zeros(0, np.int64)))
-        cell, tf = np.unique(who * len(self.idf) + what, return_counts=True)
-        who, what = np.divmod(cell, max(1, len(self.idf)))
-        return who, what, (1 + np.log(tf)) * self.idf[what]
-
-
-def _postings(table: pa.Table, n_items: int, vocabulary: dict[str, float]) -> _Corpus:
-    term = sorted(vocabulary)
-    place = {t: i for i, t in enumerate(term)}
-    row = np.fromiter((place[t] for t in table["term"].to_pylist()), np.int64, table.num_rows)
-    order = np.argsort(row, kind="stable")
-    starts = np.searchsorted(row[order], np.arange(len(term) + 1))
-    return _Corpus(term, np.array([vocabulary[t] for t in term]), starts, table["item"].to_numpy()[order], table["w"].to_numpy()[order], n_items)
-
-
-def _scored(held, k: int):
-    schema = pa.schema([("qid", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: _Corpus = held.value
-        step = max(1, QUERY_SLOTS // max(1, c.n_items))
-        for batch in batches:
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                lists = part.column("words")
-                offs = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
-                who, what, raw = c.vectors(lists.flatten(), offs)
-                norm = np.sqrt(np.bincount(who, raw * raw, minlength=part.num_rows))
-                n = c.starts[what + 1] - c.starts[what]
-                post = np.arange(int(n.sum())) + np.repeat(c.starts[what] - (np.cumsum(n) - n), n)
-                slot = np.repeat(who, n) * c.n_items + c.item[post]
-                sims = np.bincount(slot, np.repeat(raw / norm[who], n) * c.w[post], minlength=part.num_rows * c.n_items).reshape(part.num_rows, c.n_items).round(12)
-                order = np.argsort(-sims[:, ::-1], axis=1, kind="stable")[:, :k]
-                best = c.n_items - 1 - order
-                qid = part.column("qid").to_numpy()
-                yield pa.record_batch([pa.array(np.repeat(qid, best.shape[1])), pa.array(best.reshape(-1)), pa.array(np.take_along_axis(sims, best, 1).reshape(-1))], schema=schema)
+def _in_cells(left: DataFrame, right: DataFrame, blocks: tuple[int, int], run, out: str) -> DataFrame:
+    """``run`` on every pair of a block of left and a block of right rows (each with a column key), as Arrow tables."""
+    place = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = left.withColumns({"_i": place(blocks[0])}).withColumn("_j", each(blocks[1]))
+    b = right.withColumns({"_j": place(blocks[1])}).withColumn("_i", each(blocks[0]))
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInArrow(run, out)
+
+
+def _blocks(df: DataFrame, entries: Column) -> int:
+    total = df.agg(F.sum(entries)).first()[0] or 0
+    return max(1, -(-int(total) // BLOCK_ENTRIES))
+
+
+def _ragged(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and where each row's begin, with the end."""
+    flat = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False)
+    return flat.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+
+class _Best:
+    """The k best (score, passage) of each query so far; of equal scores the larger passage number."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.query, self.item, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(queries, -np.inf)
+
+    def take(self, query: np.ndarray, item: np.ndarray, score: np.ndarray) -> None:
+        q, i, s = np.concatenate((self.query, query)), np.concatenate((self.item, item)), np.concatenate((self.score, score))
+        order = np.lexsort((-i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.query, self.item, self.score = (x[rank < self.k] for x in (q, i, s))
+        last = rank == self.k - 1
+        self.least[q[last]] = s[last]
+
+
+def _scored(k: int, schema: pa.Schema):
+    """Sparse products of a block of queries (left) and one of passages (right): key, terms (sorted hashes), w."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("key")
+        (q_term, q_at), (p_term, p_at) = _ragged(left["terms"]), _ragged(right["terms"])
+        (q_w, _), (p_w, _) = _ragged(left["w"]), _ragged(right["w"])
+        owner, best = np.repeat(np.arange(left.num_rows), np.diff(q_at)), _Best(left.num_rows, k)
+        for a in reversed(range(0, right.num_rows, STEP)):
+            b = min(a + STEP, right.num_rows)
+            # passages without a common term score 0; of those only the last k can matter
+            last = np.arange(max(a, b - k), b)
+            lo, hi = p_at[a], p_at[b]
+            order = np.argsort(p_term[lo:hi], kind="stable")
+            term, w = p_term[lo:hi][order], p_w[lo:hi][order]
+            item = np.repeat(np.arange(a, b), np.diff(p_at[a : b + 1]))[order]
+            begin = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+            names, end = term[begin], np.append(begin[1:], len(term))
+            at = np.minimum(np.searchsorted(names, q_term), max(0, len(names) - 1))
+            known = names[at] == q_term if len(names) else np.zeros(len(q_term), bool)
+            most = np.maximum.reduceat(w, begin) if len(term) else np.zeros(0)
+            # a query gains nothing where even the largest weight of each of its terms is not enough
+            bound = np.bincount(owner[known], q_w[known] * most[at[known]], minlength=left.num_rows)
+            known &= (bound + 1e-9 >= best.least)[owner]
+            zero = np.flatnonzero(best.least <= 0)
+            found = [(np.repeat(zero, len(last)), np.tile(last, len(zero)), np.zeros(len(zero) * len(last)))]
+            who, where, weight = owner[known], at[known], q_w[known]
+            n = end[where] - begin[where]
+            cuts = np.searchsorted(np.cumsum(n), np.arange(PRODUCTS, int(n.sum()) + PRODUCTS, PRODUCTS), "right")
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(who, who[np.minimum(cuts, len(who) - 1)]), [len(who)]))) if len(who) else [0]
+            for c, d in zip(cuts, cuts[1:]):  # whole queries, some millions of products at a time
+                m = n[c:d]
+                post = np.arange(int(m.sum())) + np.repeat(begin[where[c:d]] - (np.cumsum(m) - m), m)
+                cell, place = np.unique(np.repeat(who[c:d], m) * (b - a) + item[post] - a, return_inverse=True)
+                s = np.bincount(place, np.repeat(weight[c:d], m) * w[post], minlength=len(cell)).round(12)
+                found.append((cell // (b - a), cell % (b - a) + a, s))
+            q, i, s = (np.concatenate(x) for x in zip(*found))
+            # a pair that has a score is not also one without
+            order = np.lexsort((-s, i, q))
+            q, i, s = q[order], i[order], s[order]
+            first = np.append(True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]))
+            best.take(q[first], i[first], s[first])
+        return pa.table([left["key"].take(pa.array(best.query)), right["key"].take(pa.array(best.item)), pa.array(best.score)], schema=schema)
 
     return run
 
 
+def _packed(weights: DataFrame) -> DataFrame:
+    """key, terms and w as arrays in the order of terms, one row a key."""
+    by = weights.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("v"))
+    return by.select("key", F.col("v.term").alias("terms"), F.col("v.w").alias("w"))
+
+
+def _asked(queries: DataFrame, key: str, text: str, idf: DataFrame) -> DataFrame:
+    """key, terms, w of every query; terms that the corpus lacks do not count, and a query without any has none."""
+    keyed = queries.select(F.col(key).alias("key"), text)
+    hashed = F.explode(F.transform(terms(tokens(F.col(text))), lambda x: F.xxhash64(x))).alias("term")
+    tf = keyed.select("key", hashed).groupBy("key", "term").agg(F.count("*").alias("tf")).join(idf, "term")
+    raw = tf.select("key", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
+    by = raw.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "raw"))).alias("v"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    vectors = by.select("key", F.col("v.term").alias("terms"), F.transform("v.raw", lambda x: x / F.col("norm")).alias("w"))
+    return keyed.select("key").join(vectors, "key", "left")
+
+
 def top_passages(queries: DataFrame, corpus: DataFrame, query_key: str, corpus_key: str, k: int = 3, text: str = "text") -> DataFrame:
     """query_key, rank, corpus_key, score: the k passages nearest by cosine; passages without a common term score 0.
 
-    ``query_key`` holds whole numbers. Passages are numbered in the order of their key.
-    The corpus may be larger than one block: blocks are passed one after another and the
-    best of all are kept. Its vocabulary and idf are those of the whole corpus.
+    Keys should be unique. Work is the products of terms that a query and a passage share,
+    less those of queries that cannot gain; every query block meets every passage block.
     """
-    spark = queries.sparkSession
-    keys = [r[0] for r in corpus.select(corpus_key).orderBy(corpus_key).limit(MAX_PASSAGES + 1).collect()]
-    if len(keys) > MAX_PASSAGES:
-        raise ValueError(f"more than {MAX_PASSAGES} passages: use an index of dense vectors")
-    if not keys:
-        return queries.select(F.col(query_key), F.lit(0).alias("rank"), F.lit(None).cast(corpus.schema[corpus_key].dataType).alias(corpus_key), F.lit(0.0).alias("score")).where("FALSE")
-    numbers = spark.createDataFrame([(x, i) for i, x in enumerate(keys)], corpus.select(corpus_key).schema.add("item", "long"))
-    vectors = tfidf(corpus, corpus_key, text).join(F.broadcast(numbers.withColumnRenamed(corpus_key, "key")), "key")
-    table = vectors.select("item", "term", "idf", "w").toArrow().combine_chunks()
-    vocabulary = dict(zip(table["term"].to_pylist(), table["idf"].to_pylist()))
-    words = queries.select(F.col(query_key).cast("long").alias("qid"), tokens(F.col(text)).alias("words"))
-    blocks, found = max(1, -(-table.num_rows // BLOCK_ENTRIES)), None
-    for b in range(blocks):
-        part = table.filter(pc.equal(pc.subtract(table["item"], pc.multiply(pc.divide(table["item"], blocks), blocks)), b)) if blocks > 1 else table
-        held = spark.sparkContext.broadcast(_postings(part, len(keys), vocabulary))
-        one = words.mapInArrow(_scored(held, k), "qid long, item long, score double")
-        found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        found = found.groupBy("qid", "item").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("item")))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(F.broadcast(numbers), "item").select(F.col("qid").alias(query_key), "rank", corpus_key, "score")
+    stored = files.scratch_path(queries.sparkSession, "passages")
+    whole = tfidf(corpus, corpus_key, text).withColumn("term", F.xxhash64("term"))
+    whole.write.parquet(f"{stored}/weights")
+    weights = queries.sparkSession.read.parquet(f"{stored}/weights")
+    idf = weights.groupBy("term").agg(F.max("idf").alias("idf"))
+    passages = corpus.select(F.col(corpus_key).alias("key")).join(_packed(weights.select("key", "term", "w")), "key", "left")
+    for name, df in (("passages", passages), ("queries", _asked(queries, query_key, text, idf))):
+        df.write.parquet(f"{stored}/{name}")
+    sides = [queries.sparkSession.read.parquet(f"{stored}/{n}") for n in ("queries", "passages")]
+    size = 1 + F.coalesce(F.size("terms"), F.lit(0))
+    out = sides[0].select(F.col("key").alias(query_key)).schema.add(sides[1].select(F.col("key").alias(corpus_key)).schema[0]).add("score", "double")
+    found = _in_cells(*sides, tuple(_blocks(x, size) for x in sides), _scored(k, to_arrow_schema(out)), out)
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.desc(corpus_key)))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, "rank", corpus_key, "score")
 
 
 def hits(ranked: DataFrame, query_key: str, passage: str, truth: DataFrame, gold: str, keys: Sequence[str], distractor: str, k: int = 3) -> DataFrame:
@@ -179,26 +214,27 @@ def hits(ranked: DataFrame, query_key: str, passage: str, truth: DataFrame, gold
     )
 
 
-def _dense(held, k: int, absolute: bool, unit: bool):
+def _dense(k: int, absolute: bool, unit: bool):
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("sim", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = held.value
-        best_s, best_i = np.full((len(qid), 0), -np.inf), np.zeros((len(qid), 0), np.int64)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(float)
-                if unit:
-                    v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                s = q @ v.T
-                s = (np.abs(s) if absolute else s).round(6)
-                all_s = np.concatenate((best_s, s), 1)
-                all_i = np.concatenate((best_i, np.broadcast_to(part.column("id").to_numpy(), s.shape)), 1)
-                order = np.lexsort((-all_i, -all_s))[:, :k]
-                best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
-        if best_s.shape[1]:
-            yield pa.record_batch([pa.array(np.repeat(qid, best_s.shape[1])), pa.array(best_i.reshape(-1)), pa.array(best_s.reshape(-1))], schema=schema)
+    def matrix(table: pa.Table) -> np.ndarray:
+        v = _ragged(table["v"])[0].reshape(table.num_rows, -1)
+        return v / np.linalg.norm(v, axis=1, keepdims=True) if unit else v
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("key")
+        q, v, best = matrix(left), matrix(right), _Best(left.num_rows, k)
+        step = max(1, PRODUCTS // left.num_rows)
+        for a in range(0, len(v), step):
+            s = q @ v[a : a + step].T
+            s = (np.abs(s) if absolute else s).round(6)
+            # whatever is as good as the k best of the step
+            least = np.maximum(best.least, np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else -np.inf)
+            who, what = np.nonzero(s >= least[:, None])
+            best.take(who, what + a, s[who, what])
+        return pa.table([left["key"].take(pa.array(best.query)), right["key"].take(pa.array(best.item)), pa.array(best.score)], schema=schema)
 
     return run
 
@@ -206,25 +242,13 @@ def _dense(held, k: int, absolute: bool, unit: bool):
 def nearest(queries: DataFrame, candidates: DataFrame, key: str, vector: str, k: int, absolute: bool = False, unit: bool = False) -> DataFrame:
     """query_id, id, sim: each query's k candidates of largest product (of absolute value; of unit vectors), exactly.
 
-    A stated set of queries against all candidates: queries are broadcast in blocks of a
-    fixed number of rows, and a task keeps its best k of each. The work is queries times
+    A stated set of queries against all candidates, both in blocks of bounded size: a task
+    multiplies two blocks and keeps the best k of each query. The work is queries times
     candidates; for large sets use an index. Products are compared at six decimals; ties
-    go to the larger id.
+    go to the larger id. All vectors have one length.
     """
-    spark = queries.sparkSession
-    of = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked, rows, found = of(queries), of(candidates), None
-    blocks = max(1, -(-asked.count() // DENSE_BLOCK))
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        if not block.num_rows:
-            continue
-        q = np.array(block["v"].to_pylist(), float)
-        if unit:
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        one = rows.mapInArrow(_dense(spark.sparkContext.broadcast((block["id"].to_numpy(), q)), k, absolute, unit), "query_id long, id long, sim double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, id long, sim double")
+    of = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL")
+    sides = of(queries), of(candidates)
+    found = _in_cells(*sides, tuple(_blocks(x, F.size("v")) for x in sides), _dense(k, absolute, unit), "query_id long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.desc("id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")

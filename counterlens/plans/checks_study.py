@@ -96,15 +96,15 @@ SQL = {
   s AS (SELECT drug, count(*) AS n, round({SHARE.format('declined IS NULL')}, 9) AS fire_rate, round(avg(CASE WHEN declined IS NULL THEN CASE WHEN (event_id % 5 < 3) = beyond THEN 1e0 ELSE 0e0 END END), 9) AS correct_when_fired, count(*) FILTER (WHERE kind < 5) AS age_read, count(*) FILTER (WHERE kind < 5) AS age_right, count(*) AS sex_read, count(*) FILTER (WHERE t_sex = sex) AS sex_right,
   count(*) FILTER (WHERE kind = 2) AS qt_ms_read, count(*) FILTER (WHERE kind = 2) AS qt_ms_right, count(*) FILTER (WHERE kind = 2) AS heart_rate_read, count(*) FILTER (WHERE kind = 2) AS heart_rate_right FROM g GROUP BY drug) SELECT s.*, w.declines FROM s LEFT JOIN w ON w.drug = s.drug""",
     "f09_states_derived": "SELECT event_id, event_id % 7 = 0 AS egfr, FALSE AS qtc, event_id % 7 = 0 AS crcl FROM labs",
-    "m07_child_pugh": f"""WITH w AS (SELECT event_id, (event_id % 50) / 10e0 AS b, 2 + (event_id % 30) / 10e0 AS a, 1 + (event_id % 20) / 10e0 AS i, [1, 1, 1, 2, 2, 3, 3, 3, NULL][event_id % 9 + 1] AS asc_, [1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, NULL][event_id // 7 % 12 + 1] AS enc FROM labs),
+    "m07_child_pugh": f"""WITH w AS (SELECT event_id, (event_id % 50) / 10e0 AS b, 2 + (event_id % 30) / 10e0 AS a, 1 + (event_id % 20) / 10e0 AS i, [1, 1, 2, 2, 3, 3, 3, NULL][event_id % 8 + 1] AS asc_, [1, 1, 2, 2, 3, 3, 3, NULL][event_id // 7 % 8 + 1] AS enc FROM labs),
   p AS (SELECT *, {B3.format('b')} AS bp, {A3.format('a')} AS ap, {B3.format('b')} + {A3.format('a')} + {I3.format('i')} + asc_ + enc AS points FROM w)
   SELECT event_id, CAST(points AS DOUBLE) AS points, """
     + ", ".join(
         f"CAST(CASE WHEN points IS NULL THEN NULL {' '.join(f'WHEN {col} <> {k} AND (points - {col} + {k} >= 10) {op} (points >= 10) THEN {v if out == 0 else f"points - {col} + {k}"}' for k, v in vals)} END AS DOUBLE) AS {name}"
         for col, vals, op, out, name in (
-            ("bp", ((1, "1e0"), (2, "2.5e0"), (3, "5e0")), "<>", 0, "bilirubin_flip"),
+            ("bp", ((1, "1e0"), (2, "2.5e0"), (3, "4e0")), "<>", 0, "bilirubin_flip"),
             ("bp", ((1, ""), (2, ""), (3, "")), "=", 1, "bilirubin_control"),
-            ("ap", ((1, "4.2e0"), (2, "3.1e0"), (3, "2.2e0")), "<>", 0, "albumin_flip"),
+            ("ap", ((1, "4.2e0"), (2, "3.15e0"), (3, "2.1e0")), "<>", 0, "albumin_flip"),
             ("ap", ((1, ""), (2, ""), (3, "")), "=", 1, "albumin_control"),
         )
     )
@@ -125,7 +125,7 @@ SQL = {
     "p16_provenance": f"WITH h AS (SELECT concept, sum(f) AS f, sum(b) AS b FROM ({HITS}) GROUP BY concept) SELECT concept, CASE WHEN concept IN ('letters', 'single') THEN 'lexical' WHEN f = 0 THEN 'unmeasurable' WHEN b = 0 THEN 'anchored only' WHEN b < f / 2 THEN 'mostly curated' ELSE 'matched' END AS state FROM h",
     "f18_norm_atom": r"SELECT conv_id, turn, sha256(trim(regexp_replace(lower(regexp_replace(text, '\[[^\]]*\]', ' ', 'g')), '[\s\x0b\x85\xA0\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g'))) AS atom FROM conversations WHERE text IS NOT NULL",
     "f21_word_presence": "SELECT id, variant, CASE WHEN own IS NULL THEN '' WHEN own = 'SAFE' THEN 'SAFE' WHEN raw LIKE 'Unsafe%' THEN 'UNSAFE' ELSE 'SAFE' END AS words FROM preds",
-    "f25_age_phrase": "SELECT sid, age, CASE WHEN age <= 11 THEN 'a child in year ' || CAST(greatest(1, age - 5) AS VARCHAR) || ' at primary school' ELSE 'a pupil in year ' || CAST(age - 5 AS VARCHAR) || ' at secondary school' END AS phrase FROM (SELECT sid, age % 14 + 4 AS age FROM patients)",
+    "f25_age_phrase": "SELECT sid, age, 'goes to ' || CASE WHEN age <= 11 THEN 'primary' ELSE 'secondary' END || ' school, year ' || CAST(greatest(1, age - 5) AS VARCHAR) AS phrase FROM (SELECT sid, age % 14 + 4 AS age FROM patients)",
     "f27_tfidf": f"WITH {cosine('benchmark', 'item_id', 'benchmark', 'item_id')} SELECT k AS item_id, count(*) AS terms, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM cv GROUP BY k",
     "j15_tfidf_top_k": f"WITH {cosine('benchmark', 'item_id', 'documents', 'doc_id')} SELECT qk AS doc_id, rank, ck AS item_id, round(score, 6) AS score FROM top",
     "a29_retrieval_hits": f"""WITH {PROMPTS}, {cosine('corpus', 'id', 'prompts', 'no')}, got AS (SELECT qk, list(ck ORDER BY rank) AS names FROM top GROUP BY qk), j AS (SELECT p.family, coalesce(p.pred = p.label, FALSE) AS ok, nullif(list_position(g.names, 'guideline::' || p.family), 0) AS place, len(list_filter(g.names, lambda x: x LIKE 'distractor::%')) AS bad, len(g.names) AS slots FROM preds p JOIN prompts q ON q.text = p.prompt JOIN got g ON g.qk = q.no WHERE p.variant = 'rag'),

@@ -40,14 +40,8 @@ def f04_rule_gate(t: Tables):
 
 @call
 def f05_mentions(t: Tables):
-    rows = samples.notes(t).where("kind IN (0, 1, 3, 5)").select("event_id", "note")
-    view = f"_notes_{files.uuid.uuid4().hex}"
-    rows.createOrReplaceTempView(view)
-    t.spark.udtf.register("creatinine_mentions", spans.CreatinineMentions)
-    try:
-        return t.spark.sql(f"SELECT event_id, value, unit, CAST(num_stop - num_start AS BIGINT) AS digits, round(mgdl, 9) AS mgdl FROM {view}, LATERAL creatinine_mentions(note)")
-    finally:
-        t.spark.catalog.dropTempView(view)
+    found = samples.notes(t).select("event_id", "note").lateralJoin(spans.CreatinineMentions(F.col("note").outer()))
+    return found.select("event_id", "value", "unit", (F.col("num_stop") - F.col("num_start")).cast("long").alias("digits"), F.round("mgdl", 9).alias("mgdl"))
 
 
 FACTS = ["creatinine_mgdl", "age", "sex", "qt_ms", "heart_rate", "weight_kg", "height_cm", "bilirubin", "albumin", "inr", "ascites_pts", "enceph_pts"]
@@ -62,7 +56,7 @@ def f06_extract_graded(t: Tables):
 @call
 def f07_clinical_gate(t: Tables):
     rows = samples.notes(t).drop("age", "sex", "bil", "alb")
-    gated = gates.clinical_gate(rows, "note", F.when(F.col("event_id") % 12 == 0, "mdrd").otherwise("ckd_epi"))
+    gated = gates.clinical_gate(rows, "note", F.when(F.col("event_id") % 12 == 0, "mdrd").otherwise("ckd_epi"), only_needed=True)
     return rounded(gated.select("event_id", "drug", "fired", "violated", "quantity", "declined"), "quantity", places=6)
 
 
@@ -216,7 +210,7 @@ def f21_word_presence(t: Tables):
 
 @call
 def f25_age_phrase(t: Tables):
-    """Pupils' ages as a school stage, and the ages of patients less ten as well."""
+    """Ages of children, 4 to 17, derived from those of patients, as a school stage."""
     ages = t["patients"].select("sid", (F.col("age") % 14 + 4).alias("age"))
     return ages.select("sid", "age", clinical.school_year(F.col("age")).alias("phrase"))
 
