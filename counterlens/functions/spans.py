@@ -40,13 +40,18 @@ def mentions(note: str | None) -> list[tuple]:
     return out
 
 
-def creatinine(note: Column) -> Column:
-    """The creatinine that a note states, as value, unit and mg/dL: NULL unless all its mentions agree."""
+def creatinines(note: Column) -> Column:
+    """All creatinine mentions of a note: an array of value, unit and mgdl."""
     text = F.coalesce(note, F.lit(""))
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in CREATININE])
     value = lambda m: F.regexp_extract(m, r"\d+(?:\.\d+)?", 0).cast("double")
     unit = lambda m: F.regexp_extract(m, UNIT_TEXT, 0)
-    read = F.transform(found, lambda m: F.struct(value(m).alias("value"), unit(m).alias("unit"), F.when(F.lower(unit(m)).contains("mol"), value(m) / 88.4).otherwise(value(m)).alias("mgdl")))
+    return F.transform(found, lambda m: F.struct(value(m).alias("value"), unit(m).alias("unit"), F.when(F.lower(unit(m)).contains("mol"), value(m) / 88.4).otherwise(value(m)).alias("mgdl")))
+
+
+def creatinine(note: Column) -> Column:
+    """The creatinine that a note states, as value, unit and mg/dL: NULL unless all its mentions agree."""
+    read = creatinines(note)
     settled = F.size(F.array_distinct(F.transform(read, lambda r: F.round(r["mgdl"], 6)))) == 1
     return F.struct(*[F.when(settled, F.get(read, F.lit(0))[n]).alias(n) for n in ("value", "unit", "mgdl")])
 

@@ -1,10 +1,7 @@
-"""Sections, sentences and evidence in labelled documents, and matchers of concepts."""
+"""Sections, sentences and evidence in labelled documents."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,22 +92,6 @@ def provenance_rollup(families: DataFrame, attested: Column) -> DataFrame:
     return families.withColumns({"n_attested": F.count_if(attested).over(every), "n_families": F.count("*").over(every), "place": place})
 
 
-def matcher(synonyms: Sequence[str], variants: Sequence[str] = (), stop: Sequence[str] = (), least: int = 3, tail: str = "", name: str = "") -> str:
-    """A pattern of a concept: synonyms of at least ``least`` characters that are no stop words, and all variants, longest first.
-
-    Without any, its name. ``tail`` is a pattern for a number after it.
-    """
-    words = [s for s in synonyms if len(s) >= least and s.lower() not in set(stop)] + list(variants) or [name]
-    return r"(?i)\b(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")\b" + tail
-
-
-def concept_hits(df: DataFrame, text: str, concepts: dict[str, tuple[str, str]], keys: Sequence[str]) -> DataFrame:
-    """concept, hits of its full matcher and of the matcher without variants, over all texts, by ``keys``."""
-    count = lambda p: F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0))).cast("long")
-    each = F.inline(F.array(*[F.struct(F.lit(c).alias("concept"), count(full).alias("full"), count(bare).alias("bare")) for c, (full, bare) in concepts.items()]))
-    return df.select(*keys, each).groupBy(*keys, "concept").agg(F.sum("full").alias("full"), F.sum("bare").alias("bare"))
-
-
 def grounding(atoms: Column, full: Column, bare: Column) -> Column:
     """How far a concept's matches rest on its ontology atoms."""
     return F.when(atoms == 0, "lexical").when(full == 0, "unmeasurable").when(bare == 0, "anchored only").when(bare < full / 2, "mostly curated").otherwise("matched")

@@ -13,15 +13,10 @@ plan("s07_key_lookup", "SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT
 plan("s11_adapters", "SELECT 'conv' AS source, CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, text AS prompt FROM conversations UNION ALL SELECT 'bench', CAST(item_id AS STRING), text FROM benchmark")
 plan("s21_build_metadata", "SELECT split, count(*) AS n, count(DISTINCT sid) AS n_patients, count(DISTINCT pair_id) AS n_pairs FROM items GROUP BY split")
 plan("s22_corpus", lambda d: f"SELECT 'guideline::' || family AS id, 'Threshold for ' || family AS text FROM rules UNION ALL SELECT 'label::' || CAST(item_id AS STRING), substr(trim({d.replace_all('text', '[ \\t\\r\\n]+', ' ')}), 1, 1200) FROM benchmark WHERE length(text) >= 80")
-plan("p01_implausible", "SELECT event_id, CASE WHEN NOT (0.3e0 + value / 40e0 BETWEEN 0.15e0 AND 5e0) THEN 'creatinine_mgdl' WHEN NOT (q BETWEEN 2e0 AND 200e0) THEN 'eGFR' END AS bad FROM facts WHERE family = 'egfr30'")
 plan("p02_age_window", "SELECT count_if(age BETWEEN 18 AND 91) AS inside, count_if(age >= 65) AS old FROM patients")
 plan("p03_dynamic_predicate", "SELECT e.event_id, r.family, CASE WHEN r.op = '<' THEN e.value < r.threshold WHEN r.op = '>' THEN e.value > r.threshold WHEN r.op = '==' THEN e.value = r.threshold END AS holds FROM rules r LEFT JOIN labs e ON e.item = r.item AND e.value > 100")
 plan("p04_label_rule", "SELECT event_id, family, CASE WHEN op = '<' THEN CASE WHEN q < threshold THEN 'UNSAFE' ELSE 'SAFE' END WHEN op = '>' THEN CASE WHEN q > threshold THEN 'UNSAFE' ELSE 'SAFE' END ELSE CASE WHEN q >= threshold THEN 'UNSAFE' ELSE 'SAFE' END END AS label FROM facts")
 plan("p05_straddle", "SELECT pair_id, family, bool_or(q < threshold) AND bool_or(q >= threshold) AS crosses FROM items GROUP BY pair_id, family")
-plan(
-    "p06_drop_reasons",
-    """WITH r AS (SELECT l.event_id, CASE WHEN p.age > 85 THEN 'age' WHEN l.value < 1 THEN 'tiny' WHEN l.value > 400 THEN 'implausible' WHEN l.sid % 10 = 3 THEN 'excluded' END AS reason FROM labs l JOIN patients p ON p.sid = l.sid) SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""",
-)
 plan("p07_prompts", "SELECT id, prompt, CAST(length(prompt) AS BIGINT) AS n FROM items")
 plan("p09_option_swap", "SELECT id, replace(prompt, 'Is it safe', 'Is it unsafe or safe') AS swapped, (length(prompt) - length(replace(prompt, 'Is it safe', ''))) / 10 = 1 AS once FROM items")
 plan("p11_adapt", "SELECT id || '__note' AS id, pair_id || '__note' AS pair_id, 'note' AS presentation, label FROM items WHERE split = 'test'")
@@ -66,7 +61,6 @@ plan("t04_equal_sets", "SELECT (SELECT count(*) FROM (SELECT id FROM items EXCEP
 plan("t05_upsert", "WITH old AS (SELECT variant, 0 AS seed, count(*) AS n FROM preds WHERE v < 5 GROUP BY variant), new AS (SELECT variant, 0 AS seed, count_if(correct) AS n FROM preds WHERE v >= 3 GROUP BY variant) SELECT variant, seed, n FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.variant = old.variant AND new.seed = old.seed) UNION ALL SELECT variant, seed, n FROM new")
 plan("t06_edge_dedup", "SELECT DISTINCT item AS src, family AS dst, op AS rel, provenance FROM rules")
 # ---- execution
-plan("x01_dedup_fanout", "WITH d AS (SELECT prompt, CAST(length(prompt) % 7 AS BIGINT) AS answer FROM (SELECT DISTINCT prompt FROM items) AS x) SELECT i.id, d.answer FROM items i JOIN d ON d.prompt = i.prompt")
 plan("x04_stub_backends", f"WITH s AS (SELECT b.backend, i.pair_id, i.label, CASE b.backend WHEN 'oracle' THEN i.label WHEN 'inverted' THEN CASE WHEN i.label = 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END WHEN 'coin' THEN CASE WHEN i.item_no * 2654435761 % 1000003 % 2 = 0 THEN 'SAFE' ELSE 'UNSAFE' END ELSE CASE WHEN i.item_no * 2654435761 % 1000003 % 10 < 6 THEN i.label ELSE 'SAFE' END END AS pred FROM items i CROSS JOIN (VALUES ('oracle'), ('inverted'), ('coin'), ('sixty')) AS b(backend)) SELECT backend, round({rate('pred = label')}, 9) AS accuracy FROM s GROUP BY backend")
 # ---- time
 plan("d01_parse_time", lambda d: f"SELECT event_id, {d.parse_stamp(d.stamp('ts'))} AS parsed FROM events")

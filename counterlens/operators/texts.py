@@ -27,7 +27,6 @@ plan("m01_ckd_epi", "SELECT event_id, round(q, 6) AS egfr FROM facts WHERE famil
 plan("m02_mdrd", f"WITH {VITALS} SELECT event_id, round(175e0 * pow(scr, -1.154e0) * pow(CAST(age AS DOUBLE), -0.203e0) * CASE WHEN sex = 'female' THEN 0.742e0 ELSE 1e0 END, 6) AS gfr FROM vitals")
 plan("m03_cockcroft_gault", f"WITH {VITALS}, b AS (SELECT *, weight / pow(height / 100e0, 2e0) AS bmi, CASE WHEN sex = 'male' THEN 50e0 ELSE 45.5e0 END + 2.3e0 * (height / 2.54e0 - 60e0) AS ibw FROM vitals) SELECT event_id, round((140e0 - age) * CASE WHEN bmi < 18.5e0 THEN weight WHEN bmi < 25e0 THEN least(ibw, weight) ELSE ibw + 0.4e0 * (weight - ibw) END * CASE WHEN sex = 'male' THEN 1e0 ELSE 0.85e0 END / (scr * 72e0), 6) AS crcl FROM b")
 plan("m04_units", "SELECT event_id, unit, round(CASE WHEN instr(unit, 'umol') > 0 THEN value / 88.4e0 WHEN instr(unit, 'mg/dl') > 0 THEN value END, 6) AS mgdl FROM (SELECT event_id, value, CASE event_id % 3 WHEN 0 THEN 'umol/l' WHEN 1 THEN 'mg/dl' ELSE 'g/l' END AS unit FROM labs) AS x")
-plan("m05_inverse", f"WITH {VITALS}, k AS (SELECT *, CASE WHEN sex = 'female' THEN 0.7e0 ELSE 0.9e0 END AS knee, CASE WHEN sex = 'female' THEN -0.241e0 ELSE -0.302e0 END AS lo, 142e0 * pow(0.9938e0, age) * CASE WHEN sex = 'female' THEN 1.012e0 ELSE 1e0 END AS top FROM vitals) SELECT event_id, round(knee * pow(45e0 / top, 1e0 / CASE WHEN 45e0 >= top THEN lo ELSE -1.2e0 END), 6) AS creatinine FROM k")
 plan("m06_qtc", f"WITH {VITALS} SELECT event_id, round(qt / sqrt(60e0 / hr), 6) AS bazett, round(qt / pow(60e0 / hr, 1e0 / 3e0), 6) AS fridericia, round(qt + 154e0 * (1e0 - 60e0 / hr), 6) AS framingham, round(qt + 1.75e0 * (hr - 60e0), 6) AS hodges, round(qt * (120e0 + hr) / 180e0, 6) AS rautaharju FROM vitals")
 plan("m09_target_draw", "SELECT id, round(threshold + CASE WHEN label = 'UNSAFE' AND op = '<' OR label = 'SAFE' AND op = '>' THEN -1e0 ELSE 1e0 END * threshold * (0.1e0 + 0.4e0 * ((item_no * 2654435761) % 1000003) / 1000003e0), 6) AS target FROM items")
 plan("m11_cosine", lambda d: f"SELECT a.vec_id, b.vec_id AS other, round({d.dot('a.embedding', 'b.embedding')} / (sqrt({d.dot('a.embedding', 'a.embedding')}) * sqrt({d.dot('b.embedding', 'b.embedding')})), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

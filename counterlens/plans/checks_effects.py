@@ -47,6 +47,8 @@ SQL = {
     "a42_pointing": f"WITH {TOKENS} SELECT count(*) AS n, count(*) FILTER (WHERE NOT can) AS n_inexpressible, round({SHARE.format('by_sum')}, 9) AS accuracy_sum, round({SHARE.format('by_mean')}, 9) AS accuracy_mean, round(avg(CASE WHEN can THEN CASE WHEN by_sum THEN 1e0 ELSE 0e0 END END), 9) AS expressible_sum, round(avg(CASE WHEN can THEN CASE WHEN by_mean THEN 1e0 ELSE 0e0 END END), 9) AS expressible_mean, round(avg(guess), 9) AS random_accuracy FROM judged",
     "a53_signed_best": f"""WITH {SWEEP}, a AS (SELECT *, 'all' AS arm FROM gains UNION ALL SELECT *, CASE WHEN alpha > 0 THEN 'positive' ELSE 'negative' END FROM gains WHERE alpha <> 0)
   SELECT run, arm, count(*) OVER w AS cells, min(alpha) OVER w AS lowest, max(alpha) OVER w AS highest, layer, alpha, round(cc, 9) AS cc, round(cc_rand, 9) AS cc_rand, round(gain, 9) AS gain FROM a WINDOW w AS (PARTITION BY run, arm) QUALIFY row_number() OVER (PARTITION BY run, arm ORDER BY gain DESC, layer, alpha) = 1""",
+    "x01_dedup_fanout": """WITH d AS (SELECT prompt, length(prompt) AS length, (row_number() OVER (PARTITION BY length(prompt) ORDER BY prompt) - 1) // 8 AS batch, len(regexp_extract_all(prompt, '[0-9]')) AS digits, CAST('0x' || substr(md5(prompt), 1, 7) AS BIGINT) AS checksum FROM (SELECT DISTINCT prompt FROM items) AS x)
+  SELECT i.id, d.length, d.batch, d.digits, d.checksum FROM items i JOIN d ON d.prompt = i.prompt""",
     "j17_matched_controls": """WITH f AS (SELECT event_type || '_' || CAST(user_id % 20 AS VARCHAR) AS feature, count(*) AS n FROM events GROUP BY 1),
   c AS (SELECT a.feature, b.feature AS control, round(abs(ln(b.n + 1e0) - ln(a.n + 1e0)), 12) AS gap, CAST('0x' || substr(md5('0|' || a.feature || '|' || b.feature), 1, 7) AS BIGINT) % 1000003 AS draw FROM f a JOIN f b ON a.feature <> b.feature),
   p AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gap, control) AS place FROM c QUALIFY place <= 50) SELECT feature, control, place, round(gap, 9) AS log_ratio, row_number() OVER (PARTITION BY feature ORDER BY draw, control) <= 5 AS drawn FROM p""",

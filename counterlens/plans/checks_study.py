@@ -6,7 +6,7 @@ extraction. Patterns with look-around, which the engine lacks, are written other
 
 from __future__ import annotations
 
-from counterlens.operators import evidence, retrieval
+from counterlens.operators import concepts, retrieval
 from counterlens.plans import samples
 from counterlens.plans.oracle import with_base
 
@@ -68,9 +68,21 @@ FOUND = f"""{LABELS}, spec AS (SELECT * FROM (VALUES {_values(samples.SPECS)}) A
   ctx AS (SELECT family, section, value, trim(regexp_replace(substr(text, greatest(1, before + 1 - 120), before + 1 + long + 120 - greatest(1, before + 1 - 120)), '[\\s\\x0b]+', ' ', 'g')) AS context FROM cut),
   found AS (SELECT s.*, c.section, c.value, c.context, CASE WHEN s.drug NOT IN (SELECT drug FROM lab) THEN 'no_label' WHEN c.section IS NULL THEN CASE WHEN known_trap THEN 'construct_mismatch' ELSE 'absent' END WHEN kind = 'qualitative' THEN 'attested_qualitative' WHEN try_cast(c.value AS DOUBLE) = rules_value THEN 'attested_exact' ELSE 'attested_different_value' END AS status FROM spec s LEFT JOIN ctx c ON c.family = s.family)"""
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace({0}, '([.;])[\\s\\x0b]+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^[\\s\\x0b\\x85\\xA0\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\x0b\\x85\\xA0\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g')), lambda s: s <> '')"
-_MATCH = {c: (evidence.matcher(s, v, stop=["of"], name=c), evidence.matcher(s, (), stop=["of"], name=c)) for c, (s, v) in samples.CONCEPTS.items()}
-_COUNT = "len(regexp_extract_all(coalesce(text, ''), '{0}'))"
-HITS = " UNION ALL ".join(f"SELECT lang, '{c}' AS concept, {_COUNT.format(f)} AS f, {_COUNT.format(b)} AS b FROM documents" for c, (f, b) in _MATCH.items())
+# \b of the engine knows ASCII only: other characters than of words are doubled, so that each match has bounds of its own
+_WORDS = {c: (concepts.wordings(s, v, stop=["of"], name=c), concepts.wordings(s, (), stop=["of"], name=c)) for c, (s, v) in samples.CONCEPTS.items()}
+_DOUBLED = r"regexp_replace(' ' || coalesce(text, '') || ' ', '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')".replace("{{", "{").replace("}}", "}")
+
+
+def _matched(words: list[str]) -> str:
+    body = "|".join(w.replace(" ", "  ") for w in sorted(words, key=len, reverse=True))
+    return rf"[^\p{{L}}\p{{N}}_]((?i:{body}))[^\p{{L}}\p{{N}}_]"
+
+
+def _count(words: list[str]) -> str:
+    return f"len(regexp_extract_all({_DOUBLED}, '{_matched(words)}', 1))"
+
+
+HITS = " UNION ALL ".join(f"SELECT lang, '{c}' AS concept, {_count(f)} AS f, {_count(b)} AS b FROM documents" for c, (f, b) in _WORDS.items())
 WORD_AT = "CASE WHEN regexp_matches(lower(text), '\\b{0}\\b') THEN length(regexp_extract(lower(text), '(?s)^(.*?)\\b{0}\\b', 1)) END"
 EFFECTS = """eff AS (SELECT i.pair_id, l.i AS layer, a.alpha, (i.h % 200 - 100) / 50e0 * a.alpha + l.i / 10e0 AS delta, (i.h % 90 - 45) / 60e0 AS control FROM (SELECT pair_id, min(item_no) * 2654435761 % 1000003 AS h FROM items WHERE NOT is_control GROUP BY pair_id) AS i CROSS JOIN range(0, 6) AS l(i) CROSS JOIN (VALUES (-1e0), (-0.5e0), (0.5e0), (1e0)) AS a(alpha)),
   cell AS (SELECT layer, alpha, round(avg(delta), 9) AS m FROM eff GROUP BY 1, 2), step AS (SELECT *, m - lag(m) OVER (PARTITION BY layer ORDER BY alpha) AS d FROM cell)"""
@@ -81,6 +93,16 @@ SHARE = "avg(CASE WHEN {0} THEN 1e0 ELSE 0e0 END)"
 HITS_BY = ", ".join([f"round({SHARE.format(f'coalesce(place <= {k}, FALSE)')}, 9) AS hit{k}" for k in (1, 2, 3)])
 
 SQL = {
+    "m05_inverse": f"""WITH v AS (SELECT l.event_id, p.age, p.sex, 45e0 + l.event_id % 60 AS kg, CASE WHEN l.event_id % 7 > 0 THEN 150e0 + l.event_id % 45 END AS cm, l.event_id % 3 AS kind, CASE WHEN l.event_id % 11 = 0 THEN 2500e0 ELSE 45e0 END AS target FROM labs l JOIN patients p ON p.sid = l.sid),
+  w AS (SELECT *, CASE WHEN cm IS NULL OR kg / pow(cm / 100e0, 2e0) < 18.5e0 THEN kg WHEN kg / pow(cm / 100e0, 2e0) < 25e0 THEN least({IBW}, kg) ELSE {IBW} + 0.4e0 * (kg - {IBW}) END AS dose, CASE WHEN sex = 'female' THEN 1.012e0 ELSE 1e0 END AS f, CASE WHEN sex = 'female' THEN 0.7e0 ELSE 0.9e0 END AS knee, CASE WHEN sex = 'female' THEN -0.241e0 ELSE -0.302e0 END AS lo FROM v),
+  s AS (SELECT event_id, CASE kind WHEN 0 THEN (140e0 - age) * dose * CASE WHEN sex = 'male' THEN 1e0 ELSE 0.85e0 END / (72e0 * target) WHEN 1 THEN pow(target / (175e0 * pow(CAST(age AS DOUBLE), -0.203e0) * CASE WHEN sex = 'female' THEN 0.742e0 ELSE 1e0 END), 1e0 / -1.154e0) ELSE knee * pow(target / (142e0 * pow(0.9938e0, age) * f), 1e0 / CASE WHEN target >= 142e0 * pow(0.9938e0, age) * f THEN lo ELSE -1.2e0 END) END AS c FROM w)
+  SELECT event_id, CASE WHEN c BETWEEN 0.05e0 AND 60e0 THEN round(c, 6) END AS creatinine FROM s""",
+    "p01_implausible": f"""WITH v AS (SELECT l.event_id, p.age, p.sex, l.value / 20 AS scr, 150e0 + l.event_id % 600 AS qt, 15e0 + l.event_id % 230 AS hr, (10 + l.event_id % 90) / 10e0 AS k, (2 + l.event_id % 140) / 10e0 AS r FROM labs l JOIN patients p ON p.sid = l.sid), w AS (SELECT *, {EPI} AS g, qt / sqrt(60e0 / hr) AS c FROM v)
+  SELECT event_id, CASE WHEN scr < 0.15e0 OR scr > 25 THEN 'creatinine_mgdl' WHEN g < 2 OR g > 200 THEN 'eGFR' WHEN qt < 200 OR qt > 700 THEN 'qt_ms' WHEN hr < 25 OR hr > 220 THEN 'heart_rate' WHEN c < 250 OR c > 750 THEN 'QTc' WHEN k < 1.5e0 OR k > 9 THEN 'potassium_mEqL' WHEN r < 0.5e0 OR r > 12 THEN 'inr' END AS bad FROM w""",
+    "p06_drop_reasons": f"""WITH {TRUTH}, k AS (SELECT *, {EPI} AS g, row_number() OVER (PARTITION BY kind, CASE WHEN kind < 5 THEN age END, CASE WHEN kind < 5 THEN sex END, CASE WHEN kind IN (0, 3) THEN cr WHEN kind = 1 THEN um END, CASE WHEN kind = 2 THEN qt END, CASE WHEN kind = 2 THEN hr END, CASE WHEN kind = 3 THEN kg END, CASE WHEN kind = 3 THEN cm END, CASE WHEN kind = 4 THEN bil END, CASE WHEN kind = 4 THEN alb END, CASE WHEN kind = 4 THEN inr END, CASE WHEN kind = 4 THEN a END, CASE WHEN kind = 4 THEN e END ORDER BY event_id) AS copy FROM n),
+  r AS (SELECT CASE WHEN copy > 1 THEN 'copy of a note' WHEN kind IN (2, 4) THEN 'creatinine not stated with a unit' WHEN kind = 5 THEN 'creatinine stated with different values' WHEN kind = 3 THEN 'too long' WHEN scr < 0.15e0 OR scr > 25 OR g < 2 OR g > 200 THEN 'implausible' WHEN abs(g - 30) < 3 THEN 'too close to the threshold' ELSE 'kept' END AS reason FROM k)
+  SELECT x.reason, count(r.reason) AS n FROM (VALUES ('copy of a note'), ('creatinine not stated with a unit'), ('creatinine stated with different values'), ('states the derived value'), ('too long'), ('implausible'), ('too close to the threshold'), ('kept')) AS x(reason) LEFT JOIN r ON r.reason = x.reason GROUP BY 1""",
+    "a43_drop_counters": "SELECT family, CASE WHEN q < 2 THEN 'low' WHEN q > 200 THEN 'high' WHEN age > 80 THEN 'old' WHEN abs(q - threshold) < 0.05e0 * threshold THEN 'near the threshold' ELSE 'kept' END AS reason, count(*) AS n FROM facts GROUP BY 1, 2",
     "f01_parse_answer": "SELECT id, variant, own AS answer FROM preds",
     "a09_own_answer_accuracy": f"SELECT variant, round({SHARE.format('own = label')}, 9) AS own_accuracy FROM preds GROUP BY variant",
     "f02_parse_label": f"WITH x AS (SELECT *, {WORD_AT.format('the')} AS a, {WORD_AT.format('of')} AS b, {WORD_AT.format('and')} AS c FROM conversations) SELECT conv_id, turn, nullif(regexp_extract(text, '\\b([ABCD])\\b', 1), '') AS letter, CASE WHEN least(a, b, c) IS NULL THEN NULL WHEN a = least(a, b, c) THEN 'the' WHEN b = least(a, b, c) THEN 'of' ELSE 'and' END AS word FROM x",
@@ -120,7 +142,7 @@ SQL = {
     "j21_containment": f"""WITH {FOUND}, s AS (SELECT drug, section, {SENTENCES.format('text')} AS s FROM lab), r AS (SELECT drug, section, s, unnest(range(0, len(s))) AS place FROM s), m AS (SELECT r.drug || '/' || r.section || '/' || CAST(place AS VARCHAR) AS row, f."order", f.family, f.status FROM r JOIN found f ON f.drug = r.drug AND f.section = r.section AND f.status LIKE 'attested%' AND (contains(f.context, substr(s[place + 1], 1, 60)) OR contains(s[place + 1], substr(f.context, 1, 60))))
   SELECT row, arg_min(family, "order") AS family, arg_min(status, "order") AS status FROM m GROUP BY row""",
     "a54_provenance_rollup": f"WITH {FOUND}, o AS (SELECT family, status, CASE status WHEN 'attested_exact' THEN 0 WHEN 'attested_qualitative' THEN 1 WHEN 'construct_mismatch' THEN 2 WHEN 'absent' THEN 3 ELSE 9 END AS r FROM found) SELECT family, status, row_number() OVER (ORDER BY r, family) AS place, count(*) FILTER (WHERE status IN ('attested_exact', 'attested_different_value')) OVER () AS n_attested, count(*) OVER () AS n_families FROM o",
-    "f17_concept_matcher": f"SELECT doc_id, {_COUNT.format(_MATCH['definite'][0])} AS hits FROM documents",
+    "f17_concept_matcher": f"WITH m AS (SELECT doc_id, regexp_extract_all({_DOUBLED}, '{_matched(_WORDS['definite'][0])}', 1) AS m FROM documents) SELECT doc_id, len(m) AS hits, CAST(coalesce(list_sum(list_transform(m, lambda x: length(replace(x, '  ', ' ')))), 0) AS BIGINT) AS chars FROM m",
     "a50_concept_hits": f"SELECT lang, concept, CAST(sum(f) AS BIGINT) AS \"full\", CAST(sum(b) AS BIGINT) AS bare FROM ({HITS}) GROUP BY 1, 2",
     "p16_provenance": f"WITH h AS (SELECT concept, sum(f) AS f, sum(b) AS b FROM ({HITS}) GROUP BY concept) SELECT concept, CASE WHEN concept IN ('letters', 'single') THEN 'lexical' WHEN f = 0 THEN 'unmeasurable' WHEN b = 0 THEN 'anchored only' WHEN b < f / 2 THEN 'mostly curated' ELSE 'matched' END AS state FROM h",
     "f18_norm_atom": r"SELECT conv_id, turn, sha256(trim(regexp_replace(lower(regexp_replace(text, '\[[^\]]*\]', ' ', 'g')), '[\s\x0b\x85\xA0\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g'))) AS atom FROM conversations WHERE text IS NOT NULL",

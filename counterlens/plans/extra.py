@@ -178,14 +178,12 @@ def f26_distractors(spark, d):
 
 
 def u20_probe(spark, d):
-    """Neighbouring vectors as pairs, the first of each as the label; and the same with labels swapped inside pairs."""
-    path = files.scratch_path(spark, "probe")
+    """Neighbouring vectors as pairs, the first of each as the label; and a planted label that the vectors hold."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    rows = e.select(F.floor(F.col("vec_id") / 2).cast("string").alias("pair"), (F.col("vec_id") % 2).cast("int").alias("label"), F.col("embedding").alias("x"))
-    rows.write.parquet(path)
-    rows = spark.read.parquet(path)
-    null = rows.withColumn("label", probe.swapped(F.col("label"), F.col("pair")))
-    both = [probe.probe(x, folds=3, components=8).withColumn("labels", F.lit(n)) for x, n in ((rows, "real"), (null, "swapped"))]
+    pair, first = F.floor(F.col("vec_id") / 2).cast("string").alias("pair"), (F.col("vec_id") % 2).cast("int").alias("label")
+    x = F.col("embedding").cast("array<double>")
+    planted = F.transform(x, lambda v, i: F.when(i == 0, v + F.col("vec_id") % 2).otherwise(v))
+    both = [probe.probe(e.select(pair, first, v.alias("x")), folds=3, components=8, permutations=60).withColumn("vectors", F.lit(n)) for v, n in ((x, "as they are"), (planted, "planted"))]
     return both[0].unionByName(both[1])
 
 

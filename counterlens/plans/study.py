@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from counterlens.functions import clinical, spans
-from counterlens.operators import audits, causal_graph, effects, evidence, feature_scores, gates, matching, metrics, ordered, retrieval, sampling
+from counterlens.operators import audits, causal_graph, concepts, effects, evidence, fanout, feature_scores, gates, guards, matching, metrics, ordered, retrieval, sampling
 from counterlens.plans import samples
 from counterlens.plans.registry import Tables, call
 from counterlens.plans.scores import rounded
@@ -105,6 +108,66 @@ def m08_dispatch(t: Tables):
     return x.select("event_id", "kind", F.round(clinical.compute(F.col("kind"), F.col("scr"), F.col("age"), F.col("sex"), F.col("kg"), F.col("cm")), 6).alias("v"))
 
 
+@call
+def m05_inverse(t: Tables):
+    """Creatinine that brings each patient to 45 by the formula of the row; NULL where that is out of reach."""
+    n = F.col("event_id")
+    x = t["labs"].join(t["patients"], "sid").withColumns({"kg": F.lit(45.0) + n % 60, "cm": F.when(n % 7 > 0, F.lit(150.0) + n % 45), "kind": F.element_at(F.array(*map(F.lit, ["cockcroft_gault", "mdrd", "ckd_epi"])), (n % 3 + 1).cast("int"))})
+    target = F.when(n % 11 == 0, 2500.0).otherwise(45.0)
+    return x.select("event_id", F.round(clinical.solve_creatinine(F.col("kind"), target, F.col("age"), F.col("sex"), F.col("kg"), F.col("cm")), 6).alias("creatinine"))
+
+
+@call
+def p01_implausible(t: Tables):
+    """The first of the seven windows that a lab's derived values leave."""
+    n = F.col("event_id")
+    x = t["labs"].join(t["patients"], "sid").withColumns({"scr": F.col("value") / 20, "qt": F.lit(150.0) + n % 600, "hr": F.lit(15.0) + n % 230, "k": (10 + n % 90) / 10.0, "r": (2 + n % 140) / 10.0})
+    x = x.withColumns({"egfr": clinical.ckd_epi(F.col("scr"), F.col("age"), F.col("sex")), "qtc": clinical.QTC["bazett"](F.col("qt"), F.col("hr"))})
+    windows = {"creatinine_mgdl": "scr", "eGFR": "egfr", "qt_ms": "qt", "heart_rate": "hr", "QTc": "qtc", "potassium_mEqL": "k", "inr": "r"}
+    return x.select("event_id", clinical.implausible(**{w: F.col(c) for w, c in windows.items()}).alias("bad"))
+
+
+@call
+def p06_drop_reasons(t: Tables):
+    """Notes that may become items, and why the others do not; counted in the pass that keeps them."""
+    notes = samples.notes(t).withColumn("copy", F.row_number().over(Window.partitionBy("note").orderBy("event_id")))
+    values = F.array_distinct(F.transform(spans.creatinines(F.col("note")), lambda m: F.round(m["mgdl"], 6)))
+    notes = notes.withColumns({"values": values, "words": F.size(F.split(F.trim("note"), r"\s+"))}).withColumn("scr", F.get("values", F.lit(0)))
+    notes = notes.withColumn("egfr", clinical.ckd_epi(F.col("scr"), F.col("age"), F.col("sex")))
+    chain = [
+        ("copy of a note", F.col("copy") > 1),
+        ("creatinine not stated with a unit", F.size("values") == 0),
+        ("creatinine stated with different values", F.size("values") > 1),
+        ("states the derived value", gates.states_derived(F.col("note"), "eGFR")),
+        ("too long", F.col("words") > 12),
+        ("implausible", clinical.implausible(creatinine_mgdl=F.col("scr"), eGFR=F.col("egfr")).isNotNull()),
+        ("too close to the threshold", F.abs(F.col("egfr") - 30) < 3),
+    ]
+    kept, seen = guards.guarded(notes, chain)
+    path = files.scratch_path(t.spark, "kept")
+    kept.select("event_id", "note").write.parquet(path)
+    if t.spark.read.parquet(path).count() != seen.get[guards.KEPT]:
+        raise AssertionError("counters and rows of one pass differ")
+    return t.spark.createDataFrame(list(seen.get.items()), "reason string, n long")
+
+
+@call
+def a43_drop_counters(t: Tables):
+    chain = [("low", F.col("q") < 2), ("high", F.col("q") > 200), ("old", F.col("age") > 80), ("near the threshold", F.abs(F.col("q") - F.col("threshold")) < 0.05 * F.col("threshold"))]
+    return guards.drop_counters(t["facts"], chain, ["family"])
+
+
+def _digits(prompts: list[str]) -> list[tuple]:
+    """What stands in for a model: digits of a prompt, and a checksum."""
+    return [(sum(c.isdigit() for c in p), int(hashlib.md5(p.encode()).hexdigest()[:7], 16)) for p in prompts]
+
+
+@call
+def x01_dedup_fanout(t: Tables):
+    out, _ = fanout.evaluate_once(t["items"], "prompt", _digits, "digits long, checksum long", F.char_length("prompt"))
+    return out.select("id", F.col("length").cast("long").alias("length"), "batch", "digits", "checksum")
+
+
 @call
 def p14_justification(t: Tables):
     return t["preds"].select("id", "variant", evidence.justification(F.col("raw")).alias("why")).where("why IS NOT NULL")
@@ -171,28 +234,29 @@ def a54_provenance_rollup(t: Tables):
     return out.select("family", "status", F.col("place").cast("long").alias("place"), "n_attested", "n_families")
 
 
-def _concepts() -> dict[str, tuple[str, str]]:
-    made = {}
-    for name, (synonyms, variants) in samples.CONCEPTS.items():
-        made[name] = (evidence.matcher(synonyms, variants, stop=["of"], name=name), evidence.matcher(synonyms, (), stop=["of"], name=name))
-    return made
+def _concepts() -> dict[str, tuple[list[str], list[str]]]:
+    """Full wordings of each concept, and those without its variants."""
+    words = lambda name, s, v: concepts.wordings(s, v, stop=["of"], name=name)
+    return {name: (words(name, s, v), words(name, s, ())) for name, (s, v) in samples.CONCEPTS.items()}
 
 
 @call
 def f17_concept_matcher(t: Tables):
-    full = _concepts()["definite"][0]
-    return t["documents"].select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(full), F.lit(0))).cast("long").alias("hits"))
+    """Matches of one concept in every text, and how many characters they cover."""
+    found = concepts.matches(t["documents"], "text", {"definite": _concepts()["definite"][0]}, ["doc_id"])
+    by = found.groupBy("doc_id").agg(F.count("*").alias("hits"), F.sum(F.col("stop") - F.col("start")).alias("chars"))
+    return t["documents"].select("doc_id").join(by, "doc_id", "left").fillna(0)
 
 
 @call
 def a50_concept_hits(t: Tables):
-    return evidence.concept_hits(t["documents"], "text", _concepts(), ["lang"])
+    return concepts.concept_hits(t["documents"], "text", _concepts(), ["lang"])
 
 
 @call
 def p16_provenance(t: Tables):
     atoms = t.spark.createDataFrame([(c, len([x for x in s if len(x) >= 3])) for c, (s, _) in samples.CONCEPTS.items()], "concept string, atoms int")
-    hits = evidence.concept_hits(t["documents"], "text", _concepts(), [])
+    hits = concepts.concept_hits(t["documents"], "text", _concepts(), [])
     return hits.join(F.broadcast(atoms), "concept").select("concept", evidence.grounding(F.col("atoms"), F.col("full"), F.col("bare")).alias("state"))
 
 
