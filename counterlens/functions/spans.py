@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -91,10 +92,28 @@ def rewrite_spans(note: Column, where: Column, texts: Column) -> Column:
     return F.aggregate(edits, note, put)
 
 
-def redact_first(prompt: Column, pattern: str, hidden: str = "[redacted]") -> Column:
-    """The prompt with the first match of a pattern hidden; NULL where it does not occur."""
-    found = F.regexp_extract(prompt, pattern, 0)
-    return F.when(prompt.rlike(pattern), F.overlay(prompt, F.lit(hidden), F.regexp_instr(prompt, F.lit(pattern)), F.length(found)))
+def redact_first(prompt: Column, patterns: Sequence[str], hidden: str = "[not recorded]") -> Column:
+    """The prompt with the number of the first pattern that matches, and of its first match only, hidden; NULL where none matches.
+
+    A pattern's first group is what stays before the number; the rest of the match goes.
+    """
+    out = []
+    for pattern in patterns:
+        found, head = F.regexp_extract(prompt, pattern, 0), F.regexp_extract(prompt, pattern, 1)
+        out.append(F.when(prompt.rlike(pattern), F.overlay(prompt, F.concat(head, F.lit(hidden)), F.regexp_instr(prompt, F.lit(pattern)), F.length(found))))
+    return F.coalesce(*out)
+
+
+def swap_once(text: Column, old: str, new: str) -> Column:
+    """The text with ``old`` replaced by ``new``; an error where it does not stand there exactly once. NULL stays NULL."""
+    times = (F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)
+    return F.when(text.isNull() | (times == 1), F.replace(text, F.lit(old), F.lit(new))).otherwise(F.raise_error(F.concat(F.lit(f"not exactly one {old!r} in: "), text)))
+
+
+def truncate_words(text: Column, most: int) -> Column:
+    """The first ``most`` words, by single spaces, and a mark that more followed; a text with no more words as it is."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.when(F.size(words) <= most, text).otherwise(F.concat(F.array_join(F.slice(words, 1, most), " "), F.lit(" ...")))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

@@ -99,3 +99,45 @@ def same_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     sides = a.select(F.col(key).alias("k"), F.lit(1).alias("s")).unionByName(b.select(F.col(key).alias("k"), F.lit(2).alias("s")))
     by = sides.groupBy("k").agg(F.count_distinct("s").alias("n"))
     return by.agg((F.count_if(F.col("n") < 2) == 0).alias("equal"))
+
+
+def from_prompt(items: DataFrame, prompt: str, number: str, quantity: Column, op: str = "op", threshold: str = "threshold") -> DataFrame:
+    """``items`` with shown, decimals, derived and relabelled: what the last line of a prompt states, and the label that it implies.
+
+    ``number`` is a pattern whose first group is the stated number; ``quantity`` an expression
+    over shown and columns of ``items``. The label compares with the rule's own threshold. All
+    are NULL where the last line states nothing: lines before it may hold other numbers.
+    """
+    last = F.element_at(F.split(F.trim(F.col(prompt)), "\n"), -1)
+    stated = F.nullif(F.regexp_extract(last, number, 1), F.lit(""))
+    x = items.withColumns({"shown": stated.cast("double"), "decimals": F.length(F.regexp_extract(stated, r"[.](\d+)$", 1))})
+    x = x.withColumn("derived", quantity)
+    unsafe = F.when(F.col(op) == "<", F.col("derived") < F.col(threshold)).when(F.col(op) == ">", F.col("derived") > F.col(threshold))
+    return x.withColumn("relabelled", F.when(unsafe, "UNSAFE").when(~unsafe, "SAFE"))
+
+
+def rederived(items: DataFrame, keys: Sequence[str], raw: str = "factor_value", label: str = "label") -> DataFrame:
+    """Of ``from_prompt``: n, unread, value_off (the raw value does not round to the one shown), label_off, by ``keys``."""
+    off = F.abs(F.col(raw) - F.col("shown")) > 0.5 * F.pow(F.lit(10.0), -F.col("decimals")) + 1e-9
+    return items.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("shown").isNull()).alias("unread"), F.count_if(off).alias("value_off"), F.count_if(F.col("relabelled") != F.col(label)).alias("label_off"))
+
+
+def decisions_rederived(preds: DataFrame, keys: Sequence[str], own: Column, uncertainty: Column, tau: str = "tau", defers: str = "uq") -> DataFrame:
+    """Of predictions whether each part follows from the others: n, entropy_off, gate_off, pred_off, abstained_off, by ``keys``.
+
+    Entropy is that of the margin, missing together with it. Where the gate fired, its
+    verdict (violated) must be the rule's label; the prediction is the gate's or the
+    model's ``own`` answer; deferred is, of variants that may, an open row without an
+    answer, without a score, or with one above tau.
+    """
+    verdict = F.when(F.col("violated"), "UNSAFE").otherwise("SAFE")
+    want = F.when(F.col("gate_fired"), verdict).otherwise(own)
+    defer = F.col(defers) & ~F.col("gate_fired") & (want.isNull() | ~F.coalesce(uncertainty <= F.col(tau), F.lit(False)))
+    entropy_off = ~F.coalesce(F.abs(uncertainty - F.col("u")) < 1e-6, uncertainty.isNull() & F.col("u").isNull())
+    return preds.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.count_if(entropy_off).alias("entropy_off"),
+        F.count_if(F.col("gate_fired") & (verdict != F.col("label"))).alias("gate_off"),
+        F.count_if(~F.col("pred").eqNullSafe(want)).alias("pred_off"),
+        F.count_if(F.col("abstained") != defer).alias("abstained_off"),
+    )

@@ -112,3 +112,23 @@ def preferred(graph_edges: DataFrame) -> DataFrame:
     """The edge of each src that goes first: of the ontology, then by name."""
     order = Window.partitionBy("src").orderBy(F.when(F.col("provenance") == "umls", 0).otherwise(1), "dst", "rel")
     return graph_edges.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+
+
+# Semantic types by the kind of node they make, and relations of the ontology by the edge they make.
+KINDS = {"drug": "T109 T110 T121 T125 T129 T195 T200", "disease": "T019 T020 T037 T046 T047 T191", "finding": "T032 T033 T184", "process": "T039 T040 T042 T043 T044 T045", "lab": "T034 T059 T060 T201"}
+EDGES = {"contraindicated_with_disease": "CONTRAINDICATED_WITH", "may_treat": "MAY_TREAT", "may_prevent": "MAY_PREVENT", "has_physiologic_effect": "HAS_PHYSIOLOGIC_EFFECT", "has_mechanism_of_action": "HAS_MECHANISM", "has_pharmacokinetics": "HAS_PHARMACOKINETICS", "induces": "INDUCES"}
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def kind_of(semantic_types: Column, rest: str = "other") -> Column:
+    """The kind of the first of an array of semantic types that has one."""
+    table = {t: kind for kind, types in KINDS.items() for t in types.split()}
+    return F.coalesce(F.get(F.filter(F.transform(semantic_types, lambda t: _looked_up(table, t)), lambda k: k.isNotNull()), F.lit(0)), F.lit(rest))
+
+
+def edge_of(relation: Column) -> Column:
+    """The edge that a relation makes; NULL for one that makes none."""
+    return _looked_up(EDGES, relation)

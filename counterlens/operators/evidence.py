@@ -43,7 +43,7 @@ def sentences(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
 def evidence(labels: DataFrame, specs: DataFrame) -> DataFrame:
     """Of each spec the first section, in its order of preference, that its pattern finds: value, section, context.
 
-    ``labels`` has drug, section, text; ``specs`` (a small table) family, drug, pattern,
+    ``labels`` has drug, section, seq, text, the parts of a section in the order of seq; ``specs`` (a small table) family, drug, pattern,
     sections (array; empty means any, in name order) and further columns, which are kept.
     value is the first group. Specs without a match, or without a label, are kept with NULLs;
     ``labelled`` says whether the drug has a label.
@@ -54,7 +54,7 @@ def evidence(labels: DataFrame, specs: DataFrame) -> DataFrame:
     start = F.expr("regexp_instr(text, pattern)")
     long = F.length(F.expr("regexp_extract(text, pattern, 0)"))
     begin = F.greatest(F.lit(1), start - 120)
-    found = F.struct("_order", "section", F.expr("regexp_extract(text, pattern, 1)").alias("value"), squeezed(F.col("text").substr(begin, start + long + 120 - begin)).alias("context"))
+    found = F.struct("_order", "section", "seq", F.expr("regexp_extract(text, pattern, 1)").alias("value"), squeezed(F.col("text").substr(begin, start + long + 120 - begin)).alias("context"))
     best = hits.groupBy("family").agg(F.min(found).alias("f")).select("family", "f.value", "f.section", "f.context")
     known = labels.select("drug").distinct().withColumn("_known", F.lit(True))
     return specs.join(known, "drug", "left").join(best, "family", "left").withColumn("labelled", F.coalesce("_known", F.lit(False))).drop("_known")

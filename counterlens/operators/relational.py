@@ -10,16 +10,11 @@ plan("s04_filtered_scan", "SELECT sid, event_id, value FROM labs WHERE item = 'v
 plan("s05_shared_scan", "SELECT family, count(*) AS n, round(min(q), 6) AS lo, round(max(q), 6) AS hi, count(DISTINCT sid) AS n_patients FROM facts GROUP BY family")
 plan("s06_pushdown_projection", lambda d: f"SELECT user_id AS subject_id, event_type AS itemid, {d.stamp('ts')} AS charttime, value AS valuenum FROM events WHERE event_type IN ('view', 'click') AND value IS NOT NULL")
 plan("s07_key_lookup", "SELECT doc_id, lang FROM documents WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND l.quality = 1)")
-plan("s11_adapters", "SELECT 'conv' AS source, CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS id, text AS prompt FROM conversations UNION ALL SELECT 'bench', CAST(item_id AS STRING), text FROM benchmark")
 plan("s21_build_metadata", "SELECT split, count(*) AS n, count(DISTINCT sid) AS n_patients, count(DISTINCT pair_id) AS n_pairs FROM items GROUP BY split")
-plan("s22_corpus", lambda d: f"SELECT 'guideline::' || family AS id, 'Threshold for ' || family AS text FROM rules UNION ALL SELECT 'label::' || CAST(item_id AS STRING), substr(trim({d.replace_all('text', '[ \\t\\r\\n]+', ' ')}), 1, 1200) FROM benchmark WHERE length(text) >= 80")
 plan("p02_age_window", "SELECT count_if(age BETWEEN 18 AND 91) AS inside, count_if(age >= 65) AS old FROM patients")
-plan("p03_dynamic_predicate", "SELECT e.event_id, r.family, CASE WHEN r.op = '<' THEN e.value < r.threshold WHEN r.op = '>' THEN e.value > r.threshold WHEN r.op = '==' THEN e.value = r.threshold END AS holds FROM rules r LEFT JOIN labs e ON e.item = r.item AND e.value > 100")
 plan("p04_label_rule", "SELECT event_id, family, CASE WHEN op = '<' THEN CASE WHEN q < threshold THEN 'UNSAFE' ELSE 'SAFE' END WHEN op = '>' THEN CASE WHEN q > threshold THEN 'UNSAFE' ELSE 'SAFE' END ELSE CASE WHEN q >= threshold THEN 'UNSAFE' ELSE 'SAFE' END END AS label FROM facts")
 plan("p05_straddle", "SELECT pair_id, family, bool_or(q < threshold) AND bool_or(q >= threshold) AS crosses FROM items GROUP BY pair_id, family")
 plan("p07_prompts", "SELECT id, prompt, CAST(length(prompt) AS BIGINT) AS n FROM items")
-plan("p09_option_swap", "SELECT id, replace(prompt, 'Is it safe', 'Is it unsafe or safe') AS swapped, (length(prompt) - length(replace(prompt, 'Is it safe', ''))) / 10 = 1 AS once FROM items")
-plan("p11_adapt", "SELECT id || '__note' AS id, pair_id || '__note' AS pair_id, 'note' AS presentation, label FROM items WHERE split = 'test'")
 plan("p12_case_views", "SELECT variant, count_if(gate_fired) AS fired, count_if(NOT gate_fired) AS governed, count_if(NOT abstained) AS answered, count_if(pred IS NOT NULL) AS parsed FROM preds GROUP BY variant")
 plan("p13_default_missing", "SELECT family, count_if(coalesce(CASE WHEN arm = 'safe' THEN NULL ELSE is_control END, FALSE)) AS controls FROM items GROUP BY family")
 plan("p15_variant_flags", "SELECT i.id, v.variant, v.rag, v.gate, v.uq, v.cl FROM items i CROSS JOIN variants v WHERE i.split = 'calib'")
@@ -48,7 +43,7 @@ plan("o01_top_k_retrieval", lambda d: f"WITH q AS (SELECT vec_id, embedding FROM
 plan("o02_top_features", "SELECT source, n FROM (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS rn FROM documents GROUP BY source) AS x WHERE rn <= 5")
 plan("o03_display_order", "SELECT p.variant, count(*) AS n, min(v.v) AS place FROM preds p JOIN variants v ON v.variant = p.variant GROUP BY p.variant ORDER BY place")
 plan("o06_pair_sample", "SELECT split, pair_id FROM (SELECT split, pair_id, row_number() OVER (PARTITION BY split ORDER BY (min(item_no) * 2654435761) % 1000003, pair_id) AS rn FROM items WHERE NOT is_control GROUP BY split, pair_id) AS x WHERE rn <= 10")
-plan("o07_stratified", "SELECT stratum, id FROM (SELECT CASE WHEN abstained THEN 'deferral' WHEN label = 'UNSAFE' AND pred = 'SAFE' THEN 'violation' ELSE 'other' END AS stratum, id, row_number() OVER (PARTITION BY CASE WHEN abstained THEN 'deferral' WHEN label = 'UNSAFE' AND pred = 'SAFE' THEN 'violation' ELSE 'other' END ORDER BY h1, id) AS rn FROM preds WHERE variant = 'uq') AS x WHERE rn <= CASE stratum WHEN 'other' THEN 4 ELSE 3 END")
+plan("o07_stratified", "WITH s AS (SELECT variant, CASE WHEN abstained THEN 'deferral' WHEN label = 'UNSAFE' AND pred = 'SAFE' THEN 'violation' ELSE 'other' END AS stratum, id, h1 FROM preds) SELECT variant, stratum, id FROM (SELECT *, row_number() OVER (PARTITION BY variant, stratum ORDER BY h1, id) AS rn FROM s) AS x WHERE rn <= CASE stratum WHEN 'other' THEN 4 ELSE 3 END")
 plan("o09_blinded_key", lambda d: f"SELECT id, 'IT' || upper(substr({d.sha("id || '||' || family")}, 1, 10)) AS blinded FROM items")
 plan("o10_refill", "SELECT family, pair_id FROM (SELECT family, pair_id, row_number() OVER (PARTITION BY family ORDER BY (min(item_no) * 31) % 1009, pair_id) AS rn FROM items WHERE factor_value > 20 GROUP BY family, pair_id HAVING count(*) = 2) AS x WHERE rn <= 12")
 plan("o11_background_sample", "SELECT doc_id, item_no FROM (SELECT sid AS doc_id, event_id AS item_no, row_number() OVER (PARTITION BY sid ORDER BY (event_id * 2654435761) % 1000003, event_id) AS rn FROM labs WHERE item <> 'view') AS x WHERE rn <= 8")
@@ -59,7 +54,6 @@ plan("t02_intersect", "SELECT prompt FROM items WHERE split = 'test' INTERSECT S
 plan("t03_except", "SELECT sid FROM items WHERE family = 'egfr45' EXCEPT SELECT sid FROM items WHERE family = 'egfr30'")
 plan("t04_equal_sets", "SELECT (SELECT count(*) FROM (SELECT id FROM items EXCEPT SELECT id FROM preds) AS a) = 0 AND (SELECT count(*) FROM (SELECT id FROM preds EXCEPT SELECT id FROM items) AS b) = 0 AS equal")
 plan("t05_upsert", "WITH old AS (SELECT variant, 0 AS seed, count(*) AS n FROM preds WHERE v < 5 GROUP BY variant), new AS (SELECT variant, 0 AS seed, count_if(correct) AS n FROM preds WHERE v >= 3 GROUP BY variant) SELECT variant, seed, n FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.variant = old.variant AND new.seed = old.seed) UNION ALL SELECT variant, seed, n FROM new")
-plan("t06_edge_dedup", "SELECT DISTINCT item AS src, family AS dst, op AS rel, provenance FROM rules")
 # ---- execution
 plan("x04_stub_backends", f"WITH s AS (SELECT b.backend, i.pair_id, i.label, CASE b.backend WHEN 'oracle' THEN i.label WHEN 'inverted' THEN CASE WHEN i.label = 'SAFE' THEN 'UNSAFE' ELSE 'SAFE' END WHEN 'coin' THEN CASE WHEN i.item_no * 2654435761 % 1000003 % 2 = 0 THEN 'SAFE' ELSE 'UNSAFE' END ELSE CASE WHEN i.item_no * 2654435761 % 1000003 % 10 < 6 THEN i.label ELSE 'SAFE' END END AS pred FROM items i CROSS JOIN (VALUES ('oracle'), ('inverted'), ('coin'), ('sixty')) AS b(backend)) SELECT backend, round({rate('pred = label')}, 9) AS accuracy FROM s GROUP BY backend")
 # ---- time

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from counterlens.plans.registry import plan, rate
 
-plan("u02_min_certifiable_n", "SELECT alpha, delta, CAST(ceil(ln(delta) / ln(1e0 - alpha)) AS BIGINT) AS n FROM (VALUES (0.1e0, 0.1e0), (0.1e0, 0.05e0), (0.1e0, 0.2e0), (0.05e0, 0.1e0), (0.2e0, 0.1e0)) AS t(alpha, delta)")
 plan(
     "u04_legacy_threshold",
     """WITH p AS (SELECT variant, u, item_no, CASE WHEN own = label THEN 0e0 ELSE 1e0 END AS wrong FROM preds WHERE split = 'calib' AND u IS NOT NULL),
@@ -13,7 +12,7 @@ plan(
 )
 plan(
     "u14_uncertainty_signals",
-    """SELECT item_no, variant, round(u, 6) AS decision_entropy, coalesce(round(u, 6), CAST('Infinity' AS DOUBLE)) = CAST('Infinity' AS DOUBLE) AS missing, -abs(logit_margin) AS neg_margin, -logit_margin AS neg_logprob FROM preds WHERE variant = 'uq'""",
+    """SELECT item_no, variant, round(u, 6) AS decision_entropy, coalesce(round(u, 6), CAST('Infinity' AS DOUBLE)) = CAST('Infinity' AS DOUBLE) AS missing, -abs(logit_margin) AS neg_margin, -logit_margin AS neg_logprob FROM preds""",
 )
 plan("u15_entropy_cross_check", f"SELECT variant, count(*) AS n, round({rate('abs(u - (ln(1e0 + exp(-abs(logit_margin))) + abs(logit_margin) * (1e0 - 1e0 / (1e0 + exp(-abs(logit_margin)))))) < 1e-6')}, 9) AS agree FROM preds WHERE u IS NOT NULL GROUP BY variant")
 plan("u16_deferral", "SELECT variant, count_if(abstained) AS deferred, count_if(abstained <> coalesce(uq AND NOT gate_fired AND (pred IS NULL OR coalesce(u, 9e0) > 0.5e0), FALSE)) AS wrong FROM preds GROUP BY variant")
@@ -33,7 +32,7 @@ plan("w01_nearest_pick", "SELECT family, sid, arm, event_id, factor_value, round
 plan("w01_extreme_pick", "WITH r AS (SELECT family, sid, unsafe, event_id, q, row_number() OVER (PARTITION BY family, sid, unsafe ORDER BY abs(q - threshold) DESC, ts, event_id) AS rn FROM facts) SELECT family, sid, unsafe, event_id, q FROM r WHERE rn = 1")
 plan("w02_control_pick", "SELECT family, sid, label, min(factor_value) AS low, max(factor_value) AS high, round(max(q) - min(q), 6) AS spread FROM items WHERE is_control GROUP BY family, sid, label")
 plan("w04_tie_blocks", "SELECT variant, u, CAST(max(n) AS BIGINT) AS last_index FROM (SELECT variant, u, count(*) OVER (PARTITION BY variant ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM preds WHERE u IS NOT NULL) AS x GROUP BY variant, u")
-plan("w05_average_rank", "SELECT item_no, rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2e0 AS avg_rank FROM preds WHERE variant = 'base' AND u IS NOT NULL")
+plan("w05_average_rank", "SELECT variant, item_no, rank() OVER (PARTITION BY variant ORDER BY u) + (count(*) OVER (PARTITION BY variant, u) - 1) / 2e0 AS avg_rank FROM preds WHERE u IS NOT NULL")
 plan("w07_running_max", "SELECT sid, event_id, max(value) OVER (PARTITION BY sid ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM labs")
 plan("w08_neighbours", "SELECT event_id, round(value - before, 2) AS from_last, round(after - value, 2) AS to_next FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY sid, item ORDER BY ts, event_id) AS before, lead(value) OVER (PARTITION BY sid, item ORDER BY ts, event_id) AS after FROM labs) AS x")
 plan("w09_first_seen", "SELECT prompt, item_no, split FROM (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY item_no) AS rn FROM items) AS x WHERE rn = 1")

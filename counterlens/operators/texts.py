@@ -11,10 +11,7 @@ def num(d, column: str, pattern: str) -> str:
     return f"CAST(nullif({d.extract(column, pattern, 1)}, '') AS DOUBLE)"
 
 
-plan("f10_decimals", lambda d: f"SELECT event_id, CAST(length({d.extract('CAST(value AS STRING)', '[.]([0-9]+)$', 1)}) AS BIGINT) AS decimals FROM labs WHERE value < 100000 AND value >= 0.001")
-plan("f19_label_from_prompt", lambda d: f"SELECT i.id, CASE WHEN r.op = '<' THEN CASE WHEN {num(d, 'prompt', 'value ' + NUMBER)} < 60 THEN 'UNSAFE' ELSE 'SAFE' END ELSE CASE WHEN {num(d, 'prompt', 'value ' + NUMBER)} > i.threshold THEN 'UNSAFE' ELSE 'SAFE' END END AS label FROM items i JOIN rules r ON r.family = i.family")
-plan("f20_rederivation", lambda d: f"SELECT family, count(*) AS n, count_if(abs({num(d, 'prompt', 'value ' + NUMBER)} - factor_value) > 0.51e0) AS wrong FROM items GROUP BY family")
-plan("f22_truncate_words", lambda d: f"SELECT conv_id, turn, {d.join(d.slice(d.split('text', ' '), '12'), ' ')} AS cut FROM conversations")
+plan("f10_decimals", lambda d: f"SELECT event_id, CAST(length({d.extract('CAST(CAST(value AS DECIMAL(18, 2)) AS STRING)', '[.]([0-9]*[1-9])0*$', 1)}) AS BIGINT) AS decimals FROM labs")
 plan("f23_normalise", lambda d: f"SELECT DISTINCT upper(trim(event_type)) AS label, replace(replace(event_type, '&', '&amp;'), '<', '&lt;') AS escaped, {d.replace_all('lower(event_type)', '[^a-z0-9]+', '-')} AS slug FROM events")
 plan(
     "f24_rating_parse",
@@ -23,7 +20,6 @@ plan(
 )
 # ---- formulas
 VITALS = "vitals AS (SELECT l.event_id, p.age, p.sex, 0.3e0 + l.value / 40e0 AS scr, 45e0 + l.event_id % 60 AS weight, 150e0 + l.event_id % 45 AS height, 300e0 + l.event_id % 250 AS qt, 40e0 + l.event_id % 100 AS hr FROM labs l JOIN patients p ON p.sid = l.sid)"
-plan("m01_ckd_epi", "SELECT event_id, round(q, 6) AS egfr FROM facts WHERE family = 'egfr45'")
 plan("m02_mdrd", f"WITH {VITALS} SELECT event_id, round(175e0 * pow(scr, -1.154e0) * pow(CAST(age AS DOUBLE), -0.203e0) * CASE WHEN sex = 'female' THEN 0.742e0 ELSE 1e0 END, 6) AS gfr FROM vitals")
 plan("m03_cockcroft_gault", f"WITH {VITALS}, b AS (SELECT *, weight / pow(height / 100e0, 2e0) AS bmi, CASE WHEN sex = 'male' THEN 50e0 ELSE 45.5e0 END + 2.3e0 * (height / 2.54e0 - 60e0) AS ibw FROM vitals) SELECT event_id, round((140e0 - age) * CASE WHEN bmi < 18.5e0 THEN weight WHEN bmi < 25e0 THEN least(ibw, weight) ELSE ibw + 0.4e0 * (weight - ibw) END * CASE WHEN sex = 'male' THEN 1e0 ELSE 0.85e0 END / (scr * 72e0), 6) AS crcl FROM b")
 plan("m04_units", "SELECT event_id, unit, round(CASE WHEN instr(unit, 'umol') > 0 THEN value / 88.4e0 WHEN instr(unit, 'mg/dl') > 0 THEN value END, 6) AS mgdl FROM (SELECT event_id, value, CASE event_id % 3 WHEN 0 THEN 'umol/l' WHEN 1 THEN 'mg/dl' ELSE 'g/l' END AS unit FROM labs) AS x")

@@ -21,6 +21,9 @@ RATED = """ratings AS (SELECT doc_id, 'r1' AS rater, 1 + quality + doc_id % 3 AS
   UNION ALL SELECT doc_id, 'r3', CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 1 + quality + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE doc_id % 3 END END FROM labels)"""
 DRAW = "CAST('0x' || substr(md5({x}), 1, 7) AS BIGINT) % 1000003"
 
+_WRONG = "CAST(sum(CASE WHEN own = label THEN 0 ELSE 1 END) AS BIGINT) AS k"
+ERRORS = f"g AS (SELECT n, k FROM (SELECT count(*) AS n, {_WRONG} FROM preds GROUP BY variant, family, split UNION SELECT count(*), {_WRONG} FROM preds GROUP BY variant, sid UNION SELECT count(*), {_WRONG} FROM preds GROUP BY variant) AS x WHERE k < n)"
+
 SQL = {
     "a17_aurc_prefixes": """WITH r AS (SELECT variant, avg(CASE WHEN own = label THEN 0e0 ELSE 1e0 END) OVER (PARTITION BY variant ORDER BY u, item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM preds WHERE u IS NOT NULL) SELECT variant, round(avg(risk), 9) AS aurc FROM r GROUP BY variant""",
     "a19_fraction_grid": """WITH r AS (SELECT variant, row_number() OVER w AS rn, count(*) OVER (PARTITION BY variant) AS n, avg(CASE WHEN own = label THEN 0e0 ELSE 1e0 END) OVER (PARTITION BY variant ORDER BY u, item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM preds WHERE u IS NOT NULL WINDOW w AS (PARTITION BY variant ORDER BY u, item_no))
@@ -31,7 +34,9 @@ SQL = {
     "a49_answer_census": """SELECT variant, split, count(*) AS n, round(avg(CASE WHEN own IS NULL THEN 1e0 ELSE 0e0 END), 9) AS non_answer, count(*) FILTER (WHERE own IS NOT NULL AND logit_margin <> 0) AS with_margin, count(*) FILTER (WHERE own = 'SAFE' AND logit_margin > 0 OR own = 'UNSAFE' AND logit_margin < 0) AS agree,
   count(*) FILTER (WHERE own IS NOT NULL AND logit_margin <> 0 AND u IS NOT NULL) AS recomputed, count(*) FILTER (WHERE own IS NOT NULL AND logit_margin <> 0 AND abs(u - (ln(1e0 + exp(-abs(logit_margin))) + abs(logit_margin) / (1e0 + exp(abs(logit_margin))))) < 1e-6) AS recomputed_equal,
   count(*) FILTER (WHERE own IS NOT NULL AND logit_margin IS NULL) AS no_margin, count(*) FILTER (WHERE own IS NOT NULL AND logit_margin IS NULL AND abstained AND NOT gate_fired) AS deferred_for_it FROM preds GROUP BY variant, split""",
-    "u01_binomial_tail": f"""WITH g AS (SELECT a.i AS n, b.i AS k FROM range(1, 61) AS a(i) JOIN range(0, 60) AS b(i) ON b.i < a.i UNION ALL SELECT i * 1000, i * 100 - 20 FROM range(1, 41) AS x(i)) SELECT n, k, round({tail('n', 'k', '0.1e0')}, 9) AS tail, round({tail('n', 'k', '0.1e0')}, 9) <= 0.1e0 AS certifies FROM g""",
+    "u01_binomial_tail": f"WITH {ERRORS} SELECT n, k, round({tail('n', 'k', '0.4e0')}, 9) AS tail, round({tail('n', 'k', '0.4e0')}, 9) <= 0.1e0 AS certifies FROM g",
+    "u01_upper_limits": f"WITH {ERRORS} SELECT n, k, 0.1e0 AS chance, TRUE AS above FROM g",
+    "u02_min_certifiable_n": "WITH c AS (SELECT variant, family, count(*) AS rows FROM preds WHERE split = 'calib' GROUP BY 1, 2) SELECT variant, family, alpha, delta, least, rows >= least AS enough FROM c CROSS JOIN (SELECT a.x AS alpha, d.x AS delta, (SELECT min(i) FROM range(1, 200) AS r(i) WHERE pow(1 - a.x, i) <= d.x + 1e-15) AS least FROM (VALUES (0.2e0), (0.1e0), (0.05e0)) AS a(x), (VALUES (0.2e0), (0.1e0), (0.05e0)) AS d(x)) AS q",
     "u03_conformal_threshold": f"""WITH {CELLS} SELECT v.variant, b.tau, coalesce(b.retained, 0) AS retained, b.tau IS NOT NULL AS certifiable FROM variants v LEFT JOIN best b ON b.variant = v.variant""",
     "u05_calibration_diagnostics": f"""WITH {CELLS} SELECT p.variant, count(*) AS n, count(*) FILTER (WHERE p.u <= b.tau) AS retained, CAST(coalesce(sum(wrong) FILTER (WHERE p.u <= b.tau), 0) AS BIGINT) AS errors, round(count(*) FILTER (WHERE p.u <= b.tau) / CAST(count(*) AS DOUBLE), 9) AS coverage, round(avg(CASE WHEN p.u <= b.tau THEN CAST(p.wrong AS DOUBLE) END), 9) AS selective_error, bool_or(b.tau IS NOT NULL) AS certifiable FROM pool p LEFT JOIN best b ON b.variant = p.variant GROUP BY p.variant""",
     "u06_bootstrap_interval": """WITH g AS (SELECT variant, count(*) AS n, count(CASE WHEN correct THEN 1 END) AS k FROM preds GROUP BY variant), m AS (SELECT variant, n, i, exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + i * ln(k / CAST(n AS DOUBLE)) + (n - i) * ln(1e0 - k / CAST(n AS DOUBLE))) AS p FROM g, LATERAL unnest(range(0, n + 1)) AS x(i)),
@@ -40,7 +45,7 @@ SQL = {
     "u12_holm": f"""WITH {MCNEMAR}, r AS (SELECT variant, round(p, 12) AS p, row_number() OVER (ORDER BY round(p, 12), variant) AS i, count(*) OVER () AS m FROM t) SELECT variant, round(p, 9) AS p, round(least(1e0, max((m - i + 1) * p) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 9) AS p_holm FROM r""",
     "u19_grouped_folds": f"""SELECT pair_id, (row_number() OVER (ORDER BY {DRAW.format(x='pair_id')}, pair_id) - 1) % 5 AS fold_no FROM (SELECT DISTINCT pair_id FROM items) AS p""",
     "w03_running_errors": "SELECT variant, item_no, CAST(sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER (PARTITION BY variant ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS errors FROM preds",
-    "w06_prefix_mean": "SELECT item_no, round(avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END) OVER (ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS m FROM preds WHERE variant = 'base'",
+    "w06_prefix_mean": "SELECT variant, item_no, round(avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY variant ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS m FROM preds",
     "x02_variant_run": f"""WITH pool AS (SELECT variant, u, coalesce(pred = label, FALSE) AS ok FROM preds WHERE uq AND split = 'calib' AND NOT gate_fired AND u IS NOT NULL), d AS (SELECT variant, u, count(*) AS m, count(CASE WHEN NOT ok THEN 1 END) AS w FROM pool GROUP BY variant, u),
   c AS (SELECT variant, u, sum(m) OVER (PARTITION BY variant ORDER BY u) AS n, sum(w) OVER (PARTITION BY variant ORDER BY u) AS k FROM d), best AS (SELECT variant, max(u) AS tau FROM c WHERE k < n AND {tail('n', 'k', ALPHA)} <= 0.1e0 GROUP BY variant)
   SELECT p.variant, p.id, p.pred, p.gate_fired, b.tau, p.uq AND NOT p.gate_fired AND (p.pred IS NULL OR p.u IS NULL OR NOT coalesce(p.u <= b.tau, FALSE)) AS abstained FROM preds p LEFT JOIN best b ON b.variant = p.variant WHERE p.split = 'test'""",

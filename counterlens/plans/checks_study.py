@@ -60,10 +60,10 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
 
 
-LABELS = "lab AS (SELECT source AS drug, lang AS section, arg_min(text, doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)"
+LABELS = "lab AS (SELECT source AS drug, lang AS section, doc_id AS seq, text FROM documents WHERE text IS NOT NULL)"
 FOUND = f"""{LABELS}, spec AS (SELECT * FROM (VALUES {_values(samples.SPECS)}) AS t("order", family, drug, pattern, sections, kind, rules_value, known_trap)),
-  hit AS (SELECT s.family, l.section, l.text, s.pattern, CASE WHEN len(s.sections) = 0 THEN 1 ELSE list_position(s.sections, l.section) END AS place FROM spec s JOIN lab l ON l.drug = s.drug AND regexp_matches(l.text, s.pattern)),
-  one AS (SELECT * FROM hit WHERE place > 0 QUALIFY row_number() OVER (PARTITION BY family ORDER BY place, section) = 1),
+  hit AS (SELECT s.family, l.section, l.seq, l.text, s.pattern, CASE WHEN len(s.sections) = 0 THEN 1 ELSE list_position(s.sections, l.section) END AS place FROM spec s JOIN lab l ON l.drug = s.drug AND regexp_matches(l.text, s.pattern)),
+  one AS (SELECT * FROM hit WHERE place > 0 QUALIFY row_number() OVER (PARTITION BY family ORDER BY place, section, seq) = 1),
   cut AS (SELECT family, section, regexp_extract(text, pattern, 1) AS value, length(regexp_extract(text, '(?s)^(.*?)' || pattern, 1)) AS before, length(regexp_extract(text, pattern, 0)) AS long, text FROM one),
   ctx AS (SELECT family, section, value, trim(regexp_replace(substr(text, greatest(1, before + 1 - 120), before + 1 + long + 120 - greatest(1, before + 1 - 120)), '[\\s\\x0b]+', ' ', 'g')) AS context FROM cut),
   found AS (SELECT s.*, c.section, c.value, c.context, CASE WHEN s.drug NOT IN (SELECT drug FROM lab) THEN 'no_label' WHEN c.section IS NULL THEN CASE WHEN known_trap THEN 'construct_mismatch' ELSE 'absent' END WHEN kind = 'qualitative' THEN 'attested_qualitative' WHEN try_cast(c.value AS DOUBLE) = rules_value THEN 'attested_exact' ELSE 'attested_different_value' END AS status FROM spec s LEFT JOIN ctx c ON c.family = s.family)"""
@@ -139,7 +139,7 @@ SQL = {
     "f14_number_sentences": f"WITH s AS (SELECT doc_id, lang, {SENTENCES.format('text')} AS s FROM documents), x AS (SELECT doc_id, lang, s, unnest(range(0, least(5, len(s)))) AS place FROM s) SELECT doc_id, lang, place, sha256(s[place + 1]) AS sentence, regexp_matches(s[place + 1], '[0-9]') AS has_number FROM x",
     "f15_evidence": f"WITH {FOUND} SELECT family, section, value, CAST(length(context) AS DOUBLE) AS context_chars FROM found",
     "f16_attestation": f"WITH {FOUND} SELECT family, status FROM found",
-    "j21_containment": f"""WITH {FOUND}, s AS (SELECT drug, section, {SENTENCES.format('text')} AS s FROM lab), r AS (SELECT drug, section, s, unnest(range(0, len(s))) AS place FROM s), m AS (SELECT r.drug || '/' || r.section || '/' || CAST(place AS VARCHAR) AS row, f."order", f.family, f.status FROM r JOIN found f ON f.drug = r.drug AND f.section = r.section AND f.status LIKE 'attested%' AND (contains(f.context, substr(s[place + 1], 1, 60)) OR contains(s[place + 1], substr(f.context, 1, 60))))
+    "j21_containment": f"""WITH {FOUND}, s AS (SELECT drug, section, seq, {SENTENCES.format('text')} AS s FROM lab), r AS (SELECT drug, section, seq, s, unnest(range(0, len(s))) AS place FROM s), m AS (SELECT r.drug || '/' || r.section || '/' || CAST(seq AS VARCHAR) || '/' || CAST(place AS VARCHAR) AS row, f."order", f.family, f.status FROM r JOIN found f ON f.drug = r.drug AND f.section = r.section AND f.status LIKE 'attested%' AND (contains(f.context, substr(s[place + 1], 1, 60)) OR contains(s[place + 1], substr(f.context, 1, 60))))
   SELECT row, arg_min(family, "order") AS family, arg_min(status, "order") AS status FROM m GROUP BY row""",
     "a54_provenance_rollup": f"WITH {FOUND}, o AS (SELECT family, status, CASE status WHEN 'attested_exact' THEN 0 WHEN 'attested_qualitative' THEN 1 WHEN 'construct_mismatch' THEN 2 WHEN 'absent' THEN 3 ELSE 9 END AS r FROM found) SELECT family, status, row_number() OVER (ORDER BY r, family) AS place, count(*) FILTER (WHERE status IN ('attested_exact', 'attested_different_value')) OVER () AS n_attested, count(*) OVER () AS n_families FROM o",
     "f17_concept_matcher": f"WITH m AS (SELECT doc_id, regexp_extract_all({_DOUBLED}, '{_matched(_WORDS['definite'][0])}', 1) AS m FROM documents) SELECT doc_id, len(m) AS hits, CAST(coalesce(list_sum(list_transform(m, lambda x: length(replace(x, '  ', ' ')))), 0) AS BIGINT) AS chars FROM m",
@@ -160,7 +160,7 @@ SQL = {
     "g04_attestation": f"WITH {ATTESTED} SELECT * FROM states",
     "a39_graph_coverage": f"WITH {ATTESTED}, f AS (SELECT source, bool_or(state <> 'curated') AS ok FROM states GROUP BY source) SELECT count(*) AS n_families, count(*) FILTER (WHERE ok) AS n_attested, round({SHARE.format('ok')}, 9) AS fraction FROM f",
     "m15_ontology_margin": f"""WITH {ATTESTED} SELECT d.cui AS src, f.cui AS dst, CASE WHEN NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = d.cui AND e.dst = f.cui AND e.rel = 'CONTRAINDICATED_WITH') THEN 0e0 WHEN EXISTS (SELECT 1 FROM contra u WHERE u.src = d.cui AND u.dst = f.cui) OR EXISTS (SELECT 1 FROM states s WHERE s.src = d.cui AND s.dst = f.cui AND s.state <> 'curated') THEN 2.5e0 ELSE 2e0 END AS margin
-  FROM nodes d CROSS JOIN nodes f WHERE d.kind = 'drug' AND f.cui LIKE 'F:%'""",
+  FROM nodes d JOIN nodes f ON d.kind = 'drug' AND f.cui LIKE 'F:%' AND EXISTS (SELECT 1 FROM edges e WHERE e.src = d.cui AND e.dst = f.cui)""",
     "g05_layered_build": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges",
     "g06_round_trip": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges UNION ALL SELECT cui, '', kind, array_to_string(atom_keys, '|'), cui FROM nodes",
     "j19_edge_preference": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY CASE provenance WHEN 'umls' THEN 0 ELSE 1 END, dst, rel) = 1",
@@ -170,7 +170,22 @@ SQL = {
     "a52_perplexity": "SELECT lang, round(exp(sum((1e0 + (doc_id % 100) / 100e0) * n_chars) / (sum(n_chars) + 1)), 6) AS ppl FROM documents GROUP BY lang",
     "m10_scalars": "SELECT item_no, variant, round(greatest(0e0, least(1e0, logit_margin / 4e0)), 6) AS clipped, round(1e0 / (1e0 + exp(-logit_margin)), 6) AS sigmoid, round(ln(abs(logit_margin) + 1e0), 6) AS log FROM preds WHERE logit_margin IS NOT NULL",
     "m13_sparsify": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), t AS (SELECT vec_id, list_filter(list_sort(v, 'DESC')[1:8], lambda x: x > 0) AS t, list_filter(v, lambda x: x > exp(-2e0)) AS g FROM e) SELECT vec_id, len(t) AS top_live, round(coalesce(list_sum(t), 0e0), 6) AS top_sum, len(g) AS gated_live, round(coalesce(list_sum(g), 0e0), 6) AS gated_sum FROM t",
-    "m14_kind_map": "SELECT ['disease', 'drug', 'lab', 'finding', 'process', 'other'][event_id % 6 + 1] AS kind, ['MAY_TREAT', 'CONTRAINDICATED_WITH', 'HAS_MECHANISM', NULL][event_id % 4 + 1] AS edge, count(*) AS n FROM events GROUP BY 1, 2",
+    "m14_kind_map": "WITH e AS (SELECT ['T999', 'T047', 'T121'][event_id % 3 + 1] AS a, ['T059', 'T033', 'T998', 'T044', 'T195'][event_id % 5 + 1] AS b, event_id % 8 AS r FROM events), k AS (SELECT CASE a WHEN 'T047' THEN 'disease' WHEN 'T121' THEN 'drug' ELSE CASE b WHEN 'T059' THEN 'lab' WHEN 'T033' THEN 'finding' WHEN 'T044' THEN 'process' WHEN 'T195' THEN 'drug' ELSE 'other' END END AS kind, ['CONTRAINDICATED_WITH', 'MAY_TREAT', 'MAY_PREVENT', 'HAS_PHYSIOLOGIC_EFFECT', 'HAS_MECHANISM', 'HAS_PHARMACOKINETICS', 'INDUCES', NULL][r + 1] AS edge FROM e) SELECT kind, edge, count(*) AS n FROM k GROUP BY 1, 2",
+    "t06_edge_dedup": "SELECT p_brand AS src, p_type AS dst, 'COMES_AS' AS rel, 'size ' || CAST(p_size % 5 AS VARCHAR) AS provenance FROM part GROUP BY 1, 2, 3, 4",
+    "p03_dynamic_predicate": "SELECT e.event_id, r.family, CASE r.op WHEN '<' THEN e.value < r.threshold WHEN '>' THEN e.value > r.threshold END AS holds FROM rules r LEFT JOIN labs e ON e.item = r.item",
+    "p09_option_swap": "SELECT id, string_split(prompt, 'Is it safe')[1] || 'Is it unsafe or safe' || string_split(prompt, 'Is it safe')[2] AS swapped FROM items",
+    "p10_redact": "SELECT id, CASE item_no % 3 WHEN 0 THEN regexp_replace(prompt, 'value [0-9]+', 'value [not recorded]') WHEN 1 THEN 'Level [not recorded]; level ' || CAST(CAST(round(factor_value) AS BIGINT) AS VARCHAR) || ' units before.' END AS redacted FROM items",
+    "p11_adapt": "SELECT replace(id || '|', '|', '__note') AS id, pair_id || '__note' AS pair_id, 'note' AS presentation, label FROM items",
+    "m01_ckd_epi": f"WITH v AS (SELECT l.event_id, p.age, p.sex, 0.3e0 + l.value / 40e0 AS scr FROM labs l JOIN patients p ON p.sid = l.sid) SELECT event_id, round({EPI}, 6) AS egfr FROM v",
+    "f19_label_from_prompt": f"WITH v AS (SELECT i.id, i.factor_value, r.convert, r.op, r.threshold, p.age, p.sex, 0.3e0 + i.factor_value / 40e0 AS scr FROM items i JOIN rules r ON r.family = i.family JOIN patients p ON p.sid = i.sid), q AS (SELECT *, CASE WHEN convert = 'ckd_epi' THEN {EPI} ELSE factor_value END AS q FROM v) SELECT id, factor_value AS shown, CAST(2 AS BIGINT) AS decimals, CASE WHEN CASE op WHEN '<' THEN q < threshold ELSE q > threshold END THEN 'UNSAFE' ELSE 'SAFE' END AS label FROM q",
+    "f20_rederivation": "SELECT 'item' AS part, family AS name, count(*) AS n, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM items GROUP BY family UNION ALL SELECT 'decision', variant, count(*), 0, 0, 0 FROM preds GROUP BY variant",
+    "f22_truncate_words": r"WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS w FROM conversations) SELECT conv_id, turn, CASE WHEN len(w) <= 12 THEN text ELSE array_to_string(w[1:12], ' ') || ' ...' END AS cut FROM w",
+    "s22_corpus": r"SELECT 'guideline::' || family AS id, 'Threshold for ' || family AS text FROM rules UNION ALL SELECT 'distractor::' || CAST(item_id AS VARCHAR), text FROM benchmark UNION ALL SELECT 'label::' || CAST(doc_id AS VARCHAR), substr(s, 1, 1200) FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS s FROM documents WHERE text IS NOT NULL) WHERE length(s) >= 80",
+    "s11_adapters": """WITH n AS (SELECT chr(10) AS nl), a AS (SELECT 'parts' AS source, p_partkey, 'Which?' || nl || trim(p_name) || nl || 'A. ' || p_brand || nl || 'B. ' || p_type || nl || 'C. ' || p_name || nl || 'D. ' || p_brand || nl || 'Answer:' AS prompt, 'A|B|C|D' AS labels, ['A', 'B', 'C', 'D'][p_partkey % 4 + 1] AS gold, '{"size":"' || CAST(p_size AS VARCHAR) || '"}' AS meta FROM part, n),
+  b AS (SELECT 'maps' AS source, p_partkey, CASE WHEN len(w) <= 3 THEN trim(p_name) ELSE array_to_string(w[1:3], ' ') || ' ...' END || nl || 'A. one' || nl || 'B. two' || nl || CASE WHEN p_partkey % 2 = 0 THEN 'C. three' || nl ELSE '' END || 'D. four' AS prompt, 'A|B|C|D', CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'D' END, '{}' FROM (SELECT *, list_filter(regexp_split_to_array(p_name, '[\\s]+'), lambda x: x <> '') AS w FROM part), n),
+  t AS (SELECT conv_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS c FROM conversations GROUP BY 1), u AS (SELECT *, list_filter(regexp_split_to_array(c, '[\\s\\x0b\\x1c-\\x1f\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w FROM t),
+  d AS (SELECT 'talks', conv_id, CASE WHEN len(w) <= 12 THEN c ELSE array_to_string(w[1:12], ' ') || ' ...' END || nl || 'Q: Is it so?', 'yes|no|maybe', ['yes', 'no', 'maybe'][conv_id % 3 + 1], '{}' FROM u, n)
+  SELECT source, source || '::' || CAST(p_partkey AS VARCHAR) AS id, sha256(prompt) AS prompt, labels, gold, meta FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d) AS x""",
     "a23_conflicts": "WITH c AS (SELECT prompt, string_agg(DISTINCT family, '+' ORDER BY family) AS family, count(*) AS n FROM items GROUP BY prompt HAVING count(DISTINCT label) > 1) SELECT family, count(*) AS prompts, CAST(sum(n) AS BIGINT) AS n_items, round(sum(n) / CAST((SELECT count(*) FROM items) AS DOUBLE), 9) AS share FROM c GROUP BY family",
     "j08_anti_joins": "WITH p0 AS (SELECT id FROM preds WHERE variant = 'base' AND h2 % 13 <> 0 UNION ALL SELECT id || 'x' FROM items WHERE item_no % 30 = 0), p AS (SELECT id FROM p0 UNION ALL SELECT id FROM p0 WHERE id LIKE '%0_safe') SELECT 'missing' AS kind, count(*) AS n FROM items i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = i.id) UNION ALL SELECT 'extra', count(*) FROM p WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.id = p.id) UNION ALL SELECT 'repeated', count(*) - count(DISTINCT id) FROM p",
     "j22_artifact_diff": f"""WITH o AS (SELECT family, CASE WHEN family <> 'high' THEN round({SHARE.format('correct')}, 6) END AS m FROM preds WHERE variant = 'base' AND family <> 'held' GROUP BY family), n AS (SELECT family, CASE WHEN family <> 'high' THEN round({SHARE.format('correct')}, 6) END AS m FROM preds WHERE variant = 'rag' GROUP BY family)
@@ -178,6 +193,6 @@ SQL = {
     "j24_moved_rows": f"""WITH r AS (SELECT variant, item_no % 5 AS layer, family, round({SHARE.format('correct')}, 6) AS m, count(pred) AS used FROM preds WHERE variant IN ('base', 'rag') GROUP BY 1, 2, 3) SELECT a.layer, a.family, round(b.m - a.m, 6) AS change, a.used = b.used AS comparable FROM r a JOIN r b ON a.layer = b.layer AND a.family = b.family AND a.variant = 'base' AND b.variant = 'rag' WHERE abs(a.m - b.m) > 1e-9 AND a.layer <> (SELECT max(layer) FROM r WHERE variant = 'base')""",
     "o04_patient_split": "WITH h AS (SELECT sid, row_number() OVER (ORDER BY (sid * 2654435761) % 1000003, sid) AS rn, count(*) OVER () AS n FROM patients) SELECT sid, CASE WHEN rn <= greatest(1, floor(n * 0.5e0 + 1e-9)) THEN 'test' WHEN rn <= floor(n * 0.7e0 + 1e-9) THEN 'calib' ELSE 'train' END AS split FROM h",
     "o05_pair_split": "WITH h AS (SELECT pair_id, row_number() OVER (PARTITION BY held_out ORDER BY (no * CASE WHEN held_out THEN 40503 ELSE 97531 END) % 1000003, pair_id) AS rn, count(*) OVER (PARTITION BY held_out) AS n FROM (SELECT pair_id, held_out, min(item_no) AS no FROM items WHERE NOT is_control GROUP BY pair_id, held_out)) SELECT pair_id, CASE WHEN rn <= greatest(1, floor(n * 0.5e0 + 1e-9)) THEN 'test' WHEN rn <= floor(n * 0.7e0 + 1e-9) THEN 'calib' ELSE 'train' END AS split FROM h",
-    "o08_repeats_and_order": "WITH i AS (SELECT id, row_number() OVER (ORDER BY item_no * 97531 % 1000003, id) AS rn, count(*) OVER () AS n FROM items WHERE split = 'calib'), p AS (SELECT id, NULL AS repeat_of FROM i UNION ALL SELECT id || 'R', id FROM i WHERE rn <= greatest(1, round_even(n * 0.1e0, 0))) SELECT r.rater, p.id, p.repeat_of, sha256(r.rater || '|' || p.id) AS order_hash FROM p CROSS JOIN (VALUES ('rater1'), ('rater2')) AS r(rater)",
+    "o08_repeats_and_order": "WITH i AS (SELECT id, row_number() OVER (ORDER BY item_no * 97531 % 1000003, id) AS rn, count(*) OVER () AS n FROM items), p AS (SELECT id, NULL AS repeat_of FROM i UNION ALL SELECT id || 'R', id FROM i WHERE rn <= greatest(1, round_even(n * 0.1e0, 0))) SELECT r.rater, p.id, p.repeat_of, sha256(r.rater || '|' || p.id) AS order_hash FROM p CROSS JOIN (VALUES ('rater1'), ('rater2')) AS r(rater)",
 }
 ORACLE_SQL = {name: with_base(text) for name, text in SQL.items()}

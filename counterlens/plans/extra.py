@@ -99,12 +99,13 @@ def st4_repeatable_sink(spark, d):
 
 
 def s01_bad_lines(spark, d):
-    """Lines that strict reading would stop at: every fifth line of a file is broken, every seventh blank."""
+    """Lines that strict reading would stop at: every fifth line is broken, every seventh blank. Ids follow each other in a file, so an id less its line is one number a file."""
     path = files.scratch_path(spark, "bad-jsonl")
     n = F.col("event_id")
     line = F.when(n % 5 == 0, F.concat(F.lit('{"event_id": '), n.cast("string"))).when(n % 7 == 0, "").otherwise(F.to_json(F.struct("event_id")))
-    _events(spark, d).where("event_id < 1000").orderBy("event_id").coalesce(1).select(line.alias("value")).write.text(path)
-    return files.bad_lines(spark, path, "event_id long").select(F.col("line").cast("long").alias("line"), "text")
+    _events(spark, d).repartitionByRange("event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    bad = files.bad_lines(spark, path, "event_id long").withColumn("off", F.regexp_extract("text", r"\d+$", 0).cast("long") - F.col("line"))
+    return bad.join(bad.groupBy("file").agg(F.min("off").alias("first")), "file").select("text", (F.col("off") == F.col("first")).alias("placed"))
 
 
 def s08_concat(spark, d):
@@ -218,7 +219,7 @@ ORACLE_SQL = {
         "s20_report": "WITH r AS (SELECT variant, count(*) AS n, count(*) FILTER (WHERE correct) AS k FROM preds GROUP BY variant) SELECT 0::BIGINT AS line, '| variant | n | k |' AS text UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT 1 + row_number() OVER (ORDER BY variant), '| ' || variant || ' | ' || n || ' | ' || k || ' |' FROM r",
         "s14_markdown_source": "SELECT 'Variants' AS section, variant AS name, count(*) AS n FROM preds GROUP BY variant UNION ALL SELECT 'Families', family || '/' || label, count(*) FROM preds GROUP BY family, label",
         "s18_csv_sink": "SELECT variant, printf('%.4f', avg(u)) AS u, count(*) AS n FROM preds GROUP BY variant",
-        "s01_bad_lines": "SELECT event_id + 1 AS line, '{\"event_id\": ' || CAST(event_id AS VARCHAR) AS text FROM events WHERE event_id < 1000 AND event_id % 5 = 0",
+        "s01_bad_lines": "SELECT '{\"event_id\": ' || CAST(event_id AS VARCHAR) AS text, TRUE AS placed FROM events WHERE event_id % 5 = 0",
         "s08_concat": "SELECT doc_id, lang, source FROM documents",
         "s12_npz_source": "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
         "f08_locate": "SELECT event_id, CASE WHEN value <> floor(value) THEN 6e0 END AS start, CASE WHEN value <> floor(value) THEN 6e0 + length(CAST(value AS VARCHAR)) END AS stop FROM labs",
@@ -234,7 +235,6 @@ ORACLE_SQL = {
         "s23_keyed_files": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS file_key FROM events",
         "st5_coverage_monitor": "SELECT date_trunc('day', ts) AS start, count(*) AS n, round(avg(CASE WHEN abstained THEN 0e0 ELSE 1e0 END), 9) AS coverage, count(CASE WHEN label = 'UNSAFE' AND pred = 'SAFE' AND NOT abstained THEN 1 END) AS violations FROM preds GROUP BY 1",
         "f11_rewrite": "SELECT event_id, 'Z 7 B' AS note FROM events WHERE value IS NOT NULL",
-        "p10_redact": "SELECT id, regexp_replace(prompt, 'value [0-9]+', '[redacted]') AS redacted FROM items",
         "x03_permutation": "SELECT CAST(0 AS BIGINT) AS moved",
     }.items()
 }

@@ -105,8 +105,8 @@ def graph_claims(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def label_texts(t: Tables) -> DataFrame:
-    """drug, section, text: sources as drugs, languages as sections, the text of the first document of each."""
-    return t["documents"].where("text IS NOT NULL").groupBy(F.col("source").alias("drug"), F.col("lang").alias("section")).agg(F.min_by("text", "doc_id").alias("text"))
+    """drug, section, seq, text: sources as drugs, languages as sections, of which each document is a part."""
+    return t["documents"].where("text IS NOT NULL").select(F.col("source").alias("drug"), F.col("lang").alias("section"), F.col("doc_id").alias("seq"), "text")
 
 
 SPECS = [

@@ -174,19 +174,33 @@ def _pool(t: Tables) -> DataFrame:
     return conformal.pool(t["preds"].where("split = 'calib'"), V, ~F.col("gate_fired")).withColumns({"ok": ~wrong(), "seq": F.col("item_no")})
 
 
+def _errors(t: Tables) -> DataFrame:
+    """n and k, the rows and wrong rows of every variant, family and split, and of those of every patient."""
+    p = t["preds"].withColumn("_wrong", wrong().cast("long"))
+    by = lambda *keys: p.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_wrong").alias("k")).select("n", "k")
+    return by("variant", "family", "split").unionByName(by("variant", "sid")).unionByName(by("variant")).where("k < n").distinct()
+
+
 @call
 def u01_binomial_tail(t: Tables):
-    """P(X <= k) on small and on large counts."""
-    small = t.spark.range(1, 61).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("k"))
-    large = t.spark.range(1, 41).select((F.col("id") * 1000).alias("n"), (F.col("id") * 100 - 20).alias("k"))
-    tails = small.unionByName(large).withColumn("tail", F.round(binomial.tail_of("k", "n", F.lit(0.1)), 9))
+    """P(X <= k) of the error counts of groups of all sizes."""
+    tails = _errors(t).withColumn("tail", F.round(binomial.tail_of("k", "n", F.lit(0.4)), 9))
     return tails.withColumn("certifies", F.col("tail") <= 0.1)
 
 
 @call
 def u01_upper_limits(t: Tables):
-    grid = t.spark.range(1, 61).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(19).cast("long"), F.col("id") - 1))).alias("k"))
-    return grid.withColumn("upper", F.round(binomial.upper_limit("k", "n", F.lit(0.1)), 9))
+    """The rate at which so few errors, or fewer, have a chance of 0.1; checked by that chance."""
+    limits = _errors(t).withColumn("upper", binomial.upper_limit("k", "n", F.lit(0.1)))
+    return limits.select("n", "k", F.round(binomial.tail_of("k", "n", F.col("upper")), 6).alias("chance"), (F.col("upper") >= F.col("k") / F.col("n")).alias("above"))
+
+
+@call
+def u02_min_certifiable_n(t: Tables):
+    """Whether the calibration rows of each variant and family are enough for a rate and a confidence."""
+    by = t["preds"].where("split = 'calib'").groupBy("variant", "family").agg(F.count("*").alias("rows"))
+    asked = t.spark.createDataFrame([(a, d, conformal.min_certifiable_n(a, d)) for a in (0.2, 0.1, 0.05) for d in (0.2, 0.1, 0.05)], "alpha double, delta double, least long")
+    return by.crossJoin(F.broadcast(asked)).select("variant", "family", "alpha", "delta", "least", (F.col("rows") >= F.col("least")).alias("enough"))
 
 
 @call
@@ -273,7 +287,7 @@ def u12_holm(t: Tables):
 @call
 def u14_uncertainty_signals(t: Tables):
     """The signals of every row; a missing one counts as infinitely unsure."""
-    p, m = t["preds"].where("variant = 'uq'"), F.col("logit_margin")
+    p, m = t["preds"], F.col("logit_margin")
     entropy = clinical.decision_entropy(m)
     unsure = lambda x: F.coalesce(x, F.lit(float("inf")))
     return p.select("item_no", "variant", F.round(entropy, 6).alias("decision_entropy"), (unsure(entropy) == float("inf")).alias("missing"), (-F.abs(m)).alias("neg_margin"), (-m).alias("neg_logprob"))
@@ -310,15 +324,15 @@ def w04_tie_blocks(t: Tables):
 
 @call
 def w05_average_rank(t: Tables):
-    base = t["preds"].where("variant = 'base' AND u IS NOT NULL")
-    ranks = uncertainty.average_ranks(uncertainty.cells(base, "u", wrong(), V), V)
-    return base.join(ranks, (base.u == ranks.score) & (base.variant == ranks.variant)).select("item_no", "avg_rank")
+    rows = t["preds"].where("u IS NOT NULL")
+    ranks = uncertainty.average_ranks(uncertainty.cells(rows, "u", wrong(), V), V)
+    return rows.join(ranks.withColumnRenamed("score", "u"), ["variant", "u"]).select("variant", "item_no", "avg_rank")
 
 
 @call
 def w06_prefix_mean(t: Tables):
-    rows = t["preds"].where("variant = 'base'").select("item_no", F.col("correct").cast("long").alias("ok"), F.lit(1).cast("long").alias("one"))
-    return ordered.running(rows, [], ["item_no"], {"k": "ok", "n": "one"}).select("item_no", F.round(F.col("k") / F.col("n"), 9).alias("m"))
+    rows = t["preds"].select("variant", "item_no", F.col("correct").cast("long").alias("ok"), F.lit(1).cast("long").alias("one"))
+    return ordered.running(rows, V, ["item_no"], {"k": "ok", "n": "one"}).select("variant", "item_no", F.round(F.col("k") / F.col("n"), 9).alias("m"))
 
 
 @call

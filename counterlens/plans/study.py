@@ -12,7 +12,8 @@ from counterlens.operators import audits, causal_graph, concepts, effects, evide
 from counterlens.plans import samples
 from counterlens.plans.registry import Tables, call
 from counterlens.plans.scores import rounded
-from counterlens.sources import files
+from counterlens.sources import files, questions
+from counterlens.streaming import monitors
 
 
 # ---- answers, facts, gates
@@ -175,7 +176,88 @@ def p14_justification(t: Tables):
 
 @call
 def p10_redact(t: Tables):
-    return t["items"].select("id", spans.redact_first(F.col("prompt"), r"value \d+").alias("redacted"))
+    """Prompts of three forms; a family's patterns are tried in their order, and one form matches none."""
+    n, value = F.col("item_no"), F.round("factor_value").cast("long").cast("string")
+    prompt = F.when(n % 3 == 0, F.col("prompt")).when(n % 3 == 1, F.concat(F.lit("Level "), value, F.lit(" units; level "), value, F.lit(" units before."))).otherwise("No number here.")
+    return t["items"].select("id", spans.redact_first(prompt, [r"(has value )\d+", r"([Ll]evel )\d+ units"]).alias("redacted"))
+
+
+@call
+def p09_option_swap(t: Tables):
+    return t["items"].select("id", spans.swap_once(F.col("prompt"), "Is it safe", "Is it unsafe or safe").alias("swapped"))
+
+
+@call
+def s11_adapters(t: Tables):
+    """Three question sets of different forms, made of parts, suppliers and conversations."""
+    k = F.col("p_partkey")
+    parts = t["part"].withColumn("right", k % 4)
+    one = questions.by_columns(parts, "parts", "p_partkey", "p_name", ["p_brand", "p_type", "p_name", "p_brand"], "right", "Which?\n{question}\n{options}\nAnswer:", {"size": F.col("p_size")})
+    options = F.map_filter(F.create_map(F.lit("A"), F.lit("one"), F.lit("B"), F.lit("two"), F.lit("C"), F.lit("three"), F.lit("D"), F.lit("four")), lambda x, _: (x != "C") | (k % 2 == 0))
+    two = questions.by_map(t["part"].select("p_partkey", "p_name", options.alias("o"), F.when(k % 3 == 0, "A").otherwise("D").alias("answer")), "maps", "p_partkey", "p_name", "o", "answer", "{question}\n{options}", most_words=3)
+    turns = t["conversations"].groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("c"))
+    three = questions.by_context(turns.select("conv_id", "c", F.lit(" Is it so? ").alias("q"), F.element_at(F.array(*map(F.lit, ["Yes", " no", "Maybe "])), (F.col("conv_id") % 3 + 1).cast("int")).alias("d")), "talks", "conv_id", "q", "c", "d", "{context}\nQ: {question}", most_words=12)
+    out = one.unionByName(two).unionByName(three)
+    return out.select("source", "id", F.sha2("prompt", 256).alias("prompt"), F.concat_ws("|", "labels").alias("labels"), "gold", F.to_json("meta").alias("meta"))
+
+
+@call
+def s22_corpus(t: Tables):
+    guidelines = t["rules"].select(F.col("family").alias("id"), F.concat(F.lit("Threshold for "), "family").alias("text"))
+    return questions.passages(guidelines, t["benchmark"].select(F.col("item_id").alias("id"), "text"), t["documents"].where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.lit("  "), "text", F.lit("\n\n")).alias("text")))
+
+
+@call
+def t06_edge_dedup(t: Tables):
+    """The edges that parts claim, each once."""
+    return t["part"].select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), F.lit("COMES_AS").alias("rel"), F.concat(F.lit("size "), (F.col("p_size") % 5).cast("string")).alias("provenance")).distinct()
+
+
+@call
+def p03_dynamic_predicate(t: Tables):
+    """Every lab under the comparison that a rule on its item names; a rule without labs has one row."""
+    return t["rules"].join(t["labs"], "item", "left").select("event_id", "family", gates.compare(F.col("op"), F.col("value"), F.col("threshold")).alias("holds"))
+
+
+@call
+def p11_adapt(t: Tables):
+    return t["items"].select(F.concat("id", F.lit("__note")).alias("id"), F.concat("pair_id", F.lit("__note")).alias("pair_id"), F.lit("note").alias("presentation"), "label")
+
+
+@call
+def m01_ckd_epi(t: Tables):
+    x = t["labs"].join(t["patients"], "sid")
+    return x.select("event_id", F.round(clinical.ckd_epi(F.lit(0.3) + F.col("value") / F.lit(40.0), F.col("age"), F.col("sex")), 6).alias("egfr"))
+
+
+def _restated(t: Tables):
+    """Items whose prompt has lines with other numbers before the one that states the value with its decimals."""
+    value = F.col("factor_value").cast("decimal(18,2)").cast("string")
+    told = F.concat(F.lit("Seen before: value 7.\nIn bed 12.\n"), F.col("family"), F.lit(": value "), value, F.lit(". Is it safe?"))
+    shown = F.col("shown")
+    quantity = F.when(F.col("convert") == "ckd_epi", clinical.ckd_epi(F.lit(0.3) + shown / F.lit(40.0), F.col("age"), F.col("sex"))).otherwise(shown)
+    rows = t["items"].join(F.broadcast(t["rules"].select("family", "convert")), "family").join(t["patients"], "sid").withColumn("told", told)
+    return audits.from_prompt(rows, "told", r"value (\d+(?:\.\d+)?)", quantity)
+
+
+@call
+def f19_label_from_prompt(t: Tables):
+    return _restated(t).select("id", "shown", F.col("decimals").cast("long").alias("decimals"), F.col("relabelled").alias("label"))
+
+
+@call
+def f20_rederivation(t: Tables):
+    """Items from their prompts, and predictions from their parts."""
+    items = audits.rederived(_restated(t), ["family"]).select(F.lit("item").alias("part"), F.col("family").alias("name"), "n", *[F.col(c).alias(x) for c, x in (("unread", "a"), ("value_off", "b"), ("label_off", "c"))])
+    preds = t["preds"].withColumns({"violated": F.col("label") == "UNSAFE", "tau": F.lit(0.5)})
+    made = audits.decisions_rederived(preds, ["variant"], gates.answer(F.col("raw")), clinical.decision_entropy(F.col("logit_margin")))
+    decisions = made.select(F.lit("decision").alias("part"), F.col("variant").alias("name"), "n", F.col("entropy_off").alias("a"), (F.col("gate_off") + F.col("pred_off")).alias("b"), F.col("abstained_off").alias("c"))
+    return items.unionByName(decisions)
+
+
+@call
+def f22_truncate_words(t: Tables):
+    return t["conversations"].select("conv_id", "turn", spans.truncate_words(F.col("text"), 12).alias("cut"))
 
 
 @call
@@ -223,7 +305,7 @@ def f16_attestation(t: Tables):
 @call
 def j21_containment(t: Tables):
     """A worksheet of the labels' sentences, filled from the evidence."""
-    rows = evidence.sentences(samples.label_texts(t), "text").withColumn("row", F.concat_ws("/", "drug", "section", F.col("place").cast("string")))
+    rows = evidence.sentences(samples.label_texts(t), "text").withColumn("row", F.concat_ws("/", "drug", "section", F.col("seq").cast("string"), F.col("place").cast("string")))
     filled = evidence.fill_worksheet(rows.select("row", "drug", "section", "sentence"), _found(t))
     return filled.where("family IS NOT NULL").select("row", "family", "status")
 
@@ -353,8 +435,11 @@ def a39_graph_coverage(t: Tables):
 
 @call
 def m15_ontology_margin(t: Tables):
+    """Margins of the pairs of a drug and a finding that the claims name, in either layer."""
     nodes, edges = _graph(t)
-    pairs = nodes.where("kind = 'drug'").select(F.col("cui").alias("src")).crossJoin(F.broadcast(nodes.where("cui LIKE 'F:%'").select(F.col("cui").alias("dst"))))
+    findings = nodes.where("cui LIKE 'F:%'").select(F.col("cui").alias("dst"))
+    drugs = nodes.where("kind = 'drug'").select(F.col("cui").alias("src"))
+    pairs = edges.select("src", "dst").distinct().join(findings, "dst", "left_semi").join(drugs, "src", "left_semi")
     return causal_graph.margins(pairs, edges, causal_graph.attestation(nodes, edges), 2.0)
 
 
@@ -433,7 +518,7 @@ def a37_best_cell(t: Tables):
 
 @call
 def a38_concept_jaccard(t: Tables):
-    """Best concepts of the features of every other event's activations against those of the rest, and of sources by their languages."""
+    """Sources by the lengths, in thousands of characters, that they have in each language."""
     members = t["documents"].select("source", F.concat_ws("/", "lang", (F.col("n_chars") - F.col("n_chars") % 1000).cast("string")).alias("member"))
     return rounded(feature_scores.set_agreement(members, "source", "member"), "jaccard")
 
@@ -536,12 +621,11 @@ def m13_sparsify(t: Tables):
 
 @call
 def m14_kind_map(t: Tables):
-    """Semantic types as kinds, and relations as edges; unknown ones have none."""
-    kinds = F.create_map(*[F.lit(x) for p in {"T047": "disease", "T121": "drug", "T059": "lab", "T033": "finding", "T044": "process"}.items() for x in p])
-    rels = F.create_map(*[F.lit(x) for p in {"contraindicated_with_disease": "CONTRAINDICATED_WITH", "may_treat": "MAY_TREAT", "has_mechanism_of_action": "HAS_MECHANISM"}.items() for x in p])
-    tui = F.element_at(F.array(*map(F.lit, ["T047", "T121", "T059", "T033", "T044", "T999"])), (F.col("event_id") % 6 + 1).cast("int"))
-    rel = F.element_at(F.array(*map(F.lit, ["may_treat", "contraindicated_with_disease", "has_mechanism_of_action", "isa"])), (F.col("event_id") % 4 + 1).cast("int"))
-    return t["events"].select(F.coalesce(F.try_element_at(kinds, tui), F.lit("other")).alias("kind"), F.try_element_at(rels, rel).alias("edge")).groupBy("kind", "edge").agg(F.count("*").alias("n"))
+    """Arrays of semantic types as kinds, and relations as edges; unknown ones have none."""
+    n = F.col("event_id")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    types = F.array(pick(["T999", "T047", "T121"], n), pick(["T059", "T033", "T998", "T044", "T195"], n))
+    return t["events"].select(causal_graph.kind_of(types).alias("kind"), causal_graph.edge_of(pick([*causal_graph.EDGES, "isa"], n)).alias("edge")).groupBy("kind", "edge").agg(F.count("*").alias("n"))
 
 
 # ---- audits
@@ -645,14 +729,14 @@ def o06_pair_sample(t: Tables):
 @call
 def o07_stratified(t: Tables):
     stratum = F.when(F.col("abstained"), "deferral").when((F.col("label") == "UNSAFE") & (F.col("pred") == "SAFE"), "violation").otherwise("other")
-    rows = t["preds"].where("variant = 'uq'").withColumn("stratum", stratum)
-    return sampling.sample(rows, ["stratum"], F.col("h1"), "id", F.when(F.col("stratum") == "other", 4).otherwise(3)).select("stratum", "id")
+    rows = t["preds"].withColumn("stratum", stratum)
+    return sampling.sample(rows, ["variant", "stratum"], F.col("h1"), "id", F.when(F.col("stratum") == "other", 4).otherwise(3)).select("variant", "stratum", "id")
 
 
 @call
 def o08_repeats_and_order(t: Tables):
-    """A tenth of the calibration items planted again, and an order of all of them for each rater."""
-    items = t["items"].where("split = 'calib'").select("id", "item_no")
+    """A tenth of the items planted again, and an order of all of them for each rater."""
+    items = t["items"].select("id", "item_no")
     planted = sampling.plant_repeats(items, "id", sampling.hashed(F.col("item_no"), 97531), 0.1)
     return sampling.rater_orders(planted, "id", ["rater1", "rater2"]).select("rater", "id", "repeat_of", "order_hash")
 
@@ -664,8 +748,8 @@ def o12_budget(t: Tables):
 
 @call
 def st3_budget(t: Tables):
-    rows = t["documents"].select(F.col("lang").alias("stream"), "doc_id", "n_chars")
-    return sampling.within(rows, ["stream"], "doc_id", "n_chars", 20000).select("stream", "doc_id", "running")
+    """A stream of documents, in batches of ids, of which each language's are taken while its budget lasts."""
+    return monitors.budgeted(t.spark, t["documents"].select(F.col("lang").alias("stream"), F.col("doc_id").alias("seq"), F.col("n_chars").cast("long").alias("size")), 20_000).select("stream", F.col("seq").alias("doc_id"), "running")
 
 
 @call

@@ -25,9 +25,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
     if base is None:  # one process on one machine
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
+    else:
+        atexit.register(_delete, spark, path)
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends, if its session is still there."""
+    if spark.sparkContext._jsc is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -43,11 +52,19 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.Struc
 
 
 def bad_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """file, line (from 1) and text of non-blank lines that are no JSON of the schema. Each file is held whole while it is read."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "text")).where(F.trim("text") != "")
+    """file, line (from 1) and text of non-blank lines that are no JSON of the schema.
+
+    Files are read in blocks. A line's number is its place in its block and the lines of
+    the blocks before, of which there is a small table; no file is held whole.
+    """
+    lines = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_no")).withColumnRenamed("value", "text")
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_no").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json("text", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.where(F.coalesce(parsed["_corrupt"].isNotNull(), F.lit(True))).select("file", (F.col("at") + 1).alias("line"), "text")
+    bad = lines.where((F.trim("text") != "") & F.coalesce(parsed["_corrupt"].isNotNull(), F.lit(True)))
+    return bad.join(blocks, ["file", "_block"]).select("file", (F.col("_before") + F.col("_no") - F.col("_first") + 1).alias("line"), "text")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, multiline: bool = False) -> DataFrame:

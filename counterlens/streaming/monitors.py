@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from counterlens.functions.adaptive import AdaptiveThreshold, OrderedValues
+from counterlens.sources import files
 
 FOLDED = "stream string, seq long, tau double, retained boolean, error boolean, level double"
 _NAMES = ["stream", "seq", "tau", "retained", "error", "level"]
@@ -87,6 +88,49 @@ def adaptive_stream(items: DataFrame) -> DataFrame:
     return items.groupBy("stream").transformWithStateInPandas(_Adaptive(), FOLDED, "Append", "None")
 
 
+class _Budget(StatefulProcessor):
+    """State of a stream: how much of its budget is taken."""
+
+    def __init__(self, budget: int):
+        self.budget = budget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", "size long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        taken = self.taken.get()[0] if self.taken.exists() else 0
+        part = pd.concat(list(rows)).sort_values("seq")
+        part["running"] = taken + part["size"].fillna(0).astype("int64").cumsum()
+        self.taken.update((int(part["running"].iloc[-1]),))
+        yield part.loc[part["running"] <= self.budget, ["stream", "seq", "running"]]
+
+    def close(self) -> None:
+        pass
+
+
+def budget_stream(rows: DataFrame, budget: int) -> DataFrame:
+    """stream, seq, running of the rows (stream, seq, size) that come while the sizes of their stream, their own included, are within the budget.
+
+    A row that would exceed it ends the stream's collection, as all later sums do. Batches
+    must come in the order of seq; the state is one number a stream. A NULL size is 0.
+    """
+    return rows.groupBy("stream").transformWithStateInPandas(_Budget(budget), "stream string, seq long, running long", "Append", "None")
+
+
+def budgeted(spark: SparkSession, rows: DataFrame, budget: int, batches: int = 3) -> DataFrame:
+    """``rows`` played as a stream, in so many batches of rising seq, through ``budget_stream``; a repeated batch replaces itself."""
+    path, out, state = (files.scratch_path(spark, n) for n in ("budget", "budget-out", "budget-state"))
+    cuts = rows.approxQuantile("seq", [k / batches for k in range(1, batches)], 0.01)
+    edges = [float("-inf"), *cuts, float("inf")]
+    rows.limit(0).write.parquet(path)
+    with state_store(spark):
+        for a, b in zip(edges, edges[1:]):
+            rows.where((F.col("seq") > a) & (F.col("seq") <= b)).write.mode("append").parquet(path)
+            stream = budget_stream(spark.readStream.schema(rows.schema).parquet(path), budget)
+            stream.writeStream.foreachBatch(once_per_batch(out)).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def coverage_monitor(decisions: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Extension: coverage and violations by tumbling window of (ts, label, pred, abstained)."""
     bad = (F.col("label") == "UNSAFE") & (F.col("pred") == "SAFE") & ~F.col("abstained")
