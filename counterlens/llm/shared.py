@@ -38,6 +38,13 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
         if spark.conf.get("spark.checkpoint.dir", None) is None:  # one process on one machine
             atexit.register(shutil.rmtree, self.base.removeprefix("file://"), ignore_errors=True)
+        else:
+            atexit.register(self._at_exit)
+
+    def _at_exit(self) -> None:
+        """What was not dropped goes when the driver ends, if its session is still there."""
+        if self.spark.sparkContext._jsc is not None:
+            self.drop()
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
