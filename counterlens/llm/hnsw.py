@@ -43,6 +43,8 @@ from counterlens.llm.shared import Scratch
 #: Rows of a shard: as many as make about ``SHARDS`` of them, within these bounds.
 SHARD_ROWS = (16_384, 131_072)
 SHARDS = 512
+#: Bytes of vectors in a shard, whatever their length: a shard is one value of a row.
+SHARD_BYTES = 64 << 20
 QUERY_ROWS = 16_384
 LINKS = 32
 LEVEL_STEP = 32
@@ -352,7 +354,8 @@ def search(vectors: DataFrame, is_query: str, scratch: Scratch, k: int = TOP, sh
     n_rows = by.agg(F.sum("n")).first()[0] or 0
     size = shard_rows or max(SHARD_ROWS[0], min(SHARD_ROWS[1], n_rows // SHARDS))
     # there are no more widths than components in the longest vector
-    parts = F.broadcast(by.select("width", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("q") / F.lit(QUERY_ROWS))).cast("int").alias("blocks")))
+    held = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("width")))))
+    parts = F.broadcast(by.select("width", F.ceil(F.col("n") / held).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("q") / F.lit(QUERY_ROWS))).cast("int").alias("blocks")))
     known = rows.join(parts, "width")
     place = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

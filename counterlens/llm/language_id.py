@@ -7,8 +7,10 @@ whole text.
 
 Training takes labelled rows that are not held out, at most about ``SAMPLE`` a language,
 chosen by a hash of the id at a rate that is SAMPLE over the language's row count. The
-rates and priors come from counts over all rows. The matrix has at most ``MAX_LANGS``
-columns; more languages are an error, so its size is bounded by the parameters.
+rates and priors come from counts over all rows. Languages are taken in groups of
+``LANG_GROUP``: each group's matrix is made and broadcast by itself and passes the texts
+once, so what the driver and a task hold of a model does not grow with the languages, and
+any number of them is read. What a document's passes found is merged as they come.
 
 Cases: null text and texts without a letter are ``und`` with score 0; so is every text if
 nothing was learned. A null label is not learned from. A null id counts as the empty
@@ -30,7 +32,7 @@ from counterlens.llm import kernel as K
 
 BITS = 16
 SAMPLE = 4_000
-MAX_LANGS = 1_000
+LANG_GROUP = 128
 ORDERS = 3
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -93,25 +95,23 @@ def _count(langs: list[str]):
     return run
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log priors and log probabilities (bins x languages) from (doc_id, text, lang)."""
-    spark = labelled.sparkSession
-    counts = labelled.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = sorted((r["lang"], r["count"]) for r in counts)
-    langs = [x for x, _ in counts]
-    if not langs:
-        return [], np.zeros(0), np.zeros((1 << BITS, 0))
-    rates = spark.createDataFrame([(x, min(RATE_STEPS, -(-sample * RATE_STEPS // n))) for x, n in counts], "lang string, rate long")
+def rates(labelled: DataFrame, sample: int = SAMPLE) -> list[tuple[str, int, int]]:
+    """(lang, rows, rate) of every language, by code point; a row is learned from if its draw is below the rate."""
+    counts = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())
+    return [(x, n, min(RATE_STEPS, -(-sample * RATE_STEPS // n))) for x, n in counts]
+
+
+def train(labelled: DataFrame, group: list[tuple[str, int, int]], total: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A group's languages, log priors and log probabilities (bins x languages) from (doc_id, text, lang); ``total`` rows have a label."""
+    langs = [x for x, *_ in group]
+    small = labelled.sparkSession.createDataFrame([(x, rate) for x, _, rate in group], "lang string, rate long")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(RATE_STEPS))
-    chosen = labelled.join(F.broadcast(rates), "lang").where(draw < F.col("rate")).select("text", "lang")
+    chosen = labelled.join(F.broadcast(small), "lang").where(draw < F.col("rate")).select("text", "lang")
     table = chosen.mapInArrow(_count(langs), "lang int, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
-    seen = np.zeros((1 << BITS, len(langs)))
-    seen[table["bin"].to_numpy(), table["lang"].to_numpy()] = table["n"].to_numpy()
-    seen += SMOOTHING
-    prior = np.array([n for _, n in counts], float)
-    return langs, np.log(prior / prior.sum()), np.log(seen / seen.sum(axis=0))
+    seen = np.full((1 << BITS, len(langs)), SMOOTHING)
+    seen[table["bin"].to_numpy(), table["lang"].to_numpy()] += table["n"].to_numpy()
+    seen /= seen.sum(axis=0)
+    return langs, np.log(np.array([n for _, n, _ in group]) / total), np.log(seen, out=seen)
 
 
 def score(bins: np.ndarray, offs: np.ndarray, prior: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -125,21 +125,22 @@ def score(bins: np.ndarray, offs: np.ndarray, prior: np.ndarray, logs: np.ndarra
     return out
 
 
-def _predict(model, langs: list[str], schema: pa.Schema):
+def _predict(model, schema: pa.Schema):
+    """Task side: the best language, its joint probability and the sum of all, of one group and of the groups before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, logs = model.value
+        langs, prior, logs = model.value
+        names = np.array(langs, object)
         for part in K.chunks(batches, "text", CHUNK):
             bins, offs = features(_texts(part))
-            known = part.column("has_letter").fill_null(False).to_numpy(zero_copy_only=False) & bool(langs)
-            if langs:
-                joint = score(bins, offs, prior, logs)
-                best = joint.argmax(axis=1)
-                share = 1 / np.exp(joint - joint.max(axis=1, keepdims=True)).sum(axis=1)
-            else:
-                best, share = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
-            pred = [langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-            made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.where(known, share, 0.0))}
+            joint = score(bins, offs, prior, logs)
+            best = joint.argmax(axis=1)
+            most = joint[np.arange(len(best)), best]
+            every = most + np.log(np.exp(joint - most[:, None]).sum(axis=1))
+            before, upto = (part.column(c).to_numpy() for c in ("__joint", "__all"))
+            wins = most > before  # of equals the group that comes first
+            pred = np.where(wins, names[best], np.array(part.column("lang_pred").to_pylist(), object))
+            made = {"lang_pred": pa.array(pred.tolist(), pa.string()), "__joint": pa.array(np.where(wins, most, before)), "__all": pa.array(np.logaddexp(every, upto))}
             yield pa.record_batch([made[f.name] if f.name in made else part.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return run
@@ -154,12 +155,19 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: list[str] | None = Non
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1).alias("held_out")
     letter = F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}").alias("has_letter")
     labelled = docs.select("doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs, prior, logs = train(labelled, sample)
-    model = spark.sparkContext.broadcast((prior, logs))
+    known = rates(labelled, sample)
+    total = sum(n for _, n, _ in known)
     passed = [F.col(c) for c in keep or [] if c not in ("doc_id", "text", "held_out", "lang_pred", "score", "has_letter")]
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held, letter, *passed)
-    out = slim.select("doc_id", *[c for c in ["text"] if c in (keep or [])], *passed, "held_out", "has_letter").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)})
-    return slim.mapInArrow(_predict(model, langs, to_arrow_schema(out.schema)), out.schema)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held, letter, *passed)
+    lowest = F.lit(float("-inf"))
+    out = out.withColumns({"lang_pred": F.lit(None).cast("string"), "__joint": lowest, "__all": lowest})
+    for a in range(0, len(known), LANG_GROUP):
+        model = spark.sparkContext.broadcast(train(labelled, known[a : a + LANG_GROUP], total))
+        out = out.mapInArrow(_predict(model, to_arrow_schema(out.schema)), out.schema)
+    read = F.col("has_letter") & F.col("lang_pred").isNotNull()
+    share = F.when(read, F.exp(F.col("__joint") - F.col("__all"))).otherwise(0.0)
+    columns = ["doc_id", *[c for c in ["text"] if c in (keep or [])], *passed, "held_out", "has_letter"]
+    return out.select(*columns, F.when(read, F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"), share.alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

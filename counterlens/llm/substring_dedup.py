@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, width: int = WIDTH, keep:
     slice_bits = max(log_w - 31, log_w - math.ceil(math.log2(slices)))
     parts = math.ceil(largest / BLOCK_BYTES)
     if parts > 1:
-        blocks = docs.withColumn(BLOCK, F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64("doc_id"), F.lit(parts)))).sortWithinPartitions(BLOCK)
+        blocks = docs.withColumn(BLOCK, F.xxhash64(F.input_file_name(), F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))).sortWithinPartitions(BLOCK)
     else:
         blocks = docs.withColumn(BLOCK, file)
     slim = blocks.select(BLOCK, "doc_id", "text")

@@ -547,6 +547,18 @@ def test_language_against_plain_naive_bayes(spark, docs, corpus):
     assert all(got[i][1] == pytest.approx(want[i][1], abs=1e-9) for i in want)
 
 
+def test_languages_in_any_number_of_groups(spark, docs, no_docs, monkeypatch):
+    """A group of languages at a time comes to what all at once do; and more languages than one group holds."""
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 20)}{chr(97 + i // 20 % 20)}{chr(97 + i % 7)} " * 6, f"l{i % 300:03d}", None) for i in range(900)], no_docs.schema)
+    at_once = language_id.LANG_GROUP
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(many).collect()}
+    assert len(set(found.values())) > at_once and sum(p == f"l{i % 300:03d}" for i, p in found.items()) > 500
+    monkeypatch.setattr(language_id, "LANG_GROUP", 1)
+    parts = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs).collect()}
+    assert {i: p for i, (p, _) in parts.items()} == {i: p for i, (p, _) in whole.items()} and all(parts[i][1] == pytest.approx(whole[i][1], abs=1e-9) for i in whole)
+
+
 def test_language_ties_long_and_odd_texts(spark, no_docs, monkeypatch):
     monkeypatch.setattr(language_id, "FLUSH", 50)
     rows = [(i, "abc" if i % 2 else "abc", ["x", "a"][i % 2], None) for i in range(40)] + [(100, "a\0b" * 3, None, None), (101, "xyz " * 200_000, "x", None), (102, "1\0 2", None, None), (102, "word", None, None)]
@@ -835,6 +847,21 @@ def test_hard_negatives_against_all_pairs(spark, monkeypatch):
     assert _negatives(spark, [], "vec_id % 2 = 0") == []
 
 
+def test_shards_of_long_vectors_are_bounded_by_bytes(spark, monkeypatch):
+    """Long vectors make more shards, in each of which every query is answered."""
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 200 * 300 * 8)
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(1000, 300))
+    df = hnsw.usable(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    scratch = Scratch(spark, "t")
+    found = {}
+    for r in hnsw.search(df, "vec_id % 20 = 0", scratch).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert spark.read.parquet(scratch.path("graphs")).count() == 5
+    exact = {q: set(np.argsort(-np.where(np.arange(1000) == q, -np.inf, v @ v[q]))[:20].tolist()) for q in range(0, 1000, 20)}
+    assert np.mean([len(found[q] & exact[q]) / 20 for q in exact]) >= 0.95
+
+
 def test_dual_trees_prune_whole_groups_and_lose_nothing():
     rng = np.random.default_rng(4)
     heart = 400 * rng.normal(size=(20, 8))
