@@ -134,7 +134,7 @@ def run_variants(answers: DataFrame, alpha: float = 0.1, delta: float = 0.1) ->
     open_ = ~F.col("gate_fired")
     pool = conformal.pool(answers.where("uq AND split = 'calib'"), ["variant"], open_).withColumn("ok", F.coalesce(F.col("pred") == F.col("label"), F.lit(False)))
     taus = conformal.calibrate(pool, ["variant"], alpha, delta).select("variant", "tau")
-    run = answers.drop("abstained", "correct").join(F.broadcast(taus), "variant", "left")
+    run = answers.drop("abstained", "correct").join(taus, "variant", "left")
     defer = F.col("uq") & open_ & (F.col("pred").isNull() | F.col("u").isNull() | ~F.coalesce(F.col("u") <= F.col("tau"), F.lit(False)))
     run = run.withColumn("abstained", defer)
     return run.withColumn("correct", F.coalesce(~F.col("abstained") & (F.col("pred") == F.col("label")), F.lit(False)))

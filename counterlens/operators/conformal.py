@@ -62,5 +62,5 @@ def calibrate(pool: DataFrame, keys: list[str], alpha: float = 0.1, delta: float
 def diagnostics(pool: DataFrame, taus: DataFrame, keys: list[str], delta: float = 0.1) -> DataFrame:
     """What a threshold achieves on a pool: retained, errors, coverage, error and its upper limit."""
     kept = F.col("u") <= F.col("tau")
-    by = pool.join(F.broadcast(taus.select(*keys, "tau")), keys).groupBy(*keys, "tau").agg(F.count("*").alias("n"), F.count_if(kept).alias("retained"), F.count_if(kept & ~F.col("ok")).alias("errors"))
+    by = pool.join(taus.select(*keys, "tau"), keys).groupBy(*keys, "tau").agg(F.count("*").alias("n"), F.count_if(kept).alias("retained"), F.count_if(kept & ~F.col("ok")).alias("errors"))
     return by.withColumns({"coverage": F.col("retained") / F.col("n"), "selective_error": F.try_divide("errors", "retained"), "cp_upper_at_tau": upper_limit("errors", "retained", F.lit(delta)), "certifiable": F.col("tau") > NOTHING})

@@ -48,8 +48,7 @@ def evidence(labels: DataFrame, specs: DataFrame) -> DataFrame:
     value is the first group. Specs without a match, or without a label, are kept with NULLs;
     ``labelled`` says whether the drug has a label.
     """
-    small = F.broadcast(specs)
-    hits = labels.join(small, "drug").withColumn("_order", F.when(F.size("sections") == 0, 1).otherwise(F.array_position("sections", F.col("section"))))
+    hits = labels.join(specs, "drug").withColumn("_order", F.when(F.size("sections") == 0, 1).otherwise(F.array_position("sections", F.col("section"))))
     hits = hits.where((F.col("_order") > 0) & F.expr("text RLIKE pattern"))
     start = F.expr("regexp_instr(text, pattern)")
     long = F.length(F.expr("regexp_extract(text, pattern, 0)"))
@@ -77,7 +76,7 @@ def fill_worksheet(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     ``found`` has order besides what ``attestation`` made, and is small.
     """
-    attested = F.broadcast(found.where(F.col("status").startswith("attested")).select("order", "family", "status", "value", "drug", F.col("section").alias("_section"), "context"))
+    attested = found.where(F.col("status").startswith("attested")).select("order", "family", "status", "value", "drug", F.col("section").alias("_section"), "context")
     touch = F.contains(F.col("context"), F.substring("sentence", 1, 60)) | F.contains(F.col("sentence"), F.substring("context", 1, 60))
     joined = rows.join(attested, "drug").where((F.col("section") == F.col("_section")) & touch)
     first = joined.groupBy("row").agg(F.min(F.struct("order", "family", "status", "value")).alias("f"))

@@ -39,7 +39,7 @@ def ece(df: DataFrame, confidence: Column, right: Column, keys: Sequence[str], b
     """Expected calibration error over equal, half-open bins from the smallest to just above the largest confidence."""
     rows = df.select(*keys, confidence.alias("conf"), F.when(right, 1.0).otherwise(0.0).alias("ok")).where("conf IS NOT NULL")
     edges = rows.groupBy(*keys).agg(F.min("conf").alias("lo"), ((F.max("conf") + 1e-9 - F.min("conf")) / float(bins)).alias("w"))
-    placed = rows.join(F.broadcast(edges), list(keys)).withColumn("bin", F.floor((F.col("conf") - F.col("lo")) / F.col("w")))
+    placed = rows.join(edges, list(keys)).withColumn("bin", F.floor((F.col("conf") - F.col("lo")) / F.col("w")))
     by = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"), F.avg("ok").alias("ok"))
     return by.groupBy(*keys).agg(F.count("*").alias("bins"), (F.sum(F.col("n") * F.abs(F.col("ok") - F.col("conf"))) / F.sum("n")).alias("ece"))
 
@@ -82,7 +82,7 @@ def fraction_grid(df: DataFrame, score: str, tie: Sequence[str], wrong: Column,
     rows = prefixes(df, score, tie, wrong, keys)
     grid = df.sparkSession.range(1, tenths + 1).select(F.col("id").alias("tenth"))
     k = F.greatest(F.lit(1), F.bround(F.col("tenth") * F.col("rows") / float(tenths)).cast("long"))
-    return rows.join(F.broadcast(grid), F.col("place") == k).select(*keys, "tenth", F.col("place").alias("kept"), "risk")
+    return rows.join(grid, F.col("place") == k).select(*keys, "tenth", F.col("place").alias("kept"), "risk")
 
 
 def operating_points(curve: DataFrame, targets: Sequence[float], keys: Sequence[str]) -> DataFrame:

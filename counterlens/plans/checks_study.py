@@ -27,8 +27,8 @@ def gated(equation: str) -> str:
   CASE kind WHEN 2 THEN q > 500 WHEN 3 THEN q < 60 WHEN 4 THEN q >= 10 ELSE q < 30 END AS beyond FROM g0)"""
 
 
-CLAIMS = """cur AS (SELECT p_brand AS drug, 'F:' || p_type AS finding, p_name AS family, [lower(p_type), 'k' || CAST(p_size % 7 AS VARCHAR)] AS atoms FROM part WHERE p_partkey % 3 = 0),
-  ont AS (SELECT p_brand AS drug, CASE WHEN p_partkey % 35 = 1 THEN 'F:' || p_type ELSE 'T:' || p_name END AS target, ['CONTRAINDICATED_WITH', 'HAS_MECHANISM', 'HAS_PHYSIOLOGIC_EFFECT', 'MAY_TREAT'][p_partkey // 3 % 4 + 1] AS rel, ['k' || CAST(p_size % 7 AS VARCHAR)] AS atoms FROM part WHERE p_partkey % 3 <> 0 AND p_brand IN (SELECT drug FROM cur)),
+CLAIMS = """cur AS (SELECT p_brand AS drug, 'F:' || p_type AS finding, p_name AS family, [lower(p_type), 'k' || CAST(p_partkey // 11 AS VARCHAR)] AS atoms FROM part WHERE p_partkey % 3 = 0),
+  ont AS (SELECT p_brand AS drug, CASE WHEN p_partkey % 35 = 1 THEN 'F:' || p_type ELSE 'T:' || p_name END AS target, ['CONTRAINDICATED_WITH', 'HAS_MECHANISM', 'HAS_PHYSIOLOGIC_EFFECT', 'MAY_TREAT'][p_partkey // 3 % 4 + 1] AS rel, ['k' || CAST(p_partkey // 11 AS VARCHAR)] AS atoms FROM part WHERE p_partkey % 3 <> 0 AND p_brand IN (SELECT drug FROM cur)),
   edges AS (SELECT drug AS src, finding AS dst, 'CONTRAINDICATED_WITH' AS rel, 'curated' AS provenance, min(family) AS source FROM cur GROUP BY 1, 2 UNION ALL SELECT DISTINCT drug, target, rel, 'umls', 'MED-RT' FROM ont),
   seen AS (SELECT drug AS cui, 'drug' AS kind, CAST([] AS VARCHAR[]) AS atoms, 0 AS seen FROM cur UNION ALL SELECT finding, 'disease', atoms, 1 FROM cur UNION ALL SELECT target, CASE WHEN rel IN ('CONTRAINDICATED_WITH', 'MAY_TREAT', 'MAY_PREVENT') THEN 'disease' ELSE 'process' END, CASE WHEN rel = 'CONTRAINDICATED_WITH' THEN atoms ELSE [] END, 2 FROM ont),
   kinds AS (SELECT cui, min(kind) AS kind FROM (SELECT *, min(seen) OVER (PARTITION BY cui) AS first FROM seen) WHERE seen = first GROUP BY cui),

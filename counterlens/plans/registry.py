@@ -114,6 +114,12 @@ _stored: dict[tuple[str, str, str], str] = {}
 DERIVED = ("patients", "labs", "rules", "variants", "facts", "items", "preds")
 
 
+def forget(spark: SparkSession) -> None:
+    """Stored tables of this application are made anew when they are next asked for."""
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        del _stored[key]
+
+
 class Tables:
     """Tables of a folder by name, and those derived from its events.
 
