@@ -54,7 +54,9 @@ def terms(words: Column) -> Column:
 
 def tfidf(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, idf, w: the vectors of a corpus, each of length 1; texts without terms have no row."""
-    counted = corpus.select(F.col(key).alias("key"), F.explode(terms(tokens(F.col(text)))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    # tokens are a column of their own, so that they are found once
+    words = corpus.select(F.col(key).alias("key"), tokens(F.col(text)).alias("_words"))
+    counted = words.select("key", F.explode(terms(F.col("_words"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     n = corpus.agg(F.count("*").alias("texts"))
     idf = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((F.lit(1.0) + F.col("texts")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
     raw = counted.join(idf, "term").withColumn("raw", (F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf"))
@@ -158,9 +160,10 @@ def _packed(weights: DataFrame) -> DataFrame:
 
 def _asked(queries: DataFrame, key: str, text: str, idf: DataFrame) -> DataFrame:
     """key, terms, w of every query; terms that the corpus lacks do not count, and a query without any has none."""
-    keyed = queries.select(F.col(key).alias("key"), text)
-    hashed = F.explode(F.transform(terms(tokens(F.col(text))), lambda x: F.xxhash64(x))).alias("term")
-    tf = keyed.select("key", hashed).groupBy("key", "term").agg(F.count("*").alias("tf")).join(idf, "term")
+    keyed = queries.select(F.col(key).alias("key"), tokens(F.col(text)).alias("_words"))
+    hashed = F.explode(F.transform(terms(F.col("_words")), lambda x: F.xxhash64(x))).alias("term")
+    # terms that the corpus lacks go before anything is grouped
+    tf = keyed.select("key", hashed).join(idf, "term").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("idf").alias("idf"))
     raw = tf.select("key", "term", ((F.lit(1.0) + F.ln(F.col("tf").cast("double"))) * F.col("idf")).alias("raw"))
     by = raw.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "raw"))).alias("v"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     vectors = by.select("key", F.col("v.term").alias("terms"), F.transform("v.raw", lambda x: x / F.col("norm")).alias("w"))
