@@ -1,4 +1,4 @@
-"""Tables of interventions: effects by layer and dose against their controls, steering sweeps, pointing.
+"""Tables of interventions: effects by layer and dose against their controls, steering sweeps, pointing, edited tokens.
 
 Every effect is judged against a control arm of its own. Effects keep their sign: an excess
 is a difference of means, so +1 and -1 against a control of 0 are no excess.
@@ -119,3 +119,24 @@ def pointing(scores: DataFrame, items: DataFrame, decisive: DataFrame, present:
         *[F.avg(F.when(F.col("_can"), hit(n))).alias(f"expressible_{n}") for n in ("sum", "mean")],
         F.avg("_guess").alias("random_accuracy"),
     )
+
+
+def edited_percentile(tokens: DataFrame, pair: str = "pair_id", arm: str = "arm", arms: tuple[str, str] = ("safe", "unsafe")) -> DataFrame:
+    """Of every pair that counts the percentile (0 to 1) that the tokens in which its arms differ have among the scores of the first arm.
+
+    ``tokens`` has pair, arm, position, token, candidate and score. A pair counts if it has
+    exactly these two arms, of equal length, with the same positions, and differs at a
+    candidate position of the first arm. A position's percentile is its place among the
+    arm's candidates by score (ties by position) over one less than their number; the
+    pair's is the mean over the positions that differ.
+    """
+    keep = tokens.groupBy(pair).agg(F.array_sort(F.collect_set(arm)).alias("_arms"), F.count_if(F.col(arm) == arms[0]).alias("_a"), F.count_if(F.col(arm) == arms[1]).alias("_b"))
+    keep = keep.where((F.col("_arms") == F.array(*map(F.lit, sorted(arms)))) & (F.col("_a") == F.col("_b"))).select(pair)
+    side = lambda name: tokens.where(F.col(arm) == name)
+    ranked = side(arms[0]).where("candidate").join(keep, pair)
+    by = Window.partitionBy(pair)
+    place = (F.row_number().over(by.orderBy("score", "position")) - 1) / F.greatest(F.lit(1), F.count("*").over(by) - 1)
+    ranked = ranked.select(pair, "position", "token", place.alias("_p"))
+    other = side(arms[1]).select(pair, "position", F.col("token").alias("_token"))
+    differing = ranked.join(other, [pair, "position"]).where(F.col("token") != F.col("_token"))
+    return differing.groupBy(pair).agg(F.avg("_p").alias("percentile"), F.count("*").alias("edited"))

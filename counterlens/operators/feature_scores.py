@@ -1,4 +1,4 @@
-"""Scores of dictionary features and faithfulness, over tables of results.
+"""Scores of dictionary features and faithfulness, over tables of results.
 
 Activations are a sparse table (row, feature, x); concepts a table (row, concept). The
 matrix of features by rows is never made: counts are partial aggregates.
@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterlens.operators.ordered import running
 
 
 def counts(active: DataFrame, concepts: DataFrame, row: str) -> DataFrame:
@@ -69,13 +68,6 @@ def rationale(scores: Column, share: float) -> Column:
     return F.transform(F.slice(F.array_sort(placed), F.lit(1), k), lambda x: x.i)
 
 
-def edit_percentile(rows: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
-    """``rows`` with the place of each score in its group, from 0 to 1; NULL in a group of one. Groups may be few and large."""
-    placed = running(rows.withColumn("_one", F.lit(1).cast("long")), keys, [score, tie], {"_place": "_one"}, total="_rows")
-    share = F.try_divide((F.col("_place") - 1).cast("double"), (F.col("_rows") - 1).cast("double"))
-    return placed.withColumn("percentile", share).drop("_one", "_place", "_rows")
-
-
 def contraction(old: Column, new: Column) -> Column:
     """Aggregate: one less the share of positive excess that is left."""
     positive = lambda c: F.sum(F.greatest(c, F.lit(0.0)))

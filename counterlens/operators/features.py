@@ -14,7 +14,6 @@ plan("a31_feature_counts", f"WITH {ACT} SELECT t.feature, t.concept, t.tp, f.n_a
 plan("a32_best_concept", f"WITH {ACT} SELECT feature, concept, round(f1, 9) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(f1, 12) DESC, concept) AS rn FROM f1) AS x WHERE rn = 1")
 plan("a33_influence_score", f"WITH {ACT} SELECT feature, round(0.5e0 * max(f1) + 0.5e0 * greatest(0e0, least(1e0, 4e0 * (max(f1) - avg(f1)))), 9) AS score FROM f1 GROUP BY feature")
 plan("a34_control_spread", f"WITH {ACT} SELECT concept, round(avg(f1), 9) AS mean, round(stddev_samp(f1), 9) AS sd, round(max(abs(ln(f1 / 0.1e0))), 9) AS worst FROM f1 GROUP BY concept")
-plan("a41_edit_percentile", "SELECT arm, round(avg(place / nullif(n - 1, 0)), 9) AS percentile FROM (SELECT arm, row_number() OVER (PARTITION BY family ORDER BY factor_value, item_no) - 1e0 AS place, count(*) OVER (PARTITION BY family) AS n FROM items) AS x GROUP BY arm")
 plan("a44_index_quantile", "SELECT family, q AS p90 FROM (SELECT family, q, row_number() OVER (PARTITION BY family ORDER BY q) AS rn, count(*) OVER (PARTITION BY family) AS n FROM facts) AS x WHERE rn = CAST(floor(0.9e0 * (n - 1)) AS BIGINT) + 1")
 # three raters over labelled documents; one rating in eleven is missing
 RATINGS = """ratings AS (SELECT doc_id, 'r1' AS rater, 1 + quality + doc_id % 3 AS value FROM labels UNION ALL SELECT doc_id, 'r2', 1 + quality + CASE WHEN doc_id % 4 = 0 THEN (doc_id + 1) % 3 ELSE doc_id % 3 END FROM labels UNION ALL SELECT doc_id, 'r3', CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 1 + quality + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE doc_id % 3 END END FROM labels)"""

@@ -44,6 +44,9 @@ SQL = {
     WHERE NOT EXISTS (SELECT 1 FROM gains x WHERE x.run = b.run AND x.layer = b.layer AND sign(x.alpha) = sign(b.alpha) AND abs(x.alpha) > least(abs(g.alpha), abs(b.alpha)) AND abs(x.alpha) < greatest(abs(g.alpha), abs(b.alpha))))
   SELECT b.run, (SELECT count(*) FROM gains g WHERE g.run = b.run) AS cells, layer, alpha, round(cc, 9) AS cc, round(cc_rand, 9) AS cc_rand, round(gain, 9) AS gain, (SELECT round(arg_min(cc, layer), 9) FROM gains g WHERE g.run = b.run AND alpha = 0) AS base,
     (SELECT round(max(abs(cc_rand)), 9) FROM gains g WHERE g.run = b.run) AS control_swing, coalesce((SELECT bool_and(holds) FROM beside WHERE beside.run = b.run), FALSE) AS dose_response FROM b""",
+    "a41_edit_percentile": """WITH w AS (SELECT pair_id, arm, item_no, string_split(prompt, ' ') AS w FROM items), c AS (SELECT a.pair_id, a.w AS x, b.w AS y, a.item_no FROM w a JOIN w b ON a.pair_id = b.pair_id AND a.arm = 'safe' AND b.arm = 'unsafe' AND len(a.w) = len(b.w)),
+  s AS (SELECT pair_id, x, y, least(6, len(x)) AS n, list_transform(range(0, least(6, len(x))), lambda i: (item_no * 31 + i * 97531) % 1009 * 100 + i) AS v FROM c), d AS (SELECT *, unnest(range(0, n)) AS i FROM s)
+  SELECT pair_id, round(avg(len(list_filter(v, lambda z: z < v[i + 1])) / CAST(greatest(1, n - 1) AS DOUBLE)), 9) AS percentile, count(*) AS n FROM d WHERE x[i + 1] <> y[i + 1] GROUP BY pair_id""",
     "a42_pointing": f"WITH {TOKENS} SELECT count(*) AS n, count(*) FILTER (WHERE NOT can) AS n_inexpressible, round({SHARE.format('by_sum')}, 9) AS accuracy_sum, round({SHARE.format('by_mean')}, 9) AS accuracy_mean, round(avg(CASE WHEN can THEN CASE WHEN by_sum THEN 1e0 ELSE 0e0 END END), 9) AS expressible_sum, round(avg(CASE WHEN can THEN CASE WHEN by_mean THEN 1e0 ELSE 0e0 END END), 9) AS expressible_mean, round(avg(guess), 9) AS random_accuracy FROM judged",
     "a53_signed_best": f"""WITH {SWEEP}, a AS (SELECT *, 'all' AS arm FROM gains UNION ALL SELECT *, CASE WHEN alpha > 0 THEN 'positive' ELSE 'negative' END FROM gains WHERE alpha <> 0)
   SELECT run, arm, count(*) OVER w AS cells, min(alpha) OVER w AS lowest, max(alpha) OVER w AS highest, layer, alpha, round(cc, 9) AS cc, round(cc_rand, 9) AS cc_rand, round(gain, 9) AS gain FROM a WINDOW w AS (PARTITION BY run, arm) QUALIFY row_number() OVER (PARTITION BY run, arm ORDER BY gain DESC, layer, alpha) = 1""",

@@ -533,8 +533,10 @@ def a40_aopc(t: Tables):
 
 @call
 def a41_edit_percentile(t: Tables):
-    rows = feature_scores.edit_percentile(t["items"], ["family"], "factor_value", "item_no")
-    return rounded(rows.groupBy("arm").agg(F.avg("percentile").alias("percentile")), "percentile")
+    """Words of the prompts as tokens, of which those before the question are candidates; their scores are hashes."""
+    words = t["items"].select("pair_id", "arm", "item_no", F.posexplode(F.split("prompt", " ")).alias("position", "token"))
+    tokens = words.select("pair_id", "arm", "position", "token", (F.col("position") < 6).alias("candidate"), ((F.col("item_no") * 31 + F.col("position") * 97531) % 1009).alias("score"))
+    return rounded(effects.edited_percentile(tokens).withColumnRenamed("edited", "n"), "percentile")
 
 
 @call

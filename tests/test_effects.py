@@ -208,3 +208,20 @@ def test_ranges_split_a_value_that_most_rows_share(spark):
     assert placed.groupBy("_range").count().agg(F.max("count")).first()[0] < 4_000
     got = ordered.running(df, [], ["u", "tie"], {"place": "one"}, total="n").orderBy("place").collect()
     assert [r.place for r in got] == list(range(1, 20_001)) and [(r.u, r.tie) for r in got] == sorted((r.u, r.tie) for r in got) and got[0].n == 20_000
+
+
+def test_edited_tokens_count_in_pairs_of_two_equal_arms(spark):
+    rows = []
+    add = lambda pair, arm, words, scores, candidates: rows.extend((pair, arm, i, w, i in candidates, float(s)) for i, (w, s) in enumerate(zip(words, scores)))
+    add("p", "safe", "abcde", [5, 1, 9, 7, 3], {0, 1, 2, 4})
+    add("p", "unsafe", "abXYZ", [0] * 5, {0})  # differs at 2, 3 and 4, of which 3 is no candidate; places 3 and 1 of 0 to 3
+    add("longer", "safe", "ab", [1, 2], {0, 1})
+    add("longer", "unsafe", "abc", [1, 2, 3], {0, 1})
+    add("control", "ctrl_a", "ab", [1, 2], {0, 1})
+    add("control", "ctrl_b", "ac", [1, 2], {0, 1})
+    add("same", "safe", "ab", [1, 2], {0, 1})
+    add("same", "unsafe", "ab", [1, 2], {0, 1})
+    add("one", "safe", "a", [1], {0})
+    add("one", "unsafe", "b", [1], {0})
+    df = spark.createDataFrame(rows, "pair_id string, arm string, position int, token string, candidate boolean, score double")
+    assert {r.pair_id: (r.percentile, r.edited) for r in effects.edited_percentile(df).collect()} == {"p": (pytest.approx(2 / 3), 2), "one": (0.0, 1)}
