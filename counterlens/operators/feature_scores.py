@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def counts(active: DataFrame, concepts: DataFrame, row: str) -> DataFrame:
     """feature, concept, tp, n_active, n_pos of every pair that occurs together."""
     tp = active.join(concepts, row).groupBy("feature", "concept").agg(F.count("*").alias("tp"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from counterlens.plans.registry import plan, rate
+from counterlens.plans.registry import plan
 
 NUMBER = "([0-9]+(?:[.][0-9]+)?)"
 
