@@ -7,13 +7,16 @@ Concepts do not disturb each other. An automaton finds all wordings of all conce
 that follows the text, however many there are.
 
 The dictionary is dealt in parts of bounded size; each is broadcast and passes the texts
-once, so a dictionary of any size works, in more passes.
+once, so a dictionary of any size works, in more passes. A task holds one batch of texts, the
+wordings near the place that it reads, and one block of what it found.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from heapq import heappop, heappush
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Characters of wordings in one automaton; it takes some hundred bytes each.
 PART_CHARS = 2_000_000
+#: Rows of a block that a task gives out at once.
+BLOCK_ROWS = 10_000
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -47,39 +52,51 @@ class Matcher:
         for i, c in enumerate(self.names):
             for w in dict.fromkeys(x.translate(_LOWER) for x in concepts[c] if x):
                 owners.setdefault(w, []).append(i)
+        self.longest = max(map(len, owners), default=0)
         self.automaton = ahocorasick.Automaton()
         for w, who in owners.items():
             self.automaton.add_word(w, (len(w), tuple(who)))
         if owners:
             self.automaton.make_automaton()
 
-    def spans(self, text: str | None) -> dict[int, list[tuple[int, int]]]:
-        """By the number of the concept the spans of its matches, in order."""
+    def found(self, text: str | None) -> Iterator[tuple[int, int, int]]:
+        """Number of the concept, start and stop of its matches by start, found as the text is read: only wordings near the place are held."""
         if not text or not len(self.automaton):
-            return {}
+            return
         low = text.translate(_LOWER)
-        found: dict[int, list[tuple[int, int]]] = {}
+        near: list[tuple[int, int, int]] = []  # a heap: by place, longest first
+        end: dict[int, int] = {}
+
+        def settled(place: int) -> Iterator[tuple[int, int, int]]:
+            """Matches that begin before ``place``, of which all wordings are known."""
+            while near and near[0][0] < place:
+                start, stop, i = heappop(near)
+                stop = -stop
+                if start < end.get(i, 0):
+                    continue
+                if i in self.tails:
+                    more = self.tails[i].match(low, stop)
+                    if not more:
+                        continue
+                    stop = more.end()
+                end[i] = stop
+                yield i, start, stop
+
         for last, (n, who) in self.automaton.iter(low):
             start, stop = last + 1 - n, last + 1
+            yield from settled(stop - self.longest)
             before = start > 0 and _word(low[start - 1])
             after = stop < len(low) and _word(low[stop])
             if before != _word(low[start]) and after != _word(low[last]):
                 for i in who:
-                    found.setdefault(i, []).append((start, -stop))
+                    heappush(near, (start, -stop, i))
+        yield from settled(len(low))
+
+    def spans(self, text: str | None) -> dict[int, list[tuple[int, int]]]:
+        """By the number of the concept the spans of its matches, in order."""
         out: dict[int, list[tuple[int, int]]] = {}
-        for i, at in found.items():
-            tail, end = self.tails.get(i), 0
-            for start, stop in sorted(at):  # longest first at each place
-                stop = -stop
-                if start < end:
-                    continue
-                if tail:
-                    more = tail.match(low, stop)
-                    if not more:
-                        continue
-                    stop = more.end()
-                out.setdefault(i, []).append((start, stop))
-                end = stop
+        for i, start, stop in self.found(text):
+            out.setdefault(i, []).append((start, stop))
         return out
 
 
@@ -118,17 +135,45 @@ def matches(df: DataFrame, text: str, concepts: Mapping[str, Sequence[str]], kee
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = Matcher(*held.value)
             for batch in batches:
-                rows, name, start, stop = [], [], [], []
-                for i, t in enumerate(batch.column("_text").to_pylist()):
-                    for c, spans in m.spans(t).items():
-                        for a, b in spans:
-                            rows.append(i)
-                            name.append(m.names[c])
-                            start.append(a)
-                            stop.append(b)
-                taken = batch.take(pa.array(rows, pa.int64()))
-                made = {"concept": pa.array(name, pa.string()), "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32())}
-                yield pa.record_batch([(made[f.name] if f.name in made else taken.column(f.name)).cast(f.type) for f in schema], schema=schema)
+                kept = batch.select(list(keep))  # never the text, which would be copied for each of its matches
+                at = ((i, *x) for i, t in enumerate(batch.column("_text")) for x in m.found(t.as_py()))
+                while block := list(islice(at, BLOCK_ROWS)):
+                    rows, which, start, stop = zip(*block)
+                    taken = kept.take(pa.array(rows, pa.int64()))
+                    made = {"concept": pa.array([m.names[c] for c in which], pa.string()), "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32())}
+                    yield pa.record_batch([(made[f.name] if f.name in made else taken.column(f.name)).cast(f.type) for f in schema], schema=schema)
+
+        return task
+
+    return _passes(slim, text, concepts, tails, run, out.schema)
+
+
+def covered(df: DataFrame, text: str, concepts: Mapping[str, Sequence[str]], keep: Sequence[str], tails: Mapping[str, str] | None = None) -> DataFrame:
+    """``keep`` columns of ``df`` with concept, hits and chars (code points that its matches cover), one row a text and concept; 0 without a match."""
+    slim = df.select(*keep, F.col(text).alias("_text"))
+    out = slim.select(*keep).limit(0).withColumns({"concept": F.lit(""), "hits": F.lit(0).cast("long"), "chars": F.lit(0).cast("long")})
+    schema = to_arrow_schema(out.schema)
+
+    def run(held):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = Matcher(*held.value)
+            for batch in batches:
+                kept = batch.select(list(keep))
+                texts = enumerate(batch.column("_text"))
+                while some := list(islice(texts, max(1, BLOCK_ROWS // len(m.names)))):
+                    rows, which, count, chars = [], [], [], []
+                    for i, t in some:
+                        n, size = [0] * len(m.names), [0] * len(m.names)
+                        for c, start, stop in m.found(t.as_py()):
+                            n[c] += 1
+                            size[c] += stop - start
+                        rows += [i] * len(n)
+                        which += m.names
+                        count += n
+                        chars += size
+                    taken = kept.take(pa.array(rows, pa.int64()))
+                    made = {"concept": pa.array(which, pa.string()), "hits": pa.array(count, pa.int64()), "chars": pa.array(chars, pa.int64())}
+                    yield pa.record_batch([(made[f.name] if f.name in made else taken.column(f.name)).cast(f.type) for f in schema], schema=schema)
 
         return task
 

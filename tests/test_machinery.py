@@ -2,13 +2,16 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from counterlens.functions import clinical
 from counterlens.operators import concepts, fanout, guards, probe, retrieval
+from counterlens.plans import catalogue
 
 
 # ---- guards
@@ -87,6 +90,27 @@ def test_a_hundred_thousand_wordings_in_bounded_parts(spark, monkeypatch):
     assert by == {c: tuple(sum(len(_pattern(w).findall(t or "")) for t in texts) for w in pair) for c, pair in few.items()}
 
 
+def test_texts_of_very_many_matches_are_given_out_in_blocks(spark, tmp_path, monkeypatch):
+    """A text is not copied for each of its matches, and rows of one doc_id have their own counts."""
+    with monkeypatch.context() as m:
+        seen = []
+        m.setattr(concepts, "_passes", lambda df, text, dictionary, tails, run, schema: seen.append(run))
+        concepts.matches(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "text", {"a": ["the"]}, ["doc_id"])
+        batch = pa.record_batch({"doc_id": pa.array([1]), "_text": pa.array(["the " * 30_000])})
+        sizes = [b.num_rows for b in seen[0](SimpleNamespace(value=({"a": ["the"]}, {})))(iter([batch]))]
+        assert sizes == [10_000] * 3 and pa.default_memory_pool().max_memory() < 500_000_000
+    texts = [(1, "the " * 60_000), (2, None), (3, "those things of THE"), (3, "the"), (None, "th other")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    words = {"a": ["the", "those things"], "none": ["zq"]}
+    by = concepts.matches(df, "text", words, ["doc_id"]).groupBy("doc_id", "concept").agg(F.count("*").alias("n"), F.sum("start").alias("s"))
+    assert sorted(map(tuple, by.collect())) == [(1, "a", 60_000, 4 * 60_000 * 59_999 // 2), (3, "a", 3, 16)]
+    rows = [tuple(r) for r in concepts.covered(df, "text", words, ["doc_id"]).collect()]
+    assert sorted(r[2:] for r in rows if r[1] == "a") == [(0, 0), (0, 0), (1, 3), (2, 15), (60_000, 180_000)] and [r[2:] for r in rows if r[1] == "none"] == [(0, 0)] * 5
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalogue.QUERIES["f17_concept_matcher"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 60_000, 180_000), (2, 0, 0), (3, 2, 15), (3, 1, 3), (None, 1, 2)], key=str)
+
+
 def test_wordings():
     assert concepts.wordings(["of", "heart", "ab", "Kidney"], ["hr"], stop=["kidney"]) == ["heart", "hr"]
     assert concepts.wordings(["of"], name="thing") == ["thing"]
