@@ -34,9 +34,11 @@ CLAIMS = """cur AS (SELECT p_brand AS drug, 'F:' || p_type AS finding, p_name AS
   kinds AS (SELECT cui, min(kind) AS kind FROM (SELECT *, min(seen) OVER (PARTITION BY cui) AS first FROM seen) WHERE seen = first GROUP BY cui),
   keyed AS (SELECT cui, min(list_sort(atoms)) AS atom_keys FROM (SELECT *, min(seen) OVER (PARTITION BY cui) AS first FROM seen WHERE len(atoms) > 0) WHERE seen = first GROUP BY cui),
   nodes AS (SELECT k.cui, k.kind, coalesce(a.atom_keys, []) AS atom_keys FROM kinds k LEFT JOIN keyed a ON a.cui = k.cui)"""
-ATTESTED = f"""{CLAIMS}, contra AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'CONTRAINDICATED_WITH' AND provenance = 'umls'), att AS (SELECT c.src, c.dst, c.source, (SELECT count(*) FROM contra u WHERE u.src = c.src) AS n_ontology, EXISTS (SELECT 1 FROM contra u WHERE u.src = c.src AND u.dst = c.dst) AS exact,
+CLAIMS_BY_SIZE = CLAIMS.replace("p_partkey // 11", "p_size % 7")
+ATTESTED = f"""{CLAIMS_BY_SIZE}, contra AS (SELECT DISTINCT src, dst FROM edges WHERE rel = 'CONTRAINDICATED_WITH' AND provenance = 'umls'), att AS (SELECT c.src, c.dst, c.source, (SELECT count(*) FROM contra u WHERE u.src = c.src) AS n_ontology, EXISTS (SELECT 1 FROM contra u WHERE u.src = c.src AND u.dst = c.dst) AS exact,
   (SELECT min(u.dst) FROM contra u JOIN nodes x ON x.cui = u.dst JOIN nodes y ON y.cui = c.dst WHERE u.src = c.src AND list_has_any(x.atom_keys, y.atom_keys)) AS synonym FROM edges c WHERE c.rel = 'CONTRAINDICATED_WITH' AND c.provenance = 'curated'),
   states AS (SELECT src, dst, source, CASE WHEN exact THEN 'exact' WHEN synonym IS NOT NULL THEN 'synonymous' ELSE 'curated' END AS state, CASE WHEN exact THEN dst ELSE synonym END AS matched, n_ontology FROM att)"""
+ATTESTED_BY_PART = ATTESTED.replace(CLAIMS_BY_SIZE, CLAIMS)
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP)
 
@@ -158,8 +160,8 @@ SQL = {
     "g02_contraindications": f"WITH {CLAIMS} SELECT src, dst, max(provenance) AS provenance, arg_max(source, provenance) AS source, count(*) AS edges FROM edges WHERE rel = 'CONTRAINDICATED_WITH' GROUP BY 1, 2",
     "g03_mechanisms": f"WITH {CLAIMS} SELECT src, array_to_string(list_sort(list(DISTINCT dst)), '|') AS annotations FROM edges WHERE rel LIKE 'HAS%' GROUP BY src",
     "g04_attestation": f"WITH {ATTESTED} SELECT * FROM states",
-    "a39_graph_coverage": f"WITH {ATTESTED}, f AS (SELECT source, bool_or(state <> 'curated') AS ok FROM states GROUP BY source) SELECT count(*) AS n_families, count(*) FILTER (WHERE ok) AS n_attested, round({SHARE.format('ok')}, 9) AS fraction FROM f",
-    "m15_ontology_margin": f"""WITH {ATTESTED} SELECT d.cui AS src, f.cui AS dst, CASE WHEN NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = d.cui AND e.dst = f.cui AND e.rel = 'CONTRAINDICATED_WITH') THEN 0e0 WHEN EXISTS (SELECT 1 FROM contra u WHERE u.src = d.cui AND u.dst = f.cui) OR EXISTS (SELECT 1 FROM states s WHERE s.src = d.cui AND s.dst = f.cui AND s.state <> 'curated') THEN 2.5e0 ELSE 2e0 END AS margin
+    "a39_graph_coverage": f"WITH {ATTESTED_BY_PART}, f AS (SELECT source, bool_or(state <> 'curated') AS ok FROM states GROUP BY source) SELECT count(*) AS n_families, count(*) FILTER (WHERE ok) AS n_attested, round({SHARE.format('ok')}, 9) AS fraction FROM f",
+    "m15_ontology_margin": f"""WITH {ATTESTED_BY_PART} SELECT d.cui AS src, f.cui AS dst, CASE WHEN NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = d.cui AND e.dst = f.cui AND e.rel = 'CONTRAINDICATED_WITH') THEN 0e0 WHEN EXISTS (SELECT 1 FROM contra u WHERE u.src = d.cui AND u.dst = f.cui) OR EXISTS (SELECT 1 FROM states s WHERE s.src = d.cui AND s.dst = f.cui AND s.state <> 'curated') THEN 2.5e0 ELSE 2e0 END AS margin
   FROM nodes d JOIN nodes f ON d.kind = 'drug' AND f.cui LIKE 'F:%' AND EXISTS (SELECT 1 FROM edges e WHERE e.src = d.cui AND e.dst = f.cui)""",
     "g05_layered_build": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges",
     "g06_round_trip": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges UNION ALL SELECT cui, '', kind, array_to_string(atom_keys, '|'), cui FROM nodes",
