@@ -54,6 +54,7 @@ FAR_PARTS = [(300, "fam", "B1", "X", 7), (600, "fam2", "B2", "Y", 1), (1201, "n1
     [
         ("g04_attestation", [("B1", "F:X", "fam", "synonymous", "T:n1", 1), ("B2", "F:Y", "fam2", "curated", None, 0)]),
         ("a39_graph_coverage", [(2, 1, 0.5)]),
+        ("m15_ontology_margin", [("B1", "F:X", 2.5), ("B1", "F:Y", 0.0), ("B2", "F:X", 0.0), ("B2", "F:Y", 2.0)]),
     ],
 )
 def test_graph_of_keys_that_many_parts_share(spark, tmp_path, name, want):
