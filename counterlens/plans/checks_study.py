@@ -165,7 +165,7 @@ SQL = {
     "g05_layered_build": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges",
     "g06_round_trip": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges UNION ALL SELECT cui, '', kind, array_to_string(atom_keys, '|'), cui FROM nodes",
     "j19_edge_preference": f"WITH {CLAIMS} SELECT src, dst, rel, provenance, source FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY CASE provenance WHEN 'umls' THEN 0 ELSE 1 END, dst, rel) = 1",
-    "j20_set_overlap": f"WITH {CLAIMS} SELECT a.cui AS x, b.cui AS y, len(list_intersect(a.atom_keys, b.atom_keys)) AS shared FROM nodes a JOIN nodes b ON a.cui < b.cui AND list_has_any(a.atom_keys, b.atom_keys)",
+    "j20_set_overlap": f"WITH {CLAIMS_BY_SIZE} SELECT a.cui AS x, b.cui AS y, len(list_intersect(a.atom_keys, b.atom_keys)) AS shared FROM nodes a JOIN nodes b ON a.cui < b.cui AND list_has_any(a.atom_keys, b.atom_keys)",
     "a38_concept_jaccard": "WITH s AS (SELECT source, list(DISTINCT lang || '/' || CAST(n_chars - n_chars % 1000 AS VARCHAR)) AS m FROM documents GROUP BY source) SELECT a.source AS x, b.source AS y, round(len(list_intersect(a.m, b.m)) / CAST(len(list_distinct(list_concat(a.m, b.m))) AS DOUBLE), 9) AS jaccard, len(a.m) - len(list_intersect(a.m, b.m)) AS only_x, len(b.m) - len(list_intersect(a.m, b.m)) AS only_y FROM s a JOIN s b ON a.source < b.source AND list_has_any(a.m, b.m)",
     "a40_aopc": f"WITH {EFFECTS}, h AS (SELECT pair_id, layer, avg(abs(delta)) AS h FROM eff GROUP BY 1, 2), p AS (SELECT layer, pair_id, i, 0.9e0 - 0.9e0 / (1 + h * (i + 2) / 10e0) AS c, 0.9e0 - 0.9e0 / (1 + h * i / 10e0) AS s FROM h CROSS JOIN range(1, 5) AS g(i)) SELECT layer, count(DISTINCT pair_id) AS n, round(avg(c), 9) AS aopc_comprehensiveness, round(avg(s), 9) AS aopc_sufficiency FROM p GROUP BY layer",
     "a52_perplexity": "SELECT lang, round(exp(sum((1e0 + (doc_id % 100) / 100e0) * n_chars) / (sum(n_chars) + 1)), 6) AS ppl FROM documents GROUP BY lang",

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from counterlens.operators import audits, cohort, render
+from counterlens.operators import audits, causal_graph, cohort, render
 from counterlens.plans import catalogue, registry
 from counterlens.plans.base_sql import BASE
 
@@ -55,6 +55,7 @@ FAR_PARTS = [(300, "fam", "B1", "X", 7), (600, "fam2", "B2", "Y", 1), (1201, "n1
         ("g04_attestation", [("B1", "F:X", "fam", "synonymous", "T:n1", 1), ("B2", "F:Y", "fam2", "curated", None, 0)]),
         ("a39_graph_coverage", [(2, 1, 0.5)]),
         ("m15_ontology_margin", [("B1", "F:X", 2.5), ("B1", "F:Y", 0.0), ("B2", "F:X", 0.0), ("B2", "F:Y", 2.0)]),
+        ("j20_set_overlap", [("F:X", "T:n1", 1)]),
     ],
 )
 def test_graph_of_keys_that_many_parts_share(spark, tmp_path, name, want):
@@ -62,6 +63,14 @@ def test_graph_of_keys_that_many_parts_share(spark, tmp_path, name, want):
     assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect())) == want
 
 
+def test_overlaps_of_concepts_against_a_loop(spark):
+    """Every pair once, with all that it shares: more than one key, hot keys, equal sets, missing keys and none."""
+    nodes = [(f"c{i}", sorted({f"k{i % 2}", f"m{i % 7}", f"o{i}"}) + [None]) for i in range(60)] + [("none", []), ("null", None), ("only", [None])]
+    got = [tuple(r) for r in causal_graph.overlaps(spark.createDataFrame(nodes, causal_graph.NODE.replace("name string, kind string, ", "")), deals=3).collect()]
+    sets = {c: set(k or []) - {None} for c, k in nodes}
+    assert sorted(got) == sorted((x, y, len(sets[x] & sets[y])) for x in sets for y in sets if x < y and sets[x] & sets[y])
+
+
 def test_views_of_the_session_are_left_alone(spark):
     spark.range(3).createOrReplaceTempView("items")
     catalogue.QUERIES["a25_representative_pair"](spark, DATA).count()
